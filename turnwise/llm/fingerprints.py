@@ -1,8 +1,8 @@
 """Document fingerprints: one-permutation MinHash, optimal densification, packed low-order bits with bias correction.
 
 Word shingles (five words) are hashed once. The hash's first bits name its bin, so in the sorted hashes the first of each
-bin is that bin's minimum. An empty bin takes the value of the filled bin that its own random order of all bins brings
-first (optimal densification: independent draws, not a neighbour's value). The low four bits of each bin are packed,
+bin is that bin's minimum. An empty bin takes the value of the first filled bin in its own random sequence of bins
+(optimal densification: independent draws, not a neighbour's value). The low four bits of each bin are packed,
 sixteen bins to a long. All steps are expressions on one row: no shuffle and no Python.
 """
 
@@ -24,33 +24,41 @@ def shingle_hashes(words: Column, width: int = 5) -> Column:
     return F.when(n >= width, each).when(n > 0, F.array(F.xxhash64(F.array_join(words, " "), n))).otherwise(F.array().cast("array<bigint>"))
 
 
+_LOW = (1 << (64 - _BIN_BITS)) - 1
+_PROBES = 24
+
+
 def _bin(h: Column) -> Column:
-    return F.call_function("shiftrightunsigned", h, F.lit(64 - _BIN_BITS)).cast("int")
+    return F.call_function("shiftright", h, F.lit(64 - _BIN_BITS))
 
 
 def packed_minima(hashes: Column) -> Column:
-    """array of BINS / 16 longs, or null for no hashes."""
-    firsts = let(F.sort_array(hashes), lambda s: F.filter(s, lambda x, i: ~_bin(x).eqNullSafe(_bin(F.get(s, i - 1)))))
+    """array of BINS / 16 longs, or null for no hashes.
 
-    def densified(f):
-        taken = F.transform(f, lambda x: _bin(x))
+    Each bin also gets the largest value it can hold, so the first values of the sorted bins are one for each bin, and an
+    empty bin is one whose first value is that.
+    """
+    fences = F.array(*[F.lit((b << (64 - _BIN_BITS)) | _LOW).cast("long") for b in range(-BINS // 2, BINS // 2)])
+    firsts = let(F.sort_array(F.concat(hashes, fences)), lambda s: F.filter(s, lambda x, i: ~_bin(x).eqNullSafe(_bin(F.get(s, i - 1)))))
+    filled = F.transform(firsts, lambda x: F.when(x.bitwiseAND(_LOW) != _LOW, x))
 
-        def value(bins, b):
-            own = F.array_position(bins, b).cast("int")
-            # the filled bin that comes first in the order of b: the least of hash(b, bin)
-            other = lambda: F.array_min(F.transform(f, lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("o"), x.alias("x"))))["x"]
-            return F.when(own > 0, F.get(f, own - 1)).otherwise(other())
+    def densified(g):
+        def value(x, b):
+            # An empty bin looks at bins drawn by its own hashes until one is filled; then at all filled ones, in the order of a hash.
+            draw = [F.get(g, F.xxhash64(b, F.lit(t)).bitwiseAND(BINS - 1).cast("int")) for t in range(_PROBES)]
+            last = F.array_min(F.transform(F.array_compact(g), lambda y: F.struct(F.xxhash64(b, _bin(y)).alias("o"), y.alias("y"))))["y"]
+            return F.coalesce(x, *draw, last).bitwiseAND((1 << LOW_BITS) - 1)
 
-        return let(taken, lambda bins: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: value(bins, b).bitwiseAND((1 << LOW_BITS) - 1)))
+        return F.transform(g, value)
 
     def pack(v):
         return F.transform(F.sequence(F.lit(0), F.lit(BINS // 16 - 1)), lambda k: F.aggregate(F.slice(v, k * 16 + 1, 16), F.lit(0).cast("long"), lambda acc, x: F.call_function("shiftleft", acc, F.lit(LOW_BITS)).bitwiseOR(x)))
 
-    return let(firsts, lambda f: F.when(F.size(f) > 0, let(densified(f), pack)))
+    return F.when(F.size(hashes) > 0, let(filled, lambda g: let(densified(g), pack)))
 
 
 def fingerprint(text: Column, width: int = 5) -> Column:
-    return let(blank_words(text), lambda w: packed_minima(shingle_hashes(w, width)))
+    return let(blank_words(text), lambda w: let(shingle_hashes(w, width), packed_minima))
 
 
 def fingerprint_hex(packed: Column) -> Column:

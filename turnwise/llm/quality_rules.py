@@ -21,8 +21,10 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
     n = F.size(words)
     bits = F.length(F.bin(n.cast("long")))
 
-    def pack(shift):
-        return F.transform(positions(n - (width - 1)), lambda i: F.call_function("shiftleft", F.xxhash64(*[F.get(words, i + j) for j in range(width)]), shift).bitwiseOR(i.cast("long")))
+    hashes = F.transform(positions(n - (width - 1)), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)]))
+
+    def pack(h, shift):
+        return F.transform(h, lambda x, i: F.call_function("shiftleft", x, shift).bitwiseOR(i.cast("long")))
 
     def union_length(at):
         return F.aggregate(at, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-width).cast("long").alias("last")), lambda s, p: F.struct((s["sum"] + F.least(F.lit(width).cast("long"), p - s["last"])).alias("sum"), p.alias("last")))["sum"]
@@ -33,7 +35,9 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
         low = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
         return let(twice, lambda t: F.when(F.size(t) == 0, F.lit(0).cast("long")).otherwise(union_length(F.sort_array(F.transform(t, lambda x: x.bitwiseAND(low))))))
 
-    return F.when(n < width, F.lit(0).cast("long")).otherwise(let(bits, lambda shift: let(F.sort_array(pack(shift)), lambda packed: count(packed, shift))))
+    return F.when(n < width, F.lit(0).cast("long")).otherwise(
+        let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(F.sort_array(pack(h, bits)), lambda packed: count(packed, bits))))
+    )
 
 
 def base_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
@@ -58,12 +62,12 @@ def base_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50, max
 def document_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """(doc_id, host, doc_hash, line, words): each document's distinct normalised lines with all their words.
 
-    A line is lower-cased, digits become 0, white space collapses; lines without a word are left out.
+    A line is lower-cased and its white space does not count; lines without a word are left out.
     """
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[0-9]", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
-    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_hash"), F.explode(F.array_remove(lines, "")).alias("_line"))
-    return rows.select("doc_id", "host", "doc_hash", F.xxhash64("_line").alias("line"), F.size(F.split("_line", " ")).alias("words"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("doc_hash"), F.explode(F.split(F.lower(text), "\n")).alias("_line"))
+    rows = rows.select("doc_id", "host", "doc_hash", blank_words(F.col("_line")).alias("_words"))
+    return rows.select("doc_id", "host", "doc_hash", F.xxhash64("_words").alias("line"), F.size("_words").alias("words")).filter("words > 0")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = 20, max_removed_percent: int = 50, **rules) -> DataFrame:
@@ -76,7 +80,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     kept = [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_hash"), F.col(text_col).alias("text")]
     base = base_rules(docs.select(*kept), "text", **rules).drop("text")
-    lines = document_lines(docs, id_col, text_col, host_col)
+    lines = cut_lineage(document_lines(docs, id_col, text_col, host_col))
     frequent = cut_lineage(lines.groupBy("host", "line").agg(F.countDistinct("doc_hash").alias("n")).filter(F.col("n") > max_documents).select("host", "line", F.lit(True).alias("removed")))
     removed = lines.join(frequent, ["host", "line"], "left").groupBy("doc_id", "doc_hash").agg(F.sum("words").alias("n_line_words"), F.sum(F.when(F.col("removed"), F.col("words")).otherwise(0)).alias("n_removed_words"))
     removed = removed.filter("n_removed_words > 0")
@@ -94,7 +98,7 @@ rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc
 cov as (select doc_id, count(distinct j) n from (select doc_id, unnest([i, i + 1, i + 2]) j from rep) group by doc_id),
 ln as (select doc_id, unnest(string_split(t, chr(10))) l from d),
 dup as (select doc_id, count(*) - count(distinct l) n from ln where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id),
-nl as (select doc_id, host, t, trim(unnest(string_split(regexp_replace(regexp_replace(lower(t), '[0-9]', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)))) l from d),
+nl as (select doc_id, host, t, trim(unnest(string_split(regexp_replace(lower(t), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)))) l from d),
 fq as (select host, l from nl where l <> '' group by host, l having count(distinct t) > {max_documents}),
 rm as (select nl.doc_id, sum(len(string_split(nl.l, ' '))) lw, sum(case when fq.l is not null then len(string_split(nl.l, ' ')) else 0 end) rw from nl left join fq on nl.host = fq.host and nl.l = fq.l where nl.l <> '' group by nl.doc_id),
 b as (select d.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, coalesce(dup.n, 0)::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words, coalesce(rw, 0)::bigint rw, case when coalesce(rw, 0) > 0 then lw else len(w) end::bigint lw from d left join cov using (doc_id) left join dup using (doc_id) left join rm using (doc_id)),
