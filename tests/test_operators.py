@@ -1,0 +1,359 @@
+"""Operators on tiny frames with values worked out by hand, invariants, and planted truths."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from turnwise.functions import numeric as N
+from turnwise.functions import scorers as H
+from turnwise.functions import text as X
+from turnwise.operators import ranges as R
+from turnwise.operators import sequence as Q
+from turnwise.operators import session as S
+from turnwise.operators import tables as B
+from turnwise.plans import resample as P
+from turnwise.plans import stats as A
+from turnwise.sources import transcripts as IO
+from turnwise.streaming import jobs as J
+
+SRT = """1
+00:00:00,000 --> 00:00:00,400
+[SPEAKER_00]: <u>Hello</u> there
+
+2
+00:00:00,400 --> 00:00:00,900
+[SPEAKER_00]: Hello <u>there</u>
+
+3
+00:00:00,400 --> 00:00:00,900
+[SPEAKER_00]: Hello <u>there</u>
+
+4
+00:00:02.000 --> 00:00:02.020
+no speaker <u>Fine!</u>
+"""
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def turns_of(spark, n=40, sessions=3, seed=0, planted=0.0):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for s in range(sessions):
+        x = 0.0
+        for i in range(n):
+            x = planted * x + rng.normal()
+            rows.append((s, float(i), i, "AB"[i % 2] if rng.random() < 0.9 else "A", float(x)))
+    return frame(spark, rows, "session long, t_start double, event_id long, speaker string, v double")
+
+
+def test_text_functions(spark):
+    d = frame(spark, [("Uh-huh, I'M fine!",), ("“a” – b…é",), (None,)], "x string")
+    got = d.select(X.norm_word("x"), X.norm_text("x"), X.tokens(F.col("x")), X.strip_punct(F.lit("..a!?")), X.clean_quotes("x"), X.number(F.lit("4x")), X.clock_seconds(F.lit("01:02:03,5"))).collect()
+    assert got[0][0] == "uhhuhi'mfine" and got[0][1] == "uhhuh i'm fine" and got[0][2] == ["uh-huh,", "i'm", "fine!"] and got[0][3] == "a"
+    assert got[1][4] == '"a" - b...?' and got[0][5] is None and abs(got[0][6] - 3723.005) < 1e-9 and got[2][2] == []
+
+
+def test_json_repair(spark):
+    rows = [('```json\n[{"i":0,"d":"deep"}]\n```',), ('[{"i":0,"d":"deep"},{"i":1,"d":"su',), ("nothing",), (None,), ('text [{"i":1}] more }',)]
+    got = frame(spark, rows, "r string").select(X.repair_json_array(F.col("r")).alias("x")).collect()
+    assert [g.x for g in got[:4]] == ['[{"i":0,"d":"deep"}]', '[{"i":0,"d":"deep"}]', None, None]
+
+
+def test_subtitles(spark):
+    d = frame(spark, [("f", SRT)], "file string, value string")
+    cues = IO.parse_cues(d, ["file"]).orderBy("cue_idx").collect()
+    assert [(c.start, c.end, c.speaker, c.text) for c in cues][0] == (0.0, 0.4, "SPEAKER_00", "Hello there")
+    assert cues[3].speaker is None and cues[3].text == "no speaker Fine!"
+    words = IO.parse_word_cues(d, ["file"]).orderBy("word_idx").collect()
+    assert [(w.word, w.start, round(w.end, 3)) for w in words] == [("hello", 0.0, 0.4), ("there", 0.4, 2.0), ("fine", 2.0, 2.3)]
+
+
+def test_transcripts_from_files(spark, tmp_path):
+    for name, text in {"piper/dyad12_0301.txt": "Question_1\nSPEAKER_00: I had a Question for you\nnoise\nSPEAKER_01: yes\nQuestion_2\nSPEAKER_00:\n", "cloudy/dyad7_0302.txt": "[SPEAKER_00]: before\nQuestion 3\n[SPEAKER_01]: after"}.items():
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True)
+        p.write_text(text)
+    strict = IO.read_transcripts(spark, str(tmp_path / "piper")).orderBy("turn_idx").collect()
+    assert [(r.speaker, r.question, r.text) for r in strict] == [("SPEAKER_00", 1, "I had a Question for you"), ("SPEAKER_01", 1, "yes"), ("SPEAKER_00", 2, "")]
+    assert (strict[0].dyad_id, strict[0].pair_id, strict[0].condition) == ("dyad12_0301", 12, "piper")
+    assert IO.read_transcripts(spark, str(tmp_path / "piper"), speaker_re=IO.LOOSE, header="loose").count() == 2
+    manual = IO.read_transcripts(spark, str(tmp_path / "cloudy"), speaker_re=IO.MANUAL, header="spaced", drop_empty=True).orderBy("turn_idx").collect()
+    assert [(r.question, r.text) for r in manual] == [(0, "before"), (3, "after")]
+    assert {r.condition for r in IO.discover(spark, str(tmp_path)).collect()} == {"piper", "cloudy"}
+
+
+def test_log_and_tables(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("Dyad ID,Order\n 1 ,a\n,b\n")
+    assert [r["Dyad ID"] for r in IO.read_log(spark, str(tmp_path / "log.csv")).collect()] == ["1"]
+    with pytest.raises(ValueError, match="nope"):
+        B.require_columns(spark.range(1), "nope")
+    IO.write_metadata(spark, {"seed": 42}, str(tmp_path / "meta"))
+    assert "42" in spark.read.text(str(tmp_path / "meta")).first()[0]
+
+
+def test_match_files(spark):
+    t = frame(spark, [("dyad00000001_a",), ("dyad00000002_b",), ("dyad00000003_c",)], "stem string")
+    m = frame(spark, [("dyad00000001_a_16k", "1_16k"), ("dyad00000001_a", "1"), ("dyad00000002_b_long", "2_long")], "stem string, file string")
+    assert {r.stem[-1]: r.media for r in IO.match_files(t, m).collect()} == {"a": "1", "b": "2_long", "c": None}
+
+
+def test_gap_merge(spark):
+    cues = frame(spark, [(1, 0, "A", 0.0, 1.0, "x"), (1, 1, "A", 1.2, 2.0, "longer"), (1, 2, "B", 2.0, 3.0, "b"), (1, 3, "A", 3.0, 3.1, "tiny"), (1, 4, "A", 9.0, 10.0, "late")], "s long, i long, speaker string, start double, end double, text string")
+    got = Q.gap_merge(cues, ["s"], ["i"]).orderBy("turn_idx").collect()
+    assert [(r.speaker, r.t_start, r.t_end, r.text) for r in got] == [("A", 0.0, 2.0, "longer"), ("B", 2.0, 3.0, "b"), ("A", 9.0, 10.0, "late")]
+
+
+def test_gap_merge_equals_the_sequential_rule(spark):
+    rng = np.random.default_rng(1)
+    rows, t = [], 0.0
+    for i in range(300):
+        t += rng.exponential(0.5)
+        rows.append((1, i, "AB"[rng.integers(2)], t, t + rng.exponential(1.0), "x" * rng.integers(1, 5) + str(i)))
+    want = []
+    for _, i, who, start, end, text in rows:
+        if want and want[-1][0] == who and start <= want[-1][2] + 0.3:
+            want[-1] = (who, want[-1][1], max(want[-1][2], end), text if len(text) > len(want[-1][3]) else want[-1][3])
+        else:
+            want.append((who, start, end, text))
+    got = Q.gap_merge(frame(spark, rows, "s long, i long, speaker string, start double, end double, text string"), ["s"], ["i"], 0.3, 0.0).orderBy("turn_idx").collect()
+    assert [(r.speaker, r.t_start, r.t_end, r.text) for r in got] == want
+
+
+def test_all_pairs_distance(spark):
+    rng = np.random.default_rng(2)
+    v, side = rng.normal(size=60).round(1), rng.integers(0, 2, 60)
+    d = frame(spark, [(1, int(s), float(x)) for s, x in zip(side, v)], "k long, side int, v double")
+    want = np.abs(v[side == 0][:, None] - v[side == 1][None]).mean()
+    assert abs(Q.all_pairs_distance(d, ["k"], "side", "v").first().mean_distance - want) < 1e-9
+
+
+def test_entrainment_is_independent_of_partitions_and_finds_planted_synchrony(spark):
+    t = turns_of(spark, 120, 4, planted=0.8)
+    run = lambda d: {r.session: r for r in Q.entrainment(d, ["session"], ["t_start", "event_id"], "speaker", [("v", "v", False)]).collect()}
+    a, b = run(t), run(t.repartition(7).orderBy(F.desc("event_id")))
+    for s in a:
+        assert a[s].va_v_synchrony > 0.4 and a[s].va_v_proximity > 0
+        assert abs(a[s].va_v_proximity - b[s].va_v_proximity) < 1e-9
+    sparse = Q.entrainment(t.filter("event_id < 4"), ["session"], ["t_start", "event_id"], "speaker", [("v", "v", False)]).collect()
+    assert len(sparse) == 4 and all(r.va_v_synchrony is None for r in sparse)
+
+
+def test_zscore_and_ranks(spark):
+    d = frame(spark, [(1, 1.0), (1, 3.0), (2, 5.0), (2, 5.0)], "k long, x double")
+    got = Q.zscore(d, ["x"], ["k"]).collect()
+    assert sorted(r.x for r in got if r.k == 1) == [-1.0, 1.0] and all(r.x is None for r in got if r.k == 2)
+    assert sorted(r.r for r in d.select(Q.average_rank(F.col("x"), [F.lit(0)]).alias("r")).collect()) == [1.0, 2.0, 3.5, 3.5]
+
+
+def test_bh_fdr(spark):
+    p = [0.01, 0.04, 0.03, None, 0.5]
+    got = {r.i: r.p_fdr for r in Q.bh_fdr(frame(spark, list(enumerate(p)), "i long, p double"), "p").collect()}
+    assert got[3] is None and np.allclose([got[i] for i in (0, 1, 2, 4)], [0.04, 0.04 * 4 / 3, 0.04 * 4 / 3, 0.5])
+
+
+def test_backchannels(spark):
+    rows = [(1, 0, "A", "so I went"), (1, 1, "B", "Uh-huh."), (1, 2, "A", "yeah"), (1, 3, "A", "and then"), (2, 0, "A", "yeah")]
+    got = {(r.s, r.i): r.is_backchannel for r in Q.flag_backchannels(frame(spark, rows, "s long, i long, speaker string, text string"), ["s"], ["i"], ["uhhuh", "yeah"]).collect()}
+    assert got == {(1, 0): False, (1, 1): True, (1, 2): False, (1, 3): False, (2, 0): False}
+
+
+def test_p_values_match_the_jvm(spark):
+    d = frame(spark, [(2.1, 5.0), (-0.3, 40.0), (0.0, 3.0), (30.0, 8.0), (None, 3.0)], "t double, df double")
+    math3 = spark._jvm.org.apache.commons.math3.distribution
+    for r in d.withColumn("p", N.t_p_value(F.col("t"), F.col("df"))).collect():
+        if r.t is None:
+            assert r.p is None
+            continue
+        want = 2 * (1 - math3.TDistribution(None, r.df).cumulativeProbability(abs(r.t)))
+        assert abs(r.p - want) < 1e-9
+    f = frame(spark, [(3.2, 2.0, 20.0), (0.5, 3.0, 9.0)], "f double, a double, b double").withColumn("p", N.f_p_value(F.col("f"), F.col("a"), F.col("b")))
+    for r in f.collect():
+        assert abs(r.p - (1 - math3.FDistribution(None, r.a, r.b).cumulativeProbability(r.f))) < 1e-9
+
+
+def data(spark, n=60, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = 1 + x @ [2.0, -1.0, 0.0] + rng.normal(size=n) * 0.5
+    rows = [(i, *map(float, r), float(v), int(i % 2)) for i, (r, v) in enumerate(zip(x, y))]
+    return frame(spark, rows, "id long, a double, b double, c double, y double, g int"), x, y
+
+
+def test_ols_and_loo(spark):
+    d, x, y = data(spark)
+    coef, fit = A.ols(d, "y", ["a", "b", "c"])
+    X1 = np.column_stack([x, np.ones(len(y))])
+    beta = np.linalg.lstsq(X1, y, rcond=None)[0]
+    got = {r.term: r for r in coef.collect()}
+    assert np.allclose([got[k].estimate for k in ("a", "b", "c", "const")], beta)
+    s2 = ((y - X1 @ beta) ** 2).sum() / (len(y) - 4)
+    assert np.allclose([got[k].se for k in ("a", "b", "c", "const")], np.sqrt(np.diag(np.linalg.inv(X1.T @ X1)) * s2))
+    assert got["a"].p < 1e-6 < got["c"].p and got["a"].lower < 2 < got["a"].upper
+    assert abs(fit.first().r2 - (1 - ((y - X1 @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum())) < 1e-9
+    rows, metrics = A.loo(d, "y", ["a", "b", "c"], "id")
+    for r in rows.collect():
+        keep = np.arange(len(y)) != r.id
+        assert abs(r.predicted - X1[r.id] @ np.linalg.lstsq(X1[keep], y[keep], rcond=None)[0]) < 1e-8
+    assert metrics.first().r2_loo < fit.first().r2
+
+
+def test_hierarchical_vif_commonality(spark):
+    d, *_ = data(spark)
+    h = A.hierarchical(d, "y", ["a"], ["b"]).first()
+    assert h.delta_r2 > 0.1 and h.p < 1e-6 and abs(h.r2_full - h.r2_base - h.delta_r2) < 1e-12
+    c = A.commonality(d, "y", ["a"], ["b"]).first()
+    assert abs(c.unique_first + c.unique_second + c.shared - c.total) < 1e-9
+    v = {r.feature: r.vif for r in A.vif(d.withColumn("a2", F.col("a") * 2), ["a", "a2"]).collect()}
+    assert v["a"] == float("inf")
+
+
+def test_pca_and_sign(spark):
+    d, x, _ = data(spark)
+    out, info = A.pca_composite(d, ["a", "b", "c"])
+    load = np.array(list(info["loadings"].values()))
+    assert load[np.argmax(np.abs(load))] > 0 and abs(np.linalg.norm(load) - 1) < 1e-9
+    z = (x - x.mean(0)) / x.std(0)
+    assert np.allclose([r.composite for r in out.orderBy("id").collect()], z @ load)
+
+
+def test_screens_and_selection(spark):
+    d, *_ = data(spark)
+    s = A.screen(d, "y", ["a", "b", "c"])
+    chosen = A.select_features(d.withColumn("a2", F.col("a") + F.col("c") * 0.01), A.screen(d.withColumn("a2", F.col("a") + F.col("c") * 0.01), "y", ["a", "a2", "b"]))
+    assert {r.feature for r in s.filter("p < 0.05").collect()} >= {"a"} and len({"a", "a2"} & set(chosen)) == 1
+    pred, freq = A.nested_loo(d, "y", ["a", "b", "c"], "id")
+    assert pred.count() == 60 and {r.feature: r.n_folds for r in freq.collect()}["a"] == 60
+
+
+def test_permutations_and_bootstrap(spark):
+    d, *_ = data(spark)
+    shifted = d.withColumn("y", F.col("y") + F.col("g") * 5)
+    a, b = (P.perm_group(x, "y", "g", "id", n=200).first() for x in (shifted, shifted.repartition(8)))
+    assert a == b and a.p < 0.02
+    assert P.perm_dr2(d, "y", "b", ["a"], "id", n=200).first().p < 0.02
+    assert P.perm_dr2(d, "y", "c", ["a", "b"], "id", n=200).first().p > 0.02
+    q = {r.term: r for r in P.bootstrap_ols(d, "y", ["a", "c"], "id", n=300).collect()}
+    assert not q["a"].crosses_zero and q["a"].lower < q["a"].median < q["a"].upper and q["c"].n_resamples == 300
+
+
+def test_perm_dr2_equals_refits(spark):
+    d, x, y = data(spark, 30)
+    rows = P.permuted_labels(d.select("id", F.col("b").alias("x")), "id", "x", 3, 42).collect()
+    r2 = lambda m: 1 - ((y[:30] - m @ np.linalg.lstsq(m, y[:30], rcond=None)[0]) ** 2).sum() / ((y[:30] - y[:30].mean()) ** 2).sum()
+    one = np.ones(30)
+    gains = []
+    for b in range(3):
+        s = np.array([v for _, v in sorted((r.id, r._shuffled) for r in rows if r.b == b)])
+        gains.append(r2(np.column_stack([one, x[:30, 0], s])) - r2(np.column_stack([one, x[:30, 0]])))
+    seen = r2(np.column_stack([one, x[:30, 0], x[:30, 1]])) - r2(np.column_stack([one, x[:30, 0]]))
+    got = P.perm_dr2(d, "y", "b", ["a"], "id", n=3).first()
+    assert abs(got.delta_r2 - seen) < 1e-9 and abs(got.p - (sum(g >= seen - 1e-12 for g in gains) + 1) / 4) < 1e-12
+
+
+def test_surrogates(spark):
+    t = turns_of(spark, 80, 6, planted=0.9)
+    got = P.surrogate_test(t, ["session"], ["t_start", "event_id"], "speaker", "v", n_surrogates=300, batch=30).first()
+    assert got.real_mean > 0.5 > abs(got.pseudo_mean) and got.p < 0.2
+
+
+def test_ranges_equal_theta_joins(spark):
+    rng = np.random.default_rng(7)
+    iv = [(int(k), float(s), float(s + w)) for k, s, w in zip(rng.integers(0, 3, 60), rng.random(60) * 50, rng.exponential(4, 60))]
+    pt = [(int(k), int(i), float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 80), rng.random(80) * 50))]
+    a, p = frame(spark, iv, "k long, s double, e double"), frame(spark, pt, "k long, i long, t double")
+    assert R.point_in_interval(p, a, ["k"], "t", ("s", "e"), 3.0).count() == sum(k == j and s <= t < e for k, s, e in iv for j, _, t in pt)
+    b = a.withColumnsRenamed({"s": "s2", "e": "e2"})
+    assert R.overlap_join(a, b, ["k"], ("s", "e"), ("s2", "e2"), 2.5).count() == sum(x[0] == y[0] and x[2] > y[1] and x[1] < y[2] for x in iv for y in iv)
+
+
+def test_pitch_of_a_sine(spark):
+    rate = 8000.0
+    sine = [float(np.sin(2 * np.pi * 220 * i / rate)) for i in range(400)]
+    got = R.f0_frames(frame(spark, [(1, sine), (2, [0.0] * 400), (3, [])], "i long, y array<double>"), "y", rate).orderBy("i").collect()
+    assert abs(got[0].f0 - 220) < 6 and got[1].f0 is None and got[2].f0 is None
+
+
+def test_syllables(spark):
+    level = [-40.0] * 5 + [-10.0, -5.0, -10.0, -20.0, -10.0, -4.0, -10.0] + [-40.0] * 5
+    frames = frame(spark, [(1, i * 0.1, v, 120.0) for i, v in enumerate(level)], "s long, t double, rms_db double, f0 double")
+    turns = frame(spark, [(1, 0, 0.0, 2.0)], "s long, turn_idx int, t_start double, t_end double")
+    got = R.syllable_rate(frames, turns, ["s"], "turn_idx").first()
+    assert got.n_syllables == 2 and got.rate_sylps == 1.0
+
+
+def test_alignment(spark):
+    manual = frame(spark, [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "x"), (1, 2, 0, "c")], "s long, turn_idx long, pos long, word string")
+    timed = frame(spark, [(1, 0, "a", 0.0, 0.5), (1, 1, "b", 0.5, 1.0), (1, 2, "q", 1.0, 1.2), (1, 3, "c", 1.2, 2.0)], "s long, word_idx long, word string, start double, end double")
+    spans = S.turn_spans(R.align_words(manual, timed, ["s"]), ["s"], "turn_idx").orderBy("turn_idx").collect()
+    assert [(r.t_start, r.t_end, r.coverage) for r in spans] == [(0.0, 1.0, 1.0), (1.0, 1.0, 0.0), (1.2, 2.0, 1.0)]
+
+
+def test_enrolment(spark):
+    rng = np.random.default_rng(5)
+    centre = {"A": [1.0, 0.0], "B": [0.0, 1.0]}
+    rows = [(s, i, sp, 1 if i < 8 else 2, 2.0, (np.array(centre[sp]) + rng.normal(0, 0.05, 2)).tolist()) for s in (1, 2) for i, sp in enumerate("AB" * 10)]
+    rows += [(3, i, "A", 1, 2.0, [1.0, 0.0]) for i in range(5)]
+    d = frame(spark, rows, "s long, i long, speaker string, question int, dur double, v array<double>")
+    scored, skipped = R.enroll_assign(d, ["s"], "i", "speaker", "v", F.col("question") == 1)
+    overall = R.agreement(scored, "s").filter("s is null").first()
+    assert overall.n_turns == 24 and overall.agreement == 1.0
+    assert [(r.s, r.reason) for r in skipped.collect()] == [(3, "not two speakers")]
+
+
+def test_scales(spark):
+    d = frame(spark, [("0", "3", "9"), ("1", "x", "2"), (None, None, "1")], "a string, b string, c string")
+    items = [F.col(c) for c in "abc"]
+    got = [r[0] for r in d.select(S.scale_score(items, [2], 0, 3, missing=9, min_present=2)).collect()]
+    assert got == [0.0, 3.0, None]
+
+
+def test_conditional_columns(spark):
+    d = frame(spark, [(1, 1.0, None, float("nan")), (2, 1.0, 2.0, 3.0)], "k long, fixed double, half double, bad double")
+    assert "fixed" not in B.drop_constant_columns(d, ["fixed", "half"]).columns
+    assert B.drop_missing_columns(N.finite_columns(d), ["half", "bad"], 40.0).columns == ["k", "fixed"]
+    assert d.agg(N.safe_corr(F.col("fixed"), F.col("k"))).first()[0] is None
+
+
+def test_hooks_survive_failures(spark):
+    def broken(rows):
+        if "bad" in rows:
+            raise ValueError("bad batch")
+        return [1.0] * len(rows)
+
+    d = frame(spark, [("a",), ("bad",), ("b",)], "text string").coalesce(1)
+    assert [r.sentiment for r in H.score_text(d, broken, batch=1).collect()] == [1.0, None, 1.0]
+
+
+def test_streaming_ingest_reads_each_file_once(spark, tmp_path):
+    src = tmp_path / "in" / "piper"
+    src.mkdir(parents=True)
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for k in (1, 2):
+        (src / f"dyad{k}_1.txt").write_text(f"SPEAKER_00: hi {k}")
+        J.run_once(J.ingest_transcripts(spark, str(tmp_path / "in")), out, check).awaitTermination(60)
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.pair_id, r.condition) for r in rows) == [(1, "piper"), (2, "piper")]
+
+
+def test_streaming_switch_state(spark, tmp_path):
+    t = turns_of(spark, 30, 2)
+    t.repartition(1).sortWithinPartitions("t_start").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
+    q = J.switch_state(stream, "session", "t_start", "speaker", "v").writeStream.format("memory").queryName("switches").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    want = Q.switch_pairs(t, ["session"], ["t_start", "event_id"], "speaker", ["v"]).groupBy("session").count().collect()
+    got = {r.session: r for r in spark.table("switches").collect()}
+    assert {str(r.session): r["count"] for r in want} == {k: r.n_switch for k, r in got.items()} and all(r.n_turns == 30 for r in got.values())
+
+
+def test_streaming_session_merge(spark, tmp_path):
+    spark.createDataFrame([(1, "A", 0), (1, "A", 5), (1, "A", 100), (1, "B", 3)], "s long, speaker string, x long").select("s", "speaker", F.timestamp_seconds("x").alias("ts")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("s long, speaker string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = J.session_merge(stream, ["s"], "ts", "10 seconds").writeStream.format("memory").queryName("bursts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.speaker, r.n_cues) for r in spark.table("bursts").collect()) == [("A", 1), ("A", 2), ("B", 1)]
