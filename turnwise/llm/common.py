@@ -63,15 +63,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class BoundedCache(dict):
-    """word -> make(word), emptied at limit entries: memory stays bounded for any vocabulary."""
+    """word -> make(word), emptied at limit entries, for words of up to 64 characters or bytes: memory stays bounded for any vocabulary."""
 
     def __init__(self, make: Callable, limit: int = 250_000):
         self.make, self.limit = make, limit
 
     def __missing__(self, word):
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = self.make(word)
+        value = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
 

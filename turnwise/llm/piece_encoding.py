@@ -5,7 +5,8 @@ each normalised byte the original byte it comes from. White space becomes U+2581
 Pieces are merged best score first, and each piece is projected through the record to a span of original bytes.
 
 In a vocabulary where U+2581 stands only at the start of pieces (or in runs of it), no merge crosses the start of a
-word, so words are encoded once each and kept in a bounded cache; else a text is one run.
+word, so a batch's different words are encoded once each and kept in a bounded cache; else a text is one run. Words are
+merged by the library where its normaliser leaves them as they are, and else by merge() here.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, map_texts
+from .common import map_texts
 
 SPACE = "▁"
 
@@ -78,9 +79,12 @@ class CharacterMap:
 class PieceModel:
     """A BPE piece model read from its file: scores, byte fallback, normaliser options."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cache_limit: int = 500_000):
+        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
+        self.library, self.cache_limit = sentencepiece.SentencePieceProcessor(model_proto=model), cache_limit
+
         proto = pb.ModelProto()
         proto.ParseFromString(model)
         if proto.trainer_spec.model_type != 2 or proto.normalizer_spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix or not proto.normalizer_spec.escape_whitespaces or any(p.type in (4, 5) for p in proto.pieces):
@@ -93,7 +97,11 @@ class PieceModel:
         self.map = CharacterMap(proto.normalizer_spec.precompiled_charsmap)
         whole = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.runs = None if whole else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.cache = BoundedCache(self._cached)
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0  # characters of long runs in the cache
+        # Normalised characters by id; for bytes, those that a character's first byte starts.
+        self.length = np.array([len(p.piece) for p in proto.pieces], "<u4")
+        self.is_byte = np.array([p.type == 6 for p in proto.pieces])
 
     def merge(self, run: str) -> list[str]:
         """Best-scored neighbours first, the left one of equals, as long as a merged piece is in the vocabulary."""
@@ -119,8 +127,8 @@ class PieceModel:
             offer(i, right[i])
         return [p for p in part if p is not None]
 
-    def _cached(self, run: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian u32, normalised characters of each piece as u32). All bytes of a character but the last have an empty span."""
+    def _own(self, run: str) -> tuple[list[int], list[int]]:
+        """(ids, normalised characters of each). All bytes of a character but the last have an empty span."""
         ids: list[int] = []
         chars: list[int] = []
         for piece in self.merge(run):
@@ -134,29 +142,58 @@ class PieceModel:
             else:
                 ids.append(self.unknown)
                 chars.append(len(piece))
-        return np.array(ids, "<u4").tobytes(), np.array(chars, "<u4").tobytes()
+        return ids, chars
+
+    def _learn(self, runs: set[str]) -> None:
+        """Puts the runs that aren't in the cache there."""
+        new = [r for r in runs if r not in self.cache]
+        self.held += sum(len(r) for r in new if len(r) > 64)
+        plain = not self.map.units and self.dummy and self.bytes and self.runs
+        # The library puts the dummy prefix in front itself. It is given whole runs, so its merges are those of the text.
+        theirs = [r for r in new if plain and r[0] == SPACE]
+        if theirs:
+            for run, ids in zip(theirs, self.library.encode([r[1:].replace(SPACE, " ") if len(r) > 1 else "" for r in theirs], num_threads=1)):
+                got = np.array(ids, "<u4")
+                if len(run) == 1 or self.is_byte[got].any():
+                    continue
+                self.cache[run] = got.tobytes(), self.length[got].tobytes()
+        for run in new:
+            if run not in self.cache:
+                ids, chars = self._own(run)
+                self.cache[run] = np.array(ids, "<u4").tobytes(), np.array(chars, "<u4").tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """encode() of each text; the batch's new runs are encoded together. The cache holds cache_limit runs and those of one batch at most."""
+        shown = [self._shown(t) for t in texts]
+        self._learn({r for runs, _ in shown for r in runs})
+        out = [self._assemble(t, *s) for t, s in zip(texts, shown)]
+        if len(self.cache) > self.cache_limit or self.held > 1 << 22:
+            self.cache.clear()
+            self.held = 0
+        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends): pieces and their spans of the original text's UTF-8 bytes."""
+        return self.encode_batch([text])[0]
+
+    def _shown(self, text: str) -> tuple[list[str], np.ndarray | None]:
+        """The runs of the normalised text with visible blanks, and the record of their origin (None: nothing was changed)."""
         if not text:
-            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.map.units:
-            normal, source = self.map.normalise(text)
-        else:
-            normal, source = text, None
-        shown = normal.replace(" ", SPACE)
-        prefix = 1 if self.dummy and normal else 0
-        runs = (SPACE * prefix) + shown
-        got = [self.cache[r] for r in (self.runs.findall(runs) if self.runs else [runs])]
-        ids = np.frombuffer(b"".join(g[0] for g in got), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join(g[1] for g in got), "<u4"), dtype=np.int64)
-        at = np.maximum(np.concatenate(([0], ends)) - prefix, 0)
-        if source is None:
-            if text.isascii():
-                return ids, at[:-1], at[1:]
-            points = np.frombuffer(normal.encode("utf-32-le"), np.uint32)
+            return [], None
+        normal, source = self.map.normalise(text) if self.map.units else (text, None)
+        shown = (SPACE if self.dummy and normal else "") + normal.replace(" ", SPACE)
+        return self.runs.findall(shown) if self.runs else [shown], source
+
+    def _assemble(self, text: str, runs: list[str], source: np.ndarray | None):
+        got = [self.cache[r] for r in runs]
+        ids = np.frombuffer(b"".join([g[0] for g in got]), "<u4")
+        ends = np.cumsum(np.frombuffer(b"".join([g[1] for g in got]), "<u4"), dtype=np.int64)
+        at = np.maximum(np.concatenate(([0], ends)) - (1 if self.dummy and runs else 0), 0)
+        if source is None and not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             source = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))
-        at = source[at]
+        if source is not None and len(ids):
+            at = source[at]
         return ids, at[:-1], at[1:]
 
 
@@ -181,7 +218,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", keep
 
     def score(texts):
         model = piece_model(model_path)
-        got = [model.encode(t or "") for t in texts]
+        got = model.encode_batch([t or "" for t in texts])
         return {k: [g[i].astype(np.int64) for g in got] for i, k in enumerate(("ids", "begins", "ends"))}
 
     array = T.ArrayType(T.LongType())
@@ -208,14 +245,13 @@ def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     """
 
     def score(texts):
-        model, library = piece_model(model_path), library_model(model_path)
+        model = piece_model(model_path)
         out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "covered_bytes": []}
-        for text in texts:
-            ids, begins, ends = model.encode(text or "")
+        for ids, begins, ends in model.encode_batch([t or "" for t in texts]):
             ids = np.concatenate(([model.begin], ids, [model.end])).astype("<u4")
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(library.decode(ids.tolist()).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(model.library.decode(ids.tolist()).encode()).hexdigest())
             out["covered_bytes"].append(int((ends - begins).sum()))
         return out
 
