@@ -37,11 +37,22 @@ def word_ids(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model
+    # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
 
     def encode(word: str) -> bytes:
         return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    cores = BoundedCache(encode, 200_000)
+    def encode_core(core: str) -> bytes:
+        # Lower-case Latin letters are what the normaliser and the splitter leave as they are: the merges do the rest.
+        if max(core) >= "\u0250" or not core.isalpha() or not core.islower():
+            return encode(core)
+        symbols = core if core.isascii() else core.encode().decode("latin-1").translate(shown)
+        return np.array([t.id for t in model.tokenize(symbols)], "<u4").tobytes()
+
+    cores = BoundedCache(encode_core, 500_000)
 
     def core(word: str) -> bytes:
         # Lower-casing is the tokenizer's own, letter by letter; these two differ in context or length.
@@ -53,7 +64,7 @@ def word_ids(path: str):
             return core(text[:-1]) + cores[text[-1]]
         return core(text) if text.isalpha() else encode(text)
 
-    return BoundedCache(split, 200_000)
+    return BoundedCache(split, 800_000)
 
 
 def token_bytes(text: str | None, words: BoundedCache, end_id: int) -> bytes:
