@@ -145,8 +145,8 @@ def fit_language(docs: DataFrame, rows_per_language: int = 1500, buckets: int =
 
     Counts by gram and language are added up in Spark; 2^buckets grams x languages come to the driver. No rows: no languages, every text is 'und'.
     """
-    known = docs.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.filter("lang is not null")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((1 << buckets, 0)), np.zeros((len(_NAMES), 0), bool), buckets, penalty)

@@ -92,7 +92,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_fe
     chosen = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("double").alias("label"), F.xxhash64("doc_id", F.lit(seed)).alias("_h")).orderBy("_h", "label").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fit", F.col("_h").bitwiseAND(1) == 0).select("text", "label", "fit")
     stats = map_texts(rows, lambda texts: {"x": [document_statistics(t) for t in texts]}, [T.StructField("x", T.ArrayType(T.DoubleType()))], keep=["label", "fit"])
-    stats = cut_lineage(stats.coalesce(16))
+    stats = cut_lineage(stats)
     moments = stats.agg(*[F.avg(F.col("x")[i]) for i in range(k)], *[F.stddev_pop(F.col("x")[i]) for i in range(k)], F.count("*"), F.avg("label"), F.count_if("fit")).first()
     n, rate, n_fit = moments[-3:]
     if not n or rate in (0.0, 1.0) or n_fit in (0, n):
@@ -108,7 +108,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_fe
             total += f.T @ np.hstack([f, batch.column("label").to_numpy(zero_copy_only=False)[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = stats.filter("fit").mapInArrow(sums, "sums binary").toArrow().column("sums").to_pylist()  # 16 tasks at most
+    parts = stats.filter("fit").coalesce(16).mapInArrow(sums, "sums binary").toArrow().column("sums").to_pylist()  # 16 tasks at most
     total = np.sum([np.frombuffer(p).reshape(n_features + 1, n_features + 2) for p in parts], axis=0)
     penalty = ridge * n_fit / n_features * np.eye(n_features + 1)
     penalty[-1, -1] = 0
