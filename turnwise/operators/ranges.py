@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def f0_frames(frames: DataFrame, samples: str, rate: float, low: float = 75.0, h
     schema = T.StructType([*[f for f in frames.schema if f.name != samples], T.StructField("f0", T.DoubleType())])
 
     def pitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for d in batches:
             out = []
             for y in d[samples]:
@@ -196,15 +195,13 @@ def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], max_words:
         if not len(w):
             return m.assign(start=None, end=None).astype({"start": "float64", "end": "float64"})[[f.name for f in schema]]
         m, w = m.sort_values(["turn_idx", "pos"]).reset_index(drop=True), w.sort_values("word_idx").reset_index(drop=True)
-        m["start"], m["end"] = None, None
-        m = m.astype({"start": "float64", "end": "float64"})
+        got, times = np.full((len(m), 2), np.nan), w[["start", "end"]].to_numpy(float)
         parts = max(1, -(-max(len(m), len(w)) // max_words))
         for p in range(parts):
             a0, a1, b0, b1 = (len(x) * k // parts for x, k in ((m, p), (m, p + 1), (w, p), (w, p + 1)))
             for block in SequenceMatcher(None, m["word"][a0:a1].tolist(), w["word"][b0:b1].tolist(), autojunk=False).get_matching_blocks():
-                for i in range(block.size):
-                    m.loc[a0 + block.a + i, ["start", "end"]] = w.loc[b0 + block.b + i, ["start", "end"]].to_numpy(float)
-        return m[[f.name for f in schema]]
+                got[a0 + block.a : a0 + block.a + block.size] = times[b0 + block.b : b0 + block.b + block.size]
+        return m.assign(start=got[:, 0], end=got[:, 1]).astype(object).where(lambda x: x.notna(), None)[[f.name for f in schema]]
 
     return manual.groupBy(*keys).cogroup(timed.groupBy(*[f"_w_{k}" for k in keys])).applyInPandas(align, schema)
 

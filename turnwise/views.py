@@ -77,7 +77,7 @@ class Tables:
         o, i = self.table("orders"), self.table("lineitem")
         d = i.join(o.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
         return d.groupBy(F.col("o_custkey").alias("pair_id"), F.col("o_orderstatus").alias("condition")).agg(
-            F.avg("l_extendedprice").alias("va_price"), F.avg("l_quantity").alias("va_qty"), F.avg("l_discount").alias("disc_mean"), F.max("l_tax").alias("tax_asym"), F.count("*").cast("double").alias("n_items")
+            (F.avg("l_extendedprice") / 7.0).alias("va_price"), F.avg("l_quantity").alias("va_qty"), (F.avg("l_discount") / 7.0).alias("disc_mean"), F.max("l_tax").alias("tax_asym"), F.count("*").cast("double").alias("n_items")
         )
 
     def outcomes(self) -> DataFrame:
@@ -111,7 +111,7 @@ SQL_VIEWS = {
     "v_floor": "select user_id as session, event_id, epoch(ts)::double t_start, case when json_extract(props, '$.k')::bigint % 2 = 0 then 'A' else 'B' end speaker, event_type as text, value f0, ln(1 + value) lev, json_extract(props, '$.k')::double rate from events",
     "v_voice": "select vec_id, (label // 2)::bigint as session, label::bigint speaker, case when vec_id % 5 = 0 then 1 else 2 end question, 1.0 + vec_id % 3 dur, embedding vec from embeddings",
     "v_annot": "select *, ['deep', 'moderate', 'surface'][length(text) % 3 + 1] depth, ['agree', 'neutral'][length(text) % 2 + 1] stance, ['yes', 'partial', 'no'][(length(text) + turn_idx) % 3 + 1] on_topic, length(text) % 5 = 0 is_question, ['personal', 'none', 'none', 'factual'][length(text) % 4 + 1] self_disclosure, ['true', 'false'][(length(text) + turn_idx) % 2 + 1] responsive, ['hedge', 'hedge', 'certain', 'neutral', 'neutral', 'neutral', 'neutral'][length(text) % 7 + 1] epistemic, (length(text) % 3 - 1)::double sentiment from v_turns",
-    "v_sess": "select o_custkey pair_id, o_orderstatus as condition, avg(l_extendedprice) va_price, avg(l_quantity) va_qty, avg(l_discount) disc_mean, max(l_tax) tax_asym, count(*)::double n_items from lineitem join orders on l_orderkey = o_orderkey group by 1, 2",
+    "v_sess": "select o_custkey pair_id, o_orderstatus as condition, avg(l_extendedprice) / 7.0 va_price, avg(l_quantity) va_qty, avg(l_discount) / 7.0 disc_mean, max(l_tax) tax_asym, count(*)::double n_items from lineitem join orders on l_orderkey = o_orderkey group by 1, 2",
     "v_out": "select c_custkey pair_id, c_acctbal acct, (c_mktsegment in ('BUILDING', 'FURNITURE'))::int grp, (c_nationkey % 2)::double ord, avg_total, max_total from customer join (select o_custkey, avg(o_totalprice) avg_total, max(o_totalprice) max_total from orders group by 1) on o_custkey = c_custkey",
     "v_coll": "select pair_id, avg(va_price) va_price, avg(va_qty) va_qty, avg(disc_mean) disc_mean, avg(tax_asym) tax_asym, avg(n_items) n_items from v_sess group by 1",
     "v_ent": "select v_out.*, va_price, va_qty, disc_mean, tax_asym, n_items from v_out join v_coll using (pair_id)",
