@@ -75,7 +75,7 @@ def test_quality_rules_counts(odd):
 
 
 def test_quality_rules_removes_shared_lines(spark, empty):
-    shared = "this very line stands in far too many documents of the host to be of any use " * 3
+    shared = " ".join(f"shared{j}" for j in range(51)) + " "
     own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
     rows = [(i, f"{shared}\n{own(i, 20)}", "en", "h", 0) for i in range(30)] + [(100 + i, f"{shared}\n{own(i, 200)}", "en", "h", 0) for i in range(5)] + [(200 + i, f"{shared}\n{own(i, 20)}", "en", "other", 0) for i in range(5)]
     # copies of one text are one document
