@@ -9,8 +9,8 @@ meet as pairs. Classes meet in tiles. A tile is a size band and either
   which two linked sets share one at least (lower thresholds). The order comes from a count sketch over all rows; any
   order is exact, a good one keeps common passages out of the prefixes.
 
-Tile mates are first linked in stars around two mates of each tile, then all mates of different components are
-compared. A pair whose components are already joined needs no look, since the result is components. A pair is first
+Tile mates are first linked in stars around two mates of each tile, then around its hub. Mates of different components are
+then found by the edits that they share against their hub. A pair whose components are already joined needs no look, since the result is components. A pair is first
 bounded by bit counts: bits that only one bitmap has are shingles that only that set has. What passes is
 intersected exactly.
 """
@@ -180,16 +180,17 @@ def _sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray
 
 
 def _bits_pass(pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b, x: {n, bits}, y) whose overlap can reach the threshold, with that bound."""
+    """Pairs (a, b) with the bound on their overlap, whether it can reach the threshold, and the least they differ in."""
 
     def run(batches):
         for batch in batches:
             t = batch.to_pydict()
             bound = [overlap_bound(x, n, y, m) for x, n, y, m in zip(t["bits_a"], t["n_a"], t["bits_b"], t["n_b"])]
             keep = pa.array([(p + q) * s >= p * (n + m) for s, n, m in zip(bound, t["n_a"], t["n_b"])], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bound, pa.int64())], names=["a", "b", "bound"]).filter(keep)
+            apart = pa.array([n + m - 2 * s for s, n, m in zip(bound, t["n_a"], t["n_b"])], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bound, pa.int64()), keep, apart], names=["a", "b", "bound", "likely", "apart"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, bound long")
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, bound long, likely boolean, apart long")
 
 
 def _exact_pass(pairs: DataFrame, p: int, q: int) -> DataFrame:
@@ -209,12 +210,32 @@ def _exact_pass(pairs: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _differences(pairs: DataFrame) -> DataFrame:
+    """(a, b, n_b, edits) of pairs (a, b, set_a, set_b): the shingles that only one of the two sets has."""
+
+    def run(batches):
+        for batch in batches:
+            t = batch.to_pydict()
+            edits = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True) for x, y in zip(t["set_a"], t["set_b"])]
+            sizes = pa.array([len(y) // 8 for y in t["set_b"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), sizes, pa.array(edits, pa.list_(pa.int64()))], names=["a", "b", "n_b", "edits"])
+
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, n_b long, edits array<long>")
+
+
 def _with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
 
 
+def _labelled(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """pairs with the components c_a and c_b of both sides; a class without links is its own."""
+    for side in ("a", "b"):
+        pairs = pairs.join(components.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    return pairs
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (9, 10), sketch_bits: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: component_id is the smallest id that links reach, or its own.
 
@@ -273,29 +294,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     made = [T.StructField("own", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("set", T.BinaryType())]
     nodes = cut_lineage(map_texts(rows.join(chosen, "doc_id"), unfold, made, keep=["cls"]).filter("own = cls").drop("own").dropDuplicates(["cls"]))
 
-    likely = cut_lineage(_bits_pass(_with_both(pairs, nodes, "n", "bits"), p, q))
+    bounded = cut_lineage(_bits_pass(_with_both(pairs, nodes, "n", "bits"), p, q))
+    likely = bounded.filter("likely").select("a", "b", "bound")
     # Two best-bound pairs of each class make nearly all links; the rest follows below.
     best = likely.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("bound"), "a"))).filter("k <= 2")
     looked = cut_lineage(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut_lineage(_exact_pass(_with_both(looked, nodes, "set"), p, q))
+    components = connected_components(links)
 
-    # Every pair of tile mates, or of the likely pairs, that is in different components yet and passes the bound.
+    # Each tile's hub, the mate nearest to those looked at so far: all others are compared with it.
+    near = bounded.select(F.explode(F.array("a", "b")).alias("cls"), "apart").groupBy("cls").agg(F.avg("apart").alias("apart"))
+    hubs = mates.join(near, "cls").groupBy("tile", "band").agg(F.min_by("cls", F.struct("apart", "cls")).alias("hub"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("tile", "band", "hub")
+    grouped = cut_lineage(mates.join(hubs, ["tile", "band"]))
+    spokes = _labelled(grouped.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), components).filter("c_a <> c_b").select("a", "b")
+    spokes = _bits_pass(_with_both(spokes, nodes, "n", "bits"), p, q).filter("likely").select("a", "b")
+    links = cut_lineage(links.union(_exact_pass(_with_both(spokes, nodes, "set"), p, q)))
     components = connected_components(links)
-    labelled = mates.join(components.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    split = labelled.groupBy("tile", "band", "component").agg(F.count("*").alias("k"))
-    largest = split.groupBy("tile", "band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    open_mates = cut_lineage(labelled.join(largest, ["tile", "band"]))
-    few = open_mates.filter("component <> main").select("tile", "band", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    many = open_mates.select("tile", "band", F.col("cls").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-    crossed = few.join(many, ["tile", "band"]).filter((F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") * q >= F.greatest("n_x", "n_y") * p))
-    crossed = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(_bits_pass(_with_both(crossed, nodes, "n", "bits"), p, q).select("a", "b")).distinct().join(looked, ["a", "b"], "left_anti")
+
+    # What is left: mates x and y of different components. One of them, x, is no link of their hub, so it differs from it in more
+    # than links may. Both differ from the hub by their edits, and from each other by edits that only one of them has; that can be few enough only
+    # if they share an edit. So all pairs left meet in a join on (hub, edit).
+    parted = _labelled(grouped.select("tile", "band", F.col("hub").alias("a"), F.col("cls").alias("b")), components)
+    torn = parted.filter("c_a <> c_b").select("tile", "band").distinct()
+    torn = cut_lineage(parted.join(torn, ["tile", "band"], "left_semi").select("a", "b", "c_a", "c_b").distinct())
+    changed = cut_lineage(_differences(_with_both(torn.filter("a <> b").select("a", "b"), nodes, "set")).join(torn, ["a", "b"]))
+    edits = changed.select("a", "b", "c_a", "c_b", "n_b", F.size("edits").alias("k"), F.explode("edits").alias("edit"))
+    # Rare edits first: sets that differ in d elements at most share one of their first d + 1. An edit of one mate alone only takes a place.
+    counted = edits.join(edits.groupBy("a", "edit").agg(F.count("*").alias("f")), ["a", "edit"])
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "edit"))
+    first = counted.withColumn("place", place).filter((F.col("place") <= F.floor(F.col("n_b") * (q - p) / p) + 1) & (F.col("f") > 1))
+    first = cut_lineage(first.select(F.col("a").alias("hub"), "edit", "b", "c_a", "c_b", "n_b", "k"))
+    x = first.filter("c_a <> c_b").select("hub", "edit", F.col("b").alias("x"), F.col("c_b").alias("c_x"), F.col("n_b").alias("n_x"), F.col("k").alias("k_x"))
+    y = first.select("hub", "edit", F.col("b").alias("y"), F.col("c_b").alias("c_y"), F.col("n_b").alias("n_y"), F.col("k").alias("k_y"))
+    may = (F.col("c_x") != F.col("c_y")) & (F.abs(F.col("k_x") - F.col("k_y")) * (p + q) <= (F.col("n_x") + F.col("n_y")) * (q - p))
+    crossed = x.join(y, ["hub", "edit"]).filter(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    crossed = _bits_pass(_with_both(crossed, nodes, "n", "bits"), p, q).filter("likely").select("a", "b")
+    rest = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(crossed).distinct().join(looked, ["a", "b"], "left_anti")
     rest = cut_lineage(rest)
     for turns in count():
         # One pair for each class and component opposite; the others wait to see if that one links.
-        of = {s: components.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab"}
-        rest = rest.select("a", "b").join(of["a"], "a", "left").join(of["b"], "b", "left").withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")})
-        rest = cut_lineage(rest.filter("c_a <> c_b"))
+        rest = cut_lineage(_labelled(rest.select("a", "b"), components).filter("c_a <> c_b"))
         if not rest.limit(1).count():
             break
         turn = rest.groupBy("a", "c_a", "c_b").agg(F.min("b").alias("b")).groupBy("b", "c_a", "c_b").agg(F.min("a").alias("a")).select("a", "b")
