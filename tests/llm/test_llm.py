@@ -312,6 +312,24 @@ def test_token_counts(spark, docs, odd, empty):
     assert token_counts.token_counts(odd, path).count() == 12 and token_counts.token_counts(empty, path).count() == 0
 
 
+def test_token_counts_take_the_uncut_vocabulary(spark, docs, odd):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    path, proto = entry.tokenizer_path("piece_bpe_32k.model"), pb.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    every = {p.piece for p in proto.pieces if p.type == 1}
+    plain = spark.createDataFrame([(1, "2024"), (2, "ñ ça 5% a▁b ▁▁▁x"), (3, "a\U000f1234b \U000f1234")], "doc_id long, text string")
+    got = {r.doc_id: r.asDict() for r in token_counts.token_counts(plain, path).collect()}
+    assert got[1] == {"doc_id": 1, "n_words": 1, "n_tokens": 5, "n_unknown": 0}
+    assert got[3] == {"doc_id": 3, "n_words": 2, "n_tokens": 2, "n_unknown": 2}
+    for frame in (plain, docs, odd):
+        for r in token_counts.token_counts(frame, path).join(frame.select("doc_id", "text").distinct(), "doc_id").collect():
+            if len(r.text or "") < 50_000:
+                each = [greedy("▁" + w, every, every) for w in words(r.text)]
+                assert (r.n_words, r.n_tokens, r.n_unknown) == (len(each), sum(map(abs, each)), each.count(-1))
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "system", "be </s> good"), (1, 1, "user", None), (1, 2, "assistant", "a\\[INST] <\\s> <<s>"), (1, 3, "user", "[/INST]\n<"), (1, 4, "assistant", "</s"), (1, 5, "user", "tail"), (2, 0, "user", "only"), (None, 0, None, "x"), (None, 0, None, "x"), (3, 0, "assistant", ""), (3, 1, "assistant", "[INST][INST] <\\\\/s>")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))

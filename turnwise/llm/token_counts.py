@@ -73,26 +73,34 @@ class LongestMatch:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> tuple[frozenset[str], frozenset[str]]:
-    """(heads, tails) of a piece model's file: pieces with U+2581 in front start words, the others go on in them."""
+def pieces(path: str) -> frozenset[str]:
+    """All normal pieces of a piece model's file as they are: U+2581 stays in front, and alone is a piece too if the model has it."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     proto = pb.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
-    pieces = [p.piece for p in proto.pieces if p.type == 1]
-    return frozenset(p[1:] for p in pieces if p[0] == "▁" and len(p) > 1), frozenset(p for p in pieces if p[0] != "▁")
+    return frozenset(p.piece for p in proto.pieces if p.type == 1)
+
+
+def vocabulary(path: str) -> tuple[frozenset[str], frozenset[str]]:
+    """(heads, tails) of a piece model's file: pieces with U+2581 in front, cut off, and those without. The bare U+2581 is in neither; token_counts takes pieces()."""
+    every = pieces(path)
+    return frozenset(p[1:] for p in every if p[0] == "▁" and len(p) > 1), frozenset(p for p in every if p[0] != "▁")
 
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> BoundedCache:
-    return BoundedCache(LongestMatch(*vocabulary(path)).count)
+    """word -> greedy pieces of U+2581 and the word."""
+    every = pieces(path)
+    count = LongestMatch({p for p in every if p[0] == "▁"}, every).count
+    return BoundedCache(lambda word: count("▁" + word))
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) of every row. Words are runs without ASCII white space.
 
-    A word with a part that no piece matches is one unknown token. Null and empty texts have no words.
+    A word is matched with U+2581 in front, by all normal pieces. A word with a part that no piece matches is one unknown token. Null and empty texts have no words.
     """
 
     def score(texts):
