@@ -282,6 +282,19 @@ def test_viterbi_equals_brute_force():
         assert np.isclose(value(s, model.path(s)), max(value(s, p) for p in itertools.product(range(3), repeat=6)))
 
 
+def test_viterbi_leaves_a_language_between_two_others():
+    import itertools
+
+    model = language_id.LanguageModel(["a", "b", "c"], np.zeros((1, 3)), np.zeros((1, 3), bool), 0, 25.0)
+    s = np.array([[-4.0, 0.0, -12.0]] * 6 + [[-4.0, -12.0, 0.0]] * 6)
+    assert model.path(s).tolist() == [1] * 6 + [2] * 6
+    value = lambda s, p: sum(s[i, j] for i, j in enumerate(p)) - 25.0 * sum(x != y for x, y in zip(p, p[1:]))
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        s = -rng.random((6, 3)) * 30
+        assert np.isclose(value(s, model.path(s)), max(value(s, p) for p in itertools.product(range(3), repeat=6)))
+
+
 def greedy(word, heads, tails):
     n, at = 0, 0
     while at < len(word):

@@ -2,7 +2,8 @@
 
 A word's script narrows its candidate languages to those that use the script in training. Each word gets a log score for
 each language; the best path through a text's words pays a penalty for each change of language, which labels the spans
-of a mixed text. A text whose best single language cannot be beaten by any stretch of another (checked on running sums) needs no path.
+of a mixed text. A text in which no stretch of another language gains more than half the penalty over the best single one (checked on running
+sums) needs no path.
 """
 
 from __future__ import annotations
@@ -101,7 +102,8 @@ class LanguageModel:
         best = int(total.argmax())
         gain = np.cumsum(s - s[:, best : best + 1], axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros(s.shape[1]), gain[:-1]]), axis=0)
-        if (gain - low).max() <= self.penalty:
+        # m stretches of others have m - 1 switches at least, so half the penalty: m * p / 2 <= (m - 1) * p from m = 2 on.
+        if (gain - low).max() <= self.penalty / 2:
             return np.full(len(s), best)
         back = np.empty(s.shape, np.int32)
         value, stay, rows = s[0].tolist(), list(range(s.shape[1])), s.tolist()
