@@ -293,6 +293,33 @@ def test_alignment(spark):
     assert [(r.t_start, r.t_end, r.coverage) for r in spans] == [(0.0, 1.0, 1.0), (1.0, 1.0, 0.0), (1.2, 2.0, 1.0)]
 
 
+def test_alignment_of_long_and_odd_sessions(spark):
+    n = 50_200  # the first 20,000 words have no times
+    manual = spark.range(n).selectExpr("1L s", "id div 10 turn_idx", "id % 10 pos", "concat('w', id) word")
+    timed = spark.range(20_000, n).selectExpr("1L s", "id word_idx", "concat('w', id) word", "id * 0.5D start", "id * 0.5D + 0.25D end")
+    got = R.align_words(manual, timed, ["s"])
+    assert got.count() == n
+    wrong = got.withColumn("i", F.col("turn_idx") * 10 + F.col("pos")).filter(~F.col("start").eqNullSafe(F.when(F.col("i") >= 20_000, F.col("i") * 0.5)))
+    assert wrong.count() == 0
+
+    rng = np.random.default_rng(8)
+    a, b = [], []
+    for s in (1, 2, None):
+        text = [f"v{x}" for x in rng.integers(0, 12, 300)]
+        a += [(s, i // 7, i % 7, x) for i, x in enumerate(text)]
+        said = [x if rng.random() > 0.1 else "new" for x in text if rng.random() > 0.1]
+        said = said[150:200] + said if s == 2 else said  # a passage that is also elsewhere
+        b += [(s, i, x, i * 1.0, i + 0.5) for i, x in enumerate(said)]
+    timed = {(s, i): x for s, i, x, *_ in b}
+    rows = R.align_words(frame(spark, a, "s long, turn_idx long, pos long, word string"), frame(spark, b, "s long, word_idx long, word string, start double, end double"), ["s"]).collect()
+    assert len(rows) == len(a)
+    for s in (1, 2, None):
+        own = sorted((r for r in rows if r.s == s), key=lambda r: (r.turn_idx, r.pos))
+        at = [int(r.start) for r in own if r.start is not None]
+        assert at == sorted(set(at)) and len(at) > 180
+        assert all(timed[s, int(r.start)] == r.word and r.end == r.start + 0.5 for r in own if r.start is not None)
+
+
 def test_enrolment(spark):
     rng = np.random.default_rng(5)
     centre = {"A": [1.0, 0.0], "B": [0.0, 1.0]}

@@ -172,38 +172,90 @@ def agreement(scored: DataFrame, by: str) -> DataFrame:
     return scored.rollup(by).agg(F.count("*").alias("n_turns"), F.avg(F.col("agree").cast("double")).alias("agreement"), F.avg(F.col("low_margin").cast("double")).alias("low_margin_rate"), F.count_if(~F.col("agree") | F.col("low_margin")).alias("n_flagged"))
 
 
-def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], max_words: int = 50_000) -> DataFrame:
-    """manual words (keys, turn_idx, pos, word) with the start and end of the timed words (keys, word_idx, word, start, end) that longest-matching-block alignment gives them.
+def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int = 5) -> DataFrame:
+    """manual words (keys, turn_idx, pos, word) with the start and end of the timed words (keys, word_idx, word, start, end) that anchors and longest-matching-block alignment give them.
 
-    Sessions are independent; one session is one task's work, since the alignment looks at its whole sequence. Sessions over max_words are
-    cut into as many runs of equal share on both sides.
+    Anchors are runs of gram words that occur once on each side of a session, the most of them that keep one order on both sides; their words
+    are matched by joins. The words left between two anchors are a group of their own, aligned by longest matching blocks. Only the
+    anchors' positions of a session meet in one task. A session without anchors is one group.
     """
     import pandas as pd
+    from pyspark.sql import Window
     from pyspark.sql import types as T
 
-    schema = T.StructType([manual.schema[k] for k in keys] + [T.StructField("turn_idx", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("word", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())])
-
-    names = [*keys, "word_idx", "word", "start", "end"]
-    timed = timed.select(*[F.col(c).alias(f"_w_{c}") for c in names])  # both sides may come from one table
-
-    def align(m: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+    s = F.struct(*keys).alias("_s")  # null keys are equal in a struct
+    by = lambda *order: Window.partitionBy("_s").orderBy(*order)
+    m = manual.select(s, F.col("turn_idx").cast("long").alias("turn_idx"), F.col("pos").cast("long").alias("pos"), "word").withColumn("_i", F.row_number().over(by("turn_idx", "pos", "word")))
+    w = timed.select(s, F.col("word_idx"), "word", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).withColumn("_j", F.row_number().over(by("word_idx", "word", "start", "end")))
+
+    def once(d: DataFrame, at: str) -> DataFrame:
+        parts = [F.col("word")]
+        for k in range(1, gram):
+            parts += [F.lit("\x1f"), F.lead("word", k).over(by(at))]
+        grams = d.select("_s", at, F.concat(*parts).alias("_gram")).filter("_gram is not null")
+        return grams.groupBy("_s", "_gram").agg(F.count("*").alias("_n"), F.min(at).alias(at)).filter("_n = 1").drop("_n")
+
+    kind = m.schema["_s"]
+    blocks = T.StructType([kind, T.StructField("_i", T.LongType()), T.StructField("_j", T.LongType()), T.StructField("_size", T.LongType())])
+
+    def chain(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        """The longest increasing run of anchors as blocks of matched words that don't overlap."""
+        from bisect import bisect_left
+
+        d = d.sort_values("_i")
+        i, j = d["_i"].to_numpy(), d["_j"].to_numpy()
+        ends, last, before = [], [], np.full(len(j), -1)
+        for k, x in enumerate(j.tolist()):
+            at = bisect_left(ends, x)
+            before[k] = last[at - 1] if at else -1
+            ends[at : at + 1], last[at : at + 1] = [x], [k]
+        kept, k = [], last[-1]
+        while k >= 0:
+            kept.append(k)
+            k = before[k]
+        out, ei, ej = [], 0, 0
+        for k in reversed(kept):
+            x, y = int(i[k]), int(j[k])
+            skip = max(0, ei - x, ej - y)
+            if skip >= gram:
+                continue
+            if out and (x + skip, y + skip) == (ei, ej):
+                out[-1][2] += gram - skip
+            else:
+                out.append([x + skip, y + skip, gram - skip])
+            ei, ej = x + gram, y + gram
+        made = pd.DataFrame(out, columns=["_i", "_j", "_size"])
+        made.insert(0, "_s", [key[0]] * len(made))
+        return made
+
+    anchors = once(m, "_i").join(once(w, "_j"), ["_s", "_gram"]).select("_s", "_i", "_j")
+    pairs = anchors.groupBy("_s").applyInPandas(chain, blocks).select("_s", "_i", "_j", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_k"))
+    pairs = pairs.select("_s", (F.col("_i") + F.col("_k")).alias("_i"), (F.col("_j") + F.col("_k")).alias("_j"))
+    # Matched words are as many on both sides before a gap, so their number names the gap.
+    gap = lambda other, at: F.count(other).over(by(at).rowsBetween(Window.unboundedPreceding, 0)).alias("_gap")
+    m = m.join(pairs, ["_s", "_i"], "left").select("*", gap("_j", "_i"))
+    w = w.join(pairs, ["_s", "_j"], "left").select("*", gap("_i", "_j"))
+    names = ["_s", "turn_idx", "pos", "word", "start", "end"]
+    sure = m.filter("_j is not null").join(w.filter("_i is not null").select("_s", "_gap", "start", "end"), ["_s", "_gap"]).select(*names)
+    a, b = m.filter("_j is null").drop("_j"), w.filter("_i is null").drop("_i")
+    a = a.join(b.select("_s", "_gap", F.lit(True).alias("_both")).distinct(), ["_s", "_gap"], "left")
+    none = a.filter("_both is null").select("_s", "turn_idx", "pos", "word", F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
+    a = a.filter("_both").drop("_both")
+    b = b.join(a.select("_s", "_gap").distinct(), ["_s", "_gap"], "left_semi")
+    schema = T.StructType([kind, *[T.StructField(n, t) for n, t in zip(names[1:], (T.LongType(), T.LongType(), T.StringType(), T.DoubleType(), T.DoubleType()))]])
+
+    def align(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
-        w = w.rename(columns={f"_w_{c}": c for c in names})
-        if not len(m):
-            return pd.DataFrame({f.name: [] for f in schema})
-        if not len(w):
-            return m.assign(start=None, end=None).astype({"start": "float64", "end": "float64"})[[f.name for f in schema]]
-        m, w = m.sort_values(["turn_idx", "pos"]).reset_index(drop=True), w.sort_values("word_idx").reset_index(drop=True)
-        got, times = np.full((len(m), 2), np.nan), w[["start", "end"]].to_numpy(float)
-        parts = max(1, -(-max(len(m), len(w)) // max_words))
-        for p in range(parts):
-            a0, a1, b0, b1 = (len(x) * k // parts for x, k in ((m, p), (m, p + 1), (w, p), (w, p + 1)))
-            for block in SequenceMatcher(None, m["word"][a0:a1].tolist(), w["word"][b0:b1].tolist(), autojunk=False).get_matching_blocks():
-                got[a0 + block.a : a0 + block.a + block.size] = times[b0 + block.b : b0 + block.b + block.size]
-        return m.assign(start=got[:, 0], end=got[:, 1]).astype(object).where(lambda x: x.notna(), None)[[f.name for f in schema]]
-
-    return manual.groupBy(*keys).cogroup(timed.groupBy(*[f"_w_{k}" for k in keys])).applyInPandas(align, schema)
+        x, y = x.sort_values("_i").reset_index(drop=True), y.sort_values("_j").reset_index(drop=True)
+        got, times = np.full((len(x), 2), np.nan), y[["start", "end"]].to_numpy(float)
+        for block in SequenceMatcher(None, x["word"].tolist(), y["word"].tolist(), autojunk=False).get_matching_blocks():
+            got[block.a : block.a + block.size] = times[block.b : block.b + block.size]
+        return x.assign(_s=[key[0]] * len(x), start=got[:, 0], end=got[:, 1]).astype({"start": object, "end": object}).where(lambda d: d.notna(), None)[names]
+
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # both sides may come from one table
+    between = a.groupBy("_s", "_gap").cogroup(b.groupBy("_s", "_gap")).applyInPandas(align, schema)
+    return sure.unionByName(none).unionByName(between).select(*[F.col("_s")[k].alias(k) for k in keys], *names[1:])
 
 
 def nearest(vectors: DataFrame, item: str, vector: str, targets: DataFrame, target: str, target_vector: str) -> DataFrame:
