@@ -241,6 +241,27 @@ def test_permutations_and_bootstrap(spark):
     assert not q["a"].crosses_zero and q["a"].lower < q["a"].median < q["a"].upper and q["c"].n_resamples == 300
 
 
+def test_permuted_labels_are_the_same_for_large_tables(spark):
+    d, *_ = data(spark, 50)
+    d = d.select("id", "g", "y")
+    small, large = (P.permuted_labels(d, "id", "g", 20, 42, broadcast_rows=k) for k in (50, 49))
+    assert small.columns == large.columns
+    small, large = (sorted(map(tuple, x.collect()), key=str) for x in (small, large))
+    assert small == large and len(small) == 1000
+    for b in range(20):
+        assert sum(r[4] for r in small if r[3] == b) == sum(r[1] for r in small if r[3] == b)
+    assert len({tuple(r[4] for r in small if r[3] == b) for b in range(20)}) == 20
+
+
+def test_registered_resamplings_take_the_default_counts(spark, sf):
+    from turnwise import queries as own
+
+    rows = {k: own.queries()[k](spark, sf).collect() for k in ("st_perm_group", "st_perm_dr2", "st_incremental", "st_bootstrap", "st_surrogate_test")}
+    assert rows["st_perm_group"][0].n_perm == 10_000 and rows["st_perm_dr2"][0].n_perm == 5_000 and rows["st_surrogate_test"][0].n_batches == 40
+    assert {r.n_resamples for r in rows["st_bootstrap"]} == {2_000}
+    assert all(abs(r.p_perm * 5_001 - round(r.p_perm * 5_001)) < 1e-6 for r in rows["st_incremental"])
+
+
 def test_perm_dr2_equals_refits(spark):
     d, x, y = data(spark, 30)
     rows = P.permuted_labels(d.select("id", F.col("b").alias("x")), "id", "x", 3, 42).collect()

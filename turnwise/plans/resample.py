@@ -27,14 +27,49 @@ def _uniform(seed: int, *columns: str):
     return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
 
 
-def permuted_labels(df: DataFrame, key: str, group: str, n: int, seed: int) -> DataFrame:
-    """df, n times, with a shuffled copy of group: rows in hash order take the labels in key order."""
-    d = df.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
-    r = _resamples(d, n)
-    order = Window.partitionBy("b").orderBy(F.xxhash64(F.lit(seed), "b", key), F.col(key))
-    shuffled = r.withColumn("_j", F.row_number().over(order))
-    labels = d.select(F.col("_i").alias("_j"), F.col(group).alias("_shuffled"))
-    return shuffled.join(labels, "_j")
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long, over uint64 arrays."""
+    p1, p2, p3, p4, p5 = (np.uint64(k) for k in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = (seed + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def permuted_labels(df: DataFrame, key: str, group: str, n: int, seed: int, broadcast_rows: int = 200_000) -> DataFrame:
+    """df, n times, with a shuffled copy of group: rows in hash order take the labels in key order.
+
+    Up to broadcast_rows rows go to all tasks, which share out the resamples; larger tables are ranked by windows. Both give the same labels.
+    """
+    d = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    if d.limit(broadcast_rows + 1).count() > broadcast_rows:
+        d = d.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
+        order = Window.partitionBy("b").orderBy(F.xxhash64("_h", F.col("b").cast("long")), F.col(key))
+        shuffled = _resamples(d, n).withColumn("_j", F.row_number().over(order))
+        labels = d.select(F.col("_i").alias("_j"), F.col(group).alias("_shuffled"))
+        return shuffled.join(labels, "_j").select(*df.columns, "b", "_shuffled")
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([*df.schema, T.StructField("b", T.IntegerType()), T.StructField("_shuffled", df.schema[group].dataType)])
+    arrow = to_arrow_schema(schema)
+    spark = df.sparkSession
+    rows = spark.sparkContext.broadcast(d.orderBy(key).toArrow().combine_chunks())
+
+    def shuffle(batches: Iterator) -> Iterator:
+        t = rows.value
+        columns = [t.column(f.name).combine_chunks().cast(f.type) for f in list(arrow)[:-2]]
+        labels = t.column(group).combine_chunks().cast(arrow.field("_shuffled").type)
+        own = _hash_long(t.column("_h").to_numpy().view(np.uint64), np.full(t.num_rows, 42, np.uint64))
+        rank = np.empty(t.num_rows, np.int64)
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                rank[np.argsort(_hash_long(np.uint64(b), own).view(np.int64), kind="stable")] = np.arange(t.num_rows)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(t.num_rows, b, np.int32)), labels.take(pa.array(rank))], schema=arrow)
+
+    return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(shuffle, schema)
 
 
 def perm_group(df: DataFrame, value: str, group: str, key: str, n: int = 10_000, seed: int = 42) -> DataFrame:

@@ -1011,17 +1011,17 @@ def _(t):
 
 @query("st_bootstrap")
 def _(t):
-    return P.bootstrap_ols(t.entities(), "acct", ["va_price", "va_qty"], "pair_id", n=200)
+    return P.bootstrap_ols(t.entities(), "acct", ["va_price", "va_qty"], "pair_id")
 
 
 @query("st_perm_group")
 def _(t):
-    return P.perm_group(t.entities(), "va_price", "grp", "pair_id", n=200)
+    return P.perm_group(t.entities(), "va_price", "grp", "pair_id")
 
 
 @query("st_perm_dr2")
 def _(t):
-    return P.perm_dr2(t.entities(), "acct", "va_price", ["n_items"], "pair_id", n=200)
+    return P.perm_dr2(t.entities(), "acct", "va_price", ["n_items"], "pair_id")
 
 
 @query("st_partial_corr", with_views("v_ent", "c as (select count(*) n, corr(acct, va_price) xy, corr(acct, n_items) xz, corr(va_price, n_items) yz from v_ent)") + "select n, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) r from c", r="r")
@@ -1041,7 +1041,7 @@ def _(t):
 
 @query("st_incremental")
 def _(t):
-    return P.incremental_validity(t.entities(), "pair_id", ["acct", "avg_total"], ["va_price", "va_qty"], ["disc_mean", "tax_asym"], ["ord"], n_perm=100)[0]
+    return P.incremental_validity(t.entities(), "pair_id", ["acct", "avg_total"], ["va_price", "va_qty"], ["disc_mean", "tax_asym"], ["ord"])[0]
 
 
 @query("st_confound")
@@ -1057,7 +1057,7 @@ def _(t):
 
 @query("st_surrogate_test")
 def _(t):
-    return P.surrogate_test(t.prosody(), ["session"], ORDER, "speaker", "f0", n_surrogates=500)
+    return P.surrogate_test(t.prosody(), ["session"], ORDER, "speaker", "f0")
 
 
 @query("st_sensitivity", with_views("v_const", _LONG_FEATURES, "kv as (select feature, acct, round(v, 6) v from lf where v is not null)", "k as (select feature, acct, v, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0 rv, rank() over (partition by feature order by acct) + (count(*) over (partition by feature, acct) - 1) / 2.0 ra from kv)") + "select feature, corr(v, acct) r_pearson, corr(rv, ra) r_spearman from k group by 1", r="r_pearson r_spearman")
