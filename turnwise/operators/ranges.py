@@ -172,6 +172,18 @@ def agreement(scored: DataFrame, by: str) -> DataFrame:
     return scored.rollup(by).agg(F.count("*").alias("n_turns"), F.avg(F.col("agree").cast("double")).alias("agreement"), F.avg(F.col("low_margin").cast("double")).alias("low_margin_rate"), F.count_if(~F.col("agree") | F.col("low_margin")).alias("n_flagged"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder that the cluster names; a local session without one gets its own."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="turnwise-"))
+    return df.checkpoint()
+
+
 def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int = 5) -> DataFrame:
     """manual words (keys, turn_idx, pos, word) with the start and end of the timed words (keys, word_idx, word, start, end) that anchors and longest-matching-block alignment give them.
 
@@ -229,7 +241,7 @@ def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int
         return made
 
     anchors = once(m, "_i").join(once(w, "_j"), ["_s", "_gram"]).select("_s", "_i", "_j")
-    pairs = anchors.groupBy("_s").applyInPandas(chain, blocks).select("_s", "_i", "_j", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_k"))
+    pairs = _kept(anchors.groupBy("_s").applyInPandas(chain, blocks)).select("_s", "_i", "_j", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_k"))
     pairs = pairs.select("_s", (F.col("_i") + F.col("_k")).alias("_i"), (F.col("_j") + F.col("_k")).alias("_j"))
     # Matched words are as many on both sides before a gap, so their number names the gap.
     gap = lambda other, at: F.count(other).over(by(at).rowsBetween(Window.unboundedPreceding, 0)).alias("_gap")
