@@ -224,6 +224,64 @@ def test_jaccard_join_family(spark):
     assert jaccard_join.one_of_each(docs).count() == len({c for _, c in got.values()})
 
 
+@pytest.mark.parametrize("width,threshold", [(3, (9, 10)), (5, (4, 5))])
+def test_jaccard_join_loses_no_link(spark, width, threshold):
+    """Groups around the threshold whose edits are shared in many ways, with all of them in the same tiles."""
+    rng = np.random.default_rng(width)
+    rows = []
+    for g, kind in enumerate(["replaced", "deleted", "families", "shared words"]):
+        base = [f"g{g}w{i}" for i in range(120)]
+        made = [base]
+        for i in range(90):
+            own = list(made[rng.integers(len(made))] if kind == "families" else base)
+            for k in sorted(rng.choice(len(own), rng.integers(1, 6), replace=False), reverse=True):
+                if kind == "deleted":
+                    del own[k]
+                else:
+                    own[k] = f"x{rng.integers(3)}" if kind == "shared words" else f"x{i}y{k}"
+            made.append(own)
+        rows += [(1000 * g + i, " ".join(x)) for i, x in enumerate(made) if i]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=width, threshold=threshold).collect()}
+    want = components(rows, width, *threshold)
+    assert got == want and 20 < len({c for _, c in want.values()}) < len(rows) - 20
+
+
+def test_shared_edits_are_in_their_places():
+    """Two sets that link, of which one is no link of the hub, share an edit within the limits of both, in any order, and far keys that count."""
+    rng = np.random.default_rng(8)
+    tried = 0
+    for p, q in ((9, 10), (4, 5)):
+        for _ in range(3000):
+            hub = np.unique(rng.integers(0, 1 << 60, rng.integers(20, 60), dtype=np.uint64))
+            pool = np.unique(rng.integers(0, 1 << 60, 8, dtype=np.uint64))
+            sets = [np.union1d(rng.choice(hub, len(hub) - rng.integers(0, 6), replace=False), rng.choice(pool, rng.integers(0, 8), replace=False)) for _ in range(2)]
+            links = lambda x, y: q * len(np.intersect1d(x, y)) >= p * len(np.union1d(x, y))
+            near = [links(x, hub) for x in sets]
+            if links(*sets) and not all(near) and not np.array_equal(*sets):
+                tried += 1
+                edits = [jaccard_join.edits_of(x, hub) for x in sets]
+                bounds = [jaccard_join.limits(len(e), len(x), len(hub), p, q) for e, x in zip(edits, sets)]
+                order = rng.permutation(np.union1d(*edits)).tolist()
+                placed = [sorted(e.tolist(), key=order.index) for e in edits]
+                first = next(e for e in order if e in placed[0] and e in placed[1])
+                at = [x.index(first) + 1 for x in placed]
+                assert all(k <= (z if near[1 - i] is False and near[i] else most) for i, (k, (z, _, most)) in enumerate(zip(at, bounds)))
+                if not any(near):
+                    assert all(k <= z for k, (z, _, _) in zip(at, bounds)) and any(k <= few for k, (_, few, _) in zip(at, bounds))
+                (k1, c1), (k2, c2) = (jaccard_join.far_keys(e, n, *b) for e, n, b in zip(edits, near, bounds))
+                assert any(c1[k1 == k].any() or c2[k2 == k].any() for k in np.intersect1d(k1, k2))
+    assert tried > 100
+
+
+def test_one_of_each_keeps_every_text(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abc"}
+    rows = [(3, "a"), (6, "a"), (6, "b"), (7, "b"), (8, "c"), (8, "c"), (None, "c")]
+    docs = spark.createDataFrame([(i, text[k], "x", i) for i, k in rows] + [(9, None, "x", 9), (9, "", "x", 9)], "doc_id long, text string, _id string, mark long")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), (r.text or "")[:1]) for r in kept.collect()) == [("3", "a"), ("6", "b"), ("8", "c"), ("9", ""), ("9", ""), ("None", "c")]
+
+
 def test_overlap_bound_is_a_bound():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,17 +25,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the cluster names; a local session without one (tests) gets its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share; a local session without one (tests) gets its own."""
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+    named = sc.getConf().get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="turnwise-"), "checkpoints"))
+        own = sc._jsc.sc().getCheckpointDir()
+    return own.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Compressed Parquet tables in the shared folder, which go as soon as they are not needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/turnwise-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Removes the named tables; all of them, if none is named."""
+        for path in [f"{self.folder}/{name}" for name in names] or [self.folder]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, marked for a broadcast if it has been counted to have at most so many rows; else joins shuffle. For tables of a few numbers a row."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def blank_words(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), "")

@@ -9,10 +9,23 @@ meet as pairs. Classes meet in tiles. A tile is a size band and either
   which two linked sets share one at least (lower thresholds). The order comes from a count sketch over all rows; any
   order is exact, a good one keeps common passages out of the prefixes.
 
-Tile mates are first linked in stars around two mates of each tile, then around its hub. Mates of different components are
-then found by the edits that they share against their hub. A pair whose components are already joined needs no look, since the result is components. A pair is first
-bounded by bit counts: bits that only one bitmap has are shingles that only that set has. What passes is
-intersected exactly.
+No group is expanded into pairs. Each tile has a hub, and its mates are compared with the hub only: a bound from bit counts first (bits
+that only one bitmap has are shingles that only that set has), then the sorted arrays exactly. Where mates of a hub are left in different
+components, they go on to smaller groups, again with a hub each, until no group has two components:
+
+Let E be the edits of a mate against its hub, the k shingles that only one of both has. Sets x and y that link differ in
+c (n_x + n_y) shingles at most, where c = (1 - t) / (1 + t), so they share o >= (k_x + k_y - c (n_x + n_y)) / 2 edits, and in any
+order of the edits the first shared one is among the first k - o + 1 of each. x or y is no link of the hub (else both are in its component),
+say k_y > c (n_y + n_hub). So
+
+* x has the shared edit in a place before (k_x + c (n_x - n_hub)) / 2 + 1;
+* the one with fewer edits has it among its first d / 2 + 1 and the other among its first d + 1, where d = n (1 - t) / t is the most
+  that a set can differ from a link.
+
+A group is a hub and such an edit. Links of the hub meet those that are none in one kind of group, and those meet each other in another kind.
+Edits of mates near the hub stand in order from rare to frequent among the hub's mates, so the hub's own oddities, which all others lack,
+come last; those of mates far from it (over FAR times d edits, where linked mates are both near or both far, and those between are taken
+as both) stand as new shingles before missing ones. A hub is no member of its own groups, so groups shrink from level to level.
 """
 
 from __future__ import annotations
@@ -24,14 +37,19 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, BoundedCache, cut_lineage, map_texts, mix64
+from .common import LOWER, BoundedCache, Scratch, broadcast_if_small, cut_lineage, map_texts, mix64
 from .components import connected_components
 
 U64 = np.uint64
+NONE = np.zeros(0, U64)
+#: Tells keys among those that are no links of a hub from keys shared with its links.
+OTHER_KIND = np.uint64(0xA5A5A5A55A5A5A5A)
+#: A mate with more than so many times the edits that a link of its hub can have at most is far from it.
+FAR = 4
 _word_hash = BoundedCache(xxhash.xxh3_64_intdigest)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 
@@ -160,6 +178,13 @@ def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted arrays without repeats share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def _sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray:
     """Shingle counts of all rows by the first bits of their hashes; a table of fixed size."""
 
@@ -179,78 +204,112 @@ def _sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray
     return out
 
 
-def _bits_pass(pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) with the bound on their overlap, whether it can reach the threshold, and the least they differ in."""
+def places(k: int, n: int, n_hub: int, p: int, q: int) -> int:
+    """Edits of a mate (k of them, n shingles) among which the first one shared with a link that is no link of the hub must be."""
+    whole = 2 * (p + q)
+    return max(0, min(k, (k * (p + q) + (q - p) * (n - n_hub) + whole - 1) // whole))
 
-    def run(batches):
-        for batch in batches:
-            t = batch.to_pydict()
-            bound = [overlap_bound(x, n, y, m) for x, n, y, m in zip(t["bits_a"], t["n_a"], t["bits_b"], t["n_b"])]
-            keep = pa.array([(p + q) * s >= p * (n + m) for s, n, m in zip(bound, t["n_a"], t["n_b"])], pa.bool_())
-            apart = pa.array([n + m - 2 * s for s, n, m in zip(bound, t["n_a"], t["n_b"])], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bound, pa.int64()), keep, apart], names=["a", "b", "bound", "likely", "apart"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, bound long, likely boolean, apart long")
+def edits_of(own: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """Shingles that only one of two sorted arrays has: own ones first."""
+    at = np.searchsorted(hub, own)
+    shared = hub[np.minimum(at, len(hub) - 1)] == own
+    missing = np.ones(len(hub), bool)
+    missing[at[shared]] = False
+    return np.concatenate((own[~shared], hub[missing]))
 
 
-def _exact_pass(pairs: DataFrame, p: int, q: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            t = batch.to_pydict()
-            keep = []
-            for x, y in zip(t["set_a"], t["set_b"]):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                i = np.searchsorted(y, x)
-                common = int((y[np.minimum(i, len(y) - 1)] == x).sum())
-                keep.append(q * common >= p * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def limits(k: int, n: int, n_hub: int, p: int, q: int) -> tuple[int, int, int]:
+    """Places (from 1) up to which the first edit shared with a link can be: with one that is no link of the hub; for the one with fewer edits; for any."""
+    most = n * (q - p) // p + 1
+    return min(places(k, n, n_hub, p, q), most), n * (q - p) // (2 * p) + 1, most
+
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+def far_keys(edits: np.ndarray, linked: bool, z: int, few: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edits under which a mate far from its hub goes on, as 64-bit keys, and which of them make a group count."""
+    if linked:
+        return mix64(edits[:z]), np.ones(len(edits[:z]), bool)
+    met, own = edits[:most], edits[:z]
+    return np.concatenate((mix64(met), mix64(own ^ OTHER_KIND))), np.concatenate((np.zeros(len(met), bool), np.arange(len(own)) < few))
 
 
-def _differences(pairs: DataFrame) -> DataFrame:
-    """(a, b, n_b, edits) of pairs (a, b, set_a, set_b): the shingles that only one of the two sets has."""
+def _compared(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (path, hub, cls, main) with whether they link and, of main ones, the mate's limits, its edits if it is near its hub, and keys if it is far."""
 
     def run(batches):
         for batch in batches:
             t = batch.to_pydict()
-            edits = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True) for x, y in zip(t["set_a"], t["set_b"])]
-            sizes = pa.array([len(y) // 8 for y in t["set_b"]], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), sizes, pa.array(edits, pa.list_(pa.int64()))], names=["a", "b", "n_b", "edits"])
-
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, n_b long, edits array<long>")
-
-
-def _with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-    return pairs
-
-
-def _labelled(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """pairs with the components c_a and c_b of both sides; a class without links is its own."""
-    for side in ("a", "b"):
-        pairs = pairs.join(components.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    return pairs
-
+            rows, edits, keys, counts = [], [], [], []
+            for x, y, a, b, main in zip(t["set_cls"], t["set_hub"], t["bits_cls"], t["bits_hub"], t["main"]):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                need = -(-p * (len(x) + len(y)) // (p + q))
+                link = overlap_bound(a, len(x), b, len(y)) >= need and common(x, y) >= need
+                own = edits_of(x, y) if main else NONE
+                z, few, most = limits(len(own), len(x), len(y), p, q)
+                bound = FAR * (len(y) * (q - p) // p + 1)
+                rows.append((link, len(own), z, few, most))
+                edits.append(own if len(own) <= bound else NONE)
+                key, count = far_keys(own, link, z, few, most) if len(own) > bound - most else (NONE, np.zeros(0, bool))
+                keys.append(key)
+                counts.append(count)
+            link, k, z, few, most = zip(*rows)
+            ends = lambda parts: pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts))], names=["key", "counts"])
+            made = {"path": batch.column("path"), "hub": batch.column("hub"), "cls": batch.column("cls"), "main": batch.column("main"), "linked": pa.array(link, pa.bool_()), "k": pa.array(k, pa.int32()), "z": pa.array(z, pa.int32()), "few": pa.array(few, pa.int32()), "most": pa.array(most, pa.int32())}
+            made |= {"edits": pa.ListArray.from_arrays(ends(edits), pa.array(np.concatenate(edits).view(np.int64))), "keys": pa.ListArray.from_arrays(ends(keys), flat)}
+            yield pa.RecordBatch.from_pydict(made)
+
+    for side in ("cls", "hub"):
+        pairs = pairs.join(nodes.select(F.col("cls").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("set").alias(f"set_{side}")), side)
+    return pairs.mapInArrow(run, "path long, hub long, cls long, main boolean, linked boolean, k int, z int, few int, most int, edits array<long>, keys array<struct<key: long, counts: boolean>>")
+
+
+def _smaller_groups(open_mates: DataFrame) -> DataFrame:
+    """(g, cls, label, counts): mates (columns of _compared, and label) under the edits by which they can meet links."""
+    open_mates = open_mates.withColumn("at", F.xxhash64("path", "hub"))
+    edits = open_mates.select("at", "cls", "label", "linked", "k", "z", "few", "most", F.explode("edits").alias("edit"))
+    # An edit of one mate alone only takes a place, one of the first.
+    often = edits.groupBy("at", "edit").agg(F.count("*").alias("f")).filter("f > 1")
+    of_mate = Window.partitionBy("at", "cls")
+    placed = edits.join(often, ["at", "edit"]).withColumn("place", F.row_number().over(of_mate.orderBy("f", "edit"))).withColumn("place", F.col("place") + F.col("k") - F.count("*").over(of_mate))
+    met = F.when(F.col("place") <= F.when(F.col("linked"), F.col("z")).otherwise(F.col("most")), F.struct(F.lit(0).alias("kind"), F.col("linked").alias("counts")))
+    own = F.when(~F.col("linked") & (F.col("place") <= F.col("z")), F.struct(F.lit(1).alias("kind"), (F.col("place") <= F.col("few")).alias("counts")))
+    near = placed.select("at", "cls", "label", "edit", F.explode(F.array_compact(F.array(met, own))).alias("as")).select(F.xxhash64("at", "edit", "as.kind").alias("g"), "cls", "label", "as.counts")
+    far = open_mates.select("at", "cls", "label", F.explode("keys").alias("edit")).select(F.xxhash64("at", "edit.key", F.lit(2)).alias("g"), "cls", "label", "edit.counts")
+    return near.union(far)
+
+
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(cls, label) of the classes in links (hub, cls). Equal labels mean one component; a hub and its links get the same."""
+    both = links.select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+    both = both.union(both.select("v", "u"))
+    first = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label"))
+    second = both.join(first.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("label"))
+    third = second.select(F.col("u").alias("label"), F.col("label").alias("least"))
+    return second.select(F.col("u").alias("cls"), "label").join(third, "label").select("cls", F.col("least").alias("label"))
+
+
+def _hub_pairs(mates: DataFrame, path: Column) -> DataFrame:
+    """(path, hub, cls, main) for the mates (g, cls, pop) of each group g: its hub is the class that is in most groups.
+
+    main: mates of this hub may still have to meet. Groups of up to four rows have three hubs and are done with that.
+    """
+    sized = mates.groupBy("g").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("g", "n")
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("pop"), F.desc("cls")))
+    top = mates.withColumn("rank", rank).filter("rank <= 3").join(sized, "g").filter("rank = 1 or n <= 4")
+    hubs = top.select("g", F.col("cls").alias("hub"), F.col("pop").alias("hub_pop"), (F.col("n") > 4).alias("main"))
+    pairs = mates.join(hubs, "g").filter("pop < hub_pop or pop = hub_pop and cls < hub").select(path.alias("path"), "hub", "cls", "main")
+    return pairs.groupBy("path", "hub", "cls").agg(F.max("main").alias("main"))
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (9, 10), sketch_bits: int = 16) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: component_id is the smallest id that links reach, or its own.
 
-    Two rows link when q * |A and B| >= p * |A or B| for threshold (p, q). A-Z is lower-cased; words are runs without
-    ASCII white space; fewer words than width are one shingle. Texts without words (null, empty, blank) have no
-    shingles and link with nothing. Rows with equal sets link (similarity 1). Rows with a null id take part in
-    nothing and keep a null component. Rows that repeat an id get the component of their own text. Sets are compared
-    by 64-bit shingle hashes, and equal sets found by a 64-bit content hash.
-    """
+def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int], sketch_bits: int, merged_levels: int = 12) -> DataFrame:
+    """(doc_id, n_shingles, mark, component_id, component) of docs (doc_id, text, mark), see jaccard_components; component: a key of the component."""
     t = Fraction(*threshold)
     p, q = t.numerator, t.denominator
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession)
     sliced = t >= Fraction(85, 100)
     bands = Bands(t) if sliced else None
-    sketch = None if sliced else _sketch(rows, "text", width, sketch_bits)
+    sketch = None if sliced else _sketch(docs, "text", width, sketch_bits)
 
     def describe(texts: list[str | None]) -> dict:
         h, at = shingle_sets(texts, width)
@@ -265,93 +324,107 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         }
 
     made = [T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("tiles", T.ArrayType(T.LongType()))]
-    sets = cut_lineage(map_texts(rows, describe, made, keep=["doc_id"]))
-    tile_rows = sets.filter("doc_id is not null and cls is not null").select("cls", "n", F.explode("tiles").alias("tile"))
-    # One exchange of all tiles; only those of two or more classes go on.
-    shared = cut_lineage(tile_rows.groupBy("tile").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("c")).filter("a <> b"))
-    crowded = shared.filter("c > 2").select("tile")
-    if crowded.count() <= 500_000:
-        crowded = F.broadcast(crowded)
-
-    def band(n):  # of bands in which linked sizes are one apart at most
-        return F.floor(F.log(n.cast("double")) / float(np.log(1 / float(t))))
-
-    size_bands = F.array_distinct(F.array(band(F.ceil(F.col("n") * p / q)), band(F.col("n")) - 1, band(F.col("n"))))
-    mates = cut_lineage(tile_rows.join(crowded, "tile").select("cls", "n", "tile", F.explode(size_bands).alias("band")).distinct())
-    heads = mates.groupBy("tile", "band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
-    star = mates.join(heads, ["tile", "band"]).select(F.explode(F.array("lo", "hi")).alias("a"), F.col("cls").alias("b")).filter("a <> b")
-    pairs = cut_lineage(shared.filter("c = 2").select("a", "b").union(star).distinct())
+    sets = scratch.keep("sets", map_texts(docs, describe, made, keep=["doc_id", "mark"]))
+    live = sets.filter("doc_id is not null and cls is not null")
+    classes = scratch.keep("classes", live.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    # One row of each class goes to its tiles; only tiles of two or more classes go on.
+    copied = broadcast_if_small(classes.filter("copies > 1").select("cls", "least"))
+    one = live.join(copied, "cls", "left").filter("least is null or doc_id = least").select("cls", "n", F.explode("tiles").alias("tile"))
+    shared = scratch.keep("shared", one.groupBy("tile").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("c")).filter("a <> b"))
+    mates = one.join(broadcast_if_small(shared.filter("c > 2").select("tile")), "tile")
+    if sliced:
+        mates = mates.select("cls", F.col("tile").alias("g"))
+    else:  # each set in its own band and the one where its smallest link can be
+        band = lambda n: F.floor(F.log(n.cast("double")) / float(3 * np.log(1 / float(t))))
+        size_bands = F.array_distinct(F.array(band(F.ceil(F.col("n") * p / q)), band(F.col("n"))))
+        mates = mates.select("cls", "tile", F.explode(size_bands).alias("band")).select("cls", F.xxhash64("tile", "band").alias("g"))
+    mates = scratch.keep("mates0", mates.withColumn("pop", F.count("*").over(Window.partitionBy("cls"))))
+    twos = shared.filter("c = 2").select(F.lit(0).cast("long").alias("path"), F.col("a").alias("hub"), F.col("b").alias("cls"), F.lit(False).alias("main"))
+    pairs = scratch.keep("pairs0", twos.distinct().union(_hub_pairs(mates, F.lit(0).cast("long"))))
+    scratch.drop("shared", "mates0")
 
     # Bitmaps and sorted arrays of the classes that meet any other, from one row of each.
-    active = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(mates.select("cls")).distinct()
-    chosen = sets.filter("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls", "left_semi")
+    active = pairs.select(F.explode(F.array("hub", "cls")).alias("cls")).distinct()
+    chosen = classes.join(active, "cls", "left_semi").select("cls", F.col("least").alias("doc_id"))
 
     def unfold(texts: list[str | None]) -> dict:
         h, at = shingle_sets(texts, width)
         own = [h[i:j] for i, j in zip(at, at[1:])]
-        return {"own": content_hash(h, at), "n": np.diff(at), "bits": [bitmap(x) for x in own], "set": [x.tobytes() for x in own]}
-
-    made = [T.StructField("own", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("set", T.BinaryType())]
-    nodes = cut_lineage(map_texts(rows.join(chosen, "doc_id"), unfold, made, keep=["cls"]).filter("own = cls").drop("own").dropDuplicates(["cls"]))
-
-    bounded = cut_lineage(_bits_pass(_with_both(pairs, nodes, "n", "bits"), p, q))
-    likely = bounded.filter("likely").select("a", "b", "bound")
-    # Two best-bound pairs of each class make nearly all links; the rest follows below.
-    best = likely.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("bound"), "a"))).filter("k <= 2")
-    looked = cut_lineage(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = cut_lineage(_exact_pass(_with_both(looked, nodes, "set"), p, q))
-    components = connected_components(links)
-
-    # Each tile's hub, the mate nearest to those looked at so far: all others are compared with it.
-    near = bounded.select(F.explode(F.array("a", "b")).alias("cls"), "apart").groupBy("cls").agg(F.avg("apart").alias("apart"))
-    hubs = mates.join(near, "cls").groupBy("tile", "band").agg(F.min_by("cls", F.struct("apart", "cls")).alias("hub"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("tile", "band", "hub")
-    grouped = cut_lineage(mates.join(hubs, ["tile", "band"]))
-    spokes = _labelled(grouped.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), components).filter("c_a <> c_b").select("a", "b")
-    spokes = _bits_pass(_with_both(spokes, nodes, "n", "bits"), p, q).filter("likely").select("a", "b")
-    links = cut_lineage(links.union(_exact_pass(_with_both(spokes, nodes, "set"), p, q)))
-    components = connected_components(links)
-
-    # What is left: mates x and y of different components. One of them, x, is no link of their hub, so it differs from it in more
-    # than links may. Both differ from the hub by their edits, and from each other by edits that only one of them has; that can be few enough only
-    # if they share an edit. So all pairs left meet in a join on (hub, edit).
-    parted = _labelled(grouped.select("tile", "band", F.col("hub").alias("a"), F.col("cls").alias("b")), components)
-    torn = parted.filter("c_a <> c_b").select("tile", "band").distinct()
-    torn = cut_lineage(parted.join(torn, ["tile", "band"], "left_semi").select("a", "b", "c_a", "c_b").distinct())
-    changed = cut_lineage(_differences(_with_both(torn.filter("a <> b").select("a", "b"), nodes, "set")).join(torn, ["a", "b"]))
-    edits = changed.select("a", "b", "c_a", "c_b", "n_b", F.size("edits").alias("k"), F.explode("edits").alias("edit"))
-    # Rare edits first: sets that differ in d elements at most share one of their first d + 1. An edit of one mate alone only takes a place.
-    counted = edits.join(edits.groupBy("a", "edit").agg(F.count("*").alias("f")), ["a", "edit"])
-    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "edit"))
-    first = counted.withColumn("place", place).filter((F.col("place") <= F.floor(F.col("n_b") * (q - p) / p) + 1) & (F.col("f") > 1))
-    first = cut_lineage(first.select(F.col("a").alias("hub"), "edit", "b", "c_a", "c_b", "n_b", "k"))
-    x = first.filter("c_a <> c_b").select("hub", "edit", F.col("b").alias("x"), F.col("c_b").alias("c_x"), F.col("n_b").alias("n_x"), F.col("k").alias("k_x"))
-    y = first.select("hub", "edit", F.col("b").alias("y"), F.col("c_b").alias("c_y"), F.col("n_b").alias("n_y"), F.col("k").alias("k_y"))
-    may = (F.col("c_x") != F.col("c_y")) & (F.abs(F.col("k_x") - F.col("k_y")) * (p + q) <= (F.col("n_x") + F.col("n_y")) * (q - p))
-    crossed = x.join(y, ["hub", "edit"]).filter(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    crossed = _bits_pass(_with_both(crossed, nodes, "n", "bits"), p, q).filter("likely").select("a", "b")
-    rest = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(crossed).distinct().join(looked, ["a", "b"], "left_anti")
-    rest = cut_lineage(rest)
-    for turns in count():
-        # One pair for each class and component opposite; the others wait to see if that one links.
-        rest = cut_lineage(_labelled(rest.select("a", "b"), components).filter("c_a <> c_b"))
-        if not rest.limit(1).count():
+        return {"own": content_hash(h, at), "bits": [bitmap(x) for x in own], "set": [x.tobytes() for x in own]}
+
+    made = [T.StructField("own", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("set", T.BinaryType())]
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
+    nodes = scratch.keep("nodes", map_texts(texts, unfold, made, keep=["cls"]).filter("own = cls").drop("own").dropDuplicates(["cls"]))
+
+    links = None
+    for level in count():
+        compared = scratch.keep(f"compared{level}", _compared(pairs, nodes, p, q))
+        found = compared.filter("linked").select("hub", "cls")
+        links = found if links is None else links.union(found)
+        labels = scratch.keep(f"labels{level}", _near_labels(links))
+        scratch.drop(f"pairs{level}", *[f"labels{level - 1}"] * (level > 0))
+        # Mates of one hub in different components go on, each under some of its edits.
+        named = compared.filter("main").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        torn = scratch.keep(f"torn{level}", named.groupBy("path", "hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("path", "hub"))
+        if torn.isEmpty():
+            break
+        opened = compared.filter("main").join(broadcast_if_small(torn), ["path", "hub"], "left_semi").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        opened = _smaller_groups(scratch.keep(f"open{level}", opened))
+        opened = scratch.keep(f"opened{level}", opened)
+        open_groups = opened.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("counts").alias("counts")).filter("lo <> hi and counts").select("g")
+        mates = opened.join(broadcast_if_small(open_groups), "g", "left_semi").select("g", "cls")
+        mates = scratch.keep(f"mates{level + 1}", mates.withColumn("pop", F.count("*").over(Window.partitionBy("cls"))))
+        # Groups with the same hub are one, but for late levels, so that groups surely shrink.
+        pairs = scratch.keep(f"pairs{level + 1}", _hub_pairs(mates, F.lit(0).cast("long") if level < merged_levels else F.col("g")))
+        scratch.drop(f"torn{level}", f"open{level}", f"opened{level}", f"mates{level + 1}")
+        if pairs.isEmpty():
             break
-        turn = rest.groupBy("a", "c_a", "c_b").agg(F.min("b").alias("b")).groupBy("b", "c_a", "c_b").agg(F.min("a").alias("a")).select("a", "b")
-        turn = cut_lineage(turn if turns < 3 else rest.select("a", "b"))
-        links = cut_lineage(links.union(_exact_pass(_with_both(turn, nodes, "set"), p, q)))
-        components = connected_components(links)
-        rest = rest.select("a", "b").join(turn, ["a", "b"], "left_anti")
-
-    smallest = sets.filter("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = smallest.join(components.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    joined = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    names = cut_lineage(named.join(joined, "component").select("cls", "component_id"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(names, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; rows with a null id stay. Columns stay as they are."""
-    found = jaccard_components(docs, id_col, **options)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+
+    # What the labels leave apart is joined by components of the few labels that links cross.
+    crossing = links.join(labels, "cls").withColumnRenamed("label", "a").join(labels.select(F.col("cls").alias("hub"), F.col("label").alias("b")), "hub").filter("a <> b").select("a", "b").distinct()
+    crossing = scratch.keep("crossing", crossing)
+    if not crossing.isEmpty():
+        components = connected_components(crossing)
+        labels = labels.join(components, labels["label"] == components["node"], "left").select("cls", F.coalesce("component", "label").alias("label"))
+    named = classes.select("cls", "least").join(labels, "cls")
+    named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label")
+    names = classes.select("cls", "least").join(named.select("cls", "label", "component_id"), "cls", "left")
+    names = names.select("cls", F.coalesce("label", "cls").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "mark", "cls").join(names, "cls", "left")
+    out = out.select("doc_id", "n_shingles", "mark", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
+    out = cut_lineage(out)
+    scratch.drop()
+    return out
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (9, 10), sketch_bits: int = 16) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: component_id is the smallest id that links reach, or its own.
+
+    Two rows link when q * |A and B| >= p * |A or B| for threshold (p, q). A-Z is lower-cased; words are runs without
+    ASCII white space; fewer words than width are one shingle. Texts without words (null, empty, blank) have no
+    shingles and link with nothing. Rows with equal sets link (similarity 1). Rows with a null id take part in
+    nothing and keep a null component. Rows that repeat an id get the component of their own text. Sets are compared
+    by 64-bit shingle hashes, and equal sets found by a 64-bit content hash. No rows: no rows. The work is done when
+    this returns; the result is a checkpoint of three numbers a row.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("mark"))
+    return _rows_with_components(rows, width, threshold, sketch_bits).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (9, 10), sketch_bits: int = 16) -> DataFrame:
+    """One row of each component of docs, that of the smallest id (of equal ids, of one of the texts). Columns stay as they are.
+
+    Decided row by row: where an id is repeated with another text, that row belongs to its own text's component, so no text goes that is
+    not linked with one that stays. Of rows equal in id and text one stays. Rows with a null id and texts without words stay.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    found = _rows_with_components(rows, width, threshold, sketch_bits).filter("component is not null").select("component", F.struct("doc_id", "mark").alias("row"))
+    first = found.groupBy("component").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first")
+    several = cut_lineage(found.join(first, "component").groupBy("row").agg(F.first("first").alias("first"), F.count("*").alias("n")))
+    gone = several.filter("row <> first").select(F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"))
+    again = several.filter("row = first and n > 1").select(F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"))
+    same = lambda df, keys: (df[id_col].cast("long") == keys["_id"]) & (F.xxhash64(df[text_col]) == keys["_mark"])
+    kept = docs.join(broadcast_if_small(gone), same(docs, gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, same(kept, again), "left_anti").unionByName(kept.join(again, same(kept, again), "left_semi").dropDuplicates([id_col, text_col]))
