@@ -25,7 +25,7 @@ say k_y > c (n_y + n_hub). So
 A group is a hub and such an edit. Links of the hub meet those that are none in one kind of group, and those meet each other in another kind.
 Edits of mates near the hub stand in order from rare to frequent among the hub's mates, so the hub's own oddities, which all others lack,
 come last; those of mates far from it (over FAR times d edits, where linked mates are both near or both far, and those between are taken
-as both) stand as new shingles before missing ones. A hub is no member of its own groups, so groups shrink from level to level.
+as both) are many and stand by a count sketch: new ones from rare to frequent, then missing ones from frequent to rare. A hub is no member of its own groups, so groups shrink from level to level.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ NONE = np.zeros(0, U64)
 OTHER_KIND = np.uint64(0xA5A5A5A55A5A5A5A)
 #: A mate with more than so many times the edits that a link of its hub can have at most is far from it.
 FAR = 4
+#: Rows up to which each row of a group but one is a hub.
+SMALL = 8
 _word_hash = BoundedCache(xxhash.xxh3_64_intdigest)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 
@@ -150,7 +152,7 @@ def sliced_tiles(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarra
 def prefix_tiles(h: np.ndarray, at: np.ndarray, threshold: Fraction, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, sketch[(h >> U64(64 - int(len(sketch)).bit_length() + 1)).astype(np.int64)], row))
+    order = np.lexsort((h, sketch[_slots(h, len(sketch).bit_length() - 1)], row))
     p, q = threshold.numerator, threshold.denominator
     length = np.where(n > 0, n + (-n * p) // q + 1, 0)
     keep = np.arange(len(h)) - at[:-1][row] < length[row]
@@ -185,38 +187,63 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
-def _sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray:
-    """Shingle counts of all rows by the first bits of their hashes; a table of fixed size."""
-
-    def tally(batches):
-        total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            texts = batch.column(0)
-            for lo in range(0, len(texts), 500):
-                h, _ = shingle_sets(texts.slice(lo, 500).to_pylist(), width)
-                total += np.bincount((h >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["slot", "n"])
-
-    got = docs.select(text_col).mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+def _summed_sketch(tallies: DataFrame, bits: int) -> np.ndarray:
+    got = tallies.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << bits, np.int64)
     out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64)
+
+
+def _tally(parts, bits: int):
+    """One batch (slot, n) of how many of the hashes in all parts have each first bits."""
+    total = np.zeros(1 << bits, np.int64)
+    for h in parts:
+        total += np.bincount(_slots(h, bits), minlength=1 << bits)
+    used = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["slot", "n"])
+
+
+def text_sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray:
+    """Shingle counts of all rows by the first bits of their hashes; a table of fixed size."""
+
+    def run(batches):
+        texts = (batch.column(0).slice(lo, 500).to_pylist() for batch in batches for lo in range(0, batch.num_rows, 500))
+        yield _tally((shingle_sets(t, width)[0] for t in texts), bits)
+
+    return _summed_sketch(docs.select(text_col).mapInArrow(run, "slot long, n long"), bits)
+
+
+def set_sketch(nodes: DataFrame, bits: int) -> np.ndarray:
+    """The same of sorted arrays."""
+
+    def run(batches):
+        yield _tally((np.frombuffer(x, U64) for batch in batches for x in batch.column(0).to_pylist()), bits)
+
+    return _summed_sketch(nodes.select("set").mapInArrow(run, "slot long, n long"), bits)
+
+
 def places(k: int, n: int, n_hub: int, p: int, q: int) -> int:
     """Edits of a mate (k of them, n shingles) among which the first one shared with a link that is no link of the hub must be."""
     whole = 2 * (p + q)
     return max(0, min(k, (k * (p + q) + (q - p) * (n - n_hub) + whole - 1) // whole))
 
 
-def edits_of(own: np.ndarray, hub: np.ndarray) -> np.ndarray:
-    """Shingles that only one of two sorted arrays has: own ones first."""
+def edits_of(own: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that only the first and that only the second of two sorted arrays has."""
     at = np.searchsorted(hub, own)
     shared = hub[np.minimum(at, len(hub) - 1)] == own
     missing = np.ones(len(hub), bool)
     missing[at[shared]] = False
-    return np.concatenate((own[~shared], hub[missing]))
+    return own[~shared], hub[missing]
+
+
+def by_sketch(new: np.ndarray, missing: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    count = lambda h: sketch[_slots(h, len(sketch).bit_length() - 1)]
+    return np.concatenate((new[np.lexsort((new, count(new)))], missing[np.lexsort((missing, -count(missing)))]))
 
 
 def limits(k: int, n: int, n_hub: int, p: int, q: int) -> tuple[int, int, int]:
@@ -233,7 +260,7 @@ def far_keys(edits: np.ndarray, linked: bool, z: int, few: int, most: int) -> tu
     return np.concatenate((mix64(met), mix64(own ^ OTHER_KIND))), np.concatenate((np.zeros(len(met), bool), np.arange(len(own)) < few))
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+def _compared(pairs: DataFrame, nodes: DataFrame, sketch: np.ndarray, p: int, q: int) -> DataFrame:
     """Pairs (path, hub, cls, main) with whether they link and, of main ones, the mate's limits, its edits if it is near its hub, and keys if it is far."""
 
     def run(batches):
@@ -244,12 +271,13 @@ def _compared(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
                 x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
                 need = -(-p * (len(x) + len(y)) // (p + q))
                 link = overlap_bound(a, len(x), b, len(y)) >= need and common(x, y) >= need
-                own = edits_of(x, y) if main else NONE
+                new, missing = edits_of(x, y) if main else (NONE, NONE)
+                own = np.concatenate((new, missing))
                 z, few, most = limits(len(own), len(x), len(y), p, q)
                 bound = FAR * (len(y) * (q - p) // p + 1)
                 rows.append((link, len(own), z, few, most))
                 edits.append(own if len(own) <= bound else NONE)
-                key, count = far_keys(own, link, z, few, most) if len(own) > bound - most else (NONE, np.zeros(0, bool))
+                key, count = far_keys(by_sketch(new, missing, sketch), link, z, few, most) if len(own) > bound - most else (NONE, np.zeros(0, bool))
                 keys.append(key)
                 counts.append(count)
             link, k, z, few, most = zip(*rows)
@@ -292,12 +320,12 @@ def _near_labels(links: DataFrame) -> DataFrame:
 def _hub_pairs(mates: DataFrame, path: Column) -> DataFrame:
     """(path, hub, cls, main) for the mates (g, cls, pop) of each group g: its hub is the class that is in most groups.
 
-    main: mates of this hub may still have to meet. Groups of up to four rows have three hubs and are done with that.
+    main: mates of this hub may still have to meet. A group of up to SMALL rows has SMALL - 1 hubs and is done with that.
     """
     sized = mates.groupBy("g").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("g", "n")
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("pop"), F.desc("cls")))
-    top = mates.withColumn("rank", rank).filter("rank <= 3").join(sized, "g").filter("rank = 1 or n <= 4")
-    hubs = top.select("g", F.col("cls").alias("hub"), F.col("pop").alias("hub_pop"), (F.col("n") > 4).alias("main"))
+    top = mates.withColumn("rank", rank).filter(F.col("rank") < SMALL).join(sized, "g").filter((F.col("rank") == 1) | (F.col("n") <= SMALL))
+    hubs = top.select("g", F.col("cls").alias("hub"), F.col("pop").alias("hub_pop"), (F.col("n") > SMALL).alias("main"))
     pairs = mates.join(hubs, "g").filter("pop < hub_pop or pop = hub_pop and cls < hub").select(path.alias("path"), "hub", "cls", "main")
     return pairs.groupBy("path", "hub", "cls").agg(F.max("main").alias("main"))
 
@@ -309,7 +337,7 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
     scratch = Scratch(docs.sparkSession)
     sliced = t >= Fraction(85, 100)
     bands = Bands(t) if sliced else None
-    sketch = None if sliced else _sketch(docs, "text", width, sketch_bits)
+    sketch = None if sliced else text_sketch(docs, "text", width, sketch_bits)
 
     def describe(texts: list[str | None]) -> dict:
         h, at = shingle_sets(texts, width)
@@ -356,13 +384,15 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
     texts = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
     nodes = scratch.keep("nodes", map_texts(texts, unfold, made, keep=["cls"]).filter("own = cls").drop("own").dropDuplicates(["cls"]))
 
-    links = None
+    often = set_sketch(nodes, sketch_bits)
+    links = labels = None
     for level in count():
-        compared = scratch.keep(f"compared{level}", _compared(pairs, nodes, p, q))
+        compared = scratch.keep(f"compared{level}", _compared(pairs, nodes, often, p, q))
+        scratch.drop(f"pairs{level}")
         found = compared.filter("linked").select("hub", "cls")
-        links = found if links is None else links.union(found)
-        labels = scratch.keep(f"labels{level}", _near_labels(links))
-        scratch.drop(f"pairs{level}", *[f"labels{level - 1}"] * (level > 0))
+        if labels is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = scratch.keep(f"labels{level}", _near_labels(links))
         # Mates of one hub in different components go on, each under some of its edits.
         named = compared.filter("main").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         torn = scratch.keep(f"torn{level}", named.groupBy("path", "hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("path", "hub"))
