@@ -9,7 +9,7 @@ meet as pairs. Classes meet in tiles. A tile is a size band and either
   which two linked sets share one at least (lower thresholds). The order comes from a count sketch over all rows; any
   order is exact, a good one keeps common passages out of the prefixes.
 
-No group is expanded into pairs. Each tile has a hub, and its mates are compared with the hub only: a bound from bit counts first (bits
+No group is expanded into pairs. Each tile has a hub, and its mates are compared with the hub only (where few are outside its largest component, with these): a bound from bit counts first (bits
 that only one bitmap has are shingles that only that set has), then the sorted arrays exactly. Where mates of a hub are left in different
 components, they go on to smaller groups, again with a hub each, until no group has two components:
 
@@ -50,8 +50,8 @@ NONE = np.zeros(0, U64)
 OTHER_KIND = np.uint64(0xA5A5A5A55A5A5A5A)
 #: A mate with more than so many times the edits that a link of its hub can have at most is far from it.
 FAR = 4
-#: Rows up to which each row of a group but one is a hub.
-SMALL = 8
+#: Below so many rows outside a group's largest component so far, each of them is a hub.
+SMALL = 16
 _word_hash = BoundedCache(xxhash.xxh3_64_intdigest)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 
@@ -318,16 +318,19 @@ def _near_labels(links: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(mates: DataFrame, path: Column) -> DataFrame:
-    """(path, hub, cls, main) for the mates (g, cls, pop) of each group g: its hub is the class that is in most groups.
+    """(path, hub, cls, main) for the mates (g, cls, label, pop) of each group g of two labels or more.
 
-    main: mates of this hub may still have to meet. A group of up to SMALL rows has SMALL - 1 hubs and is done with that.
+    A group's hub is the class that is in most groups; main: mates of this hub may still have to meet. Where fewer than SMALL rows are
+    outside a group's largest label, each of these is a hub for the mates of other labels instead, and the group is done with that.
     """
-    sized = mates.groupBy("g").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("g", "n")
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("pop"), F.desc("cls")))
-    top = mates.withColumn("rank", rank).filter(F.col("rank") < SMALL).join(sized, "g").filter((F.col("rank") == 1) | (F.col("n") <= SMALL))
-    hubs = top.select("g", F.col("cls").alias("hub"), F.col("pop").alias("hub_pop"), (F.col("n") > SMALL).alias("main"))
-    pairs = mates.join(hubs, "g").filter("pop < hub_pop or pop = hub_pop and cls < hub").select(path.alias("path"), "hub", "cls", "main")
-    return pairs.groupBy("path", "hub", "cls").agg(F.max("main").alias("main"))
+    of_label = mates.groupBy("g", "label").agg(F.count("*").alias("n"), F.max(F.struct("pop", "cls")).alias("top"))
+    sized = of_label.groupBy("g").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.max("top").alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    sized = sized.select("g", (F.col("n") - F.col("most.n") < SMALL).alias("done"), F.col("most.label").alias("largest"), F.col("top.cls").alias("top"))
+    placed = mates.join(sized, "g")
+    stars = placed.filter("not done and cls <> top").select(path.alias("path"), F.col("top").alias("hub"), "cls", F.lit(True).alias("main"))
+    hubs = placed.filter("done and label <> largest").select("g", F.col("cls").alias("hub"), F.col("label").alias("hub_label"))
+    rest = placed.filter("done").join(hubs, "g").filter("label <> hub_label and (label = largest or cls < hub)").select(path.alias("path"), "hub", "cls", F.lit(False).alias("main"))
+    return stars.union(rest).groupBy("path", "hub", "cls").agg(F.max("main").alias("main"))
 
 
 def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int], sketch_bits: int, merged_levels: int = 12) -> DataFrame:
@@ -366,7 +369,7 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
         band = lambda n: F.floor(F.log(n.cast("double")) / float(3 * np.log(1 / float(t))))
         size_bands = F.array_distinct(F.array(band(F.ceil(F.col("n") * p / q)), band(F.col("n"))))
         mates = mates.select("cls", "tile", F.explode(size_bands).alias("band")).select("cls", F.xxhash64("tile", "band").alias("g"))
-    mates = scratch.keep("mates0", mates.withColumn("pop", F.count("*").over(Window.partitionBy("cls"))))
+    mates = scratch.keep("mates0", mates.withColumn("label", F.col("cls")).withColumn("pop", F.count("*").over(Window.partitionBy("cls"))))
     twos = shared.filter("c = 2").select(F.lit(0).cast("long").alias("path"), F.col("a").alias("hub"), F.col("b").alias("cls"), F.lit(False).alias("main"))
     pairs = scratch.keep("pairs0", twos.distinct().union(_hub_pairs(mates, F.lit(0).cast("long"))))
     scratch.drop("shared", "mates0")
@@ -393,16 +396,17 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
         if labels is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = scratch.keep(f"labels{level}", _near_labels(links))
+            at_hand = broadcast_if_small(labels)
         # Mates of one hub in different components go on, each under some of its edits.
-        named = compared.filter("main").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        named = compared.filter("main").join(at_hand, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         torn = scratch.keep(f"torn{level}", named.groupBy("path", "hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("path", "hub"))
         if torn.isEmpty():
             break
-        opened = compared.filter("main").join(broadcast_if_small(torn), ["path", "hub"], "left_semi").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        opened = compared.filter("main").join(broadcast_if_small(torn), ["path", "hub"], "left_semi").join(at_hand, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         opened = _smaller_groups(scratch.keep(f"open{level}", opened))
         opened = scratch.keep(f"opened{level}", opened)
         open_groups = opened.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("counts").alias("counts")).filter("lo <> hi and counts").select("g")
-        mates = opened.join(broadcast_if_small(open_groups), "g", "left_semi").select("g", "cls")
+        mates = opened.join(broadcast_if_small(open_groups), "g", "left_semi").select("g", "cls", "label")
         mates = scratch.keep(f"mates{level + 1}", mates.withColumn("pop", F.count("*").over(Window.partitionBy("cls"))))
         # Groups with the same hub are one, but for late levels, so that groups surely shrink.
         pairs = scratch.keep(f"pairs{level + 1}", _hub_pairs(mates, F.lit(0).cast("long") if level < merged_levels else F.col("g")))
