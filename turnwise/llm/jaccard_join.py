@@ -260,6 +260,24 @@ def far_keys(edits: np.ndarray, linked: bool, z: int, few: int, most: int) -> tu
     return np.concatenate((mix64(met), mix64(own ^ OTHER_KIND))), np.concatenate((np.zeros(len(met), bool), np.arange(len(own)) < few))
 
 
+def _with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    for side in ("cls", "hub"):
+        pairs = pairs.join(nodes.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs
+
+
+def _may_link(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (path, hub, cls, main) without those that are not main and that bit counts show to be no links."""
+
+    def run(batches):
+        for batch in batches:
+            t = batch.to_pydict()
+            keep = [main or (p + q) * overlap_bound(a, n, b, m) >= p * (n + m) for a, n, b, m, main in zip(t["bits_cls"], t["n_cls"], t["bits_hub"], t["n_hub"], t["main"])]
+            yield batch.select(["path", "hub", "cls", "main"]).filter(pa.array(keep, pa.bool_()))
+
+    return _with_both(pairs, nodes, "n", "bits").mapInArrow(run, "path long, hub long, cls long, main boolean")
+
+
 def _compared(pairs: DataFrame, nodes: DataFrame, sketch: np.ndarray, p: int, q: int) -> DataFrame:
     """Pairs (path, hub, cls, main) with whether they link and, of main ones, the mate's limits, its edits if it is near its hub, and keys if it is far."""
 
@@ -287,9 +305,7 @@ def _compared(pairs: DataFrame, nodes: DataFrame, sketch: np.ndarray, p: int, q:
             made |= {"edits": pa.ListArray.from_arrays(ends(edits), pa.array(np.concatenate(edits).view(np.int64))), "keys": pa.ListArray.from_arrays(ends(keys), flat)}
             yield pa.RecordBatch.from_pydict(made)
 
-    for side in ("cls", "hub"):
-        pairs = pairs.join(nodes.select(F.col("cls").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("set").alias(f"set_{side}")), side)
-    return pairs.mapInArrow(run, "path long, hub long, cls long, main boolean, linked boolean, k int, z int, few int, most int, edits array<long>, keys array<struct<key: long, counts: boolean>>")
+    return _with_both(pairs, nodes, "bits", "set").mapInArrow(run, "path long, hub long, cls long, main boolean, linked boolean, k int, z int, few int, most int, edits array<long>, keys array<struct<key: long, counts: boolean>>")
 
 
 def _smaller_groups(open_mates: DataFrame) -> DataFrame:
@@ -381,13 +397,14 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
     def unfold(texts: list[str | None]) -> dict:
         h, at = shingle_sets(texts, width)
         own = [h[i:j] for i, j in zip(at, at[1:])]
-        return {"own": content_hash(h, at), "bits": [bitmap(x) for x in own], "set": [x.tobytes() for x in own]}
+        return {"own": content_hash(h, at), "n": np.diff(at), "bits": [bitmap(x) for x in own], "set": [x.tobytes() for x in own]}
 
-    made = [T.StructField("own", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("set", T.BinaryType())]
+    made = [T.StructField("own", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("set", T.BinaryType())]
     texts = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
     nodes = scratch.keep("nodes", map_texts(texts, unfold, made, keep=["cls"]).filter("own = cls").drop("own").dropDuplicates(["cls"]))
 
     often = set_sketch(nodes, sketch_bits)
+    pairs = _may_link(pairs, nodes, p, q)  # so only these fetch their sorted arrays; later levels have few pairs
     links = labels = None
     for level in count():
         compared = scratch.keep(f"compared{level}", _compared(pairs, nodes, often, p, q))
