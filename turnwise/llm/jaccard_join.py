@@ -378,7 +378,7 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
     copied = broadcast_if_small(classes.filter("copies > 1").select("cls", "least"))
     one = live.join(copied, "cls", "left").filter("least is null or doc_id = least").select("cls", "n", F.explode("tiles").alias("tile"))
     shared = scratch.keep("shared", one.groupBy("tile").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("c")).filter("a <> b"))
-    mates = one.join(broadcast_if_small(shared.filter("c > 2").select("tile")), "tile")
+    mates = one.join(broadcast_if_small(shared.filter("c > 2").select("tile"), 2_000_000), "tile")
     if sliced:
         mates = mates.select("cls", F.col("tile").alias("g"))
     else:  # each set in its own band and the one where its smallest link can be
@@ -390,25 +390,31 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
     pairs = scratch.keep("pairs0", twos.distinct().union(_hub_pairs(mates, F.lit(0).cast("long"))))
     scratch.drop("shared", "mates0")
 
-    # Bitmaps and sorted arrays of the classes that meet any other, from one row of each.
-    active = pairs.select(F.explode(F.array("hub", "cls")).alias("cls")).distinct()
-    chosen = classes.join(active, "cls", "left_semi").select("cls", F.col("least").alias("doc_id"))
-
-    def unfold(texts: list[str | None]) -> dict:
-        h, at = shingle_sets(texts, width)
-        own = [h[i:j] for i, j in zip(at, at[1:])]
-        return {"own": content_hash(h, at), "n": np.diff(at), "bits": [bitmap(x) for x in own], "set": [x.tobytes() for x in own]}
-
-    made = [T.StructField("own", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("set", T.BinaryType())]
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
-    nodes = scratch.keep("nodes", map_texts(texts, unfold, made, keep=["cls"]).filter("own = cls").drop("own").dropDuplicates(["cls"]))
-
+    def of_classes(pairs: DataFrame, name: str, made: list[T.StructField], make) -> DataFrame:
+        """cls and what make(hashes, begins) gives, for the classes of pairs, from one row of each."""
+        active = pairs.select(F.explode(F.array("hub", "cls")).alias("cls")).distinct()
+        chosen = scratch.keep(f"chosen_{name}", classes.join(active, "cls", "left_semi").select("cls", F.col("least").alias("doc_id")))
+        rows = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
+
+        def unfold(texts: list[str | None]) -> dict:
+            h, at = shingle_sets(texts, width)
+            return {"own": content_hash(h, at), **make(h, at)}
+
+        out = map_texts(rows, unfold, [T.StructField("own", T.LongType()), *made], keep=["cls"]).filter("own = cls").drop("own").dropDuplicates(["cls"])
+        return scratch.keep(name, out)
+
+    each = lambda h, at: [h[i:j] for i, j in zip(at, at[1:])]
+    bits = [T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType())]
+    bitmaps = of_classes(pairs, "bitmaps", bits, lambda h, at: {"n": np.diff(at), "bits": [bitmap(x) for x in each(h, at)]})
+    pairs = scratch.keep("likely", _may_link(pairs, bitmaps, p, q))  # only these fetch their sorted arrays; later levels have few pairs
+    scratch.drop("pairs0", "bitmaps")
+    sets_of = [*bits, T.StructField("set", T.BinaryType())]
+    nodes = of_classes(pairs, "nodes", sets_of, lambda h, at: {"n": np.diff(at), "bits": [bitmap(x) for x in each(h, at)], "set": [x.tobytes() for x in each(h, at)]})
     often = set_sketch(nodes, sketch_bits)
-    pairs = _may_link(pairs, nodes, p, q)  # so only these fetch their sorted arrays; later levels have few pairs
     links = labels = None
     for level in count():
         compared = scratch.keep(f"compared{level}", _compared(pairs, nodes, often, p, q))
-        scratch.drop(f"pairs{level}")
+        scratch.drop(f"pairs{level}" if level else "likely")
         found = compared.filter("linked").select("hub", "cls")
         if labels is None or not found.isEmpty():
             links = found if links is None else links.union(found)
