@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,24 @@ def test_match_files(spark):
     t = frame(spark, [("dyad00000001_a",), ("dyad00000002_b",), ("dyad00000003_c",)], "stem string")
     m = frame(spark, [("dyad00000001_a_16k", "1_16k"), ("dyad00000001_a", "1"), ("dyad00000002_b_long", "2_long")], "stem string, file string")
     assert {r.stem[-1]: r.media for r in IO.match_files(t, m).collect()} == {"a": "1", "b": "2_long", "c": None}
+    short = IO.match_files(frame(spark, [("d1",), ("d2_x",)], "stem string"), frame(spark, [("d1_long", "l"), ("d2", "no"), ("d2_x_16k", "k")], "stem string, file string"))
+    assert {r.stem: r.media for r in short.collect()} == {"d1": "l", "d2_x": "k"}
+
+
+def test_skewness_of_shifted_values(spark):
+    from turnwise.functions.numeric import skewness
+
+    d = frame(spark, [(1e6 + x,) for x in (0.0, 1.0, 2.0, 3.0, 9.0)], "x double")
+    assert abs(d.agg(skewness(F.col("x"))).first()[0] - pd.Series([0.0, 1.0, 2.0, 3.0, 9.0]).skew()) < 1e-6
+
+
+def test_rank_and_nearest_in_blocks(spark):
+    d = spark.range(500).select(F.col("id"), (F.col("id") * 7 % 500).alias("x")).repartition(7)
+    assert all(r["rank"] == r["x"] + 1 for r in B.with_rank(d, ["x"]).collect())
+    v = frame(spark, [(i, [float(i), 1.0]) for i in range(5)], "i long, v array<double>")
+    w = frame(spark, [(k, [float(k) + 0.1, 1.0]) for k in range(9)], "t long, w array<double>")
+    whole, parts = (sorted(map(tuple, R.nearest(v, "i", "v", w, "t", "w", block=b).collect())) for b in (100, 2))
+    assert whole == parts and len(whole) == 5
 
 
 def test_gap_merge(spark):

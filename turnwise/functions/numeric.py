@@ -36,9 +36,7 @@ def safe_corr(a: Column, b: Column, least: int = 0) -> Column:
 def skewness(x: Column) -> Column:
     """Bias-corrected skewness (G1) as an aggregate; null for fewer than three values or no spread."""
     n = F.count(x).cast("double")
-    mean_square = F.var_pop(x)
-    third = F.avg(x * x * x) - 3 * F.avg(x) * F.avg(x * x) + 2 * F.avg(x) * F.avg(x) * F.avg(x)
-    g1 = third / F.nullif(F.pow(mean_square, F.lit(1.5)), F.lit(0.0))
+    g1 = F.when(F.var_pop(x) > 0, F.skewness(x))
     return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
 
 

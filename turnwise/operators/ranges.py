@@ -270,11 +270,18 @@ def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int
     return sure.unionByName(none).unionByName(between).select(*[F.col("_s")[k].alias(k) for k in keys], *names[1:])
 
 
-def nearest(vectors: DataFrame, item: str, vector: str, targets: DataFrame, target: str, target_vector: str) -> DataFrame:
-    """(item, best, best_sim, second_sim, margin) against a small set of target vectors, kept as one row's array and broadcast by Spark if it fits."""
-    one = targets.agg(F.collect_list(F.struct(F.col(target).alias("t"), F.col(target_vector).alias("v"))).alias("_all"))
-    d = vectors.crossJoin(one)  # one row
-    sims = F.array_sort(F.transform("_all", lambda x: F.struct((-cosine(F.col(vector), x["v"])).alias("d"), x["t"].alias("t"))))
-    d = d.select(item, sims.alias("_s"))
+def nearest(vectors: DataFrame, item: str, vector: str, targets: DataFrame, target: str, target_vector: str, block: int = 1024) -> DataFrame:
+    """(item, best, best_sim, second_sim, margin) against a set of target vectors. Targets are counted first and go in blocks of about so many, each one row's array."""
+    pairs = F.collect_list(F.struct(F.col(target).alias("t"), F.col(target_vector).alias("v"))).alias("_all")
+    blocks = -(-targets.count() // block)
+    by_sim = lambda d: F.array_sort(F.transform("_all", lambda x: F.struct((-cosine(F.col(vector), x["v"])).alias("d"), x["t"].alias("t"))))
+    if blocks <= 1:
+        d = vectors.crossJoin(targets.agg(pairs))  # one row
+        d = d.select(item, by_sim(d).alias("_s"))
+    else:
+        parts = targets.groupBy(F.pmod(F.xxhash64(target), F.lit(blocks)).alias("_b")).agg(pairs)
+        each = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(parts, "_b")
+        best = each.select(item, F.explode(F.slice(by_sim(each), 1, 2)).alias("_s"))
+        d = best.groupBy(item).agg(F.sort_array(F.collect_list("_s")).alias("_s"))  # two of each block
     s = F.col("_s")
     return d.select(item, s[0]["t"].alias("best"), (-s[0]["d"]).alias("best_sim"), (-F.get(s, 1)["d"]).alias("second_sim"), (F.get(s, 1)["d"] - s[0]["d"]).alias("margin"))

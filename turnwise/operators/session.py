@@ -85,7 +85,8 @@ def party_rates(annotated: DataFrame, keys: list[str], speaker: str, rates: dict
 def hashed_counts(words: Column, dims: int = 64) -> Column:
     """A term-count vector by hashed words: the default encoder of question_similarity()."""
     slots = F.transform(words, lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    counted = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    return F.transform(F.array(slots), counted)[0]  # bound once: each word is hashed once, not once a slot
 
 
 def question_similarity(turns: DataFrame, keys: list[str], encode: Callable[[Column], Column], order: list[str], speaker: str = "speaker", question: str = "question", text: str = "text", speakers: tuple[str, str] = ("A", "B")) -> DataFrame:

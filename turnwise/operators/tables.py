@@ -82,12 +82,24 @@ def outliers(df: DataFrame, key: str, columns: list[str], limit: float = 2.5) ->
     return d.join(m, "feature").select(key, "feature", z.alias("z")).filter(F.abs("z") > limit)
 
 
+def with_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """df with its rows' numbers from 1 by order (unique). Rows are dealt to ranges and numbered inside them; only the ranges' sizes are summed up in one task."""
+    from .ranges import _kept
+
+    d = _kept(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return d.join(F.broadcast(starts), "_part").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def candidates(report: DataFrame, name: str, p: str, most: float = 0.10, fallback: int = 3, cap: int | None = None) -> DataFrame:
-    """Rows with p under most; if there are none, the fallback best. At most cap of them, best first."""
-    d = report.filter(F.col(p).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(p, name)))
-    d = d.withColumn("_any", F.max((F.col(p) < most).cast("int")).over(Window.partitionBy(F.lit(0))))
-    d = d.filter(F.when(F.col("_any") == 1, F.col(p) < most).otherwise(F.col("_r") <= fallback)).drop("_any")
-    return (d if cap is None else d.filter(F.col("_r") <= cap)).withColumnRenamed("_r", "rank")
+    """Rows with p under most; if there are none, the fallback best. At most cap of them, best first, with their rank."""
+    d = report.filter(F.col(p).isNotNull())
+    under = d.filter(F.col(p) < most)
+    if not under.isEmpty():
+        return with_rank(under if cap is None else under.orderBy(p, name).limit(cap), [p, name])
+    return with_rank(d.orderBy(p, name).limit(fallback if cap is None else min(cap, fallback)), [p, name])
 
 
 def pivot_report(report: DataFrame, rows: str, columns: str, value: str, names: list[str]) -> DataFrame:

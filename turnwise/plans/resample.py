@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import ratio, safe_corr
 from ..operators.sequence import bh_fdr, switch_pairs
+from ..operators.tables import with_rank
 from .stats import Gram, _fit, commonality, equal_weight, gram, hierarchical, partial_corr, pca_composite
 
 
@@ -143,10 +144,11 @@ def bootstrap_ols(df: DataFrame, y: str, xs: list[str], key: str, n: int = 2_000
     return q.withColumn("crosses_zero", (F.col("lower") <= 0) & (F.col("upper") >= 0))
 
 
-def surrogate_pairs(turns: DataFrame, keys: list[str], order: list[str], speaker: str, value: str, n_pairs: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def surrogate_pairs(turns: DataFrame, keys: list[str], order: list[str], speaker: str, value: str, n_pairs: int | None = None, seed: int = 42, draws: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(real, pseudo) synchronies: a session's own, and of the earlier-turn series of one session with the later-turn series of another, cut to the shorter.
 
-    n_pairs: draws that many session pairs by hash; None takes all ordered pairs (for few sessions: their number is squared).
+    n_pairs: draws that many session pairs by hash; None takes all ordered pairs (for few sessions: their number is squared). draws:
+    (id, x, y) are drawn instead, x of the sessions in order, from 0, and y of the others.
     """
     p = switch_pairs(turns, keys, order, speaker, [value]).filter(F.col(value).isNotNull() & F.col(f"prev_{value}").isNotNull())
     p = p.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -154,17 +156,18 @@ def surrogate_pairs(turns: DataFrame, keys: list[str], order: list[str], speaker
     real = p.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(F.col(f"prev_{value}"), F.col(value), 4).alias("synchrony")).filter("synchrony is not null")
     a = p.select(s.alias("s"), "k", F.col(f"prev_{value}").alias("a"))
     b = p.select(s.alias("o"), "k", F.col(value).alias("b"))
-    if n_pairs is None:
+    if n_pairs is None and draws is None:
         both = a.join(b, "k").filter("s <> o")
     else:
-        ids = p.select(s.alias("s")).distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s")))
+        ids = with_rank(p.select(s.alias("s")).distinct(), ["s"], "i")
         m = ids.count()
-        draws = turns.sparkSession.range(n_pairs).select("id", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(m, 1))).alias("x"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(max(m - 1, 1))).alias("y"))
-        draws = draws.select("id", (F.col("x") + 1).alias("i"), (F.when(F.col("y") >= F.col("x"), F.col("y") + 1).otherwise(F.col("y")) + 1).alias("j"))
-        chosen = draws.join(ids, "i").withColumnRenamed("s", "s1").drop("i").join(ids.withColumnRenamed("s", "s2"), F.col("j") == F.col("i"))
+        drawn = draws if draws is not None else turns.sparkSession.range(n_pairs).select("id", F.xxhash64(F.lit(seed), "id").alias("x"), F.xxhash64(F.lit(seed + 1), "id").alias("y"))
+        x, y = F.pmod("x", F.lit(max(m, 1))), F.pmod("y", F.lit(max(m - 1, 1)))
+        drawn = drawn.select("id", x.alias("x"), y.alias("y")).select("id", (F.col("x") + 1).alias("i"), (F.when(F.col("y") >= F.col("x"), F.col("y") + 1).otherwise(F.col("y")) + 1).alias("j"))
+        chosen = drawn.join(ids, "i").withColumnRenamed("s", "s1").drop("i").join(ids.withColumnRenamed("s", "s2"), F.col("j") == F.col("i"))
         chosen = chosen.select("id", F.col("s1").alias("s"), F.col("s2").alias("o"))
         both = chosen.join(a, "s").join(b, ["o", "k"])
-    group = ["s", "o"] if n_pairs is None else ["id", "s", "o"]
+    group = ["s", "o"] if n_pairs is None and draws is None else ["id", "s", "o"]
     pseudo = both.groupBy(*group).agg(F.count("*").alias("n"), safe_corr(F.col("a"), F.col("b"), 4).alias("synchrony")).filter("synchrony is not null")
     return real, pseudo
 

@@ -137,8 +137,8 @@ def _(t):
     return B.first_sessions(t.turns().select("session", "turn_idx"), ["session"], 20)
 
 
-def _round_trip(t: Tables, df: DataFrame, **o) -> DataFrame:
-    """Written to the shared checkpoint folder (a temporary one in local sessions) and read again."""
+def _new_folder(t: Tables) -> str:
+    """A folder in the shared checkpoint folder (a temporary one in local sessions)."""
     import os
     import tempfile
     import uuid
@@ -149,7 +149,12 @@ def _round_trip(t: Tables, df: DataFrame, **o) -> DataFrame:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="turnwise-")
-    path = os.path.join(base, f"table-{uuid.uuid4().hex}")
+    return os.path.join(base, f"table-{uuid.uuid4().hex}")
+
+
+def _round_trip(t: Tables, df: DataFrame, **o) -> DataFrame:
+    """Written to the shared checkpoint folder and read again."""
+    path = _new_folder(t)
     IO.write_table(df, path, **o)
     reader = t.spark.read.format(o.get("format", "parquet"))
     return reader.load(path)
@@ -391,16 +396,19 @@ def _(t):
 
 
 _PAIRS = "p as (select session, t_start, event_id, lag(speaker) over w prev, speaker, lag(f0) over w a, f0 b from v_prosody window w as (partition by session order by t_start, event_id)), k as (select *, row_number() over (partition by session order by t_start, event_id) k from p where prev <> speaker and a is not null and b is not null)"
-_PSEUDO = "ps as (select x.session s, y.session o, count(*) n, corr(x.a, y.b) r from k x join k y on x.k = y.k and x.session <> y.session where x.session < 30 and y.session < 30 group by 1, 2 having count(*) >= 4)"
+_DRAWN = "ids as (select session, row_number() over (order by session) - 1 i from k group by session), m as (select count(*) m from ids), dr as (select d.range id, (d.range * 104729) % m x, (d.range * 7919) % (m - 1) y from range(2000) d, m), pr as (select id, a.session s, b.session o from dr join ids a on a.i = x join ids b on b.i = y + (y >= x)::int)"
+_PSEUDO = "ps as (select pr.id, s, o, count(*) n, corr(x.a, y.b) r from pr join k x on x.session = s join k y on y.session = o and y.k = x.k group by 1, 2, 3 having count(*) >= 4)"
+
 
+def _pseudo_pairs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The operator's 2,000 pseudo pairs, drawn among all sessions by a rule that SQL can follow."""
+    draws = t.spark.range(2000).select("id", (F.col("id") * 104729).alias("x"), (F.col("id") * 7919).alias("y"))
+    return P.surrogate_pairs(t.prosody(), ["session"], ORDER, "speaker", "f0", draws=draws)
 
-@query("pseudo_pairs", with_views("v_prosody", _PAIRS, _PSEUDO.replace("where x.session < 30 and y.session < 30 ", "where x.pair_id = y.pair_id ").replace("k x", "k x").replace("x.pair_id = y.pair_id", "x.session // 8 = y.session // 8")) + "select s, o, n, r from ps", r="r")
+
+@query("pseudo_pairs", with_views("v_prosody", _PAIRS, _DRAWN, _PSEUDO) + "select id, s, o, n, r from ps where r is not null and not isnan(r)", r="r")
 def _(t):
-    # sessions of one block of eight, so that the pairs grow with the sessions
-    d = t.prosody().withColumn("block", F.floor(F.col("session") / 8))
-    p = Q.switch_pairs(d, ["session"], ORDER, "speaker", ["f0", "block"]).filter("f0 is not null and prev_f0 is not null").withColumn("k", F.row_number().over(Q.in_order(["session"], ORDER)))
-    a, b = p.select("block", "k", F.col("session").alias("s"), F.col("prev_f0").alias("a")), p.select("block", "k", F.col("session").alias("o"), F.col("f0").alias("b"))
-    return a.join(b, ["block", "k"]).filter("s <> o").groupBy("s", "o").agg(F.count("*").alias("n"), N.safe_corr(F.col("a"), F.col("b"), 4).alias("r")).filter("n >= 4")
+    return _pseudo_pairs(t)[1].select("id", F.col("s.session").alias("s"), F.col("o.session").alias("o"), "n", F.col("synchrony").alias("r"))
 
 
 @query("semi_isin", "select event_id from events where event_type in ('error', 'signup')")
@@ -525,10 +533,10 @@ def _(t):
 _CENT = "x as (select session, speaker, generate_subscripts(vec, 1) i, unnest(vec)::double v from v_voice {where}), m as (select session, speaker, i, avg(v) v, count(*) n from x group by 1, 2, 3), c as (select session, speaker, max(n) n, list(v order by i) v, sqrt(sum(v * v)) len from m group by 1, 2)"
 
 
-@query("agg_centroid", with_views("v_voice", _CENT.format(where="where question = 1")) + "select session, speaker, n n_enrolled, v[1] / len c1, v[64] / len c64 from c where n >= 3", r="c1 c64")
+@query("agg_centroid", with_views("v_voice", _CENT.format(where="where question = 1")) + "select session, speaker, n n_enrolled, generate_subscripts(v, 1)::bigint i, unnest(v) / len c from c where n >= 3", r="c")
 def _(t):
     c = R.centroids(t.voice().filter("question = 1"), ["session"], "speaker", "vec", 3)
-    return c.select("session", "speaker", "n_enrolled", F.col("centroid")[0].alias("c1"), F.col("centroid")[63].alias("c64"))
+    return c.select("session", "speaker", "n_enrolled", F.posexplode("centroid").alias("i", "c")).withColumn("i", F.col("i").cast("long") + 1)
 
 
 def _scored(t: Tables):
@@ -885,9 +893,10 @@ def _(t):
     return e.alias("a").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", N.cosine(F.col("embedding"), F.col("other")).alias("c"))
 
 
-@query("fn_unit_norm", "with n as (select vec_id, embedding[1]::double * 3 x, sqrt(list_sum(list_transform(embedding, lambda z: (z::double * 3) ** 2))) len from embeddings) select vec_id, x / len u1 from n", r="u1")
+@query("fn_unit_norm", "with n as (select vec_id, generate_subscripts(embedding, 1)::bigint i, unnest(embedding)::double * 3 x, sqrt(list_sum(list_transform(embedding, lambda z: (z::double * 3) ** 2))) len from embeddings) select vec_id, i, x / len u from n", r="u")
 def _(t):
-    return t.table("embeddings").select("vec_id", N.unit(F.transform("embedding", lambda z: z.cast("double") * 3))[0].alias("u1"))
+    unit = N.unit(F.transform("embedding", lambda z: z.cast("double") * 3))
+    return t.table("embeddings").select("vec_id", F.posexplode(unit).alias("i", "u")).withColumn("i", F.col("i").cast("long") + 1)
 
 
 @query("fn_rms_db", "select vec_id, 20 * log10(sqrt(list_avg(list_transform(embedding, lambda z: z::double * z::double))) + 1e-6) rms_db from embeddings", r="rms_db")
@@ -956,14 +965,17 @@ def _(t):
     return A.equal_weight(t.entities(), ["va_price", "va_qty"], "s").select("pair_id", "s")
 
 
-@query("st_ols", with_views("v_ent") + "select 'va_price' term, regr_slope(acct, va_price) estimate from v_ent union all select 'const', regr_intercept(acct, va_price) from v_ent", r="estimate")
+_SIMPLE = "b as (select count(*)::double n, regr_slope(acct, va_price) b, regr_intercept(acct, va_price) a, regr_sxx(acct, va_price) sxx, avg(va_price) mx, regr_r2(acct, va_price) r2, regr_syy(acct, va_price) * (1 - regr_r2(acct, va_price)) / (count(*) - 2) s2 from v_ent)"
+
+
+@query("st_ols", with_views("v_ent", _SIMPLE) + "select 'va_price' term, b estimate, sqrt(s2 / sxx) se, b / sqrt(s2 / sxx) t, n - 2 df from b union all select 'const', a, sqrt(s2 * (1 / n + mx * mx / sxx)), a / sqrt(s2 * (1 / n + mx * mx / sxx)), n - 2 from b", r="estimate se t df")
 def _(t):
-    return A.ols(t.entities(), "acct", ["va_price"])[0].select("term", "estimate")
+    return A.ols(t.entities(), "acct", ["va_price"])[0].select("term", "estimate", "se", "t", "df")
 
 
-@query("st_ols_fit", with_views("v_ent") + "select count(*) n, regr_r2(acct, va_price) r2 from v_ent", r="r2")
+@query("st_ols_fit", with_views("v_ent", _SIMPLE) + "select n::bigint n, r2, 1 - (1 - r2) * (n - 1) / (n - 2) adj_r2, r2 / ((1 - r2) / (n - 2)) f, n * ln(2 * pi() * s2 * (n - 2) / n) + n + 4 aic, n * ln(2 * pi() * s2 * (n - 2) / n) + n + 2 * ln(n) bic from b", r="r2 adj_r2 f aic bic")
 def _(t):
-    return A.ols(t.entities(), "acct", ["va_price"])[1].select("n", "r2")
+    return A.ols(t.entities(), "acct", ["va_price"])[1].select("n", "r2", "adj_r2", "f", "aic", "bic")
 
 
 _CTRL = "m as (select feature{by}, count(*)::double n, var_pop(y) * count(*) syy, var_pop(v) * count(*) sxx, covar_pop(v, y) * count(*) sxy, var_pop(ord) * count(*) scc, covar_pop(v, ord) * count(*) sxc, covar_pop(y, ord) * count(*) syc from {src} where v is not null and y is not null group by 1{g}), b as (select *, (sxy - sxc * syc / scc) / (sxx - sxc * sxc / scc) beta from m), e as (select *, beta * sxy + (syc - beta * sxc) / scc * syc ex from b)"
@@ -989,9 +1001,12 @@ def _(t):
     return t.spark.createDataFrame([(i, f) for i, f in enumerate(A.select_features(e, A.screen(e, "acct", FEATURES)))], "rank int, feature string")
 
 
-@query("st_hierarchical", with_views("v_ent") + "select count(*) n, regr_r2(acct, va_price) r2_base from v_ent", r="r2_base")
+_TWO = "c as (select count(*)::double n, corr(acct, va_price) ra, corr(acct, va_qty) rb, corr(va_price, va_qty) rx from v_ent where va_price is not null and va_qty is not null), f as (select *, (ra * ra + rb * rb - 2 * ra * rb * rx) / (1 - rx * rx) r2 from c)"
+
+
+@query("st_hierarchical", with_views("v_ent", _TWO) + "select n::bigint n, ra * ra r2_base, r2 r2_full, r2 - ra * ra delta_r2, (r2 - ra * ra) / ((1 - r2) / (n - 3)) f_change, 1.0 df1, n - 3 df2 from f", r="r2_base r2_full delta_r2 f_change df1 df2")
 def _(t):
-    return A.hierarchical(t.entities(), "acct", ["va_price"], ["va_qty", "n_items"]).select("n", "r2_base")
+    return A.hierarchical(t.entities(), "acct", ["va_price"], ["va_qty"]).select("n", "r2_base", "r2_full", "delta_r2", "f_change", "df1", "df2")
 
 
 @query("st_hierarchical_full")
@@ -1049,10 +1064,10 @@ def _(t):
     return A.confound_checks(t.entities(), "acct", ["va_price", "va_qty"], "grp", "tax_asym")
 
 
-@query("st_surrogate", with_views("v_prosody", _PAIRS) + "select count(*) n, avg(r) real_mean from (select corr(a, b) r from k group by session having count(*) >= 4)", r="real_mean")
+@query("st_surrogate", with_views("v_prosody", _PAIRS, _DRAWN, _PSEUDO) + "select * from (select count(*) n, avg(r) real_mean from (select corr(a, b) r from k group by session having count(*) >= 4)), (select count(r) n_pseudo, avg(r) pseudo_mean from ps where not isnan(r))", r="real_mean pseudo_mean")
 def _(t):
-    real, _pseudo = P.surrogate_pairs(t.prosody(), ["session"], ORDER, "speaker", "f0", n_pairs=0)
-    return real.agg(F.count("*").alias("n"), F.avg("synchrony").alias("real_mean"))
+    real, pseudo = _pseudo_pairs(t)
+    return real.agg(F.count("*").alias("n"), F.avg("synchrony").alias("real_mean")).crossJoin(pseudo.agg(F.count("*").alias("n_pseudo"), F.avg("synchrony").alias("pseudo_mean")))  # one row each
 
 
 @query("st_surrogate_test")
@@ -1066,9 +1081,9 @@ def _(t):
     return A.sensitivity(d.withColumns({c: F.round(c, 6) for c in [*FEATURES, "sparse"]}), [*FEATURES, "sparse"], "acct").select("feature", "r_pearson", "r_spearman")
 
 
-@query("st_descriptive", with_views("v_const", _LONG_FEATURES) + "select feature, count(v) n, avg(v) mean, stddev_samp(v) sd, corr(v, acct) r from lf group by 1", r="mean sd r")
+@query("st_descriptive", with_views("v_const", _LONG_FEATURES) + "select feature, count(v) n, avg(v) mean, stddev_samp(v) sd, min(v) \"min\", max(v) \"max\", avg((v is null)::int) * 100 missing_pct, case when stddev_pop(v) > 0 then skewness(v) end skew, corr(v, acct) r from lf group by 1", r="mean sd min max missing_pct skew r")
 def _(t):
-    return A.descriptive_table(t.with_constants(), [*FEATURES, "sparse"], "acct").select("feature", "n", "mean", "sd", "r")
+    return A.descriptive_table(t.with_constants(), [*FEATURES, "sparse"], "acct").select("feature", "n", "mean", "sd", "min", "max", "missing_pct", "skew", "r")
 
 
 @query("st_pearson_test", with_views("v_ent", "c as (select count(*) n, corr(acct, va_price) r from v_ent)") + "select n, r, r * sqrt(n - 2.0) / sqrt(1 - r * r) t from c", r="r t")
@@ -1148,11 +1163,43 @@ def _(t):
     return t.turns().select("session", "turn_idx", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
 
 
+@query("str_ingest", with_views("v_lines") + "select 'block=' || session // 8 as condition, count(*) n_lines from v_lines group by 1")
+def _(t):
+    from .streaming import jobs as J
+
+    # A file for each eight sessions, streamed in once each.
+    base = _new_folder(t)
+    lines = t.lines().select(F.floor(F.col("session") / 8).alias("block"), F.col("line").alias("value"))
+    lines.repartition("block").sortWithinPartitions("block").write.partitionBy("block").text(f"{base}/in")
+    J.run_once(J.ingest_transcripts(t.spark, f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select("condition", (F.size(F.split("value", "\n")) - 1).cast("long").alias("n_lines")).groupBy("condition").agg(F.sum("n_lines").alias("n_lines"))
+
+
+def _streamed(t: Tables, df: DataFrame, base: str) -> DataFrame:
+    df.write.parquet(f"{base}/in")
+    return t.spark.readStream.schema(df.schema).parquet(f"{base}/in")
+
+
+@query("str_switch_state", with_views("v_prosody", "p as (select session, speaker, f0, lag(speaker) over w prev, lag(f0) over w before from v_prosody window w as (partition by session order by event_id))") + "select session, count(*) n_turns, count(*) filter (prev <> speaker) n_switch, coalesce(sum(abs(f0 - before)) filter (prev <> speaker), 0) sum_gap from p group by 1", r="sum_gap")
+def _(t):
+    from .streaming import jobs as J
+
+    base = _new_folder(t)
+    turns = _streamed(t, t.prosody().select("session", "event_id", "speaker", "f0"), base)
+    seen = J.run_batches(J.switch_state(turns, "session", "event_id", "speaker", "f0"), f"{base}/out", f"{base}/state", one_batch=True)
+    last = seen.groupBy("session").agg(F.max_by(F.struct("n_turns", "n_switch", "sum_gap"), "batch").alias("s"))
+    return last.select(long("session"), "s.*")
+
+
 @query("str_session_merge", "with g as (select user_id, event_type, ts, coalesce((ts - lag(ts) over w >= interval 6 hour)::int, 1) nw from events window w as (partition by user_id, event_type order by ts)), r as (select *, sum(nw) over (partition by user_id, event_type order by ts) run from g) select user_id, event_type, count(*) n_cues from r group by user_id, event_type, run")
 def _(t):
-    from .streaming.jobs import session_merge
+    from .streaming import jobs as J
 
-    return session_merge(t.table("events").select("user_id", "event_type", "ts"), ["user_id"], "ts", "6 hours", "event_type").select("user_id", "event_type", "n_cues")
+    base = _new_folder(t)
+    merged = J.session_merge(_streamed(t, t.table("events").select("user_id", "event_type", "ts"), base), ["user_id"], "ts", "6 hours", "event_type")
+    seen = J.run_batches(merged, f"{base}/out", f"{base}/state", "complete")
+    last = seen.agg(F.max("batch").alias("batch"))
+    return seen.join(F.broadcast(last), "batch").select("user_id", "event_type", "n_cues")  # one row
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

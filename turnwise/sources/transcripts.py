@@ -73,9 +73,9 @@ def match_files(transcripts: DataFrame, media: DataFrame, suffixes: tuple[str, .
     t = transcripts.select("stem").distinct()
     wanted = t.select("stem", F.explode(F.array(*[F.struct(F.concat("stem", F.lit(s)).alias("m"), F.lit(i).alias("rank")) for i, s in enumerate(suffixes)])).alias("_w")).select("stem", "_w.*")
     exact = media.select(F.col("stem").alias("m"), F.col("file").alias("media")).join(wanted, "m").select("stem", "media", "rank")
-    # A stem's first 12 characters name its session; prefixes are compared inside it, not with all files.
-    head = lambda c: F.substring(c, 1, 12)
-    loose = t.withColumn("_h", head("stem")).join(media.select(F.col("stem").alias("m"), F.col("file").alias("media")).withColumn("_h", head("m")), "_h").filter(F.startswith("m", F.col("stem"))).select("stem", "media", F.lit(len(suffixes)).alias("rank"))
+    # Each media stem under all its beginnings, the best file of each: an equi-join finds those that start with a stem of any length.
+    starts = media.select(F.col("file").alias("media"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1))), lambda n: F.substring("stem", F.lit(1), n))).alias("stem"))
+    loose = starts.groupBy("stem").agg(F.min("media").alias("media")).join(t, "stem").select("stem", "media", F.lit(len(suffixes)).alias("rank"))
     best = exact.union(loose).groupBy("stem").agg(F.min_by("media", F.struct("rank", "media")).alias("media"))
     return transcripts.join(best, "stem", "left")
 

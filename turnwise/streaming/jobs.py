@@ -22,6 +22,16 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, format: str = "parque
     return stream.writeStream.format(format).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
 
 
+def run_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "update", one_batch: bool = False) -> DataFrame:
+    """Processes what there is, then gives what the batches put out, with their number as batch. For streams that update rows or put out all of them each time.
+
+    one_batch: all there is at once; for state with processing-time timeouts, which else wait for the next batch without end.
+    """
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**{"once" if one_batch else "availableNow": True})
+    query.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start().awaitTermination()
+    return stream.sparkSession.read.parquet(out)
+
+
 def session_merge(cues: DataFrame, keys: list[str], ts: str, gap: str, speaker: str = "speaker", late: str = "1 hour") -> DataFrame:
     """(keys, speaker, t_start, t_end, n_cues): bursts of one speaker's cues no more than gap apart.
 
