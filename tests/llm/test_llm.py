@@ -268,7 +268,7 @@ def test_shared_edits_are_in_their_places():
                 assert all(k <= (z if near[1 - i] is False and near[i] else most) for i, (k, (z, _, most)) in enumerate(zip(at, bounds)))
                 if not any(near):
                     assert all(k <= z for k, (z, _, _) in zip(at, bounds)) and any(k <= few for k, (_, few, _) in zip(at, bounds))
-                (k1, c1), (k2, c2) = (jaccard_join.far_keys(e, n, *b) for e, n, b in zip(edits, near, bounds))
+                (k1, c1), (k2, c2) = (jaccard_join.far_keys(e, n, *b, jaccard_join.meets_links(len(e), len(x), len(hub), p, q)) for e, n, b, x in zip(edits, near, bounds, sets))
                 assert any(c1[k1 == k].any() or c2[k2 == k].any() for k in np.intersect1d(k1, k2))
     assert tried > 100
 

@@ -51,8 +51,8 @@ OTHER_KIND = np.uint64(0xA5A5A5A55A5A5A5A)
 #: A mate with more than so many times the edits that a link of its hub can have at most is far from it.
 FAR = 4
 #: Below so many rows outside a group's largest component so far, each of them is a hub.
-SMALL = 16
-_word_hash = BoundedCache(xxhash.xxh3_64_intdigest)
+SMALL = 24
+_word_hash = BoundedCache(xxhash.xxh3_64_intdigest, 60_000)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 
 
@@ -252,11 +252,16 @@ def limits(k: int, n: int, n_hub: int, p: int, q: int) -> tuple[int, int, int]:
     return min(places(k, n, n_hub, p, q), most), n * (q - p) // (2 * p) + 1, most
 
 
-def far_keys(edits: np.ndarray, linked: bool, z: int, few: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def meets_links(k: int, n: int, n_hub: int, p: int, q: int) -> bool:
+    """Whether a mate with k edits can link with a link of the hub: both differ by c (n + n_hub) at most, where their sizes are n q / p at most."""
+    return k * p * (p + q) <= (q - p) * (2 * q * min(n, n_hub) + p * (n + n_hub))
+
+
+def far_keys(edits: np.ndarray, linked: bool, z: int, few: int, most: int, meets: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The edits under which a mate far from its hub goes on, as 64-bit keys, and which of them make a group count."""
     if linked:
         return mix64(edits[:z]), np.ones(len(edits[:z]), bool)
-    met, own = edits[:most], edits[:z]
+    met, own = edits[: most * meets], edits[:z]
     return np.concatenate((mix64(met), mix64(own ^ OTHER_KIND))), np.concatenate((np.zeros(len(met), bool), np.arange(len(own)) < few))
 
 
@@ -295,7 +300,7 @@ def _compared(pairs: DataFrame, nodes: DataFrame, sketch: np.ndarray, p: int, q:
                 bound = FAR * (len(y) * (q - p) // p + 1)
                 rows.append((link, len(own), z, few, most))
                 edits.append(own if len(own) <= bound else NONE)
-                key, count = far_keys(by_sketch(new, missing, sketch), link, z, few, most) if len(own) > bound - most else (NONE, np.zeros(0, bool))
+                key, count = far_keys(by_sketch(new, missing, sketch), link, z, few, most, meets_links(len(own), len(x), len(y), p, q)) if len(own) > bound - most else (NONE, np.zeros(0, bool))
                 keys.append(key)
                 counts.append(count)
             link, k, z, few, most = zip(*rows)

@@ -52,7 +52,7 @@ def word_ids(path: str):
         symbols = core if core.isascii() else core.encode().decode("latin-1").translate(shown)
         return np.array([t.id for t in model.tokenize(symbols)], "<u4").tobytes()
 
-    cores = BoundedCache(encode_core, 500_000)
+    cores = BoundedCache(encode_core, 300_000)
 
     def core(word: str) -> bytes:
         # Lower-casing is the tokenizer's own, letter by letter; these two differ in context or length.
@@ -64,7 +64,7 @@ def word_ids(path: str):
             return core(text[:-1]) + cores[text[-1]]
         return core(text) if text.isalpha() else encode(text)
 
-    return BoundedCache(split, 800_000)
+    return BoundedCache(split, 500_000)
 
 
 def token_bytes(text: str | None, words: BoundedCache, end_id: int) -> bytes:
