@@ -78,13 +78,21 @@ def test_quality_rules_removes_shared_lines(spark, empty):
     shared = " ".join(f"shared{j}" for j in range(51)) + " "
     own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
     rows = [(i, f"{shared}\n{own(i, 20)}", "en", "h", 0) for i in range(30)] + [(100 + i, f"{shared}\n{own(i, 200)}", "en", "h", 0) for i in range(5)] + [(200 + i, f"{shared}\n{own(i, 20)}", "en", "other", 0) for i in range(5)]
-    # copies of one text are one document
-    rows += [(300 + i, shared + own(7, 60), "en", "copies", 0) for i in range(40)]
-    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not any(got[i] for i in range(30)) and all(got[i] for i in got if i >= 100 and i < 300)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
+    assert not any(got[i] for i in range(30)) and all(got[i] for i in got if i >= 100)
+    assert all(r.kept for r in quality_rules.quality_rules(docs, max_percent=90).filter("doc_id >= 200").collect())
     assert quality_rules.quality_rules(empty).count() == 0
-    counts = quality_rules.quality_rules(spark.createDataFrame([(i, own(3, 80), "en", "c", 0) for i in range(40)], SCHEMA)).collect()
-    assert all(r.kept for r in counts)
+    copies = spark.createDataFrame([(i, own(3, 80), "en", "c", 0) for i in range(40)], SCHEMA)
+    assert not any(r.kept for r in quality_rules.quality_rules(copies).collect())
+    assert all(r.kept for r in quality_rules.quality_rules(copies, copies_are_one=True).collect())
+    twice = quality_rules.quality_rules(docs.union(docs.filter("doc_id < 20"))).filter("doc_id < 30").collect()
+    assert len(twice) == 50 and {(r.n_line_words, r.n_removed_words) for r in twice} == {(71, 51)}
+
+
+def test_quality_rules_bite_where_sql_checks_them(spark):
+    got = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg(F.sum((F.col("n_removed_words") > 0).cast("int")), F.sum((F.col("n_removed_words") * 100 > F.col("n_line_words") * 30).cast("int"))).first()
+    assert got[0] > 50 and got[1] > 0
 
 
 def test_piece_encoding_matches_library(spark, docs, odd, empty):
@@ -297,6 +305,10 @@ def test_license_scan(spark, odd, empty):
     text = "x\nPermission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the Software without\nMIT license released under the\n"
     found = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert found.labels == "mit,mit-grant" and found.base_labels == ""
+    wrapped = "x\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction.\n \nÀ CC BY"
+    found = license_scan.license_scan(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).first()
+    assert found.labels == "cc-by,mit-grant" and found.base_labels == "cc-by" and found.first_word == found.n_words - 2
+    assert license_scan.license_words(F.lit("x")) is not None and spark.range(1).select(license_scan.license_words(F.lit("ÀB c"))).first()[0] == ["Àb", "c"]
     assert license_scan.license_scan(empty).count() == 0
 
 
@@ -307,8 +319,8 @@ def test_license_join_equals_brute_force(docs):
     tokens = license_scan.template_tokens(templates)
     want = set()
     for i, t in texts_of(docs):
-        for b, line in enumerate(t.split("\n")):
-            own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()))
+        for b, part in enumerate(re.split(r"\n[\x20\x09-\x0D]*\n", t)):
+            own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), part)))
             want |= {(i, b, k) for k, v in tokens.items() if len(own & set(v)) >= -(-len(v) * 6 // 10)}
     assert got == want and got
 
@@ -449,6 +461,13 @@ def test_next_row_over_buckets(spark):
     ids = [0, 1, 2, 3, 500, 501, 10_000, 99_999, 100_000, 7_000_000]
     d = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     got = {r.doc_id: r["after"]["text"] for r in fingerprints.with_next(d, per_bucket=2).collect()}
+    far = [-9_000_000_000_000_000_000, *range(1, 4000), 1_000_000_000_000_000, 9_000_000_000_000_000_000]
+    table = spark.createDataFrame([(i, f"t{i}") for i in far] + [(None, f"n{i}") for i in range(3000)], "doc_id long, text string")
+    sizes = {r.bucket: r["count"] for r in fingerprints.with_buckets(table, per_bucket=100).groupBy("bucket").count().collect()}
+    assert len(sizes) > 50 and max(sizes.values()) < 400
+    after = {r.doc_id: r["after"]["text"] for r in fingerprints.with_next(table.filter("doc_id is not null"), per_bucket=100).collect()}
+    down = sorted(far, reverse=True)
+    assert after == {i: f"t{down[(k + 1) % len(down)]}" for k, i in enumerate(down)}
     order = sorted(ids, reverse=True)
     assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
     buckets = spark.createDataFrame([(i * 3,) for i in range(100)], "bucket long")
@@ -499,8 +518,10 @@ def test_word_ids_equal_whole_text(docs):
 
     path = entry.tokenizer_path("word_bpe_49k.json")
     tokenizer, cache = Tokenizer.from_file(path), packing.word_ids(path)
-    odd_texts = ["Don't I'LL we've 12ab3. É́x, Σας ΣΑΣ İstanbul", "a b   c", "<|endoftext|> x <|startoftext|>y", "日本語。テスト ١٢٣ ²³ ½", "x́ ́y ...,, .", "A.B,C 3.14, 1,000."]
-    for text in odd_texts + [t for _, t in texts_of(docs)][:80]:
+    odd_texts = ["Don't I'LL we've 12ab3. É́x, Σας ΣΑΣ İstanbul", "a b   c", "<|endoftext|> x <|startoftext|>y", "日本語。テスト ١٢٣ ²³ ½", "x́ ́y ...,, .", "lİ, İ. İİ., aİ", "A.B,C 3.14, 1,000."]
+    rng = np.random.default_rng(6)
+    fuzz = ["".join(rng.choice(list("aBzİıΣσςéÉß.,'1 -ñ\u0301\u4e2d"), 12)) for _ in range(3000)]
+    for text in odd_texts + fuzz + [t for _, t in texts_of(docs)][:80]:
         got = np.frombuffer(packing.token_bytes(text, cache, 1), "<u4").tolist()
         assert got == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text[:50]
 
