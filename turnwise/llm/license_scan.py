@@ -28,11 +28,13 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "proprietary": "This document is confidential and proprietary; no part may be reproduced without prior written permission.",
 }
+#: Between paragraphs.
+BLANK_LINES = r"\n[\x20\x09-\x0D]*\n"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def license_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
+    return F.array_remove(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), NOT_WORD), "")
 
 
 def template_tokens(templates: dict[str, str]) -> dict[str, list[str]]:
@@ -42,14 +44,17 @@ def template_tokens(templates: dict[str, str]) -> dict[str, list[str]]:
 
 
 def matching_blocks(docs: DataFrame, templates: dict[str, str], share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block, label, containment) for each text block (line) that has at least share of a template's words."""
+    """(doc_id, block, label, containment) for each text block that has at least share of a template's words.
+
+    A block is a paragraph, the lines between blank lines: it has the words of each of its lines, so a notice is found in one line or wrapped.
+    """
     spark = docs.sparkSession
     tokens = template_tokens(templates)
     vocabulary = sorted({w for t in tokens.values() for w in t})
     need = {k: ceil(share * len(t) - 1e-9) for k, t in tokens.items()}
     known = F.array(*[F.lit(w) for w in vocabulary])
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block", "_line"))
-    blocks = lines.select("doc_id", "block", F.array_intersect(license_words(F.col("_line")), known).alias("words")).filter(F.size("words") > 0)
+    paragraphs = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), BLANK_LINES)).alias("block", "_text"))
+    blocks = paragraphs.select("doc_id", "block", F.array_intersect(license_words(F.col("_text")), known).alias("words")).filter(F.size("words") > 0)
     counted = blocks.select(F.explode("words").alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counted.collect()}  # at most the words of the templates
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
@@ -84,7 +89,7 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count, first, last, labels = long(0), [], [], []
     for phrase, label in phrases.items():
         found = F.contains(s, F.lit(f" {phrase} "))
-        pieces = F.split(s, f" {phrase}(?= )")
+        pieces = F.split(s, rf" \Q{phrase}\E(?= )")
         count = count + F.when(found, (F.size(pieces) - 1).cast("long")).otherwise(0)
         first.append(F.when(found, let(pieces, lambda p: starts(p[0]))))
         tail = len(phrase.split(" "))
@@ -97,7 +102,7 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, share: float = 0.9) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
-    labels are the phrases' and those of templates of which a line has at least share of the distinct words; score is 1
+    labels are the phrases' and those of templates of which a paragraph has at least share of the distinct words; score is 1
     with a phrase, else the best containment, else 0. A-Z is lower-cased; null and empty texts have no words, no labels
     ('') and null places. Rows that repeat an id and text get equal results; rows with a null id get their phrases only.
     """
@@ -120,11 +125,11 @@ def op5_sql(templates: dict[str, str] = TEMPLATES, share: float = 0.9) -> str:
         for n in [len(phrase.split(" "))]
     )
     return rf"""
-with d as (select doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{NOT_WORD}'), lambda x: x <> '') w from documents),
+with d as (select doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWcoalesce(text, '')YZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORD}'), lambda x: x <> '') w from documents),
 h as ({hits}),
 b as (select doc_id, count(*) n_base, min(p) first_word, max(p) last_word, list(distinct label) base from h group by doc_id),
 tpl as (select * from (values {values}) v(label, words, need)),
-ln as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(l), '{NOT_WORD}'), lambda x: x <> '')) lw from (select doc_id, unnest(string_split(t, chr(10))) l from d) where length(l) > 0),
+ln as (select doc_id, list_distinct(list_filter(regexp_split_to_array(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWlYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORD}'), lambda x: x <> '')) lw from (select doc_id, unnest(regexp_split_to_array(t, '{BLANK_LINES}')) l from d) where length(l) > 0),
 m as (select doc_id, label, len(list_intersect(words, lw)) / len(words)::double c from ln join tpl on len(list_intersect(words, lw)) >= need),
 x as (select doc_id, list(distinct label) extra, max(c) best from m group by doc_id)
 select d.doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(array_to_string(list_sort(base), ','), '') base_labels,
