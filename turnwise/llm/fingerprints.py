@@ -97,23 +97,49 @@ def next_bucket(level: DataFrame, fan: int = 1024) -> DataFrame:
     return inside.join(follow, "run").join(heads.select(F.col("run").alias("next_run"), "head"), "next_run").select("bucket", F.coalesce("next", "head").alias("next"))
 
 
+def with_buckets(docs: DataFrame, per_bucket: int = 1024, bins: int = 1024) -> DataFrame:
+    """docs (doc_id, text) with bucket, a long that grows with doc_id, of about per_bucket rows however the ids are spread.
+
+    Ids are cut at quantiles (a sketch of fixed size, at most bins of them) and each bin into equal ranges. Null ids have the lowest buckets, by a hash of
+    their texts. Rows that share an id share a bucket.
+    """
+    shares = [i / bins for i in range(1, bins)]
+    rows, ids, low, high, cuts = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", shares, 10_000)).first()
+    lost = max(1, -(-(rows - ids) // per_bucket))
+    null_bucket = -1 - F.pmod(F.shiftrightunsigned(F.xxhash64("text"), 1), F.lit(lost))
+    if not ids:
+        return docs.withColumn("bucket", null_bucket)
+    wanted = max(1, min(bins, ids // per_bucket))
+    edges = sorted({low, *[c for c in cuts[bins // wanted - 1 :: bins // wanted] if c > low]})
+    inside = max(1, -(-ids // (len(edges) * per_bucket)))
+    step = 32
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    upto = lambda array: F.size(F.filter(array, lambda e: e <= F.col("doc_id")))
+    # How many edges are at or below an id: first among each 32nd, then among the 32 that follow that one.
+    coarse = upto(longs(edges[::step])) - 1
+    d = docs.withColumn("_c", coarse)
+    d = d.withColumn("_bin", F.col("_c") * step + upto(F.slice(longs(edges), F.greatest("_c", F.lit(0)) * step + 1, F.lit(step))) - 1)
+    begin, end = F.get(longs(edges), F.col("_bin")).cast("double"), F.get(longs([*edges[1:], high]), F.col("_bin")).cast("double")
+    share = (F.col("doc_id").cast("double") - begin) / F.greatest(end - begin, F.lit(1.0))
+    own = F.col("_bin").cast("long") * inside + F.least(F.floor(share * inside), F.lit(inside - 1))
+    return d.withColumn("bucket", F.when(F.col("doc_id").isNull(), null_bucket).otherwise(own)).drop("_c", "_bin")
+
+
 def with_next(docs: DataFrame, width: int = 5, per_bucket: int = 1024) -> DataFrame:
     """docs (doc_id, text) with own (its packed fingerprint) and after {text, own}, the row that follows by descending id; after the last comes the first.
 
     Rows are dealt to id buckets of about per_bucket rows (one exchange of the texts), and lead() runs inside a bucket. Only a bucket's
-    last row needs the first row of another bucket. Equal ids are ordered by text; null ids come last.
+    last row needs the first row of another bucket. Equal ids are ordered by text; null ids come last, ordered by hash and text.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    span = max(1, -(-(high - low + 1) * per_bucket // max(1, n)))
-    d = docs.withColumn("bucket", F.coalesce(F.expr(f"(doc_id - ({low}L)) div {span}L"), F.lit(-1).cast("long")))
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    d = with_buckets(docs, per_bucket).withColumn("tie", tie)
     best = cut_lineage(d.groupBy("bucket").agg(F.max("doc_id").alias("top")))
     links = next_bucket(best.select("bucket"))
     wanted = best if best.count() > 100_000 else F.broadcast(best)
     first = d.join(wanted.select(F.col("bucket").alias("next"), "top"), (d["bucket"] == F.col("next")) & d["doc_id"].eqNullSafe(F.col("top")))
-    first = first.groupBy("next").agg(F.min("text").alias("text")).select("next", F.struct("text", fingerprint(F.col("text"), width).alias("own")).alias("head"))
+    first = first.groupBy("next").agg(F.min(F.struct("tie", "text")).alias("first")).select("next", F.struct("first.text", fingerprint(F.col("first.text"), width).alias("own")).alias("head"))
     heads = cut_lineage(links.join(first, "next").select(F.col("bucket").alias("of"), "head"))
-    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
+    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie", "text")
     run = d.withColumn("own", fingerprint(F.col("text"), width))
     run = run.select("*", F.lead(F.struct("text", "own")).over(w).alias("inside"))
     out = run.join(heads, (run["bucket"] == heads["of"]) & run["inside"].isNull(), "left")
@@ -124,7 +150,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the next document. Empty and null texts have
-    the fingerprint ''. Equal texts have equal fingerprints.
+    the fingerprint ''. Equal texts have equal fingerprints. Rows that repeat an id follow each other by text, rows with a null id come after all others.
     """
     d = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), width)
     cut = F.floor(F.length("text") / 3).cast("int")
