@@ -55,11 +55,13 @@ def word_ids(path: str):
     cores = BoundedCache(encode_core, 300_000)
 
     def core(word: str) -> bytes:
-        # Lower-casing is the tokenizer's own, letter by letter; these two differ in context or length.
-        return cores[word if "\u03a3" in word or "\u0130" in word else word.lower()]
+        # Lower-casing is the tokenizer's own, letter by letter; a sigma differs in context.
+        return cores[word if "\u03a3" in word else word.lower()]
 
     def split(word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
+        if "\u0130" in text:  # its lower case ends in a combining mark, which joins what follows
+            return encode(text)
         if text[-1] in ".," and text[:-1].isalpha():
             return core(text[:-1]) + cores[text[-1]]
         return core(text) if text.isalpha() else encode(text)
