@@ -5,8 +5,8 @@ each normalised byte the original byte it comes from. White space becomes U+2581
 Pieces are merged best score first, and each piece is projected through the record to a span of original bytes.
 
 In a vocabulary where U+2581 stands only at the start of pieces (or in runs of it), no merge crosses the start of a
-word, so a batch's different words are encoded once each and kept in a bounded cache; else a text is one run. Words are
-merged by the library where its normaliser leaves them as they are, and else by merge() here.
+word, so a batch's different words are merged once each and kept in a bounded cache; else a text is one run. A model
+whose map is empty leaves texts as they are. All ids come from the merges here; the library only decodes.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 SPACE = "▁"
+NEVER = float("inf")
 
 
 class CharacterMap:
@@ -90,6 +92,7 @@ class PieceModel:
         if proto.trainer_spec.model_type != 2 or proto.normalizer_spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix or not proto.normalizer_spec.escape_whitespaces or any(p.type in (4, 5) for p in proto.pieces):
             raise ValueError("only BPE models without user-defined symbols and white-space removal are covered")
         self.pieces = {p.piece: (p.score, i) for i, p in enumerate(proto.pieces) if p.type == 1}
+        self.rank = {p: -score for p, (score, _) in self.pieces.items()}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.begin, self.end = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
@@ -99,12 +102,26 @@ class PieceModel:
         self.runs = None if whole else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.cache: dict[str, tuple[bytes, bytes]] = {}
         self.held = 0  # characters of long runs in the cache
-        # Normalised characters by id; for bytes, those that a character's first byte starts.
-        self.length = np.array([len(p.piece) for p in proto.pieces], "<u4")
-        self.is_byte = np.array([p.type == 6 for p in proto.pieces])
 
     def merge(self, run: str) -> list[str]:
         """Best-scored neighbours first, the left one of equals, as long as a merged piece is in the vocabulary."""
+        return self._merge_short(run) if len(run) <= 64 else self._merge_long(run)
+
+    def _merge_short(self, run: str) -> list[str]:
+        part = list(run)
+        rank = self.rank.get
+        ranks = [rank(x + y, NEVER) for x, y in zip(part, part[1:])]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            part[i] += part.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(part[i] + part[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(part[i - 1] + part[i], NEVER)
+        return part
+
+    def _merge_long(self, run: str) -> list[str]:
         part: list[str | None] = list(run)
         left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -148,19 +165,9 @@ class PieceModel:
         """Puts the runs that aren't in the cache there."""
         new = [r for r in runs if r not in self.cache]
         self.held += sum(len(r) for r in new if len(r) > 64)
-        plain = not self.map.units and self.dummy and self.bytes and self.runs
-        # The library puts the dummy prefix in front itself. It is given whole runs, so its merges are those of the text.
-        theirs = [r for r in new if plain and r[0] == SPACE]
-        if theirs:
-            for run, ids in zip(theirs, self.library.encode([r[1:].replace(SPACE, " ") if len(r) > 1 else "" for r in theirs], num_threads=1)):
-                got = np.array(ids, "<u4")
-                if len(run) == 1 or self.is_byte[got].any():
-                    continue
-                self.cache[run] = got.tobytes(), self.length[got].tobytes()
         for run in new:
-            if run not in self.cache:
-                ids, chars = self._own(run)
-                self.cache[run] = np.array(ids, "<u4").tobytes(), np.array(chars, "<u4").tobytes()
+            ids, chars = self._own(run)
+            self.cache[run] = array("I", ids).tobytes(), array("I", chars).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """encode() of each text; the batch's new runs are encoded together. The cache holds cache_limit runs and those of one batch at most."""
