@@ -165,6 +165,70 @@ def test_character_map_matches_library():
     assert normal == "xfiy" and source.tolist() == [0, 1, 1, 4, 5]
 
 
+def test_random_character_maps_match_library():
+    """300 random rules: keys that are prefixes of others, several bytes long, next to characters without a rule."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = np.random.default_rng(12)
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(entry.tokenizer_path("piece_bpe_32k.model"), "rb").read())
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    for _ in range(30):
+        rules = {draw("abcéﬁ漢", rng.integers(1, 4)): draw("xyz é2th", rng.integers(1, 4)).strip() or "q" for _ in range(10)}
+        targets, at = b"", {}
+        for k, v in rules.items():
+            at[k.encode()] = len(targets)
+            targets += v.encode() + b"\0"
+        proto.normalizer_spec.precompiled_charsmap = darts(at) + targets
+        blob = proto.SerializeToString()
+        model, library = piece_encoding.PieceModel(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
+        for _ in range(30):
+            text = draw("abcéﬁ漢d .", rng.integers(1, 30))
+            ids, begins, ends = model.encode(text)
+            assert ids.tolist() == library.encode(text), (rules, text)
+            assert (begins[1:] == ends[:-1]).all() and ends[-1] == len(text.encode())
+
+
+def plain_statistics(text):
+    w, raw = words(text), (text or "").encode()
+    if not w:
+        return [0.0] * 12
+    count = lambda pattern: len(re.findall(pattern, raw))
+    b, upper, lower = [x.encode() for x in w], count(rb"[A-Z]"), count(rb"[a-z]")
+    same, seen = sum(x == y for x, y in zip(b, b[1:])), len({tuple(b[i : i + 3]) for i in range(len(b) - 2)})
+    return [count(rb"[#*$%&<>]") / len(b), count(rb"\|") / len(b), count(rb"!") / len(b), upper / max(1, upper + lower), count(rb"[0-9]") / len(raw), count(rb"[.,]") / len(b), count(rb"\n") / len(b), np.log(len(raw) / len(b)), same / len(b), len(set(b)) / len(b) ** 0.9, 1 - seen / (len(b) - 2) if len(b) > 2 else 0.0, (upper + lower + count(rb"[\x80-\xff]")) / len(raw)]
+
+
+def test_quality_classifier_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    train = quality_classifier.training_labels(labels).filter("doc_id is not null and label in (0, 1)")
+    rows = docs.join(train.withColumn("h", F.xxhash64("doc_id", F.lit(7))), "doc_id").select("text", "label", "h").collect()
+    x, y = np.array([plain_statistics(r.text) for r in rows]), np.array([float(r.label) for r in rows])
+    fit = np.array([r.h & 1 == 0 for r in rows])
+    rng = np.random.default_rng(7)
+    weights, phase = rng.normal(0, np.sqrt(0.1), (12, 256)), rng.uniform(0, 2 * np.pi, 256)
+    scale = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    feature = lambda s: np.column_stack([np.cos(np.clip((s - x.mean(0)) / scale, -6, 6) @ weights + phase) * np.sqrt(2 / 256), np.ones(len(s))])
+    # Ridge as least squares over rows of the penalty's root.
+    penalty = np.sqrt(np.append(np.full(256, 1e-3 * fit.sum() / 256), 0) + 1e-9)
+    beta = np.linalg.lstsq(np.vstack([feature(x[fit]), np.diag(penalty)]), np.append(y[fit], np.zeros(257)), rcond=None)[0]
+    raw = feature(x[~fit]) @ beta
+    order = np.argsort(raw, kind="stable")
+    r, z = raw[order], y[~fit][order]
+    sums = np.concatenate(([0], np.cumsum(z)))
+    # The isotonic value of a row: over all begins up to it the largest, over all ends from it the least mean.
+    mean = lambda i, j: (sums[j] - sums[i]) / (j - i)
+    value = np.array([max(min(mean(i, j) for j in range(k + 1, len(z) + 1)) for i in range(k + 1)) for k in range(len(z))]).round(12)
+    blocks = [np.flatnonzero(value == v) for v in np.unique(value)]
+    knots = [r[b].mean() for b in blocks], np.maximum.accumulate([(z[b].sum() + 0.5) / (len(b) + 1) for b in blocks])
+    every = docs.select("doc_id", "text").collect()
+    want = dict(zip([d.doc_id for d in every], np.interp(feature(np.array([plain_statistics(d.text) for d in every])) @ beta, *knots)))
+    got = {d.doc_id: d.score for d in quality_classifier.quality_scores(docs, labels).collect()}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-4
+
+
 def test_quality_classifier(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -559,3 +623,20 @@ def test_pipeline(spark):
         kept = spark.createDataFrame(rows, docs.schema)
     assert kept.count() < docs.count()
     assert check_packing(corpus_pipeline.run(spark, sf).collect(), texts_of(kept)) < 2048
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        kept[name] = sorted(str(r.doc_id) for r in out.collect())
+        assert stage(spark, empty, sf).count() == 0, name
+    assert not set(kept["language"]) & {"1", "2", "3"} and set(kept["quality"]) <= {str(i) for i, _ in ODD} | {"None"}
+    assert kept["near_duplicates"] == sorted(["1", "10", "2", "3", "4", "5", "6", "8", "9", "None"])
+    name, pack = corpus_pipeline.STAGES[-1]
+    packed = pack(spark, odd, sf)
+    assert packed.groupBy("doc_id").agg(F.sum("length")).count() == 11 and pack(spark, empty, sf).count() == 0
