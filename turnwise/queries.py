@@ -307,9 +307,9 @@ def _(t):
 # --- joins ---------------------------------------------------------------------------------------------------------------
 
 
-@query("join_left_features", with_views("v_out v_coll".replace("v_coll", "v_coll")) + "select v_out.pair_id, acct, va_price, n_items from v_out left join (select * from v_coll where pair_id % 3 > 0) c using (pair_id)", r="va_price n_items")
+@query("join_left_features", with_views("v_out v_coll") + "select v_out.pair_id, acct, va_price, n_items from v_out left join v_coll c using (pair_id)", r="va_price n_items")
 def _(t):
-    c = S.collapse(t.session_features(), "pair_id").filter("pair_id % 3 > 0").withColumn("acct", F.lit(0.0))
+    c = S.collapse(t.session_features(), "pair_id").withColumn("acct", F.lit(0.0))
     return S.merge_features(t.outcomes().select("pair_id", "acct"), c.select("pair_id", "acct", "va_price"), c.select("pair_id", "n_items"), key="pair_id")
 
 
@@ -854,11 +854,16 @@ _fn("fn_norm_text", lambda: X.norm_text(F.col("text")), "trim(regexp_replace(low
 _fn("fn_tokens", lambda: F.array_join(X.tokens(F.col("text")), "|"), f"array_to_string({TOK}, '|')")
 _fn("fn_strip_punct", lambda: X.strip_punct(F.col("text")), "trim(text, '.,!?')")
 _fn("fn_clean_quotes", lambda: X.clean_quotes(F.concat(F.lit("‘"), F.col("text"), F.lit("”…"))), "'''' || regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') || '\"...'")
-_fn("fn_num", lambda: X.number(F.substring("text", 1, 1).try_cast("string")), "try_cast(substr(text, 1, 1) as double)")
 _fn("fn_signed_sentiment", lambda: X.signed_sentiment(F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), (F.col("sentiment") + 2).cast("int")), F.lit(0.75)), "sentiment * 0.75", "v_annot", source="annotated", r="signed_sentiment")
 _fn("fn_wps", lambda: X.words_per_second(F.size(X.tokens(F.col("text"))), F.length("text") / 15.0), f"len({TOK}) / greatest(1e-6, length(text) / 15.0)", r="wps")
 
 
+@query("fn_num", "select event_id, try_cast(json_extract_string(props, '$.k') as double) num, try_cast('-' || value::varchar as double) signed, try_cast(event_type as double) none from events", r="num signed none")
+def _(t):
+    e = t.table("events")
+    return e.select("event_id", X.number(F.get_json_object("props", "$.k")).alias("num"), X.number(F.concat(F.lit("-"), F.col("value").cast("string"))).alias("signed"), X.number(F.col("event_type")).alias("none"))
+
+
 @query("fn_ts_to_sec", "select event_id, extract(hour from ts) * 3600 + extract(minute from ts) * 60 + extract(second from ts) ts_to_sec from events".replace("extract(second from ts)", "(extract(microseconds from ts) // 1000) / 1000.0"), r="ts_to_sec")
 def _(t):
     ts = F.col("ts").cast("timestamp")
@@ -876,10 +881,10 @@ def _(t):
     return d.select("session", "batch", F.size("_r").alias("n_parsed"), F.array_join(F.transform("_r", lambda x: x["d"]), ",").alias("depths"))
 
 
-@query("fn_label_defaults", with_views("v_annot", "n as (select *, row_number() over (partition by session order by turn_idx) - 1 n from v_annot)") + "select session, turn_idx, case when n < 8 and session % 3 > 0 then depth else 'surface' end depth, 'yes' on_topic, 'true' responsive from n")
+@query("fn_label_defaults", with_views("v_annot") + "select session, turn_idx, depth, 'yes' on_topic, 'true' responsive from v_annot")
 def _(t):
-    replies = t.replies().filter("session % 3 > 0 and batch = 0")
-    return H.parse_replies(t.turns(), replies, ["session"]).select("session", "turn_idx", "depth", "on_topic", "responsive")
+    # replies hold depth and stance only, and some are cut short: the other fields take their defaults
+    return H.parse_replies(t.turns(), t.replies(), ["session"]).select("session", "turn_idx", "depth", "on_topic", "responsive")
 
 
 @query("fn_prompt", with_views("v_turns", _BATCHES) + "select session, batch::bigint batch, 'Label the turns.' || case when any_value(l1) filter (i = 0) is not null then chr(10) || chr(10) || 'Before:' || chr(10) || array_to_string(list_filter([any_value(l2) filter (i = 0), any_value(l1) filter (i = 0)], lambda x: x is not null), chr(10)) else '' end || chr(10) || chr(10) || 'Turns:' || chr(10) || string_agg(i || '. ' || l, chr(10) order by i) prompt from g group by 1, 2")
