@@ -249,6 +249,55 @@ def test_screens_and_selection(spark):
     assert pred.count() == 60 and {r.feature: r.n_folds for r in freq.collect()}["a"] == 60
 
 
+def refitted(rows, features, control, p_max, r_max, cap):
+    """Each fold screened and fitted anew on the other rows: {id: (prediction, chosen)}."""
+    x = {c: np.array([np.nan if r[c] is None else r[c] for r in rows], float) for c in [*features, control, "y"]}
+    out = {}
+    for i, row in enumerate(rows):
+        train = np.arange(len(rows)) != i
+        p = {}
+        for f in features:
+            ok = train & ~np.isnan(x[f]) & ~np.isnan(x[control])
+            if ok.sum() < 8:
+                continue
+            m = np.column_stack([np.ones(ok.sum()), x[f][ok], x[control][ok]])
+            beta, *_ = np.linalg.lstsq(m, x["y"][ok], rcond=None)
+            s2 = ((x["y"][ok] - m @ beta) ** 2).sum() / (ok.sum() - 3)
+            p[f] = A.student_p(beta[1] / np.sqrt(s2 * np.linalg.inv(m.T @ m)[1, 1]), ok.sum() - 3)
+        ranked = sorted(p, key=lambda f: (p[f], f))
+        chosen, gone = [f for f in ranked if p[f] < p_max] or ranked[:3], set()
+        for j, f in enumerate(chosen):
+            for g in chosen[j + 1 :]:
+                ok = train & ~np.isnan(x[f]) & ~np.isnan(x[g])
+                if not {f, g} & gone and abs(np.corrcoef(x[f][ok], x[g][ok])[0, 1]) > r_max:
+                    gone.add(g if p[g] > p[f] else f)
+        chosen = [f for f in chosen if f not in gone][:cap]
+        ok = train & ~np.any([np.isnan(x[f]) for f in chosen], axis=0)
+        beta, *_ = np.linalg.lstsq(np.column_stack([np.ones(ok.sum()), *[x[f][ok] for f in chosen]]), x["y"][ok], rcond=None)
+        value = beta @ [1, *[x[f][i] for f in chosen]]
+        out[row["id"]] = (None if np.isnan(value) else value, len(chosen))
+    return out
+
+
+def test_nested_loo_equals_refits(spark):
+    rng = np.random.default_rng(9)
+    n = 40
+    a, b, c, o = rng.normal(0, 1, (4, n))
+    y = 1e4 + a + 0.6 * b + 0.3 * o + rng.normal(0, 1, n)
+    near = a + rng.normal(0, 0.2, n)
+    cut = lambda v, k: [None if i % k == 3 else float(q) for i, q in enumerate(v)]
+    rows = [dict(zip(["id", "a", "b", "c", "near", "o", "y"], r)) for r in zip(range(n), a.tolist(), cut(b, 9), cut(c, 7), near.tolist(), o.tolist(), y.tolist())]
+    d = spark.createDataFrame(rows, "id long, a double, b double, c double, near double, o double, y double").repartition(3)
+    for p_max, cap in ((0.10, 4), (0.5, 2), (1e-12, 4)):
+        pred, freq = A.nested_loo(d, "y", ["a", "b", "c", "near"], "id", p_max, cap, ["o"])
+        want = refitted(rows, ["a", "b", "c", "near"], "o", p_max, 0.70, cap)
+        got = {r.id: (r.predicted, r.n_features) for r in pred.collect()}
+        assert all(got[i][1] == k and (v is None) == (got[i][0] is None) and (v is None or abs(v - got[i][0]) < 1e-6) for i, (v, k) in want.items())
+        assert sum(r.n_folds for r in freq.collect()) == sum(k for _, k in want.values())
+    t = frame(spark, [(0.3, 2.0), (2.5, 7.0), (12.0, 30.0), (0.0, 5.0), (1.7, 1.0)], "t double, df double")
+    assert all(abs(r.p - A.student_p(r.t, r.df)) < 1e-7 for r in t.withColumn("p", N.t_p_value(F.col("t"), F.col("df"))).collect())
+
+
 def test_permutations_and_bootstrap(spark):
     d, *_ = data(spark)
     shifted = d.withColumn("y", F.col("y") + F.col("g") * 5)

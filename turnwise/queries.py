@@ -610,7 +610,7 @@ def _(t):
 
 @query("agg_selection_freq")
 def _(t):
-    return A.nested_loo(t.entities(), "acct", FEATURES, "pair_id")[1]
+    return A.nested_loo(t.entities(), "acct", FEATURES, "pair_id", controls=["ord"])[1]
 
 
 @query("agg_pivot_report", with_views("v_ent", _GRID) + "select feature, " + ", ".join(f"max(r) filter (outcome = '{y}') {y}" for y in OUTCOMES) + " from (select feature, outcome, corr(v, w) r from g group by 1, 2) group by 1", r=" ".join(OUTCOMES))
@@ -1026,7 +1026,7 @@ def _(t):
 
 @query("st_nested_loo")
 def _(t):
-    return A.nested_loo(t.entities(), "acct", FEATURES, "pair_id")[0]
+    return A.nested_loo(t.entities(), "acct", FEATURES, "pair_id", controls=["ord"])[0]
 
 
 @query("st_bootstrap")
