@@ -59,7 +59,7 @@ def rms_frames(chunks: DataFrame, samples: str, rate: float, win: float = 0.04,
 
 
 def f0_frames(frames: DataFrame, samples: str, rate: float, low: float = 75.0, high: float = 400.0, silence: float = 0.01, voicing: float = 0.3) -> DataFrame:
-    """frames with f0: the best lag of a windowed frame's autocorrelation in the pitch range; null for silence and unvoiced frames.
+    """frames with f0: the best lag of a windowed and then centred frame's autocorrelation in the pitch range; null for silence and unvoiced frames.
 
     An Arrow-batched function: the maximum over lags needs the whole frame.
     """
@@ -72,18 +72,18 @@ def f0_frames(frames: DataFrame, samples: str, rate: float, low: float = 75.0, h
         for d in batches:
             out = []
             for y in d[samples]:
-                y = np.asarray(y, float)
+                y = np.asarray(y, float) * np.hanning(len(y))
+                y = y - y.mean() if len(y) else y
                 if len(y) < 2 or np.sqrt(np.mean(y * y)) < silence:
                     out.append(None)
                     continue
-                y = (y - y.mean()) * np.hanning(len(y))
                 r = np.fft.irfft(np.abs(np.fft.rfft(y, 2 * len(y))) ** 2)[: len(y)]
-                lo, hi = int(rate / high), min(int(rate / low), len(y) - 1)
+                lo, hi = int(rate / high), min(int(rate / low), len(y))
                 if hi <= lo or r[0] <= 0:
                     out.append(None)
                     continue
-                lag = lo + int(np.argmax(r[lo : hi + 1]))
-                out.append(float(rate / lag) if r[lag] / r[0] >= voicing else None)
+                lag = lo + int(np.argmax(r[lo:hi]))
+                out.append(float(rate / lag) if r[lag] / r[0] > voicing else None)
             yield d.drop(columns=[samples]).assign(f0=pd.Series(out, index=d.index, dtype="float64"))[[f.name for f in schema]]
 
     return frames.mapInPandas(pitch, schema)
@@ -108,33 +108,31 @@ def turn_prosody(frames: DataFrame, turns: DataFrame, keys: list[str], turn: str
     return d.select(*keys, turn, *[F.when(gate[c], F.col(c)).alias(c) if c in gate else F.col(c) for c in ("f0_mean", "f0_sd", "f0_range", "int_mean", "int_sd", "onset_f0", "onset_int", "offset_f0", "offset_int")])
 
 
-def syllable_rate(frames: DataFrame, turns: DataFrame, keys: list[str], turn: str, t: str = "t", level: str = "rms_db", f0: str = "f0", iv: tuple[str, str] = ("t_start", "t_end"), floor_db: float = 25.0, dip_db: float = 2.0, bucket: float = 5.0) -> DataFrame:
-    """(keys, turn, n_syllables, rate_sylps): voiced level peaks above the turn's maximum - floor_db, with a dip of dip_db or more between them, per second.
+def syllable_rate(frames: DataFrame, turns: DataFrame, keys: list[str], turn: str, t: str = "t", level: str = "rms_db", f0: str = "f0", iv: tuple[str, str] = ("t_start", "t_end"), floor_db: float = 25.0, dip_db: float = 2.0, bucket: float = 5.0, min_dur: float = 0.10) -> DataFrame:
+    """(keys, turn, n_syllables, rate_sylps): voiced level peaks inside a turn, over its maximum - floor_db, per second.
 
-    The scan over a turn's ordered frames has state, so it is a pandas function of one turn.
+    A peak that is no louder than the last counted one needs a dip of dip_db below both between them. Turns under min_dur seconds or three frames have nulls.
+    One fold over a turn's frames in order (bounded by the turn).
     """
-    import pandas as pd
-    from pyspark.sql import types as T
-
     s, e = iv
-    hit = point_in_interval(frames, turns.select(*keys, turn, s, e), keys, t, iv, bucket)
-    schema = T.StructType([hit.schema[k] for k in (*keys, turn)] + [T.StructField("n_syllables", T.LongType()), T.StructField("rate_sylps", T.DoubleType())])
-
-    def scan(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(t)
-        x, voiced = d[level].to_numpy(float), d[f0].notna().to_numpy()
-        top = x.max() - floor_db
-        n, low, armed = 0, float("inf"), True
-        for i in range(len(x)):
-            low = min(low, x[i])
-            armed = armed or x[i] - low >= dip_db
-            peak = x[i] > top and (i == 0 or x[i] >= x[i - 1]) and (i == len(x) - 1 or x[i] > x[i + 1])
-            if peak and armed and voiced[i]:
-                n, low, armed = n + 1, x[i], False
-        dur = float(d[e].iloc[0] - d[s].iloc[0])
-        return pd.DataFrame([[*[d[k].iloc[0] for k in (*keys, turn)], n, n / dur if dur > 0 else None]], columns=[f.name for f in schema])
-
-    return hit.filter(F.col(level).isNotNull()).groupBy(*keys, turn).applyInPandas(scan, schema)
+    hit = point_in_interval(frames, turns.select(*keys, turn, s, e), keys, t, iv, bucket).filter(F.col(level).isNotNull())
+    d = hit.groupBy(*keys, turn, s, e).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(level).cast("double").alias("v"), F.col(f0).isNotNull().alias("voiced")))).alias("_x"), (F.max(level) - floor_db).alias("_top"))
+
+    def fold(x, top):
+        def step(state, i):
+            v = x[i]["v"]
+            dip = F.least(state["dip"], v)
+            peak = (v > x[i - 1]["v"]) & (v >= x[i + 1]["v"]) & (v > top) & x[i]["voiced"]
+            shallow = ((v - dip < dip_db) | (state["last"] - dip < dip_db)) & (v <= state["last"])
+            take = peak & (state["last"].isNull() | ~shallow)
+            return F.struct(F.when(take, state["n"] + 1).otherwise(state["n"]).alias("n"), F.when(take, v).otherwise(state["last"]).alias("last"), F.when(take, v).otherwise(dip).alias("dip"))
+
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("last"), F.lit(float("inf")).alias("dip"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(x) - 2), start, step)["n"]
+
+    dur = F.col(e) - F.col(s)
+    n = F.when((dur >= min_dur) & (F.size("_x") >= 3), fold(F.col("_x"), F.col("_top")))
+    return d.select(*keys, turn, n.alias("n_syllables"), dur.alias("_dur")).select(*keys, turn, "n_syllables", (F.col("n_syllables") / F.greatest("_dur", F.lit(1e-6))).alias("rate_sylps"))
 
 
 def centroids(df: DataFrame, keys: list[str], speaker: str, vector: str, least: int = 1) -> DataFrame:
