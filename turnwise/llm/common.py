@@ -111,6 +111,13 @@ class BoundedCache(dict):
         return value
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows go to Python at once in this session from now on: a text or a set is some KB, and now and then a MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def map_texts(
     docs: DataFrame,
     score: Callable[[list[str | None]], dict[str, list | np.ndarray | pa.Array]],
@@ -123,8 +130,9 @@ def map_texts(
     """Appends columns that score() computes from the texts, over Arrow batches and about chars characters at a time.
 
     keep: the input columns that stay (all, if None). An input column whose name an appended one has is replaced.
-    where: rows to keep, from the appended columns.
+    where: rows to keep, from the appended columns. Sets small_batches for the session.
     """
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = {f.name for f in fields}
@@ -143,6 +151,7 @@ def map_texts(
                     [part.column(part.schema.get_field_index(c)).cast(arrow.field(c).type) for c in columns] + [pa.array(made[f.name], arrow.field(f.name).type) for f in fields], schema=arrow
                 )
                 yield out if where is None else out.filter(pa.array(where(made)))
+        pa.default_memory_pool().release_unused()
 
     source = docs if text_col in columns or keep is None else docs.select(*columns, text_col)
     return source.mapInArrow(run, schema)

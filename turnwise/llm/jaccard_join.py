@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, BoundedCache, Scratch, broadcast_if_small, cut_lineage, map_texts, mix64
+from .common import LOWER, BoundedCache, Scratch, broadcast_if_small, cut_lineage, map_texts, mix64, small_batches
 from .components import connected_components
 
 U64 = np.uint64
@@ -359,6 +359,7 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
     t = Fraction(*threshold)
     p, q = t.numerator, t.denominator
     scratch = Scratch(docs.sparkSession)
+    small_batches(docs.sparkSession)
     sliced = t >= Fraction(85, 100)
     bands = Bands(t) if sliced else None
     sketch = None if sliced else text_sketch(docs, "text", width, sketch_bits)

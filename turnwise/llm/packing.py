@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache
+from .common import BoundedCache, small_batches
 
 CAPACITY = 2048
 
@@ -180,6 +180,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     the task's partition and a number in it. window: pieces that a task holds at most before it packs.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         words = word_ids(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
