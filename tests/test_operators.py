@@ -494,3 +494,14 @@ def test_streaming_session_merge(spark, tmp_path):
     q = J.session_merge(stream, ["s"], "ts", "10 seconds").writeStream.format("memory").queryName("bursts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.speaker, r.n_cues) for r in spark.table("bursts").collect()) == [("A", 1), ("A", 2), ("B", 1)]
+
+
+def test_hook_errors_have_a_trace(spark):
+    def hook(rows):
+        if "bad" in rows:
+            raise KeyError("no such word")
+        return rows
+
+    d = frame(spark, [(0, "a"), (1, "b"), (2, "bad"), (3, "c")], "i long, text string").coalesce(1)
+    got = {r.i: (r.out, r.error) for r in H.apply_batches(d, hook, ["text"], "out", "string", 2, "none", "error").collect()}
+    assert got[0] == ("a", None) and got[3][0] == "none" and "KeyError" in got[2][1]

@@ -22,26 +22,37 @@ LABELS = {
 REPLY = "array<struct<i:int,d:string,st:string,y:string,ot:string,q:string,sd:string,ra:string,s:string,ep:string,cv:string>>"
 
 
-def apply_batches(df: DataFrame, fn: Callable, inputs: list[str], out: str, kind: str, batch: int = 8, default=None) -> DataFrame:
-    """df with out = fn(list of input rows), batch rows a call. An input is a value, or a tuple with several columns."""
-    schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T._parse_datatype_string(kind))])
-    names = [f.name for f in schema if f.name != out]
+def apply_batches(df: DataFrame, fn: Callable, inputs: list[str], out: str, kind: str, batch: int = 8, default=None, errors: str | None = None) -> DataFrame:
+    """df with out = fn(list of input rows), batch rows a call. An input is a value, or a tuple with several columns.
+
+    errors: a column for what went wrong with a row's batch; null where nothing did.
+    """
+    made = [T.StructField(out, T._parse_datatype_string(kind)), *([T.StructField(errors, T.StringType())] if errors else [])]
+    schema = T.StructType([*[f for f in df.schema if f.name not in (out, errors)], *made])
+    names = [f.name for f in schema if f.name not in (out, errors)]
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for d in frames:
             values: list = []
+            wrong: list = []
             for lo in range(0, len(d), batch):
                 part = d.iloc[lo : lo + batch]
                 rows = part[inputs[0]].tolist() if len(inputs) == 1 else list(part[inputs].itertuples(index=False, name=None))
                 try:
                     got = list(fn(rows))
-                    values += got if len(got) == len(rows) else [default] * len(rows)
-                except Exception:
+                    if len(got) != len(rows):
+                        raise ValueError(f"{len(got)} results for {len(rows)} rows")
+                    values += got
+                    wrong += [None] * len(rows)
+                except Exception as error:  # a hook's own; see errors
                     values += [default] * len(rows)
+                    wrong += [f"{type(error).__name__}: {error}"] * len(rows)
             d = d[names].copy()
             d[out] = pd.Series(values, index=d.index, dtype=object)
+            if errors:
+                d[errors] = pd.Series(wrong, index=d.index, dtype=object)
             yield d
 
     return df.mapInPandas(run, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import ratio, safe_corr
+from ..operators.ranges import _kept
 from ..operators.sequence import bh_fdr, switch_pairs
 from ..operators.tables import with_rank
 from .stats import Gram, _fit, commonality, equal_weight, gram, hierarchical, partial_corr, pca_composite
@@ -190,6 +191,8 @@ def incremental_validity(df: DataFrame, key: str, outcomes: list[str], turn_feat
     """
     from functools import reduce
 
+    # The table is made once; each statistic reads the checkpoint.
+    df = _kept(df.select(*dict.fromkeys([key, *outcomes, *turn_features, *vocal_features, *controls])))
     d, turn_info = pca_composite(df, turn_features, "_turn")
     d, vocal_info = pca_composite(d, vocal_features, "_vocal")
     d = equal_weight(d, vocal_features, "_vocal_ew")

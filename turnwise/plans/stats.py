@@ -415,6 +415,7 @@ def confound_checks(df: DataFrame, y: str, predictors: list[str], group: str, ga
     z = standardise(df, sorted({y, *predictors, gap, group}), "")
     parts = []
     for p in predictors:
+        g = gram(z, [p, group, gap, y])  # one pass for the three models, over the same rows
         for name, xs in (("alone", [p]), ("group", [p, group]), ("group+gap", [p, group, gap])):
-            parts.append(ols(z.na.drop(subset=[y, p, group, gap]), y, xs)[0].filter(F.col("term") == p).select(F.lit(p).alias("predictor"), F.lit(name).alias("model"), F.col("estimate").alias("beta"), "p"))
+            parts.append(ols(z, y, xs, g)[0].filter(F.col("term") == p).select(F.lit(p).alias("predictor"), F.lit(name).alias("model"), F.col("estimate").alias("beta"), "p"))
     return reduce(DataFrame.union, parts)
