@@ -210,7 +210,11 @@ def training_texts(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFr
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, n_spans) of every row; languages of held-out rows are never used."""
+    """(doc_id, held_out, lang_pred, score, n_spans) of every row; languages of held-out rows are never used.
+
+    Null texts and texts without a letter are 'und' with score 0. Of languages with equal shares the first by name is taken. Null ids are not held out
+    and stay; repeated rows get equal predictions; without any language to learn all texts are 'und'.
+    """
     model = fit_language(training_texts(docs))
     scored = label_languages(docs.select("doc_id", "text"), model, keep=["doc_id"], with_spans=True)
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))

@@ -248,7 +248,7 @@ def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes) of every row, in one pass over the texts.
 
     ids have the begin and end id; covered_bytes are the original bytes in the pieces' spans, which follow each other
-    without gaps. Null texts are empty.
+    without gaps. Null texts are empty: the begin and end id alone. Null ids stay, repeated rows get equal digests, no rows give none.
     """
 
     def score(texts):

@@ -135,7 +135,11 @@ def training_labels(labels: DataFrame, column: str = "quality", folds: int = 3,
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; labels of held-out documents are never used."""
+    """(doc_id, held_out, score, predicted) of every row; labels of held-out documents are never used.
+
+    Null and empty texts are scored as texts whose statistics are all 0. Null ids are not held out and stay; repeated rows get equal scores; equal
+    scores of different texts are calibrated alike. Without labels of both kinds every score is the labels' mean, or 0.5.
+    """
     rows = docs.select("doc_id", "text")
     model = fit_quality(rows, training_labels(labels))
     scored = score_quality(rows, model, keep=["doc_id"])

@@ -83,12 +83,6 @@ def pieces(path: str) -> frozenset[str]:
     return frozenset(p.piece for p in proto.pieces if p.type == 1)
 
 
-def vocabulary(path: str) -> tuple[frozenset[str], frozenset[str]]:
-    """(heads, tails) of a piece model's file: pieces with U+2581 in front, cut off, and those without. The bare U+2581 is in neither; token_counts takes pieces()."""
-    every = pieces(path)
-    return frozenset(p[1:] for p in every if p[0] == "▁" and len(p) > 1), frozenset(p for p in every if p[0] != "▁")
-
-
 @lru_cache(maxsize=4)
 def counter(path: str) -> BoundedCache:
     """word -> greedy pieces of U+2581 and the word."""
@@ -101,6 +95,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """(doc_id, n_words, n_tokens, n_unknown) of every row. Words are runs without ASCII white space.
 
     A word is matched with U+2581 in front, by all normal pieces. A word with a part that no piece matches is one unknown token. Null and empty texts have no words.
+    Rows are counted one by one: null ids stay, repeated rows get equal counts, no rows give none.
     """
 
     def score(texts):
