@@ -119,6 +119,10 @@ def test_rank_and_nearest_in_blocks(spark):
     w = frame(spark, [(k, [float(k) + 0.1, 1.0]) for k in range(9)], "t long, w array<double>")
     whole, parts = (sorted(map(tuple, R.nearest(v, "i", "v", w, "t", "w", block=b).collect())) for b in (100, 2))
     assert whole == parts and len(whole) == 5
+    many = frame(spark, [(k, [float(k) + 0.1, 1.0]) for k in range(2000)], "t long, w array<double>")
+    got = {r.i: r.best for r in R.nearest(v, "i", "v", many, "t", "w").collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    assert got == {i: max(range(2000), key=lambda k: cos([float(i), 1.0], [k + 0.1, 1.0])) for i in range(5)}
 
 
 def test_gap_merge(spark):

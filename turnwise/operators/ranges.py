@@ -278,7 +278,8 @@ def nearest(vectors: DataFrame, item: str, vector: str, targets: DataFrame, targ
         d = d.select(item, by_sim(d).alias("_s"))
     else:
         parts = targets.groupBy(F.pmod(F.xxhash64(target), F.lit(blocks)).alias("_b")).agg(pairs)
-        each = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(parts, "_b")
+        dealt = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        each = dealt.join(parts, "_b")
         best = each.select(item, F.explode(F.slice(by_sim(each), 1, 2)).alias("_s"))
         d = best.groupBy(item).agg(F.sort_array(F.collect_list("_s")).alias("_s"))  # two of each block
     s = F.col("_s")
