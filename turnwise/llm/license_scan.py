@@ -13,7 +13,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, let
+from .common import broadcast_if_small, cut_lineage, let
 
 # Fixed values of the contract: phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -104,13 +104,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     labels are the phrases' and those of templates of which a paragraph has at least share of the distinct words; score is 1
     with a phrase, else the best containment, else 0. A-Z is lower-cased; null and empty texts have no words, no labels
-    ('') and null places. Rows that repeat an id and text get equal results; rows with a null id get their phrases only.
+    ('') and null places. Rows that repeat an id and text get equal results; a null id is a key like any other.
     """
     base = phrase_counts(docs, id_col, text_col)
     keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_hash")).alias("_k"), F.col(text_col).alias("text"))
     found = matching_blocks(keyed, templates, share, "_k", "text").select("doc_id.*", "label", "containment")
     found = cut_lineage(found.groupBy("doc_id", "doc_hash").agg(F.collect_set("label").alias("extra"), F.max("containment").alias("best")))  # one set of at most all templates
-    out = base.join(found, ["doc_id", "doc_hash"], "left")
+    found = broadcast_if_small(found.withColumnsRenamed({"doc_id": "_id", "doc_hash": "_hash"}))
+    out = base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("doc_hash") == F.col("_hash")), "left")
     both = F.array_sort(F.array_union("base", F.coalesce("extra", F.array().cast("array<string>"))))
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"))
@@ -125,11 +126,11 @@ def op5_sql(templates: dict[str, str] = TEMPLATES, share: float = 0.9) -> str:
         for n in [len(phrase.split(" "))]
     )
     return rf"""
-with d as (select doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWcoalesce(text, '')YZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORD}'), lambda x: x <> '') w from documents),
+with d as (select doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORD}'), lambda x: x <> '') w from documents),
 h as ({hits}),
 b as (select doc_id, count(*) n_base, min(p) first_word, max(p) last_word, list(distinct label) base from h group by doc_id),
 tpl as (select * from (values {values}) v(label, words, need)),
-ln as (select doc_id, list_distinct(list_filter(regexp_split_to_array(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWlYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORD}'), lambda x: x <> '')) lw from (select doc_id, unnest(regexp_split_to_array(t, '{BLANK_LINES}')) l from d) where length(l) > 0),
+ln as (select doc_id, list_distinct(list_filter(regexp_split_to_array(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORD}'), lambda x: x <> '')) lw from (select doc_id, unnest(regexp_split_to_array(t, '{BLANK_LINES}')) l from d) where length(l) > 0),
 m as (select doc_id, label, len(list_intersect(words, lw)) / len(words)::double c from ln join tpl on len(list_intersect(words, lw)) >= need),
 x as (select doc_id, list(distinct label) extra, max(c) best from m group by doc_id)
 select d.doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(array_to_string(list_sort(base), ','), '') base_labels,

@@ -75,31 +75,34 @@ def host_of(host_col: str) -> Column:
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_documents: int = 5, max_percent: int = 1, max_removed_percent: int = 30, copies_are_one: bool = False, **rules
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_documents: int = 5, max_percent: int = 1, max_removed_percent: int = 25, copies_are_one: bool = False, min_words: int = 50, **rules
 ) -> DataFrame:
     """(doc_id, counts, base_failed, n_removed_words, n_line_words, kept) of every row.
 
     A line is removed where more than min_documents different documents of its host have it, and more than max_percent of the host's
     documents; documents are told apart by their ids (copies_are_one: by their texts). A document is depleted if more than
-    max_removed_percent of its words are in removed lines; it is kept if neither that nor a base rule rejects it. Null and empty texts
+    max_removed_percent of its words are in removed lines (a quarter), or fewer than min_words words are left; it is kept if neither that nor a base rule
+    rejects it. Null and empty texts
     have no words and fail the base rules; a null host is host ''. Rows with a null id are judged by the base rules alone. Repeated
-    rows get equal verdicts and count once.
+    rows get equal verdicts and count once; each row is judged by its own host, so one id and text in two hosts may get two verdicts.
     """
     key = "doc_hash" if copies_are_one else "doc_id"
-    kept = [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_hash"), F.col(text_col).alias("text")]
-    base = base_rules(docs.select(*kept), "text", **rules).drop("text")
+    kept = [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_hash"), F.col(text_col).alias("text"), host_of(host_col).alias("host")]
+    base = base_rules(docs.select(*kept), "text", min_words=min_words, **rules).drop("text")
     lines = cut_lineage(document_lines(docs, id_col, text_col, host_col))
-    hosts = docs.select(host_of(host_col).alias("host"), *kept[:2]).groupBy("host").agg(F.countDistinct(key).alias("documents"))
+    hosts = docs.select(*kept).groupBy("host").agg(F.countDistinct(key).alias("documents"))
     often = lines.groupBy("host", "line").agg(F.countDistinct(key).alias("n")).filter(F.col("n") > min_documents)
     frequent = cut_lineage(often.join(hosts, "host").filter(F.col("n") * 100 > F.col("documents") * max_percent).select("host", "line", F.lit(True).alias("removed")))
-    removed = lines.join(frequent, ["host", "line"], "left").groupBy("doc_id", "doc_hash").agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("removed"), F.col("words")).otherwise(0)).alias("removed_words"))
-    out = base.join(removed.filter("removed_words > 0"), ["doc_id", "doc_hash"], "left").drop("doc_hash")
+    removed = lines.join(frequent, ["host", "line"], "left").groupBy("doc_id", "doc_hash", "host").agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("removed"), F.col("words")).otherwise(0)).alias("removed_words"))
+    out = base.join(removed.filter("removed_words > 0"), ["doc_id", "doc_hash", "host"], "left").drop("doc_hash", "host")
     # All words of a text stand in its lines; where rows repeat, all_words has them as often.
     out = out.withColumns({"n_line_words": F.col("n_words"), "n_removed_words": F.coalesce(F.expr("removed_words * n_words div all_words"), F.lit(0).cast("long"))}).drop("all_words", "removed_words")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") * 100 <= F.col("n_line_words") * max_removed_percent))
+    left = F.col("n_line_words") - F.col("n_removed_words")
+    depleted = (F.col("n_removed_words") * 100 > F.col("n_line_words") * max_removed_percent) | (left < min_words)
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def op1_sql(min_documents: int = 5, max_percent: int = 1, max_removed_percent: int = 30) -> str:
+def op1_sql(min_documents: int = 5, max_percent: int = 1, max_removed_percent: int = 25) -> str:
     """DuckDB SQL for quality_rules over documents by (doc_id, source)."""
     return rf"""
 with d as (select doc_id, coalesce(source, '') host, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda x: x <> '') w from documents),
@@ -114,4 +117,4 @@ fq as (select nl.host, l from nl join hs using (host) where l <> '' group by nl.
 rm as (select nl.doc_id, sum(len(string_split(nl.l, ' '))) lw, sum(case when fq.l is not null then len(string_split(nl.l, ' ')) else 0 end) rw from nl left join fq on nl.host = fq.host and nl.l = fq.l where nl.l <> '' group by nl.doc_id),
 b as (select d.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, coalesce(dup.n, 0)::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words, coalesce(rw, 0)::bigint rw, len(w)::bigint lw from d left join cov using (doc_id) left join dup using (doc_id) left join rm using (doc_id)),
 f as (select *, n_words < 50 or n_repeat_words * 100 > n_words * 50 base_failed from b)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rw n_removed_words, lw n_line_words, not base_failed and rw * 100 <= lw * {max_removed_percent} kept from f"""
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rw n_removed_words, lw n_line_words, not base_failed and rw * 100 <= lw * {max_removed_percent} and lw - rw >= 50 kept from f"""
