@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .language_id import language_predictions
 from .license_scan import license_scan, op5_sql
 from .packing import pack_documents
+from .periodic_runs import periodic_runs, run_digest, with_planted_period
 from .piece_encoding import encoding_digest
 from .quality_classifier import quality_scores
 from .quality_rules import op1_sql, quality_rules
@@ -69,6 +70,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(with_planted_period(table(spark, sf_dir, "documents")), keep=["doc_id"]))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_piece_encoding, op3_quality_classifier, op4_jaccard_join, op5_license_scan, op6_language_id, op7_token_counts, op8_chat_format, op9_fingerprints, op10_packing, pipeline)
+    own = (op1_quality_rules, op2_piece_encoding, op3_quality_classifier, op4_jaccard_join, op5_license_scan, op6_language_id, op7_token_counts, op8_chat_format, op9_fingerprints, op10_packing, op11_periodic_runs, pipeline)
     return {f.__name__: f for f in own}
 
 
