@@ -88,7 +88,8 @@ def quality_rules(
     """
     key = "doc_hash" if copies_are_one else "doc_id"
     kept = [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_hash"), F.col(text_col).alias("text"), host_of(host_col).alias("host")]
-    base = base_rules(docs.select(*kept), "text", min_words=min_words, **rules).drop("text")
+    # Numbers only; a checkpoint, so that a caller's filter on the result doesn't repeat the counting expressions.
+    base = cut_lineage(base_rules(docs.select(*kept), "text", min_words=min_words, **rules).drop("text"))
     lines = cut_lineage(document_lines(docs, id_col, text_col, host_col))
     hosts = docs.select(*kept).groupBy("host").agg(F.countDistinct(key).alias("documents"))
     often = lines.groupBy("host", "line").agg(F.countDistinct(key).alias("n")).filter(F.col("n") > min_documents)
