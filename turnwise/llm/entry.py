@@ -20,6 +20,7 @@ from .quality_classifier import quality_scores
 from .quality_rules import op1_sql, quality_rules
 from .ranked_search import op12_sql, ranked_search
 from .token_counts import token_counts
+from .web_archive import archive_digest, op13_sql
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,6 +80,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_piece_encoding, op3_quality_classifier, op4_jaccard_join, op5_license_scan, op6_language_id, op7_token_counts, op8_chat_format, op9_fingerprints, op10_packing, op11_periodic_runs, op12_ranked_search, pipeline)
+    own = (op1_quality_rules, op2_piece_encoding, op3_quality_classifier, op4_jaccard_join, op5_license_scan, op6_language_id, op7_token_counts, op8_chat_format, op9_fingerprints, op10_packing, op11_periodic_runs, op12_ranked_search, op13_web_archive, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -104,4 +109,4 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1_sql(), "op4_jaccard_join": op4_sql(), "op5_license_scan": op5_sql(), "op8_chat_format": op8_sql(), "op12_ranked_search": op12_sql()}
+    return {"op1_quality_rules": op1_sql(), "op4_jaccard_join": op4_sql(), "op5_license_scan": op5_sql(), "op8_chat_format": op8_sql(), "op12_ranked_search": op12_sql(), "op13_web_archive": op13_sql()}
