@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import f_p_value, ratio, safe_corr, t_p_value
+from ..functions.numeric import f_p_value, finite_columns, ratio, safe_corr, t_p_value
 from ..operators.sequence import average_rank, bh_fdr, zscore
 from ..operators.tables import describe, long_form
+from .grouped import controlled_slopes
 
 
 @dataclass
@@ -112,23 +113,32 @@ def slope_columns(y: Column, x: Column, control: Column | None = None) -> dict[s
     return {"n": n.cast("long"), "beta": beta, "std_beta": beta * F.sqrt(ratio(sxx, syy)), "r2": 1 - ratio(sse, syy), "t": ratio(beta, se), "df": df}
 
 
-def screen(df: DataFrame, y: str, features: list[str], control: str | None = None, least: int = 8, with_p: bool = True) -> DataFrame:
-    """(feature, n, beta, std_beta, r2, t, df, p): one regression for each feature, from one aggregation. Fewer than least rows: left out."""
-    extra = [control] if control else []
-    d = long_form(df.filter(F.col(y).isNotNull()), [y, *extra], features)
-    out = d.groupBy("feature").agg(*[c.alias(k) for k, c in slope_columns(F.col(y), F.col("value"), F.col(control) if control else None).items()]).filter(F.col("n") >= least)
-    return out.withColumn("p", t_p_value(F.col("t"), F.col("df"))) if with_p else out
+def _named(controls: str | list[str] | None) -> list[str]:
+    return [controls] if isinstance(controls, str) else list(controls or [])
 
 
-def feature_outcome_grid(df: DataFrame, features: list[str], outcomes: list[str], control: str | None = None, least: int = 8, standardise: bool = True, fdr: bool = True) -> DataFrame:
-    """(feature, outcome, n, beta, r2, t, p, p_fdr): all features by all outcomes, z-scored (ddof 1); one aggregation."""
+def _slopes(long: DataFrame, y: str, controls: list[str], by: list[str], least: int) -> DataFrame:
+    """(by, n, beta, std_beta, r2, t, df, p) of y ~ value + controls in each group: in columns with one control at most, else by sweeping the controls out of each group's sums."""
+    if len(controls) > 1:
+        return controlled_slopes(long, y, "value", controls, by, least)
+    own = slope_columns(F.col(y), F.col("value"), F.col(controls[0]) if controls else None)
+    out = long.groupBy(*by).agg(*[c.alias(k) for k, c in own.items()]).filter(F.col("n") >= least)
+    return out.withColumn("p", t_p_value(F.col("t"), F.col("df")))
+
+
+def screen(df: DataFrame, y: str, features: list[str], controls: str | list[str] | None = None, least: int = 8) -> DataFrame:
+    """(feature, n, beta, std_beta, r2, t, df, p): one regression for each feature with any number of controls, from one aggregation. Fewer than least rows: left out."""
+    names, df = _named(controls), finite_columns(df)
+    return _slopes(long_form(df.filter(F.col(y).isNotNull()), [y, *names], features), y, names, ["feature"], least)
+
+
+def feature_outcome_grid(df: DataFrame, features: list[str], outcomes: list[str], controls: str | list[str] | None = None, least: int = 8, standardise: bool = True, fdr: bool = True) -> DataFrame:
+    """(feature, outcome, n, beta, r2, t, df, p, p_fdr): all features by all outcomes, z-scored (ddof 1), with any number of controls; one aggregation."""
+    names, df = _named(controls), finite_columns(df)
     d = zscore(df, [*features, *outcomes], [], 1) if standardise else df
-    extra = [control] if control else []
-    long = long_form(long_form(d, [*features, *extra], outcomes, "outcome", "y"), ["outcome", "y", *extra], features)
-    out = long.groupBy("feature", "outcome").agg(*[c.alias(k) for k, c in slope_columns(F.col("y"), F.col("value"), F.col(control) if control else None).items()]).filter(F.col("n") >= least).drop("std_beta")
-    if not fdr:
-        return out
-    return bh_fdr(out.withColumn("p", t_p_value(F.col("t"), F.col("df"))), "p")
+    long = long_form(long_form(d, [*features, *names], outcomes, "outcome", "y"), ["outcome", "y", *names], features)
+    out = _slopes(long, "y", names, ["feature", "outcome"], least).drop("std_beta")
+    return bh_fdr(out, "p") if fdr else out
 
 
 def corr_grid(df: DataFrame, xs: list[str], ys: list[str], method: str = "pearson", least: int = 3) -> DataFrame:
@@ -397,8 +407,9 @@ def nested_loo(df: DataFrame, y: str, features: list[str], key: str, p_max: floa
 
 def sensitivity(df: DataFrame, features: list[str], outcome: str, alpha: float = 0.10) -> DataFrame:
     """(feature, r_pearson, r_spearman, p_pearson, p_spearman, consistent): same sign and same side of alpha."""
-    a = corr_grid(df, features, [outcome]).select(F.col("x").alias("feature"), F.col("r").alias("r_pearson"), t_p_value(F.col("t"), F.col("df")).alias("p_pearson"))
-    b = corr_grid(df, features, [outcome], "spearman").select(F.col("x").alias("feature"), F.col("r").alias("r_spearman"), t_p_value(F.col("t"), F.col("df")).alias("p_spearman"))
+    p = F.when(F.abs("r") > 1 - 1e-12, F.when(F.col("df") > 0, 0.0)).otherwise(t_p_value(F.col("t"), F.col("df")))
+    a = corr_grid(df, features, [outcome]).select(F.col("x").alias("feature"), F.col("r").alias("r_pearson"), p.alias("p_pearson"))
+    b = corr_grid(df, features, [outcome], "spearman").select(F.col("x").alias("feature"), F.col("r").alias("r_spearman"), p.alias("p_spearman"))
     same = (F.signum("r_pearson") == F.signum("r_spearman")) & ((F.col("p_pearson") < alpha) == (F.col("p_spearman") < alpha))
     return a.join(b, "feature").withColumn("consistent", same)
 

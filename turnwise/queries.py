@@ -14,6 +14,7 @@ from .operators import ranges as R
 from .operators import sequence as Q
 from .operators import session as S
 from .operators import tables as B
+from .plans import grouped as G
 from .plans import resample as P
 from .plans import stats as A
 from .sources import transcripts as IO
@@ -46,6 +47,19 @@ def query(name: str, sql: str | None = None, r: str = ""):
     return register
 
 
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t with whole degrees of freedom, by its finite sums."""
+    c, s = f"({df} / ({df} + {t} * {t}))", f"(abs({t}) / sqrt({df} + {t} * {t}))"
+    even = f"{s} * list_sum(list_transform(range(({df} / 2)::bigint), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0)) * {c} ** j))"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({df})) + {s} * sqrt({c}) * coalesce(list_sum(list_transform(range((({df} - 1) / 2)::bigint), lambda j: exp(lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5)) * {c} ** j)), 0))"
+    return f"(1 - case when {df} % 2 = 0 then {even} else {odd} end)"
+
+
+def bh_sql(src: str, p: str = "p") -> str:
+    """All of src with p_fdr, Benjamini and Hochberg's adjusted p."""
+    return f"select * exclude (bh_r, bh_n), min(least(1, {p} * bh_n / bh_r)) over (order by bh_r desc) p_fdr from (select *, row_number() over (order by {p}) bh_r, count(*) over () bh_n from ({src}))"
+
+
 def long(name: str):
     return F.col(name).cast("long").alias(name)
 
@@ -973,9 +987,9 @@ def _(t):
 _SIMPLE = "b as (select count(*)::double n, regr_slope(acct, va_price) b, regr_intercept(acct, va_price) a, regr_sxx(acct, va_price) sxx, avg(va_price) mx, regr_r2(acct, va_price) r2, regr_syy(acct, va_price) * (1 - regr_r2(acct, va_price)) / (count(*) - 2) s2 from v_ent)"
 
 
-@query("st_ols", with_views("v_ent", _SIMPLE) + "select 'va_price' term, b estimate, sqrt(s2 / sxx) se, b / sqrt(s2 / sxx) t, n - 2 df from b union all select 'const', a, sqrt(s2 * (1 / n + mx * mx / sxx)), a / sqrt(s2 * (1 / n + mx * mx / sxx)), n - 2 from b", r="estimate se t df")
+@query("st_ols", with_views("v_ent", _SIMPLE, "o as (select 'va_price' term, b estimate, sqrt(s2 / sxx) se, b / sqrt(s2 / sxx) t, n - 2 df from b union all select 'const', a, sqrt(s2 * (1 / n + mx * mx / sxx)), a / sqrt(s2 * (1 / n + mx * mx / sxx)), n - 2 from b)") + f"select *, {t_p_sql('t', 'df')} p from o", r="estimate se t df p")
 def _(t):
-    return A.ols(t.entities(), "acct", ["va_price"])[0].select("term", "estimate", "se", "t", "df")
+    return A.ols(t.entities(), "acct", ["va_price"])[0].select("term", "estimate", "se", "t", "df", "p")
 
 
 @query("st_ols_fit", with_views("v_ent", _SIMPLE) + "select n::bigint n, r2, 1 - (1 - r2) * (n - 1) / (n - 2) adj_r2, r2 / ((1 - r2) / (n - 2)) f, n * ln(2 * pi() * s2 * (n - 2) / n) + n + 4 aic, n * ln(2 * pi() * s2 * (n - 2) / n) + n + 2 * ln(n) bic from b", r="r2 adj_r2 f aic bic")
@@ -984,20 +998,53 @@ def _(t):
 
 
 _CTRL = "m as (select feature{by}, count(*)::double n, var_pop(y) * count(*) syy, var_pop(v) * count(*) sxx, covar_pop(v, y) * count(*) sxy, var_pop(ord) * count(*) scc, covar_pop(v, ord) * count(*) sxc, covar_pop(y, ord) * count(*) syc from {src} where v is not null and y is not null group by 1{g}), b as (select *, (sxy - sxc * syc / scc) / (sxx - sxc * sxc / scc) beta from m), e as (select *, beta * sxy + (syc - beta * sxc) / scc * syc ex from b)"
-_CTRL_OUT = "n::bigint n, beta, ex / syy r2, beta / sqrt((syy - ex) / (n - 3) / (sxx - sxc * sxc / scc)) t"
+_CTRL_OUT = "n::bigint n, beta, ex / syy r2, beta / sqrt((syy - ex) / (n - 3) / (sxx - sxc * sxc / scc)) t, n - 3 df"
 
 
-@query("st_univariate_screen", with_views("v_const", _LONG_FEATURES, "ly as (select feature, v, acct y, ord from lf)", _CTRL.format(by="", src="ly", g="")) + f"select feature, {_CTRL_OUT}, beta * sqrt(sxx / syy) std_beta from e where feature <> 'sparse'", r="beta r2 t std_beta")
+@query("st_univariate_screen", with_views("v_const", _LONG_FEATURES, "ly as (select feature, v, acct y, ord from lf)", _CTRL.format(by="", src="ly", g="")) + f"select *, {t_p_sql('t', 'df')} p from (select feature, {_CTRL_OUT}, beta * sqrt(sxx / syy) std_beta from e where feature <> 'sparse')", r="beta r2 t df p std_beta")
 def _(t):
-    return A.screen(t.with_constants(), "acct", FEATURES, "ord", with_p=False).select("feature", "n", "beta", "r2", "t", "std_beta")
+    return A.screen(t.with_constants(), "acct", FEATURES, "ord").select("feature", "n", "beta", "r2", "t", "df", "std_beta", "p")
 
 
 _GRID_Z = "gz as (select feature, outcome, (v - avg(v) over w) / stddev_samp(v) over w v, (w - avg(w) over w) / stddev_samp(w) over w y, ord from g window w as (partition by feature, outcome))"
 
 
-@query("st_feature_outcome_grid", with_views("v_ent", _GRID, _GRID_Z, _CTRL.format(by=", outcome", src="gz", g=", 2")) + f"select feature, outcome, {_CTRL_OUT} from e", r="beta r2 t")
+@query("st_feature_outcome_grid", with_views("v_ent", _GRID, _GRID_Z, _CTRL.format(by=", outcome", src="gz", g=", 2")) + bh_sql(f"select *, {t_p_sql('t', 'df')} p from (select feature, outcome, {_CTRL_OUT} from e)"), r="beta r2 t df p p_fdr")
+def _(t):
+    return A.feature_outcome_grid(t.entities(), FEATURES, OUTCOMES, "ord").select("feature", "outcome", "n", "beta", "r2", "t", "df", "p", "p_fdr")
+
+
+# Two controls, swept out one after the other: residuals on n_items, then on what that leaves of ord.
+_SWEPT = """
+s0 as (select {by}, y, v, n_items::double a, ord::double b from {src} where v is not null and y is not null),
+s1 as (select {by}, count(*) over w n, regr_syy(y, a) over w syy, regr_sxx(v, a) over w sxx0, y - avg(y) over w - regr_slope(y, a) over w * (a - avg(a) over w) y, v - avg(v) over w - regr_slope(v, a) over w * (a - avg(a) over w) v, b - avg(b) over w - regr_slope(b, a) over w * (a - avg(a) over w) b from s0 window w as (partition by {by})),
+s2 as (select {by}, n, syy, y - regr_slope(y, b) over w * b y, v - regr_slope(v, b) over w * b v from s1 window w as (partition by {by})),
+s3 as (select {by}, any_value(n)::double n, any_value(syy) syy, regr_slope(y, v) beta, regr_syy(y, v) - regr_slope(y, v) * regr_sxy(y, v) sse, regr_sxx(y, v) sxx from s2 group by {by}),
+s4 as (select {by}, n::bigint n, beta, 1 - sse / syy r2, beta / sqrt(sse / (n - 4) / sxx) t, n - 4 df from s3)"""
+
+
+@query("st_screen_controls", with_views("v_const", _LONG_FEATURES, "ly as (" + " union all ".join(f"select '{c}' feature, {c}::double v, avg_total y, ord, n_items from v_const" for c in [*FEATURES[:4], "sparse"]) + ")", _SWEPT.format(by="feature", src="ly")) + f"select *, {t_p_sql('t', 'df')} p from s4", r="beta r2 t df p")
+def _(t):
+    return A.screen(t.with_constants(), "avg_total", [*FEATURES[:4], "sparse"], ["n_items", "ord"]).select("feature", "n", "beta", "r2", "t", "df", "p")
+
+
+@query("st_grid_controls", with_views("v_ent", _GRID.replace("ord", "ord, n_items"), "gn as (select feature, outcome, (v - avg(v) over w) / stddev_samp(v) over w v, (w - avg(w) over w) / stddev_samp(w) over w y, ord, n_items from g where feature <> 'n_items' window w as (partition by feature, outcome))", _SWEPT.format(by="feature, outcome", src="gn")) + bh_sql(f"select *, {t_p_sql('t', 'df')} p from s4"), r="beta r2 t df p p_fdr")
+def _(t):
+    return A.feature_outcome_grid(t.entities(), FEATURES[:4], OUTCOMES, ["n_items", "ord"]).select("feature", "outcome", "n", "beta", "r2", "t", "df", "p", "p_fdr")
+
+
+# Two regressors in each session: f0 on rate and the log level's hour, by Cramer's rule.
+_BY = """
+m as (select session, count(*)::double n, avg(f0) my, avg(rate) m1, avg(h) m2, var_pop(f0) * count(*) syy, var_pop(rate) * count(*) s11, var_pop(h) * count(*) s22, covar_pop(rate, h) * count(*) s12, covar_pop(f0, rate) * count(*) s1y, covar_pop(f0, h) * count(*) s2y from (select *, t_start / 3600 h from v_prosody) where f0 is not null and rate is not null and h is not null group by 1 having count(*) >= 8),
+d as (select *, s11 * s22 - s12 * s12 det from m), b as (select *, (s1y * s22 - s2y * s12) / det b1, (s2y * s11 - s1y * s12) / det b2 from d where det > 1e-8 * s11 * s22),
+e as (select *, syy - b1 * s1y - b2 * s2y sse from b), v as (select *, sse / (n - 3) s2, my - b1 * m1 - b2 * m2 b0 from e),
+o as (select session, 'rate' term, n, syy, sse, b1 estimate, sqrt(s2 * s22 / det) se from v union all select session, 'h', n, syy, sse, b2, sqrt(s2 * s11 / det) from v)"""
+
+
+@query("st_ols_by", with_views("v_prosody", _BY) + f"select *, {t_p_sql('t', 'df')} p from (select session, term, n::bigint n, n - 3 df, estimate, se, estimate / se t, 1 - sse / syy r2 from o)", r="df estimate se t r2 p")
 def _(t):
-    return A.feature_outcome_grid(t.entities(), FEATURES, OUTCOMES, "ord").select("feature", "outcome", "n", "beta", "r2", "t")
+    d = t.prosody().withColumn("h", F.col("t_start") / 3600)
+    return G.ols_by(d, "f0", ["rate", "h"], ["session"], least=8).filter("term <> 'const'").select("session", "term", "n", "df", "estimate", "se", "t", "r2", "p")
 
 
 @query("st_select_features")
@@ -1080,10 +1127,10 @@ def _(t):
     return P.surrogate_test(t.prosody(), ["session"], ORDER, "speaker", "f0")
 
 
-@query("st_sensitivity", with_views("v_const", _LONG_FEATURES, "kv as (select feature, acct, round(v, 6) v from lf where v is not null)", "k as (select feature, acct, v, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0 rv, rank() over (partition by feature order by acct) + (count(*) over (partition by feature, acct) - 1) / 2.0 ra from kv)") + "select feature, corr(v, acct) r_pearson, corr(rv, ra) r_spearman from k group by 1", r="r_pearson r_spearman")
+@query("st_sensitivity", with_views("v_const", _LONG_FEATURES, "kv as (select feature, acct, round(v, 6) v from lf where v is not null)", "k as (select feature, acct, v, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0 rv, rank() over (partition by feature order by acct) + (count(*) over (partition by feature, acct) - 1) / 2.0 ra from kv)") + "select feature, r_pearson, r_spearman, p_pearson, p_spearman, sign(r_pearson) = sign(r_spearman) and (p_pearson < 0.1) = (p_spearman < 0.1) consistent from (select *, case when abs(r_pearson) > 1 - 1e-12 then 0 else " + t_p_sql("tp", "df") + " end p_pearson, case when abs(r_spearman) > 1 - 1e-12 then 0 else " + t_p_sql("ts", "df") + " end p_spearman from (select *, r_pearson * sqrt(df / greatest(1 - r_pearson ** 2, 1e-15)) tp, r_spearman * sqrt(df / greatest(1 - r_spearman ** 2, 1e-15)) ts from (select feature, count(*) - 2.0 df, corr(v, acct) r_pearson, corr(rv, ra) r_spearman from k group by 1)))", r="r_pearson r_spearman p_pearson p_spearman")
 def _(t):
     d = t.with_constants()  # rounded, so that equal means are ties
-    return A.sensitivity(d.withColumns({c: F.round(c, 6) for c in [*FEATURES, "sparse"]}), [*FEATURES, "sparse"], "acct").select("feature", "r_pearson", "r_spearman")
+    return A.sensitivity(d.withColumns({c: F.round(c, 6) for c in [*FEATURES, "sparse"]}), [*FEATURES, "sparse"], "acct").select("feature", "r_pearson", "r_spearman", "p_pearson", "p_spearman", "consistent")
 
 
 @query("st_descriptive", with_views("v_const", _LONG_FEATURES) + "select feature, count(v) n, avg(v) mean, stddev_samp(v) sd, min(v) \"min\", max(v) \"max\", avg((v is null)::int) * 100 missing_pct, case when stddev_pop(v) > 0 then skewness(v) end skew, corr(v, acct) r from lf group by 1", r="mean sd min max missing_pct skew r")
@@ -1091,9 +1138,9 @@ def _(t):
     return A.descriptive_table(t.with_constants(), [*FEATURES, "sparse"], "acct").select("feature", "n", "mean", "sd", "min", "max", "missing_pct", "skew", "r")
 
 
-@query("st_pearson_test", with_views("v_ent", "c as (select count(*) n, corr(acct, va_price) r from v_ent)") + "select n, r, r * sqrt(n - 2.0) / sqrt(1 - r * r) t from c", r="r t")
+@query("st_pearson_test", with_views("v_ent", "c as (select count(*) n, corr(acct, va_price) r from v_ent)", "c2 as (select n, r, r * sqrt(n - 2.0) / sqrt(1 - r * r) t, n - 2.0 df from c)") + f"select n, r, t, {t_p_sql('t', 'df')} p from c2", r="r t p")
 def _(t):
-    return A.pearson_test(t.entities(), "acct", "va_price").select("n", "r", "t")
+    return A.pearson_test(t.entities(), "acct", "va_price").select("n", "r", "t", "p")
 
 
 @query("st_linefit", with_views("v_sess") + "select condition, regr_slope(va_price, va_qty) slope, regr_intercept(va_price, va_qty) intercept from v_sess group by 1", r="slope intercept")
@@ -1160,7 +1207,13 @@ def _(t):
 
 @query("udaf_grouped", with_views("v_prosody") + "select session, count(*) n, avg(f0) f0_mean from v_prosody group by 1", r="f0_mean")
 def _(t):
-    return t.prosody().groupBy("session").agg(F.count("*").alias("n"), F.avg("f0").alias("f0_mean"))
+    mean = lambda s: {"n": s[:, 0].astype(int), "f0_mean": s[:, 1] / s[:, 0]}
+    return G.grouped_aggregate(t.prosody(), ["session"], ["f0"], G.product_state, mean, {"n": "long", "f0_mean": "double"}, centre=False)
+
+
+@query("udaf_partial_corr", with_views("v_prosody", "c as (select session, count(*) n, corr(f0, rate) xy, corr(f0, t_start) xz, corr(rate, t_start) yz from v_prosody where f0 is not null and rate is not null group by 1)") + "select session, n, case when n >= 4 and xz ** 2 < 1 - 1e-9 and yz ** 2 < 1 - 1e-9 then (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) end r from c", r="r")
+def _(t):
+    return G.partial_correlation_by(t.prosody(), ["session"], "f0", "rate", "t_start")
 
 
 @query("udtf", with_views("v_turns") + f"select session, turn_idx, (generate_subscripts({TOK}, 1) - 1)::int pos, unnest({TOK}) word from v_turns")
@@ -1168,6 +1221,28 @@ def _(t):
     return t.turns().select("session", "turn_idx", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
 
 
+def _cue_lines(t: Tables) -> DataFrame:
+    return _cue_files(t).select("user_id", "day", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+
+
+@query("udtf_cue_lines", ORACLES["src_srt_cues"])
+def _(t):
+    from .functions.table_functions import register_table_functions
+
+    register_table_functions(t.spark)
+    rows = t.spark.sql("select * from srt_cues(table(select * from {lines}) partition by (user_id, day) order by (line_no), 'line', 'user_id, day')", lines=_cue_lines(t))
+    return rows.withColumns({c: F.round(c, 6) + 0.0 for c in ("start", "end")})
+
+
+@query("udtf_cue_texts", ORACLES["src_srt_cues"])
+def _(t):
+    from .functions.table_functions import register_table_functions
+
+    register_table_functions(t.spark)
+    rows = t.spark.sql("select f.user_id, f.day, c.* from {files} f, lateral srt_text_cues(f.value) c", files=_cue_files(t))
+    return rows.withColumns({c: F.round(c, 6) + 0.0 for c in ("start", "end")})
+
+
 @query("str_ingest", with_views("v_lines") + "select 'block=' || session // 8 as condition, count(*) n_lines from v_lines group by 1")
 def _(t):
     from .streaming import jobs as J
