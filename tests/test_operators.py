@@ -313,16 +313,75 @@ def test_permutations_and_bootstrap(spark):
     assert not q["a"].crosses_zero and q["a"].lower < q["a"].median < q["a"].upper and q["c"].n_resamples == 300
 
 
-def test_permuted_labels_are_the_same_for_large_tables(spark):
+def test_permutations_are_the_same_for_large_tables(spark):
     d, *_ = data(spark, 50)
-    d = d.select("id", "g", "y")
-    small, large = (P.permuted_labels(d, "id", "g", 20, 42, broadcast_rows=k) for k in (50, 49))
+    d = d.select("id", "g", F.when(F.col("id") % 7 == 3, None).otherwise(F.col("y")).alias("y"), "a")
+    blocks = [(["g"], ["y"]), (["a", "g"], ["y", "a"])]
+    small, large = (P.permuted_products(d, "id", blocks, 20, 42, broadcast_bytes=k) for k in (1 << 20, 1))
     assert small.columns == large.columns
-    small, large = (sorted(map(tuple, x.collect()), key=str) for x in (small, large))
-    assert small == large and len(small) == 1000
+    got, want = ({(r.b, r.block): r.products for r in x.collect()} for x in (small, large))
+    assert len(got) == 40 and got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+    labels = P.permuted_labels(d.filter("y is not null"), "id", "g", 20, 42).collect()
     for b in range(20):
-        assert sum(r[4] for r in small if r[3] == b) == sum(r[1] for r in small if r[3] == b)
-    assert len({tuple(r[4] for r in small if r[3] == b) for b in range(20)}) == 20
+        own = [r for r in labels if r.b == b]
+        assert sum(r._shuffled for r in own) == sum(r.g for r in own)
+        assert got[(b, 0)][0] == pytest.approx(sum(r._shuffled * r.y for r in own))
+    assert len({tuple(r._shuffled for r in sorted(labels) if r.b == b) for b in range(20)}) == 20
+
+
+def test_shuffles_are_even(spark):
+    """Each row takes each other row's value equally often, and two rows' values are not tied to each other."""
+    d = spark.range(8).select("id", *[(F.col("id") == k).cast("double").alias(f"k{k}") for k in range(8)])
+    names = [f"k{k}" for k in range(8)]
+    got = np.array([r.products for r in P.permuted_products(d, "id", [(names, names)], 4000, 7).collect()]).reshape(-1, 8, 8)
+    assert (got.sum(1) == 1).all() and (got.sum(2) == 1).all()
+    share = got.mean(0)
+    assert abs(share - 1 / 8).max() < 0.03
+    pairs = np.einsum("bi,bj->ij", got[:, 0], got[:, 1]) / len(got)
+    assert abs(pairs[~np.eye(8, dtype=bool)] - 1 / 56).max() < 0.012
+
+
+def test_incremental_validity_in_three_tiers(spark):
+    rng = np.random.default_rng(8)
+    n = 60
+    t1, t2, v1, v2, o = (rng.normal(size=n) for _ in range(5))
+    ya, yb = t1 + v1 + rng.normal(size=n), t2 - v2 + rng.normal(size=n)
+    lost = lambda x, k: [None if i % 11 == k else float(v) for i, v in enumerate(x)]
+    rows = list(zip(range(n), lost(ya, 4), map(float, yb), lost(t1, 2), map(float, t2), map(float, v1), lost(v2, 6), lost(o, 9)))
+    d = spark.createDataFrame(rows, "id long, ya double, yb double, t1 double, t2 double, v1 double, v2 double, o double")
+    out, meta = P.incremental_validity(d, "id", ["ya", "yb"], ["t1", "t2"], ["v1", "v2"], ["o"], ["v2"], n_perm=300)
+    got = {(r.tier, r.outcome): r for r in out.collect()}
+    assert list(got) and set(got) == {("primary", "composite"), ("secondary", "ya"), ("secondary", "yb"), ("exploratory", "composite")}
+    col = {c: np.array([np.nan if r[k + 1] is None else r[k + 1] for r in rows]) for k, c in enumerate(("ya", "yb", "t1", "t2", "v1", "v2", "o"))}
+    z = lambda x: (x - np.nanmean(x)) / np.nanstd(x)
+    filled = lambda x: np.where(np.isnan(x), np.nanmean(x), x)
+
+    def first(*names):
+        m = np.column_stack([z(filled(col[c])) for c in names])
+        load = np.linalg.eigh(m.T @ m)[1][:, -1]
+        return z(m @ load * np.sign(load[np.argmax(abs(load))]))
+
+    turn, vocal, theory, o = first("t1", "t2"), first("v1", "v2"), z(filled(col["v2"])), z(np.nan_to_num(col["o"]))
+    every = {"composite": (z(col["ya"]) + z(col["yb"])) / 2, "ya": col["ya"], "yb": col["yb"]}
+
+    def r2(y, *xs):
+        m = np.column_stack([np.ones(len(y)), *xs])
+        b = np.linalg.lstsq(m, y, rcond=None)[0]
+        return 1 - ((y - m @ b) ** 2).sum() / ((y - y.mean()) ** 2).sum(), b[-1], y - m @ b
+
+    for (tier, outcome), r in got.items():
+        y = every[outcome]
+        ok = ~np.isnan(y)
+        y, t, x, c = y[ok], turn[ok], (theory if tier == "exploratory" else vocal)[ok], o[ok]
+        base, full, none = r2(y, c, t), r2(y, c, t, x), r2(y, c)
+        want = (none[0], base[0], full[0], full[0] - base[0], full[0] - r2(y, c, x)[0], base[0] - none[0] + r2(y, c, x)[0] - none[0] - (full[0] - none[0]))
+        assert np.allclose((r.r2_controls, r.r2_base, r.r2_full, r.delta_r2, r.unique_turn, r.shared), want), (tier, outcome)
+        assert abs(r.beta) == pytest.approx(abs(full[1])) and abs(r.partial_r) == pytest.approx(abs(np.corrcoef(base[2], r2(x, c, t)[2])[0, 1]))
+        assert r.n == ok.sum() and (r.p_perm_fdr is None) == (tier != "secondary") and r.p_perm * 301 == pytest.approx(round(r.p_perm * 301))
+        assert (r.p < 0.01) == (r.p_perm < 0.01) or min(r.p, r.p_perm) > 0.001
+    assert meta["theory"] == ["v2"] and 0 <= abs(meta["r_turn_vocal"]) < 1 and meta["alpha"] is not None
+    no_theory = P.incremental_validity(d, "id", ["yb"], ["t1"], ["v1"], n_perm=50)[0]
+    assert {r.tier for r in no_theory.collect()} == {"primary", "secondary"}
 
 
 def test_registered_resamplings_take_the_default_counts(spark, sf):

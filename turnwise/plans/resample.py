@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import ratio, safe_corr
+from ..functions.numeric import f_p_value, finite_columns, safe_corr, t_p_value
 from ..operators.ranges import _kept
 from ..operators.sequence import bh_fdr, switch_pairs
 from ..operators.tables import with_rank
-from .stats import Gram, _fit, commonality, equal_weight, gram, hierarchical, partial_corr, pca_composite
+from .grouped import _in_stacks
+from .stats import Gram, _fit, _none, equal_weight, gram, pca_composite, standardise
 
 
 def _resamples(df: DataFrame, n: int, name: str = "b") -> DataFrame:
@@ -29,80 +30,172 @@ def _uniform(seed: int, *columns: str):
     return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
 
 
-def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a long, over uint64 arrays."""
-    p1, p2, p3, p4, p5 = (np.uint64(k) for k in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
-    h = (seed + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
+_PRIME = (1 << 31) - 1
 
 
-def permuted_labels(df: DataFrame, key: str, group: str, n: int, seed: int, broadcast_rows: int = 200_000) -> DataFrame:
-    """df, n times, with a shuffled copy of group: rows in hash order take the labels in key order.
+def _lane(v, a, c, fold):
+    """A multiplicative mixer below 2^62, the same on columns and on int64 arrays."""
+    v = fold(v * a % _PRIME, 15)
+    v = fold(v * c % _PRIME, 13)
+    return v * a % _PRIME
 
-    Up to broadcast_rows rows go to all tasks, which share out the resamples; larger tables are ranked by windows. Both give the same labels.
+
+def _row_lanes(seed: int, key: str):
+    h = F.xxhash64(F.lit(seed), key)
+    return F.pmod(h, F.lit(_PRIME)).alias("_x"), F.pmod(F.shiftright(h, 31), F.lit(_PRIME)).alias("_y")
+
+
+def _resample_lanes(seed: int, b: str):
+    return [(F.pmod(F.xxhash64(F.lit(seed), F.lit(lane), F.col(b).cast("long")), F.lit(_PRIME - 1)) + 1).alias(f"_{lane}") for lane in "ac"]
+
+
+def _order_columns():
+    """What a resample orders its rows by: columns of _x, _y and _a, _c."""
+    fold = lambda v, k: v.bitwiseXOR(F.shiftright(v, k))
+    x, y, a, c = (F.col(n) for n in ("_x", "_y", "_a", "_c"))
+    return _lane(x, a, c, fold) * (1 << 31) + _lane(y, c, a, fold)
+
+
+def _order_arrays(x: np.ndarray, y: np.ndarray, a: int, c: int) -> np.ndarray:
+    fold = lambda v, k: v ^ (v >> k)
+    return _lane(x, a, c, fold) * (1 << 31) + _lane(y, c, a, fold)
+
+
+def _shuffled_rows(d: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """d (with a column _i, the rows' numbers from 1 in key order), n times as b, and with _j: the number of the row whose values this one takes."""
+    dealt = _resamples(d.select("*", *_row_lanes(seed, key)), n).select("*", *_resample_lanes(seed, "b"))
+    order = Window.partitionBy("b").orderBy(_order_columns(), F.col(key))
+    return dealt.withColumn("_j", F.row_number().over(order).cast("long")).drop("_x", "_y", "_a", "_c")
+
+
+def permuted_labels(df: DataFrame, key: str, group: str, n: int, seed: int) -> DataFrame:
+    """df, n times, with a shuffled copy of group: rows in the order of a hash of row and resample take the labels in key order.
+
+    The rows' numbers come from ranges of keys; each resample is sorted by one window partition, which spills. For statistics that are sums of products, see permuted_products.
     """
-    d = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
-    if d.limit(broadcast_rows + 1).count() > broadcast_rows:
-        d = d.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
-        order = Window.partitionBy("b").orderBy(F.xxhash64("_h", F.col("b").cast("long")), F.col(key))
-        shuffled = _resamples(d, n).withColumn("_j", F.row_number().over(order))
-        labels = d.select(F.col("_i").alias("_j"), F.col(group).alias("_shuffled"))
-        return shuffled.join(labels, "_j").select(*df.columns, "b", "_shuffled")
+    d = with_rank(df, [key], "_i")
+    labels = d.select(F.col("_i").alias("_j"), F.col(group).alias("_shuffled"))
+    return _shuffled_rows(d, key, n, seed).join(labels, "_j").select(*df.columns, "b", "_shuffled")
+
+
+def permuted_products(df: DataFrame, key: str, blocks: list[tuple[list[str], list[str]]], n: int, seed: int, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """(b, block, products): for each of n resamples and each block (xs, ys), the sums of shuffled x times y, for each x and in it each y, over the block's complete rows.
+
+    One pass for all blocks: a resample orders the rows once, by a hash, and the complete rows of a block in that order take its x values in key order. Key values are unique. Tables of up to
+    broadcast_bytes of numbers are broadcast and the resamples shared out among tasks; larger ones are ranked by windows, with the same shuffles.
+    """
+    columns = list(dict.fromkeys(c for xs, ys in blocks for c in [*xs, *ys]))
+    d = finite_columns(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]))
+    schema = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("products", T.ArrayType(T.DoubleType()))])
+    if d.count() * (len(columns) + 2) * 8 > broadcast_bytes:
+        from functools import reduce
+
+        parts = []
+        for k, (xs, ys) in enumerate(blocks):
+            own = with_rank(d.select(key, *dict.fromkeys([*xs, *ys])).na.drop(), [key], "_i")
+            values = own.select(F.col("_i").alias("_j"), *[F.col(x).alias(f"_x{i}") for i, x in enumerate(xs)])
+            each = _shuffled_rows(own, key, n, seed).join(values, "_j")
+            sums = [F.sum(F.col(f"_x{i}") * F.col(y)) for i in range(len(xs)) for y in ys]
+            parts.append(each.groupBy("b").agg(F.array(*sums).alias("products")).select("b", F.lit(k).alias("block"), "products"))
+        return reduce(DataFrame.unionByName, parts)
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([*df.schema, T.StructField("b", T.IntegerType()), T.StructField("_shuffled", df.schema[group].dataType)])
-    arrow = to_arrow_schema(schema)
     spark = df.sparkSession
-    rows = spark.sparkContext.broadcast(d.orderBy(key).toArrow().combine_chunks())
+    t = d.select("*", *_row_lanes(seed, key)).orderBy(key).toArrow()
+    table = spark.sparkContext.broadcast({c: t.column(c).to_numpy() for c in [*columns, "_x", "_y"]})
 
     def shuffle(batches: Iterator) -> Iterator:
-        t = rows.value
-        columns = [t.column(f.name).combine_chunks().cast(f.type) for f in list(arrow)[:-2]]
-        labels = t.column(group).combine_chunks().cast(arrow.field("_shuffled").type)
-        own = _hash_long(t.column("_h").to_numpy().view(np.uint64), np.full(t.num_rows, 42, np.uint64))
-        rank = np.empty(t.num_rows, np.int64)
+        v = table.value
+        own = []
+        for xs, ys in blocks:
+            x, y = (np.column_stack([v[c] for c in names]).astype(float) for names in (xs, ys))
+            keep = np.isfinite(x).all(1) & np.isfinite(y).all(1)
+            own.append((x[keep], y, keep))
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                rank[np.argsort(_hash_long(np.uint64(b), own).view(np.int64), kind="stable")] = np.arange(t.num_rows)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(t.num_rows, b, np.int32)), labels.take(pa.array(rank))], schema=arrow)
+            for b, a, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                order = np.argsort(_order_arrays(v["_x"], v["_y"], a, c), kind="stable")
+                made = [(x.T @ y[order[keep[order]]]).ravel() for x, y, keep in own]
+                yield pa.RecordBatch.from_arrays([pa.array([b] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.list_(pa.float64()))], names=schema.names)
 
-    return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(shuffle, schema)
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, n, 1, tasks).select(F.col("id").cast("int").alias("b"), *_resample_lanes(seed, "id")).mapInArrow(shuffle, schema)
 
 
-def perm_group(df: DataFrame, value: str, group: str, key: str, n: int = 10_000, seed: int = 42) -> DataFrame:
-    """(observed, n_perm, p): two-sided p of a difference of means, (hits + 1) / (n + 1). group is a 0/1 flag."""
-    d = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.col(group).cast("int").alias("g"))
-    diff = lambda g: F.avg(F.when(F.col(g) == 1, F.col("v"))) - F.avg(F.when(F.col(g) == 0, F.col("v")))
-    seen = d.agg(diff("g").alias("observed"))
-    each = permuted_labels(d, key, "g", n, seed).groupBy("b").agg(diff("_shuffled").alias("d"))
-    return each.crossJoin(F.broadcast(seen)).agg(F.first("observed").alias("observed"), F.count("*").alias("n_perm"), ((F.count_if(F.abs("d") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+def _permutation_p(hits):
+    """(hits + 1) / (n + 1) as an aggregate."""
+    return (F.count_if(hits) + 1) / (F.count("*") + 1)
 
 
-def perm_dr2(df: DataFrame, y: str, x: str, controls: list[str], key: str, n: int = 5_000, seed: int = 42) -> DataFrame:
-    """(delta_r2, n_perm, p): one-sided p of the gain in R2 by x over controls, x shuffled.
+def perm_group(df: DataFrame, value: str, group: str, key: str, n: int = 10_000, seed: int = 42) -> DataFrame:
+    """(observed, n_perm, p): two-sided p of a difference of means, (hits + 1) / (n + 1). group is a 0/1 flag.
 
-    A shuffle changes only k + 1 products: with the controls' part taken out of y once, the gain is a ratio of sums in columns.
+    A shuffle's difference follows from one sum: the values in the shuffled group 1.
+    """
+    d = finite_columns(df.select(key, F.col(value).cast("double").alias("v"), F.col(group).cast("double").alias("g"))).na.drop()
+    one = F.col("g") == 1
+    rows, ones, total, inside = d.agg(F.count("*"), F.count_if(one), F.sum("v"), F.sum(F.when(one, F.col("v")))).first()
+    spark = df.sparkSession
+    if not ones or ones == rows:
+        return spark.range(1).select(F.lit(None).cast("double").alias("observed"), F.lit(0).cast("long").alias("n_perm"), F.lit(None).cast("double").alias("p"))
+    centre = total / rows  # sums of centred values don't cancel
+    observed = inside / ones - (total - inside) / (rows - ones)
+    each = permuted_products(d.select(key, "g", (F.col("v") - centre).alias("v")), key, [(["g"], ["v"])], n, seed)
+    # Centred values sum to 0, so the other group's sum is what is missing from it.
+    diff = F.col("products")[0] * (1 / ones + 1 / (rows - ones))
+    return each.agg(F.lit(float(observed)).alias("observed"), F.count("*").alias("n_perm"), _permutation_p(F.abs(diff) >= abs(observed) - 1e-12).alias("p"))
+
+
+def _gains(products: DataFrame, tests: list[dict]) -> DataFrame:
+    """(block, b, gain): the R2 that each shuffled predictor adds, from its products with the base columns and the residual of y, which come first and last."""
+
+    def gain(c):
+        p, block = c["products"], c["block"].astype(int)
+        out = np.zeros(len(block))
+        for k, t in enumerate(tests):
+            mine = block == k
+            if mine.any():
+                q = p[mine][:, : len(t["inv"]) + 1]
+                left = t["sxx"] - np.einsum("bi,ij,bj->b", q[:, :-1], t["inv"], q[:, :-1])
+                ok = (left > t["sxx"] * 1e-12) & (t["sst"] > 0)
+                out[mine] = np.where(ok, q[:, -1] ** 2 / np.where(ok, left * t["sst"], 1.0), 0.0)
+        return {"gain": out}
+
+    width = max(len(t["inv"]) + 1 for t in tests)
+    padded = F.array(*[F.coalesce(F.get("products", F.lit(i)), F.lit(0.0)) for i in range(width)])
+    return _in_stacks(products.select("b", "block", padded.alias("products")).withColumn("_k", F.col("block")), ["b", "_k"], gain, [T.StructField("gain", T.DoubleType())]).withColumnRenamed("_k", "block")
+
+
+def permuted_gains(df: DataFrame, key: str, tests: list[tuple[str, str, list[str]]], n: int, seed: int) -> tuple[list[Gram], DataFrame]:
+    """(Grams, p values (block, n_perm, p)) of tests (y, x, base): how often a shuffled x adds as much R2 to base as x does, one-sided with +1.
+
+    One aggregation gives each test's sums and one pass of resamples serves all tests. The base's part is taken out of y once, so a shuffle changes only
+    the products of x with the base columns and with that residual.
     """
-    d = df.na.drop(subset=[y, x, *controls])
-    g = gram(d, [*controls, x, y])
-    seen = _fit(g, y, [*controls, x])["r2"] - (_fit(g, y, controls)["r2"] if controls else 0.0)
-    my = _fit(g, y, controls)
-    d = d.select(key, F.col(x).cast("double").alias("x"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(controls)], (F.col(y) - sum((F.col(c) * float(b) for c, b in zip(controls, my["beta"])), F.lit(my["intercept"]))).alias("ry"))
-    p = permuted_labels(d, key, "x", n, seed)
-    k = len(controls)
-    cov = [F.covar_pop("_shuffled", f"c{i}") * F.count("*") for i in range(k)]
-    sums = p.groupBy("b").agg((F.covar_pop("_shuffled", "ry") * F.count("*")).alias("xy"), (F.var_pop("_shuffled") * F.count("*")).alias("xx"), *[c.alias(f"xc{i}") for i, c in enumerate(cov)])
-    left = F.col("xx")
-    for i in range(k):
-        for j in range(k):
-            left = left - F.col(f"xc{i}") * F.col(f"xc{j}") * float(my["inv"][i, j])
-    gain = F.coalesce(ratio(F.col("xy") * F.col("xy"), F.when(left > F.col("xx") * 1e-12, left) * my["sst"]), F.lit(0.0))
-    return sums.select(gain.alias("gain")).agg(F.lit(float(seen)).alias("delta_r2"), F.count("*").alias("n_perm"), ((F.count_if(F.col("gain") >= seen - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+    d = finite_columns(df.select(key, *dict.fromkeys(c for y, x, base in tests for c in (y, x, *base))))
+    grams_, blocks, facts = [], [], []
+    for k, (y, x, base) in enumerate(tests):
+        g = gram(d, [*base, x, y])
+        my, both = _fit(g, y, base), _fit(g, y, [*base, x])
+        mean, cov = g.pick([*base, x])
+        ok = F.lit(True)
+        for c in (y, x, *base):
+            ok = ok & F.col(c).isNotNull()
+        d = d.withColumns({f"_b{k}_{i}": F.when(ok, F.col(c) - float(m)) for i, (c, m) in enumerate(zip(base, mean))})
+        fitted = sum((F.col(c) * float(v) for c, v in zip(base, my["beta"])), F.lit(my["intercept"]))
+        d = d.withColumns({f"_r{k}": F.when(ok, F.col(y) - fitted), f"_s{k}": F.when(ok, F.col(x) - float(mean[-1]))})
+        grams_.append(g)
+        blocks.append(([f"_s{k}"], [*[f"_b{k}_{i}" for i in range(len(base))], f"_r{k}"]))
+        facts.append({"inv": my["inv"], "sxx": float(cov[-1, -1]), "sst": my["sst"], "seen": both["r2"] - (my["r2"] if base else 0.0)})
+    each = _gains(permuted_products(d, key, blocks, n, seed), facts)
+    seen = F.element_at(F.array(*[F.lit(float(f["seen"])) for f in facts]), F.col("block") + 1)
+    return grams_, each.groupBy("block").agg(F.count("*").alias("n_perm"), _permutation_p(F.col("gain") >= seen - 1e-12).alias("p"))
+
+
+def perm_dr2(df: DataFrame, y: str, x: str, controls: list[str], key: str, n: int = 5_000, seed: int = 42) -> DataFrame:
+    """(delta_r2, n_perm, p): one-sided p of the gain in R2 by x over controls, x shuffled."""
+    (g,), p = permuted_gains(df, key, [(y, x, list(controls))], n, seed)
+    seen = _fit(g, y, [*controls, x])["r2"] - (_fit(g, y, list(controls))["r2"] if controls else 0.0)
+    return p.select(F.lit(float(seen)).alias("delta_r2"), "n_perm", "p")
 
 
 def bootstrap_ols(df: DataFrame, y: str, xs: list[str], key: str, n: int = 2_000, seed: int = 42) -> DataFrame:
@@ -184,32 +277,60 @@ def surrogate_test(turns: DataFrame, keys: list[str], order: list[str], speaker:
     return d.agg(F.first("real_mean").alias("real_mean"), F.first("pseudo_mean").alias("pseudo_mean"), F.count("*").alias("n_batches"), ((F.count_if(far) + 1) / (F.count("*") + 1)).alias("p"))
 
 
-def incremental_validity(df: DataFrame, key: str, outcomes: list[str], turn_features: list[str], vocal_features: list[str], controls: list[str] = (), n_perm: int = 5_000, seed: int = 42) -> tuple[DataFrame, dict]:
-    """(results, metadata): what the vocal composite adds to the turn composite for the composite outcome (primary) and each outcome (secondary, FDR).
+def incremental_validity(
+    df: DataFrame, key: str, outcomes: list[str], turn_features: list[str], vocal_features: list[str], controls: list[str] = (), theory_features: list[str] = (), n_perm: int = 5_000, seed: int = 42
+) -> tuple[DataFrame, dict]:
+    """(results, metadata): what vocal alignment adds to turn features, in three tiers.
 
-    Each result row: tier, outcome, n, r2_base, r2_full, delta_r2, p, p_perm, partial_r, unique and shared R2, equal-weight delta_r2, p_fdr (secondary only).
+    primary: the first component of the vocal features, for the equal-weight mean of the standardised outcomes. secondary: the same for each outcome, with FDR over their p_perm.
+    exploratory: an index named beforehand, the mean of the standardised theory_features, for the primary outcome. Missing features are imputed by means and missing controls are 0; an
+    outcome's rows without it don't count. Each row: tier, outcome, predictor, n, r2_controls, r2_base, r2_full, delta_r2, f, p, p_perm, p_perm_fdr, partial_r, partial_p, unique_turn,
+    unique_vocal, shared, beta (of the standardised predictor), delta_r2_equal_weight. All tests share one aggregation of sums each and one pass of permutations.
     """
-    from functools import reduce
+    from ..operators.tables import cronbach_alpha
 
     # The table is made once; each statistic reads the checkpoint.
-    df = _kept(df.select(*dict.fromkeys([key, *outcomes, *turn_features, *vocal_features, *controls])))
-    d, turn_info = pca_composite(df, turn_features, "_turn")
-    d, vocal_info = pca_composite(d, vocal_features, "_vocal")
-    d = equal_weight(d, vocal_features, "_vocal_ew")
-    d, outcome_info = pca_composite(d, outcomes, "_outcome") if len(outcomes) > 1 else (d.withColumn("_outcome", F.col(outcomes[0])), {})
-    parts = []
-    for tier, y in [("primary", "_outcome"), *(("secondary", o) for o in outcomes)]:
-        base = [*controls, "_turn"]
-        h = hierarchical(d, y, base, ["_vocal"]).select("n", "r2_base", "r2_full", "delta_r2", "p")
-        perm = perm_dr2(d, y, "_vocal", base, key, n_perm, seed).select(F.col("p").alias("p_perm"))
-        part = partial_corr(d, "_vocal", y, base).select(F.col("r").alias("partial_r"))
-        common = commonality(d, y, ["_turn"], ["_vocal"], list(controls)).select("unique_first", "unique_second", "shared")
-        other = hierarchical(d, y, base, ["_vocal_ew"]).select(F.col("delta_r2").alias("delta_r2_equal_weight"))
-        row = reduce(lambda a, b: a.crossJoin(b), [h, perm, part, common, other])  # one row each
-        parts.append(row.select(F.lit(tier).alias("tier"), F.lit("composite" if tier == "primary" else y).alias("outcome"), "*"))
-    rows = reduce(DataFrame.union, parts)
-    second = bh_fdr(rows.filter("tier = 'secondary'"), "p")
-    return rows.filter("tier = 'primary'").withColumn("p_fdr", F.lit(None).cast("double")).union(second.select(*rows.columns, "p_fdr")), {"turn": turn_info, "vocal": vocal_info, "outcome": outcome_info, "n_perm": n_perm, "seed": seed}
-
-
-__all__ = ["Gram", "bootstrap_ols", "incremental_validity", "perm_dr2", "perm_group", "permuted_labels", "surrogate_pairs", "surrogate_test"]
+    wanted = list(dict.fromkeys([*outcomes, *turn_features, *vocal_features, *theory_features, *controls]))
+    d = finite_columns(df.select(key, *[F.col(c).cast("double").alias(c) for c in wanted]))
+    raw, features = d, list(dict.fromkeys([*turn_features, *vocal_features, *theory_features]))
+    means = d.agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
+    has = lambda names: [c for c in names if means[c] is not None]
+    d = d.withColumns({**{c: F.coalesce(c, F.lit(float(means[c]))) for c in has(features)}, **{c: F.coalesce(c, F.lit(0.0)) for c in controls}})
+    d, turn_info = pca_composite(d, has(turn_features), "_turn")
+    d, vocal_info = pca_composite(d, has(vocal_features), "_vocal")
+    d = equal_weight(d, has(vocal_features), "_vocal_ew")
+    d = equal_weight(d, has(theory_features), "_theory") if has(theory_features) else d.withColumn("_theory", F.lit(None).cast("double"))
+    d = equal_weight(d, outcomes, "_outcome")
+    d, outcome_info = pca_composite(d, outcomes, "_outcome_pca")
+    d = _kept(standardise(d, ["_turn", "_vocal", "_vocal_ew", "_theory", *controls], ""))
+    base = [*controls, "_turn"]
+    named = [("primary", "composite", "vocal", "_outcome", "_vocal"), *(("secondary", o, "vocal", o, "_vocal") for o in outcomes)]
+    named += [("exploratory", "composite", "theory", "_outcome", "_theory")] if has(theory_features) else []
+    grams_, p = permuted_gains(d, key, [(y, x, base) for *_, y, x in named], n_perm, seed)
+    p_perm = {r["block"]: r["p"] for r in p.collect()}  # a row for each test
+    weights = {y: gram(d, [*base, "_vocal_ew", y]) for y in dict.fromkeys(t[3] for t in named)}
+    rows = []
+    for k, ((tier, outcome, predictor, y, x), g) in enumerate(zip(named, grams_)):
+        none, first, second, full = (_fit(g, y, xs) for xs in ([*controls], base, [*controls, x], [*base, x]))
+        start = none["r2"] if controls else 0.0
+        gain, df2 = full["r2"] - first["r2"], full["df"]
+        f = gain / ((1 - full["r2"]) / df2) if df2 > 0 and full["r2"] < 1 else None
+        pull = float(full["beta"][-1])
+        # The partial correlation has the sign of the slope and explains the gain's share of what the base left.
+        partial = float(np.sign(pull) * np.sqrt(max(0.0, gain) / (1 - first["r2"]))) if first["r2"] < 1 else None
+        w = weights[y]
+        equal = _fit(w, y, [*base, "_vocal_ew"])["r2"] - _fit(w, y, base)["r2"]
+        numbers = (start, first["r2"], full["r2"], gain, f, p_perm.get(k), partial, full["r2"] - second["r2"], gain, first["r2"] + second["r2"] - full["r2"] - start, pull, equal, float(df2))
+        rows.append((tier, outcome, predictor, g.n, *map(_none, numbers)))
+    fields = ["r2_controls", "r2_base", "r2_full", "delta_r2", "f", "p_perm", "partial_r", "unique_turn", "unique_vocal", "shared", "beta", "delta_r2_equal_weight", "_df"]
+    out = df.sparkSession.createDataFrame(rows, "tier string, outcome string, predictor string, n long, " + ", ".join(f"{c} double" for c in fields))
+    out = out.withColumns({"p": f_p_value(F.col("f"), F.lit(1.0), F.col("_df")), "_t": F.col("partial_r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("partial_r") * F.col("partial_r"), F.lit(0.0)))})
+    out = out.withColumn("partial_p", t_p_value(F.col("_t"), (F.col("n") - 2).cast("double"))).drop("_t", "_df")
+    second = bh_fdr(out.filter("tier = 'secondary'"), "p_perm", out="p_perm_fdr")
+    out = out.filter("tier <> 'secondary'").withColumn("p_perm_fdr", F.lit(None).cast("double")).unionByName(second)
+    apart = d.agg(F.corr("_turn", "_vocal").alias("turn_vocal"), F.corr("_outcome", "_outcome_pca").alias("composites")).first()
+    alpha = cronbach_alpha(raw, outcomes).first()["alpha"]
+    return out, {"turn": turn_info, "vocal": vocal_info, "outcome": outcome_info, "r_turn_vocal": apart[0], "r_composite_pca": apart[1], "alpha": alpha, "theory": has(theory_features), "n_perm": n_perm, "seed": seed}
+
+
+__all__ = ["Gram", "bootstrap_ols", "incremental_validity", "perm_dr2", "perm_group", "permuted_gains", "permuted_labels", "permuted_products", "surrogate_pairs", "surrogate_test"]

@@ -1108,7 +1108,7 @@ def _(t):
 
 @query("st_incremental")
 def _(t):
-    return P.incremental_validity(t.entities(), "pair_id", ["acct", "avg_total"], ["va_price", "va_qty"], ["disc_mean", "tax_asym"], ["ord"])[0]
+    return P.incremental_validity(t.entities(), "pair_id", ["acct", "avg_total"], ["va_price", "va_qty"], ["disc_mean", "tax_asym"], ["ord"], ["n_items", "disc_mean"])[0]
 
 
 @query("st_confound")
