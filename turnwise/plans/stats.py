@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import f_p_value, finite_columns, ratio, safe_corr, t_p_value
+from ..functions.numeric import f_p_value, finite_columns, incomplete_beta, ratio, safe_corr, t_p_value
 from ..operators.sequence import average_rank, bh_fdr, zscore
 from ..operators.tables import describe, long_form
 from .grouped import controlled_slopes
@@ -352,55 +352,80 @@ def nested_loo(df: DataFrame, y: str, features: list[str], key: str, p_max: floa
 
         totals: dict[int, np.ndarray] = {}
 
-        def fold(own: int, v: np.ndarray) -> tuple[float | None, list[str]]:
-            def sums(use: list[int]) -> np.ndarray:
-                need = sum(bits[i] for i in use)
-                if need not in totals:
-                    totals[need] = sum((m for have, m in patterns if have & need == need), np.zeros((last + 1, last + 1)))
-                at = [0, *[i + 1 for i in use], last]
-                m = totals[need][np.ix_(at, at)]
-                return m - np.outer(v[at], v[at]) if own & need == need else m
-
-            p = {}
+        def sums(use: list[int], own: np.ndarray, v: np.ndarray) -> np.ndarray:
+            """The sums of rows complete in these columns, without each fold's row: a matrix for each row of the batch."""
+            need = sum(bits[i] for i in use)
+            if need not in totals:
+                totals[need] = sum((m for have, m in patterns if have & need == need), np.zeros((last + 1, last + 1)))
+            at = [0, *[i + 1 for i in use], last]
+            x = np.where((own & need == need)[:, None], v[:, at], 0.0)
+            return totals[need][np.ix_(at, at)] - x[:, :, None] * x[:, None, :]
+
+        def screened(own: np.ndarray, v: np.ndarray) -> np.ndarray:
+            """(folds, features) p values, NaN where a feature can't be screened."""
+            p = np.full((len(v), len(features)), np.nan)
             for f in range(len(features)):
-                m = sums([f, *control])
-                n, k = m[0, 0], len(m) - 1
-                if n < least or n <= k:
-                    continue
-                inverse = np.linalg.pinv(m[:k, :k])
-                beta = inverse @ m[:k, k]
-                spread = max(0.0, m[k, k] - beta @ m[:k, k]) / (n - k) * inverse[1, 1]
-                if spread > 0:
-                    p[f] = student_p(beta[1] / np.sqrt(spread), n - k)
-            ranked = sorted(p, key=lambda f: (p[f], features[f]))
-            chosen = [f for f in ranked if p[f] < p_max] or ranked[:3]
-            dropped: set[int] = set()
-            for i, f in enumerate(chosen):
-                for g in chosen[i + 1 :]:
-                    if f in dropped or g in dropped:
-                        continue
-                    m = sums([f, g])
-                    c = m[1:3, 1:3] - np.outer(m[0, 1:3], m[0, 1:3]) / max(m[0, 0], 1)
-                    if c[0, 0] > 0 and c[1, 1] > 0 and abs(c[0, 1]) > r_max * np.sqrt(c[0, 0] * c[1, 1]):
-                        dropped.add(g if p[g] > p[f] else f)
-            chosen = [f for f in chosen if f not in dropped][:cap]
-            m = sums(chosen)
-            k = len(m) - 1
-            if m[0, 0] < len(chosen) + 2 or any(not own & bits[f] for f in chosen):
-                return None, [features[f] for f in chosen]
-            beta = np.linalg.lstsq(m[:k, :k], m[:k, k], rcond=None)[0]
-            return float(beta @ v[[0, *[f + 1 for f in chosen]]] + mean[-1]), [features[f] for f in chosen]
+                m = sums([f, *control], own, v)
+                n, k = m[:, 0, 0], m.shape[1] - 1
+                inverse = np.linalg.pinv(m[:, :k, :k], hermitian=True)
+                beta = np.einsum("bij,bj->bi", inverse, m[:, :k, k])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    spread = np.maximum(0.0, m[:, k, k] - np.einsum("bi,bi->b", beta, m[:, :k, k])) / (n - k) * inverse[:, 1, 1]
+                    t = beta[:, 1] / np.sqrt(spread)
+                ok = (n >= least) & (n > k) & (spread > 0)
+                df = np.where(ok, n - k, 1.0)
+                p[ok, f] = incomplete_beta(df / 2, 0.5, df / (df + np.where(ok, t, 0.0) ** 2))[ok]
+            return p
+
+        def folds(own: np.ndarray, v: np.ndarray) -> tuple[list[float | None], list[tuple[int, ...]]]:
+            p, close = screened(own, v), {}
+
+            def correlated(row: int, f: int, g: int) -> bool:
+                if (f, g) not in close:
+                    m = sums([f, g], own, v)
+                    c = m[:, 1:3, 1:3] - m[:, 0, 1:3, None] * m[:, 0, None, 1:3] / np.maximum(m[:, 0, 0], 1)[:, None, None]
+                    both = (c[:, 0, 0] > 0) & (c[:, 1, 1] > 0)
+                    close[f, g] = both & (np.abs(c[:, 0, 1]) > r_max * np.sqrt(np.where(both, c[:, 0, 0] * c[:, 1, 1], 1.0)))
+                return bool(close[f, g][row])
+
+            chosen: list[tuple[int, ...]] = []
+            for row, q in enumerate(p):
+                ranked = sorted((f for f in range(len(features)) if q[f] == q[f]), key=lambda f: (q[f], features[f]))
+                best = [f for f in ranked if q[f] < p_max] or ranked[:3]
+                dropped: set[int] = set()
+                for i, f in enumerate(best):
+                    for g in best[i + 1 :]:
+                        if f not in dropped and g not in dropped and correlated(row, f, g):
+                            dropped.add(g if q[g] > q[f] else f)
+                chosen.append(tuple(f for f in best if f not in dropped)[:cap])
+            predicted: list[float | None] = [None] * len(v)
+            same: dict[tuple[int, ...], list[int]] = {}
+            for row, c in enumerate(chosen):
+                same.setdefault(c, []).append(row)
+            for c, rows in same.items():  # folds with one choice are solved together
+                m = sums(list(c), own[rows], v[rows])
+                k = m.shape[1] - 1
+                beta = np.einsum("bij,bj->bi", np.linalg.pinv(m[:, :k, :k], hermitian=True), m[:, :k, k])
+                fitted = np.einsum("bi,bi->b", beta, v[rows][:, [0, *[f + 1 for f in c]]]) + mean[-1]
+                need = sum(bits[f] for f in c)
+                for row, y, n in zip(rows, fitted.tolist(), m[:, 0, 0].tolist()):
+                    if n >= len(c) + 2 and own[row] & need == need:
+                        predicted[row] = y
+            return predicted, chosen
 
         for b in batches:
+            if not len(b):
+                continue
             values = np.column_stack([np.ones(len(b)), b[names].to_numpy(float)])
-            got = [fold(int(m), v) for m, v in zip(b["mask"], values)]
+            predicted, chosen = folds(b["mask"].to_numpy(np.int64), values)
             out = pd.DataFrame({key: b[key], "actual": values[:, last] + mean[-1]})
-            out["predicted"] = pd.Series([g[0] for g in got], out.index, dtype=object)
-            out["chosen"] = [g[1] for g in got]
+            out["predicted"] = pd.Series(predicted, out.index, dtype=object)
+            out["chosen"] = [[features[f] for f in c] for c in chosen]
             yield out
 
     schema = T.StructType([d.schema[key], T.StructField("actual", T.DoubleType()), T.StructField("predicted", T.DoubleType()), T.StructField("chosen", T.ArrayType(T.StringType()))])
-    folds = d.mapInPandas(run, schema)
+    # Folds are dealt out evenly: the table is small, and left as it came one task would solve them all.
+    folds = d.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key).mapInPandas(run, schema)
     predictions = folds.select(key, "actual", "predicted", F.size("chosen").alias("n_features"))
     return predictions, folds.select(F.explode("chosen").alias("feature")).groupBy("feature").agg(F.count("*").alias("n_folds"))
 
