@@ -100,29 +100,32 @@ def next_bucket(level: DataFrame, fan: int = 1024) -> DataFrame:
 def with_buckets(docs: DataFrame, per_bucket: int = 1024, bins: int = 1024) -> DataFrame:
     """docs (doc_id, text) with bucket, a long that grows with doc_id, of about per_bucket rows however the ids are spread.
 
-    Ids are cut at quantiles (a sketch of fixed size, at most bins of them) and each bin into equal ranges. Null ids have the lowest buckets, by a hash of
-    their texts. Rows that share an id share a bucket.
+    Buckets of more than twice that are cut at their own quantiles (a sketch of fixed size each, at most bins parts), until none is left but those whose rows share one id. Each level
+    cuts by bins, whatever the ids are, so a billion rows take two. Null ids have the lowest buckets, by a hash of their texts.
     """
-    shares = [i / bins for i in range(1, bins)]
-    rows, ids, low, high, cuts = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", shares, 10_000)).first()
+    rows, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
     lost = max(1, -(-(rows - ids) // per_bucket))
     null_bucket = -1 - F.pmod(F.shiftrightunsigned(F.xxhash64("text"), 1), F.lit(lost))
-    if not ids:
-        return docs.withColumn("bucket", null_bucket)
-    wanted = max(1, min(bins, ids // per_bucket))
-    edges = sorted({low, *[c for c in cuts[bins // wanted - 1 :: bins // wanted] if c > low]})
-    inside = max(1, -(-ids // (len(edges) * per_bucket)))
-    step = 32
-    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    upto = lambda array: F.size(F.filter(array, lambda e: e <= F.col("doc_id")))
-    # How many edges are at or below an id: first among each 32nd, then among the 32 that follow that one.
-    coarse = upto(longs(edges[::step])) - 1
-    d = docs.withColumn("_c", coarse)
-    d = d.withColumn("_bin", F.col("_c") * step + upto(F.slice(longs(edges), F.greatest("_c", F.lit(0)) * step + 1, F.lit(step))) - 1)
-    begin, end = F.get(longs(edges), F.col("_bin")).cast("double"), F.get(longs([*edges[1:], high]), F.col("_bin")).cast("double")
-    share = (F.col("doc_id").cast("double") - begin) / F.greatest(end - begin, F.lit(1.0))
-    own = F.col("_bin").cast("long") * inside + F.least(F.floor(share * inside), F.lit(inside - 1))
-    return d.withColumn("bucket", F.when(F.col("doc_id").isNull(), null_bucket).otherwise(own)).drop("_c", "_bin")
+    d = docs.withColumn("bucket", F.lit(0).cast("long"))
+    shares, step = F.lit([i / bins for i in range(1, bins)]), 32
+    while ids > 2 * per_bucket:
+        held = d.filter("doc_id is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", shares, 10_000).alias("cuts"))
+        held = held.filter((F.col("n") > 2 * per_bucket) & (F.col("low") < F.col("high")))
+        every = F.greatest(F.lit(1), F.ceil(F.lit(bins * per_bucket) / F.col("n"))).cast("int")
+        # The beginnings of all parts but the first. Where the least id fills whole parts, it becomes one of its own, so each level parts something.
+        cuts = F.filter("cuts", lambda c, i: (i + 1) % every == 0)
+        apart = F.when(cuts[0] <= F.col("low"), F.array(F.col("low") + 1)).otherwise(F.array().cast("array<bigint>"))
+        edges = F.array_sort(F.array_distinct(F.concat(F.filter(cuts, lambda c: c > F.col("low")), apart)))
+        crowded = cut_lineage(held.select(F.col("bucket").alias("_b"), edges.alias("_edges")).withColumn("_coarse", F.filter("_edges", lambda e, i: i % step == 0)))
+        found = crowded.count()
+        if not found:
+            break
+        # How many edges are at or below an id: first among each 32nd, then among the 32 that follow that one.
+        upto = lambda array: F.size(F.filter(array, lambda e: e <= F.col("doc_id")))
+        d = d.join(F.broadcast(crowded) if found <= 1024 else crowded, F.col("bucket") == F.col("_b"), "left")  # 1024 longs each
+        at = F.when(F.col("_b").isNull() | F.col("doc_id").isNull(), F.lit(0)).otherwise(let(upto(F.col("_coarse")), lambda c: F.when(c == 0, F.lit(0)).otherwise((c - 1) * step + upto(F.slice("_edges", (c - 1) * step + 1, F.lit(step))))))
+        d = d.withColumn("bucket", F.col("bucket") * (bins + 1) + at).drop("_b", "_edges", "_coarse")
+    return d.withColumn("bucket", F.when(F.col("doc_id").isNull(), null_bucket).otherwise(F.col("bucket")))
 
 
 def with_next(docs: DataFrame, width: int = 5, per_bucket: int = 1024) -> DataFrame:
@@ -150,7 +153,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the next document. Empty and null texts have
-    the fingerprint ''. Equal texts have equal fingerprints. Rows that repeat an id follow each other by text, rows with a null id come after all others.
+    the fingerprint ''. Equal texts have equal fingerprints. Ids are cast to long (others than numbers are an error). Rows that repeat an id follow each other by text, rows with a null id come after all others.
     """
     d = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), width)
     cut = F.floor(F.length("text") / 3).cast("int")
