@@ -125,6 +125,26 @@ def test_rank_and_nearest_in_blocks(spark):
     assert got == {i: max(range(2000), key=lambda k: cos([float(i), 1.0], [k + 0.1, 1.0])) for i in range(5)}
 
 
+def test_range_joins_of_any_length(spark):
+    rng = np.random.default_rng(12)
+    iv = lambda n: [(int(k), float(s), float(s + d)) for k, s, d in zip(rng.integers(0, 2, n), rng.integers(-(10**9), 10**9, n), 10.0 ** rng.uniform(0, 9, n) * (rng.random(n) > 0.1))]
+    a, b = iv(300), iv(250)
+    a += [(0, 5.0, 6.0), (0, -(10.0**9), 10.0**9), (1, float("nan"), 3.0), (1, 1.0, None), (0, 8.0, 8.0), (0, 0.0, float("inf"))]
+    b += [(0, 6.0, 7.0), (0, 4.0, 5.5), (1, None, 2.0)]
+    x = frame(spark, [(i, *r) for i, r in enumerate(a)], "i long, k long, s double, e double")
+    y = frame(spark, [(i, *r) for i, r in enumerate(b)], "j long, k long, t double, f double")
+    fine = lambda r: all(v is not None and abs(v) < float("inf") for v in r[1:])
+    want = sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if fine(p) and fine(q) and p[0] == q[0] and p[2] > q[1] and p[1] < q[2])
+    assert len(want) > 1500
+    for unit in (1.0, 1e5, 1e12):
+        assert sorted((r.i, r.j) for r in R.overlap_join(x, y, ["k"], ("s", "e"), ("t", "f"), unit).collect()) == want
+    dealt = R._cells(R._levelled(x, "s", "e", 1.0).withColumn("_l", F.col("_own")), F.col("s"), F.col("e"), 1.0)
+    assert dealt.groupBy("i").count().filter("count > 2").count() == 0
+    held = R.point_in_interval(y.select("j", "k", "t"), x, ["k"], "t", ("s", "e"), 1.0)
+    assert sorted((r.i, r.j) for r in held.collect()) == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if fine(p) and q[1] is not None and p[0] == q[0] and p[1] <= q[1] < p[2])
+    assert R.overlap_join(x.limit(0), y, ["k"], ("s", "e"), ("t", "f"), 1.0).count() == 0 and R.point_in_interval(y, x.limit(0), ["k"], "t", ("s", "e"), 1.0).count() == 0
+
+
 def test_gap_merge(spark):
     cues = frame(spark, [(1, 0, "A", 0.0, 1.0, "x"), (1, 1, "A", 1.2, 2.0, "longer"), (1, 2, "B", 2.0, 3.0, "b"), (1, 3, "A", 3.0, 3.1, "tiny"), (1, 4, "A", 9.0, 10.0, "late")], "s long, i long, speaker string, start double, end double, text string")
     got = Q.gap_merge(cues, ["s"], ["i"]).orderBy("turn_idx").collect()

@@ -1,7 +1,7 @@
-"""Range joins by time buckets, frames, vectors and enrolment.
+"""Range joins by cells of time, frames, vectors and enrolment.
 
-A join on inequalities alone is a nested loop. Points get the bucket of their time and intervals all buckets that they touch, so the join is
-an equi-join on (keys, bucket) with the inequality left as a condition.
+A join on inequalities alone is a nested loop. Cells of doubling lengths make it an equi-join: an interval is dealt to the cells as long as itself, and a point to
+its cell of each length that intervals have. The inequality is left as a condition.
 """
 
 from __future__ import annotations
@@ -15,25 +15,76 @@ from pyspark.sql import functions as F
 from ..functions.numeric import cosine, rms_db, unit
 
 
-def _buckets(start: Column, end: Column, bucket: float) -> Column:
-    return F.sequence(F.floor(start / bucket), F.greatest(F.floor(start / bucket), F.floor(end / bucket)))
+def _level(start: Column, end: Column, unit: float) -> Column:
+    """The lowest level whose cells, unit * 2^level long, are no shorter than the interval."""
+    n = end - start
+    return F.when(n > unit, F.ceil(F.log2(n / unit))).otherwise(0).cast("int")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_iv: tuple[str, str], b_iv: tuple[str, str], bucket: float) -> DataFrame:
-    """Pairs of rows with equal keys whose half-open intervals overlap, each once: in the later of both rows' first buckets."""
-    (s, e), (t, f) = a_iv, b_iv
-    x = a.withColumn("_k", F.explode(_buckets(F.col(s), F.col(e), bucket)))
-    y = b.withColumn("_k", F.explode(_buckets(F.col(t), F.col(f), bucket)))
-    both = x.join(y, [*keys, "_k"]).filter((F.col(e) > F.col(t)) & (F.col(s) < F.col(f)))
-    return both.filter(F.col("_k") == F.greatest(F.floor(F.col(s) / bucket), F.floor(F.col(t) / bucket))).drop("_k")
+def _cells(df: DataFrame, start: Column, end: Column, unit: float) -> DataFrame:
+    """df with a row for each cell (_k) of its level (_l) that it touches: two at most, where its level is that of its length."""
+    size = F.pow(F.lit(2.0), F.col("_l")) * unit
+    first = F.floor(start / size)
+    return df.withColumn("_k", F.explode(F.sequence(first, F.greatest(first, F.floor(end / size)))))
+
+
+def _levelled(df: DataFrame, s: str, e: str, unit: float) -> DataFrame:
+    """df with its level _own; rows with a bound that is null, NaN or infinite go, for they match nothing."""
+    ok = F.lit(True)
+    for c in (s, e):
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf"))
+    return df.filter(ok).withColumn("_own", _level(F.col(s), F.col(e), unit))
+
+
+def _levels_of(df: DataFrame) -> list[int]:
+    return sorted(r[0] for r in df.select("_own").distinct().collect())  # a number for each power of 2 in the lengths
 
 
-def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, iv: tuple[str, str], bucket: float) -> DataFrame:
-    """Points with each interval start <= t < end that holds them."""
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_iv: tuple[str, str], b_iv: tuple[str, str], bucket: float) -> DataFrame:
+    """Pairs of rows with equal keys whose half-open intervals overlap, each once.
+
+    An interval stands in the two cells at most that it touches at the level of its own length, and in those of the other side's higher levels. The shorter of two that overlap touches
+    a cell of the longer one at the longer one's level, so each pair meets there, in the later of both rows' first cells; no interval has more than two rows a level, however long it is.
+    bucket: the length of the finest cells.
+    """
+    (s, e), (t, f) = a_iv, b_iv
+    x, y = _levelled(a, s, e, bucket), _levelled(b, t, f, bucket)
+    x_levels, y_levels = _levels_of(x), _levels_of(y)
+    if not x_levels or not y_levels:
+        return x.join(y, keys).drop("_own").limit(0)
+
+    def own(d: DataFrame, lo: str, hi: str) -> DataFrame:
+        return _cells(d.withColumn("_l", F.col("_own")).drop("_own"), F.col(lo), F.col(hi), bucket)
+
+    def higher(d: DataFrame, lo: str, hi: str, levels: list[int], same: bool) -> DataFrame:
+        up = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own") if same else v > F.col("_own"))
+        return _cells(d.withColumn("_l", F.explode(up)).drop("_own"), F.col(lo), F.col(hi), bucket)
+
+    on = [*keys, "_l", "_k"]
+    parts = []
+    if y_levels[0] <= x_levels[-1]:
+        parts.append(own(x, s, e).join(higher(y, t, f, x_levels, True), on))
+    if x_levels[0] < y_levels[-1]:
+        both = higher(x, s, e, y_levels, False).join(own(y, t, f), on)
+        parts.append(both)
+    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    size = F.pow(F.lit(2.0), F.col("_l")) * bucket
+    met = F.col("_k") == F.greatest(F.floor(F.col(s) / size), F.floor(F.col(t) / size))
+    return pairs.filter((F.col(e) > F.col(t)) & (F.col(s) < F.col(f)) & met).drop("_l", "_k")
+
+
+def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, iv: tuple[str, str], bucket: float, levels: list[int] | None = None) -> DataFrame:
+    """Points with each interval start <= t < end that holds them. An interval has two rows at most, a point one for each level of the intervals' lengths.
+
+    bucket: the length of the finest cells. levels: those of the intervals, where the caller knows them; else one job looks.
+    """
     s, e = iv
-    x = points.withColumn("_k", F.floor(F.col(t) / bucket))
-    y = intervals.withColumn("_k", F.explode(_buckets(F.col(s), F.col(e), bucket)))
-    return x.join(y, [*keys, "_k"]).filter((F.col(s) <= F.col(t)) & (F.col(t) < F.col(e))).drop("_k")
+    d = _levelled(intervals, s, e, bucket)
+    wanted = levels if levels is not None else _levels_of(d)
+    x = points.withColumn("_l", F.explode(F.array(*[F.lit(v) for v in wanted]).cast("array<int>")))
+    x = x.withColumn("_k", F.floor(F.col(t) / (F.pow(F.lit(2.0), F.col("_l")) * bucket)))
+    y = _cells(d.withColumn("_l", F.col("_own")).drop("_own"), F.col(s), F.col(e), bucket)
+    return x.join(y, [*keys, "_l", "_k"]).filter((F.col(s) <= F.col(t)) & (F.col(t) < F.col(e))).drop("_l", "_k")
 
 
 def first_interval(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, iv: tuple[str, str], point_id: list[str], value: str, bucket: float) -> DataFrame:
@@ -45,7 +96,7 @@ def first_interval(points: DataFrame, intervals: DataFrame, keys: list[str], t:
 def edge_means(frames: DataFrame, switches: DataFrame, keys: list[str], t: str, boundary: str, value: str, width: float) -> DataFrame:
     """(keys, boundary, n_before, n_after, before, after): means of the frames in [boundary - width, boundary) and [boundary, boundary + width)."""
     around = switches.select(*keys, boundary, (F.col(boundary) - width).alias("_s"), (F.col(boundary) + width).alias("_e"))
-    hit = point_in_interval(frames, around, keys, t, ("_s", "_e"), width)
+    hit = point_in_interval(frames, around, keys, t, ("_s", "_e"), 4 * width, levels=[0])
     early = F.col(t) < F.col(boundary)
     return hit.groupBy(*keys, boundary).agg(F.count_if(early).alias("n_before"), F.count_if(~early).alias("n_after"), F.avg(F.when(early, F.col(value))).alias("before"), F.avg(F.when(~early, F.col(value))).alias("after"))
 
