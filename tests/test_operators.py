@@ -193,6 +193,38 @@ def test_zscore_and_ranks(spark):
     assert sorted(r.r for r in d.select(Q.average_rank(F.col("x"), [F.lit(0)]).alias("r")).collect()) == [1.0, 2.0, 3.5, 3.5]
 
 
+def test_ranks_and_fdr_of_whole_tables(spark):
+    """More ranges than one, ties over a third of the rows, nulls, groups with null keys."""
+    from turnwise.operators import ranks as K
+
+    rng = np.random.default_rng(6)
+    rows = [(i, None if i % 13 == 0 else int(rng.integers(0, 3)), None if i % 17 == 0 else 0.05 if i % 3 == 0 else float(rng.integers(1, 400)) / 400) for i in range(900)]
+    d = frame(spark, rows, "i long, g long, p double").repartition(5)
+
+    def ranks(values):
+        return {v: sum(w < v for w in values) + (values.count(v) + 1) / 2 for v in values}
+
+    def adjusted(values):
+        out, least, n = {}, 1.0, len(values)
+        for r, v in sorted(enumerate(sorted(values), 1), reverse=True):
+            least = min(least, v * n / r)
+            out[v] = least
+        return out
+
+    for by in ([], ["g"]):
+        groups: dict = {}
+        for _, g, p in rows:
+            if p is not None:
+                groups.setdefault(g if by else 0, []).append(p)
+        for fn, want in ((lambda: K.tied_ranks(d, "p", by, "out"), ranks), (lambda: K.bh_fdr(d, "p", by, "out"), adjusted)):
+            expected = {g: want(v) for g, v in groups.items()}
+            got = fn().collect()
+            assert len(got) == len(rows)
+            for r in got:
+                assert (r.out is None) if r.p is None else r.out == pytest.approx(expected[r.g if by else 0][r.p], abs=1e-12)
+    assert K.tied_ranks(d.limit(0), "p").count() == 0 and K.bh_fdr(d.limit(0), "p", ["g"]).count() == 0
+
+
 def test_bh_fdr(spark):
     p = [0.01, 0.04, 0.03, None, 0.5]
     got = {r.i: r.p_fdr for r in Q.bh_fdr(frame(spark, list(enumerate(p)), "i long, p double"), "p").collect()}

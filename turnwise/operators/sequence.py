@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, safe_corr
 from ..functions.text import norm_text
+from .ranks import bh_fdr  # noqa: F401
 
 
 def in_order(keys: list[str], order: list[str]):
@@ -152,19 +153,10 @@ def best_window(turns: DataFrame, keys: list[str], length: int, step: int, start
 
 
 def average_rank(value: Column, by: list[Column]) -> Column:
-    """Ranks with ties averaged."""
+    """Ranks with ties averaged, inside groups that a task can sort; ranks.tied_ranks has those of whole tables."""
     w = Window.partitionBy(*by)
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
-def bh_fdr(df: DataFrame, p: str, by: list[str] = (), out: str = "p_fdr") -> DataFrame:
-    """Benjamini-Hochberg adjusted p values; null p values stay null and don't count."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    d = df.withColumns({"_n": F.count(p).over(w), "_r": F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))})
-    scaled = F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_r"))
-    back = w.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.min(scaled).over(back))).drop("_n", "_r")
-
-
 def carry_forward(value: Column, keys: list[str], order: list[str]) -> Column:
     return F.last(value, ignorenulls=True).over(in_order(keys, order).rowsBetween(Window.unboundedPreceding, 0))

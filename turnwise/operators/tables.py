@@ -84,13 +84,10 @@ def outliers(df: DataFrame, key: str, columns: list[str], limit: float = 2.5) ->
 
 def with_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """df with its rows' numbers from 1 by order (unique). Rows are dealt to ranges and numbered inside them; only the ranges' sizes are summed up in one task."""
-    from .ranges import _kept
+    from .ranks import in_ranges
 
-    d = _kept(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = d.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return d.join(F.broadcast(starts), "_part").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_part", "_before")
+    return in_ranges(df, order).withColumn(name, (inside + F.col("_before")).cast("long")).drop("_part", "_before")
 
 
 def candidates(report: DataFrame, name: str, p: str, most: float = 0.10, fallback: int = 3, cap: int | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import f_p_value, finite_columns, safe_corr, t_p_value
 from ..operators.ranges import _kept
-from ..operators.sequence import bh_fdr, switch_pairs
+from ..operators.ranks import bh_fdr
+from ..operators.sequence import switch_pairs
 from ..operators.tables import with_rank
 from .grouped import _in_stacks
 from .stats import Gram, _fit, _none, equal_weight, gram, pca_composite, standardise

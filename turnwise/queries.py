@@ -11,6 +11,7 @@ from .functions import numeric as N
 from .functions import scorers as H
 from .functions import text as X
 from .operators import ranges as R
+from .operators import ranks as K
 from .operators import sequence as Q
 from .operators import session as S
 from .operators import tables as B
@@ -783,11 +784,18 @@ def _(t):
 @query("win_rank_avg", "select o_orderkey, rank() over (order by o_orderdate::date) + (count(*) over (partition by o_orderdate::date) - 1) / 2.0 r from orders", r="r")
 def _(t):
     o = t.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.month("o_orderdate").alias("m"), F.year("o_orderdate").alias("y"))
-    # Ranks over the whole table by counts of distinct values: no window holds all rows.
-    n = o.groupBy("d").agg(F.count("*").alias("n"))
-    w = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = n.select("d", (F.coalesce(F.sum("n").over(w), F.lit(0)) + 1 + (F.col("n") - 1) / 2.0).alias("r"))
-    return o.join(ranks, "d").select("o_orderkey", "r")
+    return K.tied_ranks(o, "d", out="r").select("o_orderkey", "r")
+
+
+@query("win_rank_avg_by", "select p_partkey, rank() over (partition by p_brand order by p_retailprice) + (count(*) over (partition by p_brand, p_retailprice) - 1) / 2.0 r from part", r="r")
+def _(t):
+    return K.tied_ranks(t.table("part").select("p_partkey", "p_brand", "p_retailprice"), "p_retailprice", ["p_brand"], "r").select("p_partkey", "r")
+
+
+@query("win_bh_fdr_all", "with p as (select l_orderkey, l_linenumber, (l_partkey % 9973 + 1) / 10000.0 p from lineitem), r as (select *, count(*) over () n, row_number() over (order by p) r from p) select l_orderkey, l_linenumber, min(least(1.0, p * n / r)) over (order by r desc) p_fdr from r", r="p_fdr")
+def _(t):
+    p = t.table("lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_partkey") % 9973 + 1) / 10000.0).alias("p"))
+    return Q.bh_fdr(p, "p").select("l_orderkey", "l_linenumber", "p_fdr")
 
 
 @query("win_bh_fdr", "with p as (select p_partkey, p_brand, (p_partkey % 97 + 1) / 100.0 p from part), r as (select *, count(*) over (partition by p_brand) n, row_number() over (partition by p_brand order by p) r from p) select p_partkey, min(least(1.0, p * n / r)) over (partition by p_brand order by r desc) p_fdr from r", r="p_fdr")
