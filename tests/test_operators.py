@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -592,23 +594,63 @@ def test_streaming_ingest_reads_each_file_once(spark, tmp_path):
     assert sorted((r.pair_id, r.condition) for r in rows) == [(1, "piper"), (2, "piper")]
 
 
+def fed(spark, df, tmp_path, files, name="in"):
+    """df's rows as a stream with a file for each of files (lists of rows), a micro-batch each."""
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+
+
 def test_streaming_switch_state(spark, tmp_path):
-    t = turns_of(spark, 30, 2)
-    t.repartition(1).sortWithinPartitions("t_start").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
-    q = J.switch_state(stream, "session", "t_start", "speaker", "v").writeStream.format("memory").queryName("switches").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    want = Q.switch_pairs(t, ["session"], ["t_start", "event_id"], "speaker", ["v"]).groupBy("session").count().collect()
-    got = {r.session: r for r in spark.table("switches").collect()}
-    assert {str(r.session): r["count"] for r in want} == {k: r.n_switch for k, r in got.items()} and all(r.n_turns == 30 for r in got.values())
+    t = turns_of(spark, 40, 3).select("session", "event_id", F.timestamp_seconds(F.col("t_start") + 10**9).alias("ts"), "speaker", F.when(F.col("event_id") % 9 == 4, None).otherwise(F.col("v")).alias("v"), "t_start")
+    rows = t.orderBy("ts", "event_id").collect()
+    run = lambda files, name, **o: J.run_batches(J.switch_state(fed(spark, t, tmp_path, files, name), "session", "ts", "event_id", "speaker", "v", **{"late": "365 days", "expire_ms": 10**12, **o}), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-state"))
+    final = lambda seen: {r.session: r for r in sorted(seen.collect(), key=lambda r: (r.n_turns, r.batch))}
+    one, _ = run([rows], "one")
+    many, late = run([rows[k : k + 17] for k in range(0, len(rows), 17)], "many")
+    a, b = final(one), final(many)
+    assert late == 0 and many.select("batch").distinct().count() > 4 and a.keys() == b.keys()
+    pairs = Q.switch_pairs(t, ["session"], ["ts", "event_id"], "speaker", ["v"])
+    want = {r.session: r for r in Q.pair_metrics(pairs, ["session"], ["ts", "event_id"], "prev_v", "v").collect()}
+    switches = {r.session: r["count"] for r in pairs.groupBy("session").count().collect()}
+    for k in a:
+        for r in (a[k], b[k]):
+            assert (r.n_turns, r.n_switch, r.n_late, r.n_pairs, r.ended) == (40, switches[k], 0, want[k].n_pairs, False)
+            assert r.sum_gap == pytest.approx(want[k].adjacent * want[k].n_pairs) and r.synchrony == pytest.approx(want[k].synchrony)
+
+
+def test_streaming_switch_state_late_turns_and_timers(spark, tmp_path):
+    schema = "session string, event_id long, ts timestamp, speaker string, v double, t_start double"
+    row = lambda s, i, at, who: (s, i, datetime.datetime.fromtimestamp(at), who, float(i), float(at))
+    d = frame(spark, [row("a", 1, 100, "A")], schema)
+    files = [[row("a", 1, 100, "A"), row("a", 2, 110, "B")], [row("a", 3, 105, "A"), row("b", 4, 111, "A")], [row("a", 5, 120, "A"), row("b", 6, 5000, "B")], [row("b", 8, 5001, "A")], [row("a", 7, 90, "A"), row("b", 11, 5001, "A")], [row("b", 9, 5002, "B"), row("a", 10, 5003, "A")]]
+    stream = J.switch_state(fed(spark, d, tmp_path, files), "session", "ts", "event_id", "speaker", "v", late="30 seconds", expire_ms=60_000)
+    seen, late = J.run_batches(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = seen.orderBy("batch").collect()
+    # Session a: the turn at 105 came after that at 110; its end came out when the watermark passed 180; the turn at 90 was dropped; that at 5003 begins anew.
+    ends = [r for r in got if r.ended]
+    assert [(r.session, r.n_turns, r.n_switch, r.n_late) for r in ends] == [("a", 4, 2, 1)] and late == 1
+    assert [(r.n_turns, r.n_switch) for r in got if r.session == "a"][-1] == (1, 0)
+    assert [(r.n_turns, r.n_switch) for r in got if r.session == "b"][-1][0] >= 2
 
 
 def test_streaming_session_merge(spark, tmp_path):
     spark.createDataFrame([(1, "A", 0), (1, "A", 5), (1, "A", 100), (1, "B", 3)], "s long, speaker string, x long").select("s", "speaker", F.timestamp_seconds("x").alias("ts")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("s long, speaker string, ts timestamp").parquet(str(tmp_path / "in"))
-    q = J.session_merge(stream, ["s"], "ts", "10 seconds").writeStream.format("memory").queryName("bursts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted((r.speaker, r.n_cues) for r in spark.table("bursts").collect()) == [("A", 1), ("A", 2), ("B", 1)]
+    seen, _ = J.run_batches(J.session_merge(stream, ["s"], "ts", "10 seconds"), str(tmp_path / "out"), str(tmp_path / "c"), "complete")
+    assert sorted((r.speaker, r.n_cues) for r in seen.collect()) == [("A", 1), ("A", 2), ("B", 1)]
+
+
+def test_streaming_session_merge_appends_what_is_final(spark, tmp_path):
+    schema = "s long, speaker string, ts timestamp"
+    row = lambda s, who, at: (s, who, datetime.datetime.fromtimestamp(at))
+    d = frame(spark, [row(1, "A", 0)], schema)
+    files = [[row(1, "A", 100), row(1, "A", 105), row(1, "B", 103)], [row(1, "A", 112), row(1, "A", 150)], [row(3, "A", 149)], [row(1, "A", 101), row(1, "A", 145), row(2, "A", 200)], [row(2, "A", 205)]]
+    stream = J.session_merge(fed(spark, d, tmp_path, files), ["s"], "ts", "10 seconds", late="20 seconds")
+    seen, late = J.run_batches(stream, str(tmp_path / "out"), str(tmp_path / "c"), "append")
+    got = sorted((r.s, r.speaker, r.t_start.timestamp(), r.t_end.timestamp(), r.n_cues) for r in seen.collect())
+    # The cue at 101 came when the watermark was at 130; bursts of session 2 are still open.
+    assert got == [(1, "A", 100.0, 122.0, 3), (1, "A", 145.0, 160.0, 2), (1, "B", 103.0, 113.0, 1), (3, "A", 149.0, 159.0, 1)] and late == 1
 
 
 def test_hook_errors_have_a_trace(spark):

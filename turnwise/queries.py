@@ -1263,33 +1263,55 @@ def _(t):
     return t.spark.read.parquet(f"{base}/out").select("condition", (F.size(F.split("value", "\n")) - 1).cast("long").alias("n_lines")).groupBy("condition").agg(F.sum("n_lines").alias("n_lines"))
 
 
-def _streamed(t: Tables, df: DataFrame, base: str) -> DataFrame:
-    df.write.parquet(f"{base}/in")
-    return t.spark.readStream.schema(df.schema).parquet(f"{base}/in")
+def _streamed(t: Tables, df: DataFrame, base: str, ts: str, by: str, slices: int = 4) -> DataFrame:
+    """df as a stream of files: slices of equal size by time, one after the other, each with all of a key's rows in one file."""
+    df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    parts = t.spark.sparkContext.defaultParallelism
+    micros = F.unix_micros(ts)
+    cuts = [None, *df.agg(F.percentile_approx(micros, [k / slices for k in range(1, slices)], 10_000)).first()[0], None]
+    for low, high in zip(cuts, cuts[1:]):
+        own = df.filter((micros >= low if low is not None else F.lit(True)) & (micros < high if high is not None else F.lit(True)))
+        own.repartition(parts, by).write.mode("append").parquet(f"{base}/in")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(f"{base}/in")
 
 
-@query("str_switch_state", with_views("v_prosody", "p as (select session, speaker, f0, lag(speaker) over w prev, lag(f0) over w before from v_prosody window w as (partition by session order by event_id))") + "select session, count(*) n_turns, count(*) filter (prev <> speaker) n_switch, coalesce(sum(abs(f0 - before)) filter (prev <> speaker), 0) sum_gap from p group by 1", r="sum_gap")
+@query("str_switch_state", with_views("v_prosody", "p as (select session, speaker, f0, lag(speaker) over w prev, lag(f0) over w before from v_prosody window w as (partition by session order by t_start, event_id))", "s as (select session, count(*) n_turns, count(*) filter (prev <> speaker) n_switch, coalesce(sum(abs(f0 - before)) filter (prev <> speaker), 0) sum_gap, count(before) filter (prev <> speaker and f0 is not null) n_pairs, corr(before, f0) filter (prev <> speaker) r from p group by 1)") + "select session, n_turns, n_switch, 0 n_late, sum_gap, n_pairs, case when n_pairs >= 4 and not isnan(r) then r end synchrony from s", r="sum_gap synchrony")
 def _(t):
     from .streaming import jobs as J
 
     base = _new_folder(t)
-    turns = _streamed(t, t.prosody().select("session", "event_id", "speaker", "f0"), base)
-    seen = J.run_batches(J.switch_state(turns, "session", "event_id", "speaker", "f0"), f"{base}/out", f"{base}/state", one_batch=True)
-    last = seen.groupBy("session").agg(F.max_by(F.struct("n_turns", "n_switch", "sum_gap"), "batch").alias("s"))
-    return last.select(long("session"), "s.*")
+    e = t.prosody().join(t.table("events").select("event_id", "ts"), "event_id")
+    turns = _streamed(t, e.select("session", "event_id", "ts", "speaker", "f0"), base, "ts", "session")
+    seen, _late = J.run_batches(J.switch_state(turns, "session", "ts", "event_id", "speaker", "f0", expire_ms=3_650 * 86_400_000), f"{base}/out", f"{base}/state")
+    last = seen.groupBy("session").agg(F.max_by(F.struct("n_turns", "n_switch", "n_late", "sum_gap", "n_pairs", "synchrony"), "batch").alias("s"))
+    return last.select("session", "s.*")
 
 
-@query("str_session_merge", "with g as (select user_id, event_type, ts, coalesce((ts - lag(ts) over w >= interval 6 hour)::int, 1) nw from events window w as (partition by user_id, event_type order by ts)), r as (select *, sum(nw) over (partition by user_id, event_type order by ts) run from g) select user_id, event_type, count(*) n_cues from r group by user_id, event_type, run")
+_BURSTS = "g as (select user_id, event_type, ts, coalesce((ts - lag(ts) over w >= interval 6 hour)::int, 1) nw from events window w as (partition by user_id, event_type order by ts)), r as (select *, sum(nw) over (partition by user_id, event_type order by ts) run from g)"
+
+
+@query("str_session_merge", f"with {_BURSTS} select user_id, event_type, count(*) n_cues from r group by user_id, event_type, run")
 def _(t):
     from .streaming import jobs as J
 
     base = _new_folder(t)
-    merged = J.session_merge(_streamed(t, t.table("events").select("user_id", "event_type", "ts"), base), ["user_id"], "ts", "6 hours", "event_type")
-    seen = J.run_batches(merged, f"{base}/out", f"{base}/state", "complete")
+    merged = J.session_merge(_streamed(t, t.table("events").select("user_id", "event_type", "ts"), base, "ts", "user_id"), ["user_id"], "ts", "6 hours", "event_type")
+    seen, _late = J.run_batches(merged, f"{base}/out", f"{base}/state", "complete")
     last = seen.agg(F.max("batch").alias("batch"))
     return seen.join(F.broadcast(last), "batch").select("user_id", "event_type", "n_cues")  # one row
 
 
+@query("str_session_append", f"with {_BURSTS} select user_id, event_type, epoch(min(ts))::double t_start, count(*) n_cues from r group by user_id, event_type, run having max(ts) + interval 7 hour <= (select date_trunc('milliseconds', max(ts)) from events)", r="t_start")
+def _(t):
+    from .streaming import jobs as J
+
+    # What the watermark has made final: bursts that ended an hour before the newest event.
+    base = _new_folder(t)
+    merged = J.session_merge(_streamed(t, t.table("events").select("user_id", "event_type", "ts"), base, "ts", "user_id"), ["user_id"], "ts", "6 hours", "event_type")
+    seen, _late = J.run_batches(merged, f"{base}/out", f"{base}/state", "append")
+    return seen.select("user_id", "event_type", (F.unix_micros("t_start") / 1e6).alias("t_start"), "n_cues")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..sources.transcripts import session_of
 
@@ -22,54 +24,97 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, format: str = "parque
     return stream.writeStream.format(format).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
 
 
-def run_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "update", one_batch: bool = False) -> DataFrame:
-    """Processes what there is, then gives what the batches put out, with their number as batch. For streams that update rows or put out all of them each time.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    one_batch: all there is at once; for state with processing-time timeouts, which else wait for the next batch without end.
+
+def run_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> tuple[DataFrame, int]:
+    """Processes what there is in micro-batches, then gives (what they put out, with their number as batch; how many rows came too late for the watermark).
+
+    State is kept by RocksDB, whose checkpoints hold changes and whose working set needn't fit in memory; the session's own setting is left as it was.
     """
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**{"once" if one_batch else "availableNow": True})
-    query.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start().awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    spark = stream.sparkSession
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:  # a query takes its settings when it starts
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
+    finally:
+        spark.conf.set(_STORE, before)
+    query.awaitTermination()
+    late = sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+    return spark.read.parquet(out), late
 
 
 def session_merge(cues: DataFrame, keys: list[str], ts: str, gap: str, speaker: str = "speaker", late: str = "1 hour") -> DataFrame:
-    """(keys, speaker, t_start, t_end, n_cues): bursts of one speaker's cues no more than gap apart.
+    """(keys, speaker, t_start, t_end, n_cues): bursts of one speaker's cues no more than gap apart; t_end is the last cue's time and gap.
 
-    Unlike the batch operator, another speaker's cue in between does not end a burst: only the gap does.
+    In append mode a burst comes out once, when the watermark (late behind the newest cue) has passed its end, and its state goes; cues older than the watermark of the micro-batch before are
+    dropped and counted by run_batches. Unlike the batch operator, another speaker's cue in between does not end a burst: only the gap does.
     """
     d = cues.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     merged = d.groupBy(*keys, speaker, F.session_window(ts, gap).alias("_w")).agg(F.count("*").alias("n_cues"))
     return merged.select(*keys, speaker, F.col("_w.start").alias("t_start"), F.col("_w.end").alias("t_end"), "n_cues")
 
 
-def switch_state(turns: DataFrame, key: str, order: str, speaker: str, value: str, expire_ms: int = 3_600_000) -> DataFrame:
-    """(key, n_turns, n_switch, sum_gap): running totals by session as turns arrive, with a few numbers of state a session.
+_TOTALS = "n_turns long, n_switch long, n_late long, sum_gap double, n_pairs long, mean_a double, mean_b double, s_aa double, s_bb double, s_ab double, at long, tie long, speaker string, value double, timer long"
 
-    Turns of one batch are put in order; a turn older than the last one seen counts as a turn but makes no switch. State ends after expire_ms without turns.
-    """
-    out = f"{key} string, n_turns long, n_switch long, sum_gap double"
-    state = "n_turns long, n_switch long, sum_gap double, last_order double, last_speaker string, last_value double"
-
-    def update(k: tuple, frames: Iterator, s: GroupState) -> Iterator:
-        import pandas as pd
-
-        if s.hasTimedOut:
-            s.remove()
-            return
-        n, m, gap, at, who, x = s.get if s.exists else (0, 0, 0.0, float("-inf"), None, None)
-        rows = sorted((r for f in frames for r in f[[order, speaker, value]].itertuples(index=False, name=None)), key=lambda r: r[0])
-        for t, name, v in rows:
-            n += 1
-            if t < at:
+
+class SwitchTotals(StatefulProcessor):
+    """Running totals of a session's turns: a row of typed state for each session, and one event-time timer that ends it."""
+
+    def __init__(self, key: str, tie: str, speaker: str, value: str, expire_ms: int):
+        self.key, self.columns, self.expire_ms = key, ("_at", tie, speaker, value), expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.totals = handle, handle.getValueState("totals", _TOTALS)
+
+    def _row(self, key: tuple, t: list, ended: bool) -> Row:
+        n_turns, n_switch, n_late, gap, n, _, _, aa, bb, ab = t[:10]
+        r = ab / math.sqrt(aa * bb) if n >= 4 and aa > 0 and bb > 0 else None
+        return Row(**{self.key: key[0]}, n_turns=n_turns, n_switch=n_switch, n_late=n_late, sum_gap=gap, n_pairs=n, synchrony=r, ended=ended)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        t = list(self.totals.get()) if self.totals.exists() else [0, 0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, None, None, None, None, None]
+        for at, tie, speaker, value in sorted((tuple(r[c] for c in self.columns) for r in rows), key=lambda r: r[:2]):
+            t[0] += 1
+            if t[10] is not None and (at, tie) < (t[10], t[11]):
+                t[2] += 1  # a turn whose place has passed counts, but makes no pair
                 continue
-            if who is not None and name != who:
-                m += 1
-                if v is not None and x is not None and v == v and x == x:
-                    gap += abs(v - x)
-            at, who, x = t, name, v
-        s.update((n, m, float(gap), float(at), who, None if x is None else float(x)))
-        s.setTimeoutDuration(expire_ms)
-        yield pd.DataFrame([(k[0], n, m, float(gap))], columns=[key, "n_turns", "n_switch", "sum_gap"])
-
-    d = turns.select(F.col(key).cast("string").alias(key), F.col(order).cast("double").alias(order), F.col(speaker).cast("string").alias(speaker), F.col(value).cast("double").alias(value))
-    return d.groupBy(key).applyInPandasWithState(update, out, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
+            if t[12] is not None and speaker != t[12]:
+                t[1] += 1
+                a, b = t[13], value
+                if a is not None and b is not None and a == a and b == b:
+                    t[3] += abs(b - a)
+                    t[4] += 1
+                    da, db = a - t[5], b - t[6]
+                    t[5] += da / t[4]
+                    t[6] += db / t[4]
+                    t[7] += da * (a - t[5])
+                    t[8] += db * (b - t[6])
+                    t[9] += da * (b - t[6])
+            t[10:14] = at, tie, speaker, value
+        if t[14] is not None:
+            self.handle.deleteTimer(t[14])
+        t[14] = t[10] // 1000 + self.expire_ms
+        self.handle.registerTimer(t[14])
+        self.totals.update(tuple(t))
+        yield self._row(key, t, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if self.totals.exists():
+            t = list(self.totals.get())
+            self.totals.clear()
+            yield self._row(key, t, True)
+
+
+def switch_state(turns: DataFrame, key: str, ts: str, tie: str, speaker: str, value: str, late: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
+    """(key, n_turns, n_switch, n_late, sum_gap, n_pairs, synchrony, ended): running totals by session as turns arrive, from a few numbers of state a session.
+
+    A pair is a turn and its predecessor of another speaker, both with a value; their co-moments are updated pair by pair, and synchrony is their correlation (null below four pairs or without
+    spread). Turns of one micro-batch are put in order by (ts, tie). A turn older than the last one seen counts as a turn and as late, but makes no pair; one older than the watermark (late behind the
+    newest turn of the micro-batch before) is dropped. When the watermark passes a session's last turn by expire_ms, its row comes out once more with ended, and its state goes. Turns without a time are left out.
+    """
+    d = turns.select(key, F.col(ts).cast("timestamp").alias(ts), F.col(tie).cast("long").alias(tie), F.col(speaker).cast("string").alias(speaker), F.col(value).cast("double").alias(value)).filter(F.col(ts).isNotNull()).withColumn("_at", F.unix_micros(ts))
+    fields = [T.StructField(c, T.LongType()) for c in ("n_turns", "n_switch", "n_late")] + [T.StructField("sum_gap", T.DoubleType()), T.StructField("n_pairs", T.LongType()), T.StructField("synchrony", T.DoubleType()), T.StructField("ended", T.BooleanType())]
+    out = T.StructType([d.schema[key], *fields])
+    return d.withWatermark(ts, late).groupBy(key).transformWithState(SwitchTotals(key, tie, speaker, value, expire_ms), out, "Update", "EventTime")
