@@ -147,6 +147,22 @@ def test_range_joins_of_any_length(spark):
     assert R.overlap_join(x.limit(0), y, ["k"], ("s", "e"), ("t", "f"), 1.0).count() == 0 and R.point_in_interval(y, x.limit(0), ["k"], "t", ("s", "e"), 1.0).count() == 0
 
 
+def test_sampled_pairs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, i, int(k), float(v)) for s, n in (("a", 60), ("b", 9), ("one side", 5), ("long", 400)) for i, (k, v) in enumerate(zip(rng.integers(0, 2, n) * (s != "one side"), rng.exponential(3, n)))] + [("a", 90, 0, None), ("a", 91, 7, 1.0)]
+    d = frame(spark, rows, "s string, i long, side int, v double")
+    got, again = (sorted(map(tuple, Q.sampled_pairs_distance(x, ["s"], "side", "v", ["i"], 100).collect())) for x in (d, d.repartition(7)))
+    assert got == again and len(got) == 4
+    exact = {r.s: r.mean_distance for r in Q.all_pairs_distance(d, ["s"], "side", "v").collect()}
+    for s, n0, n1, n, mean, sd in got:
+        own = [r for r in rows if r[0] == s and r[3] is not None]
+        assert (n0, n1) == (sum(r[2] == 0 for r in own), sum(r[2] == 1 for r in own)) and n == 100 * min(n0, n1)
+        assert (mean is None and s == "one side") or abs(mean - exact[s]) < 5 * sd / n**0.5
+    t = turns_of(spark, 40, 3)
+    a, b = ({r.session: r.proximity for r in Q.proximity(t, ["session"], ["t_start", "event_id"], "speaker", "v", **o).collect()} for o in ({}, {"n_shuffles": 400}))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 0.2 * max(1, abs(a[k])) for k in a)
+
+
 def test_gap_merge(spark):
     cues = frame(spark, [(1, 0, "A", 0.0, 1.0, "x"), (1, 1, "A", 1.2, 2.0, "longer"), (1, 2, "B", 2.0, 3.0, "b"), (1, 3, "A", 3.0, 3.1, "tiny"), (1, 4, "A", 9.0, 10.0, "late")], "s long, i long, speaker string, start double, end double, text string")
     got = Q.gap_merge(cues, ["s"], ["i"]).orderBy("turn_idx").collect()

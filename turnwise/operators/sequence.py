@@ -79,6 +79,23 @@ def all_pairs_distance(values: DataFrame, keys: list[str], side: str, value: str
     return out.withColumn("mean_distance", ratio(F.col("_t"), F.col("n0") * F.col("n1"))).drop("_t")
 
 
+def sampled_pairs_distance(values: DataFrame, keys: list[str], side: str, value: str, row_id: list[str], n_shuffles: int = 200, seed: int = 42) -> DataFrame:
+    """(keys, n0, n1, n_pairs, mean_distance, sd): mean |a - b| over pairs of a side 0 and a side 1 value, drawn n_shuffles times without making all pairs.
+
+    In each shuffle both sides are put in order by hashes of their own of the shuffle and the row (row_id), and rows of one rank are a pair, as many as the smaller side has. A
+    shuffle of a session is a group of its own, so a session of any size is spread over n_shuffles of them. Draws don't depend on partitions. sd is that of the single distances.
+    """
+    d = values.filter(F.col(value).isNotNull() & F.col(side).isin(0, 1)).select(*keys, F.col(side).alias("_side"), F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), side, *row_id).alias("_h"))
+    sides = d.groupBy(*keys).agg(F.count_if(F.col("_side") == 0).alias("n0"), F.count_if(F.col("_side") == 1).alias("n1"))
+    each = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))))
+    order = Window.partitionBy(*keys, "_b", "_side").orderBy(F.xxhash64("_h", "_b"), "_h")
+    ranked = each.withColumn("_k", F.row_number().over(order))
+    at = lambda k: F.max(F.when(F.col("_side") == k, F.col("_v")))
+    pairs = ranked.groupBy(*keys, "_b", "_k").agg(F.abs(at(0) - at(1)).alias("_d")).filter("_d is not null")
+    means = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg("_d").alias("mean_distance"), F.stddev_samp("_d").alias("sd"))
+    return sides.join(means, keys, "left").select(*keys, "n0", "n1", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "mean_distance", "sd")
+
+
 def pair_metrics(pairs: DataFrame, keys: list[str], order: list[str], a: str, b: str, least: int = 4) -> DataFrame:
     """(keys, n_pairs, adjacent, convergence, synchrony) of value pairs in order; rows with a null value don't count."""
     d = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_i", F.row_number().over(in_order(keys, order)) - 1)
@@ -87,12 +104,13 @@ def pair_metrics(pairs: DataFrame, keys: list[str], order: list[str], a: str, b:
     return d.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg(gap).alias("adjacent"), slope.alias("convergence"), safe_corr(F.col(a), F.col(b), least).alias("synchrony"))
 
 
-def proximity(turns: DataFrame, keys: list[str], order: list[str], speaker: str, value: str) -> DataFrame:
-    """(keys, proximity): the exact all-pairs baseline less the mean distance at switches; null with fewer than two switches, other than two speakers, or fewer than two values a side."""
+def proximity(turns: DataFrame, keys: list[str], order: list[str], speaker: str, value: str, n_shuffles: int | None = None, seed: int = 42) -> DataFrame:
+    """(keys, proximity): the exact all-pairs baseline (with n_shuffles, one of drawn pairs) less the mean distance at switches; null with fewer than two switches, other than two speakers, or fewer than two values a side."""
     who = Window.partitionBy(*keys)
     sided = turns.filter(F.col(value).isNotNull()).withColumns({"_lo": F.min(speaker).over(who), "_hi": F.max(speaker).over(who)}).withColumn("_side", (F.col(speaker) != F.col("_lo")).cast("int"))
     odd = sided.groupBy(*keys).agg(F.max(((F.col(speaker) != F.col("_lo")) & (F.col(speaker) != F.col("_hi"))).cast("int")).alias("_odd"))
-    base = all_pairs_distance(sided, keys, "_side", value).join(odd, keys)
+    apart = all_pairs_distance(sided, keys, "_side", value) if n_shuffles is None else sampled_pairs_distance(sided, keys, "_side", value, order, n_shuffles, seed).drop("n_pairs")
+    base = apart.join(odd, keys)
     pairs = switch_pairs(turns, keys, order, speaker, [value])
     near = pair_metrics(pairs, keys, order, f"prev_{value}", value)
     ok = (F.col("n_pairs") >= 2) & (F.col("n0") >= 2) & (F.col("n1") >= 2) & (F.col("_odd") == 0)

@@ -357,9 +357,9 @@ def _(t):
     return S.collapse(t.session_features(), "pair_id").select("pair_id", "va_price").join(t.outcomes().select("pair_id", "acct"), "pair_id").join(n, "pair_id")
 
 
-@query("join_covariates", with_views("v_out v_scales", "p as (select pair_id, count(*) n_participants, avg(item_1) item_1_mean from v_scales where pair_id % 2 = 0 group by 1)") + "select v_out.pair_id, acct, n_participants, item_1_mean from v_out left join p using (pair_id)", r="item_1_mean")
+@query("join_covariates", with_views("v_out v_scales", "p as (select pair_id, count(*) n_participants, avg(item_1) item_1_mean from v_scales where grp = 1 group by 1)") + "select v_out.pair_id, acct, n_participants, item_1_mean from v_out left join p using (pair_id)", r="item_1_mean")
 def _(t):
-    c = t.scales().filter("pair_id % 2 = 0").groupBy("pair_id").agg(F.count("*").alias("n_participants"), F.avg("item_1").alias("item_1_mean"))
+    c = t.scales().filter("grp = 1").groupBy("pair_id").agg(F.count("*").alias("n_participants"), F.avg("item_1").alias("item_1_mean"))
     wanted = [x for x in ("n_participants", "item_1_mean", "not_there") if x in c.columns]
     return t.outcomes().select("pair_id", "acct").join(c.select("pair_id", *wanted), "pair_id", "left")
 
@@ -397,7 +397,8 @@ def _(t):
 def _(t):
     words = IO.manual_words(t.turns(), ["session"])
     w = Window.partitionBy("session").orderBy("turn_idx", "pos")
-    timed = words.withColumn("word_idx", F.row_number().over(w) - 1).filter("word_idx % 7 <> 3").select("session", "word_idx", "word", (F.col("word_idx") * 0.4).alias("start"), (F.col("word_idx") * 0.4 + 0.3).alias("end"))
+    # The recogniser's words: all but the shortest, which it tends to miss.
+    timed = words.withColumn("word_idx", F.row_number().over(w) - 1).filter(F.length("word") > 2).select("session", "word_idx", "word", (F.col("word_idx") * 0.4).alias("start"), (F.col("word_idx") * 0.4 + 0.3).alias("end"))
     return S.turn_spans(R.align_words(words, timed, ["session"]), ["session"], "turn_idx")
 
 
@@ -410,6 +411,16 @@ def _(t):
     return Q.all_pairs_distance(d, ["session"], "side", "f0").filter("n0 > 0 and n1 > 0").select("session", "mean_distance")
 
 
+@query("cross_pairs_sampled", with_views("v_prosody", _SIDED) + "select a.session, count(distinct a.event_id) n0, count(distinct b.event_id) n1, 200 * least(count(distinct a.event_id), count(distinct b.event_id)) n_pairs, avg(abs(a.v - b.v)) expected, true near from (select session, event_id, v from x where speaker = 'A') a join (select session, event_id, v from x where speaker = 'B') b on a.session = b.session group by 1".replace("x where", "(select session, speaker, event_id, f0 v from v_prosody where f0 is not null) where"), r="expected")
+def _(t):
+    # The draws can't be followed by SQL; their mean must lie within five standard errors of the exact one.
+    d = t.prosody().withColumn("side", (F.col("speaker") == "B").cast("int"))
+    drawn = Q.sampled_pairs_distance(d, ["session"], "side", "f0", ["event_id"]).filter("n0 > 0 and n1 > 0")
+    exact = Q.all_pairs_distance(d, ["session"], "side", "f0").select("session", F.col("mean_distance").alias("expected"))
+    near = F.abs(F.col("mean_distance") - F.col("expected")) <= 5 * F.coalesce("sd", F.lit(0.0)) / F.sqrt("n_pairs") + 1e-9
+    return drawn.join(exact, "session").select("session", "n0", "n1", long("n_pairs"), "expected", near.alias("near"))
+
+
 _PAIRS = "p as (select session, t_start, event_id, lag(speaker) over w prev, speaker, lag(f0) over w a, f0 b from v_prosody window w as (partition by session order by t_start, event_id)), k as (select *, row_number() over (partition by session order by t_start, event_id) k from p where prev <> speaker and a is not null and b is not null)"
 _DRAWN = "ids as (select session, row_number() over (order by session) - 1 i from k group by session), m as (select count(*) m from ids), dr as (select d.range id, (d.range * 104729) % m x, (d.range * 7919) % (m - 1) y from range(2000) d, m), pr as (select id, a.session s, b.session o from dr join ids a on a.i = x join ids b on b.i = y + (y >= x)::int)"
 _PSEUDO = "ps as (select pr.id, s, o, count(*) n, corr(x.a, y.b) r from pr join k x on x.session = s join k y on y.session = o and y.k = x.k group by 1, 2, 3 having count(*) >= 4)"
