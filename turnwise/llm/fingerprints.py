@@ -97,31 +97,36 @@ def next_bucket(level: DataFrame, fan: int = 1024) -> DataFrame:
     return inside.join(follow, "run").join(heads.select(F.col("run").alias("next_run"), "head"), "next_run").select("bucket", F.coalesce("next", "head").alias("next"))
 
 
-def with_buckets(docs: DataFrame, per_bucket: int = 1024, bins: int = 1024) -> DataFrame:
+def with_buckets(docs: DataFrame, per_bucket: int = 1024, bins: int = 1024, sampled: int = 200_000) -> DataFrame:
     """docs (doc_id, text) with bucket, a long that grows with doc_id, of about per_bucket rows however the ids are spread.
 
-    Buckets of more than twice that are cut at their own quantiles (a sketch of fixed size each, at most bins parts), until none is left but those whose rows share one id. Each level
-    cuts by bins, whatever the ids are, so a billion rows take two. Null ids have the lowest buckets, by a hash of their texts.
+    Buckets of more than twice that are cut at their own quantiles (at most bins parts), until none is left but those whose rows share one id. The quantiles are those of a sample of about
+    sampled rows of the largest bucket, so what meets in one task doesn't grow with the table; they only say where to cut. Each level cuts by bins, whatever the ids are, so a billion rows take
+    two. Null ids have the lowest buckets, by a hash of their texts.
     """
     rows, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
     lost = max(1, -(-(rows - ids) // per_bucket))
     null_bucket = -1 - F.pmod(F.shiftrightunsigned(F.xxhash64("text"), 1), F.lit(lost))
     d = docs.withColumn("bucket", F.lit(0).cast("long"))
-    shares, step = F.lit([i / bins for i in range(1, bins)]), 32
+    shares, step, most = F.lit([i / bins for i in range(1, bins)]), 32, ids
     while ids > 2 * per_bucket:
-        held = d.filter("doc_id is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", shares, 10_000).alias("cuts"))
+        drawn = d.filter("doc_id is not null").select("bucket", "doc_id", F.when(F.rand(7) < sampled / most, F.col("doc_id")).alias("_drawn"))
+        held = drawn.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("_drawn", shares, 10_000).alias("cuts"))
         held = held.filter((F.col("n") > 2 * per_bucket) & (F.col("low") < F.col("high")))
         every = F.greatest(F.lit(1), F.ceil(F.lit(bins * per_bucket) / F.col("n"))).cast("int")
-        # The beginnings of all parts but the first. Where the least id fills whole parts, it becomes one of its own, so each level parts something.
-        cuts = F.filter("cuts", lambda c, i: (i + 1) % every == 0)
-        apart = F.when(cuts[0] <= F.col("low"), F.array(F.col("low") + 1)).otherwise(F.array().cast("array<bigint>"))
+        # The beginnings of all parts but the first. Where the least id fills whole parts, it becomes one of its own, and a bucket of which too few rows were drawn is halved, so each level parts something.
+        none = F.array().cast("array<bigint>")
+        cuts = F.filter(F.coalesce("cuts", none), lambda c, i: (i + 1) % every == 0)
+        middle = F.floor(F.col("low") / 2) + F.floor(F.col("high") / 2)
+        apart = F.when(F.size(cuts) == 0, F.array(F.col("low") + 1, F.greatest(middle, F.col("low") + 1))).when(cuts[0] <= F.col("low"), F.array(F.col("low") + 1)).otherwise(none)
         edges = F.array_sort(F.array_distinct(F.concat(F.filter(cuts, lambda c: c > F.col("low")), apart)))
-        crowded = cut_lineage(held.select(F.col("bucket").alias("_b"), edges.alias("_edges")).withColumn("_coarse", F.filter("_edges", lambda e, i: i % step == 0)))
-        found = crowded.count()
+        crowded = cut_lineage(held.select(F.col("bucket").alias("_b"), "n", edges.alias("_edges")).withColumn("_coarse", F.filter("_edges", lambda e, i: i % step == 0)))
+        found, most = crowded.agg(F.count("*"), F.max("n")).first()
         if not found:
             break
         # How many edges are at or below an id: first among each 32nd, then among the 32 that follow that one.
         upto = lambda array: F.size(F.filter(array, lambda e: e <= F.col("doc_id")))
+        crowded = crowded.drop("n")
         d = d.join(F.broadcast(crowded) if found <= 1024 else crowded, F.col("bucket") == F.col("_b"), "left")  # 1024 longs each
         at = F.when(F.col("_b").isNull() | F.col("doc_id").isNull(), F.lit(0)).otherwise(let(upto(F.col("_coarse")), lambda c: F.when(c == 0, F.lit(0)).otherwise((c - 1) * step + upto(F.slice("_edges", (c - 1) * step + 1, F.lit(step))))))
         d = d.withColumn("bucket", F.col("bucket") * (bins + 1) + at).drop("_b", "_edges", "_coarse")
