@@ -111,9 +111,16 @@ def _(t):
 ORACLES["src_srt_cues"] = ORACLES["src_srt_cues"].replace("round(end::double, 6) + 0.0 as end", 'round("end"::double, 6) + 0.0 as "end"')
 
 
-@query("src_srt_words")
+@query(
+    "src_srt_words",
+    f"""with c as (select user_id, ts::date as day, ts, event_id, event_type word, ({_CLOCK})::double s from events),
+    p as (select *, lag(word) over w pw, lag(s) over w ps from c window w as (partition by user_id, day order by ts, event_id)),
+    k as (select *, lead(s) over w nx, row_number() over w - 1 i from p where pw is null or pw <> word or s - ps >= 0.001 window w as (partition by user_id, day order by ts, event_id))
+    select user_id, day, i::int word_idx, word, round(s, 6) + 0.0 as start, round(case when nx is null then s + 0.3 when nx > s then nx else s end, 6) + 0.0 as "end" from k""",
+)
 def _(t):
-    return IO.parse_word_cues(_cue_files(t), ["user_id", "day"])
+    d = IO.parse_word_cues(_cue_files(t), ["user_id", "day"])
+    return d.withColumns({c: F.round(c, 6) + 0.0 for c in ("start", "end")})
 
 
 @query("src_log", with_views("v_log") + "select pair_id::bigint pair_id, ord::bigint ord, c0_00 from v_log where c0_00 is not null")
@@ -126,6 +133,47 @@ def _(t):
     return IO.read_table(t.spark, f"{t.sf_dir}/customer.parquet", ["c_custkey", "c_acctbal"]).select("c_custkey", "c_acctbal")
 
 
+def _new_folder(t: Tables) -> str:
+    """A folder in the shared checkpoint folder (a temporary one in local sessions)."""
+    import os
+    import tempfile
+    import uuid
+
+    sc = t.spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", "")
+    if not base:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="turnwise-")
+    return os.path.join(base, f"table-{uuid.uuid4().hex}")
+
+
+def _round_trip(t: Tables, df: DataFrame, **o) -> DataFrame:
+    """Written to the shared checkpoint folder and read again."""
+    path = _new_folder(t)
+    IO.write_table(df, path, **o)
+    reader = t.spark.read.format(o.get("format", "parquet"))
+    return reader.load(path)
+
+
+@query("src_log_csv", "select c_custkey, o_custkey::varchar dyad_id, c_mktsegment as segment from customer join (select distinct o_custkey from orders) on o_custkey = c_custkey")
+def _(t):
+    # A log with a row for each customer; who never ordered has no dyad, and its row goes.
+    seen = t.table("orders").select("o_custkey").distinct()
+    log = t.table("customer").join(seen, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit("  ")).alias("Dyad ID"), F.col("c_mktsegment").alias("segment"))
+    path = _new_folder(t)
+    log.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return IO.read_log(t.spark, path).select(long("c_custkey"), F.col("Dyad ID").alias("dyad_id"), "segment")
+
+
+@query("src_csv_typed", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice::double o_totalprice, o_orderdate::date as o_orderdate from orders", r="o_totalprice")
+def _(t):
+    path = _new_folder(t)
+    o = t.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.to_date("o_orderdate").alias("o_orderdate"))
+    IO.write_table(o, path, format="csv")
+    return IO.read_table(t.spark, path, o.columns, ", ".join(f"{c} {kind}" for c, kind in o.dtypes), "csv")
+
+
 @query("src_discover", "select user_id, 'dyad' || user_id || '_' || (user_id % 9) dyad_id, user_id::bigint pair_id, case when user_id % 2 = 0 then 'piper' else 'cloudy' end as condition from (select distinct user_id from events)")
 def _(t):
     path = F.concat(F.lit("/data/"), F.when(F.col("user_id") % 2 == 0, "Piper").otherwise("Cloudy"), F.lit("/dyad"), F.col("user_id").cast("string"), F.lit("_"), (F.col("user_id") % 9).cast("string"), F.lit("_x.txt"))
@@ -152,29 +200,6 @@ def _(t):
     return B.first_sessions(t.turns().select("session", "turn_idx"), ["session"], 20)
 
 
-def _new_folder(t: Tables) -> str:
-    """A folder in the shared checkpoint folder (a temporary one in local sessions)."""
-    import os
-    import tempfile
-    import uuid
-
-    sc = t.spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", "")
-    if not base:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="turnwise-")
-    return os.path.join(base, f"table-{uuid.uuid4().hex}")
-
-
-def _round_trip(t: Tables, df: DataFrame, **o) -> DataFrame:
-    """Written to the shared checkpoint folder and read again."""
-    path = _new_folder(t)
-    IO.write_table(df, path, **o)
-    reader = t.spark.read.format(o.get("format", "parquet"))
-    return reader.load(path)
-
-
 @query("sink_table", with_views("v_sess") + "select pair_id, condition, n_items from v_sess")
 def _(t):
     return _round_trip(t, t.session_features().select("pair_id", "condition", "n_items"))
@@ -190,6 +215,14 @@ def _(t):
     return _round_trip(t, t.table("orders").agg(F.count("*").alias("n_orders"), F.min("o_custkey").alias("first_key")), format="json")
 
 
+@query("sink_json_metadata", "select count(*)::bigint n_orders, min(o_custkey)::bigint first_key, ['o_orderkey', 'o_custkey'] as columns from orders")
+def _(t):
+    row = t.table("orders").agg(F.count("*").alias("n_orders"), F.min("o_custkey").alias("first_key")).first()
+    path = _new_folder(t)
+    IO.write_metadata(t.spark, {**row.asDict(), "columns": ["o_orderkey", "o_custkey"]}, path)
+    return t.spark.read.schema("n_orders long, first_key long, columns array<string>").json(path)
+
+
 # --- projections, filters, checks --------------------------------------------------------------------------------------
 
 
@@ -1080,7 +1113,16 @@ def _(t):
     return A.hierarchical(t.entities(), "acct", ["va_price"], ["va_qty"]).select("n", "r2_base", "r2_full", "delta_r2", "f_change", "df1", "df2")
 
 
-@query("st_hierarchical_full")
+_LOO = """
+l0 as (select acct - avg(acct) over () y, va_price - avg(va_price) over () a, va_qty - avg(va_qty) over () b, n_items - avg(n_items) over () c from v_ent),
+l1 as (select y y0, a, y - regr_slope(y, a) over () * a y1, b - regr_slope(b, a) over () * a b, c - regr_slope(c, a) over () * a c from l0),
+l2 as (select *, y1 - regr_slope(y1, b) over () * b y2, c - regr_slope(c, b) over () * b c2 from l1),
+l3 as (select *, y2 - regr_slope(y2, c2) over () * c2 y3, 1.0 / count(*) over () + a * a / sum(a * a) over () h1, b * b / sum(b * b) over () + c2 * c2 / sum(c2 * c2) over () h2 from l2),
+m as (select count(*) n, sum(y0 ** 2) t, sum(y1 ** 2) s1, sum(y3 ** 2) s3, sum((y1 / (1 - h1)) ** 2) e1, sum((y3 / (1 - h1 - h2)) ** 2) e3 from l3),
+f as (select *, (s1 - s3) / 2 / (s3 / (n - 4)) f from m)"""
+
+
+@query("st_hierarchical_full", with_views("v_ent", _LOO) + "select n, 1 - s1 / t r2_base, 1 - s3 / t r2_full, (s1 - s3) / t delta_r2, 1 - e1 / t loo_r2_base, 1 - e3 / t loo_r2_full, f f_change, 2.0 df1, n - 4.0 df2, (1 + 2 * f / (n - 4)) ** (-(n - 4) / 2.0) p from f", r="r2_base r2_full delta_r2 loo_r2_base loo_r2_full f_change df1 df2 p")
 def _(t):
     return A.hierarchical(t.entities(), "acct", ["va_price"], ["va_qty", "n_items"])
 
@@ -1110,12 +1152,27 @@ def _(t):
     return P.perm_dr2(t.entities(), "acct", "va_price", ["n_items"], "pair_id")
 
 
-@query("st_partial_corr", with_views("v_ent", "c as (select count(*) n, corr(acct, va_price) xy, corr(acct, n_items) xz, corr(va_price, n_items) yz from v_ent)") + "select n, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) r from c", r="r")
+_PARTIAL = "c as (select count(*) n, corr(acct, va_price) xy, corr(acct, n_items) xz, corr(va_price, n_items) yz from {src}), r as (select n, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) r, n - 3 df from c), t as (select *, r * sqrt(df) / sqrt(1 - r * r) t from r)"
+
+
+@query("st_partial_corr", with_views("v_ent", _PARTIAL.format(src="v_ent")) + f"select n, r, t, {t_p_sql('t', 'df')} p from t", r="r t p")
+def _(t):
+    return A.partial_corr(t.entities(), "acct", "va_price", ["n_items"]).select("n", "r", "t", "p")
+
+
+@query("st_partial_corr_rank", with_views("v_ent", "e as (select acct, round(va_price, 6) va_price, round(n_items, 6) n_items from v_ent)", "rk as (select " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 {c}" for c in ("acct", "va_price", "n_items")) + " from e)", _PARTIAL.format(src="rk")) + f"select n, r, t, {t_p_sql('t', 'df')} p from t", r="r t p")
 def _(t):
-    return A.partial_corr(t.entities(), "acct", "va_price", ["n_items"]).select("n", "r")
+    e = t.entities().withColumns({c: F.round(c, 6) for c in ("va_price", "n_items")})  # so that equal means are ties
+    return A.partial_corr(e, "acct", "va_price", ["n_items"], "spearman").select("n", "r", "t", "p")
 
 
-@query("st_commonality")
+_SHARED = """
+r as (select acct - regr_slope(acct, ord) over () * ord y, va_price - regr_slope(va_price, ord) over () * ord a, va_qty - regr_slope(va_qty, ord) over () * ord b, regr_r2(acct, ord) over () c from v_ent),
+k as (select count(*) n, 1 - any_value(c) rest, corr(y, a) ra, corr(y, b) rb, corr(a, b) rx from r),
+q as (select *, (ra * ra + rb * rb - 2 * ra * rb * rx) / (1 - rx * rx) r2 from k)"""
+
+
+@query("st_commonality", with_views("v_ent", _SHARED) + "select n, rest * (r2 - rb * rb) unique_first, rest * (r2 - ra * ra) unique_second, rest * (ra * ra + rb * rb - r2) shared, rest * r2 total from q", r="unique_first unique_second shared total")
 def _(t):
     return A.commonality(t.entities(), "acct", ["va_price"], ["va_qty"], ["ord"])
 
@@ -1130,7 +1187,16 @@ def _(t):
     return P.incremental_validity(t.entities(), "pair_id", ["acct", "avg_total"], ["va_price", "va_qty"], ["disc_mean", "tax_asym"], ["ord"], ["n_items", "disc_mean"])[0]
 
 
-@query("st_confound")
+_CONFOUND = """
+z as (select """ + ", ".join(f"({c} - avg({c}) over ()) / stddev_pop({c}) over () {n}" for c, n in (("acct", "y"), ("va_price", "a"), ("va_qty", "b"), ("grp", "g"), ("tax_asym", "h"))) + """ from v_ent),
+l as (select 'va_price' predictor, y, a p, g, h from z union all select 'va_qty', y, b, g, h from z),
+l1 as (select *, y - regr_slope(y, g) over w * g y1, p - regr_slope(p, g) over w * g p1, h - regr_slope(h, g) over w * g h1 from l window w as (partition by predictor)),
+l2 as (select *, y1 - regr_slope(y1, h1) over w * h1 y2, p1 - regr_slope(p1, h1) over w * h1 p2 from l1 window w as (partition by predictor)),
+m as (""" + " union all ".join(f"select predictor, '{name}' model, count(*) - {k} df, regr_slope(y{i}, p{i}) beta, regr_syy(y{i}, p{i}) - regr_slope(y{i}, p{i}) * regr_sxy(y{i}, p{i}) sse, regr_sxx(y{i}, p{i}) sxx from l2 group by 1" for name, k, i in (("alone", 2, ""), ("group", 3, 1), ("group+gap", 4, 2))) + """),
+n as (select *, beta / sqrt(sse / df / sxx) t from m)"""
+
+
+@query("st_confound", with_views("v_ent", _CONFOUND) + f"select predictor, model, beta, {t_p_sql('t', 'df')} p from n", r="beta p")
 def _(t):
     return A.confound_checks(t.entities(), "acct", ["va_price", "va_qty"], "grp", "tax_asym")
 
