@@ -563,6 +563,46 @@ def test_alignment_of_long_and_odd_sessions(spark):
         assert all(timed[s, int(r.start)] == r.word and r.end == r.start + 0.5 for r in own if r.start is not None)
 
 
+def _in_order(a, b, blocks):
+    pairs = [(i + k, j + k) for i, j, n in blocks for k in range(n)]
+    assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    return len(pairs)
+
+
+def test_match_words():
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(5)
+    for n, letters in ((40, 5), (300, 8), (3000, 400), (3000, 2)):
+        a = [str(x) for x in rng.integers(0, letters, n)]
+        b = [x if rng.random() > 0.05 else "new" for x in a if rng.random() > 0.1]
+        got = _in_order(a, b, R.match_words(a, b))
+        if n <= 64:
+            assert R.match_words(a, b) == [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+        assert got > (0.8 if letters > 2 else 0.6) * len(b)
+    assert _in_order(["x"] * 50_000, ["x"] * 30_000, R.match_words(["x"] * 50_000, ["x"] * 30_000)) == 30_000
+    assert R.match_words(["a"] * 3000, ["b"] * 3000) == R.match_words([], ["b"]) == R.match_words(["a"], []) == []
+
+
+def test_alignment_of_sessions_longer_than_a_task_takes(spark):
+    """Repeats only, a passage moved, and plain speech, cut at anchors by joins and in several spans."""
+    rng = np.random.default_rng(9)
+    said = {1: ["yes"] * 900, 2: [f"v{x}" for x in rng.integers(0, 300, 1500)], 3: ["a", "b"] * 10, 4: [f"u{x}" for x in range(1200)], 5: ["one", "side"] * 300}
+    heard = {1: ["yes"] * 700, 2: [x for x in said[2] if rng.random() > 0.1], 3: ["b", "a"] * 9, 4: said[4][600:] + said[4][:600], 5: ["other"] * 500}
+    a = [(s, i // 9, i % 9, x) for s, ws in said.items() for i, x in enumerate(ws)]
+    b = [(s, i, x, i * 1.0, i + 0.5) for s, ws in heard.items() for i, x in enumerate(ws)]
+    args = frame(spark, a, "s long, turn_idx long, pos long, word string"), frame(spark, b, "s long, word_idx long, word string, start double, end double"), ["s"]
+    for options in ({"whole": 100, "span": 130}, {"whole": 100}, {}):
+        rows = R.align_words(*args, **options).collect()
+        assert len(rows) == len(a)
+        for s, ws in said.items():
+            own = sorted((r for r in rows if r.s == s), key=lambda r: (r.turn_idx, r.pos))
+            assert [r.word for r in own] == ws
+            at = [(r.word, int(r.start)) for r in own if r.start is not None]
+            assert all(heard[s][k] == x for x, k in at) and [k for _, k in at] == sorted({k for _, k in at})
+            assert len(at) >= {1: 700, 2: 0.9 * len(heard[2]), 3: 16, 4: 500, 5: 0}[s], (s, options, len(at))
+
+
 def test_enrolment(spark):
     rng = np.random.default_rng(5)
     centre = {"A": [1.0, 0.0], "B": [0.0, 1.0]}

@@ -233,90 +233,199 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int = 5) -> DataFrame:
-    """manual words (keys, turn_idx, pos, word) with the start and end of the timed words (keys, word_idx, word, start, end) that anchors and longest-matching-block alignment give them.
-
-    Anchors are runs of gram words that occur once on each side of a session, the most of them that keep one order on both sides; their words
-    are matched by joins. The words left between two anchors are a group of their own, aligned by longest matching blocks. Only the
-    anchors' positions of a session meet in one task. A session without anchors is one group.
+def increasing_run(j: np.ndarray) -> list[int]:
+    """The places of a longest strictly increasing subsequence of j."""
+    from bisect import bisect_left
+
+    ends, last, before = [], [], []
+    for k, x in enumerate(j.tolist()):
+        at = bisect_left(ends, x)
+        before.append(last[at - 1] if at else -1)
+        ends[at : at + 1], last[at : at + 1] = [x], [k]
+    kept, k = [], last[-1] if last else -1
+    while k >= 0:
+        kept.append(k)
+        k = before[k]
+    return kept[::-1]
+
+
+def matched_blocks(i: np.ndarray, j: np.ndarray, gram: int) -> list[list[int]]:
+    """[i, j, size] of anchors of gram words (i rising), the most that keep one order, as blocks of matched words that don't overlap."""
+    out: list[list[int]] = []
+    ei = ej = -1
+    for k in increasing_run(j):
+        x, y = int(i[k]), int(j[k])
+        skip = max(0, ei - x, ej - y) if out else 0
+        if skip >= gram:
+            continue
+        if out and (x + skip, y + skip) == (ei, ej):
+            out[-1][2] += gram - skip
+        else:
+            out.append([x + skip, y + skip, gram - skip])
+        ei, ej = x + gram, y + gram
+    return out
+
+
+def _once(words: list, lo: int, hi: int, gram: int) -> dict:
+    """The runs of gram words in words[lo:hi] that stand there once, with their places."""
+    at: dict = {}
+    for k in range(lo, hi - gram + 1):
+        run = words[k] if gram == 1 else tuple(words[k : k + gram])
+        at[run] = -1 if run in at else k
+    return {run: k for run, k in at.items() if k >= 0}
+
+
+def _occurrences(words: list, lo: int, hi: int) -> dict:
+    """(word, how often it stood before) of words[lo:hi], with their places."""
+    seen: dict = {}
+    out = {}
+    for k in range(lo, hi):
+        n = seen[words[k]] = seen.get(words[k], 0) + 1
+        out[words[k], n] = k
+    return out
+
+
+def match_words(a: list, b: list, gram: int = 5, small: int = 64) -> list[tuple[int, int, int]]:
+    """(i, j, size) blocks of equal words in the order of both lists.
+
+    Stretches with at most small * small pairs of words are aligned by longest matching blocks. Longer ones are cut at anchors: runs of gram words, or else of fewer, that stand once on each side of
+    the stretch; where there are none, words and how often they stood before. What is between two anchors is a stretch again, so the work is about in proportion to the words.
+    """
+    from difflib import SequenceMatcher
+
+    out: list[tuple[int, int, int]] = []
+    stretches = [(0, len(a), 0, len(b))]
+    while stretches:
+        a0, a1, b0, b1 = stretches.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) <= small * small:
+            out += [(a0 + m.a, b0 + m.b, m.size) for m in SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks() if m.size]
+            continue
+        for size in (*[g for g in (gram, 3, 2, 1) if g <= gram], 0):
+            left, right = (_once(a, a0, a1, size), _once(b, b0, b1, size)) if size else (_occurrences(a, a0, a1), _occurrences(b, b0, b1))
+            both = sorted((k, right[run]) for run, k in left.items() if run in right)
+            if both:
+                blocks = matched_blocks(*np.array(both).T, max(size, 1))
+                ei, ej = a0, b0
+                for i, j, n in blocks:
+                    out.append((i, j, n))
+                    stretches.append((ei, i, ej, j))
+                    ei, ej = i + n, j + n
+                stretches.append((ei, a1, ej, b1))
+                break
+    return sorted(out)
+
+
+def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int = 5, whole: int = 20_000, span: int = 50_000) -> DataFrame:
+    """manual words (keys, turn_idx, pos, word) with the start and end of the timed words (keys, word_idx, word, start, end) that match_words gives them; null where there is none.
+
+    Sessions of up to whole words a side are aligned each in a task. Longer ones are first cut at anchors found by joins: runs of gram words that occur once on each side; where more than whole words
+    are left between two anchors, words and how often they occurred before. Of the anchors the most that keep one order are matched: a task for each span of positions finds its own, and of the
+    spans, one row each, the best that follow each other stay. What lies between is aligned as a session is, so no long session meets in one task.
     """
     import pandas as pd
     from pyspark.sql import Window
     from pyspark.sql import types as T
 
     s = F.struct(*keys).alias("_s")  # null keys are equal in a struct
-    by = lambda *order: Window.partitionBy("_s").orderBy(*order)
-    m = manual.select(s, F.col("turn_idx").cast("long").alias("turn_idx"), F.col("pos").cast("long").alias("pos"), "word").withColumn("_i", F.row_number().over(by("turn_idx", "pos", "word")))
-    w = timed.select(s, F.col("word_idx"), "word", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).withColumn("_j", F.row_number().over(by("word_idx", "word", "start", "end")))
-
-    def once(d: DataFrame, at: str) -> DataFrame:
-        parts = [F.col("word")]
-        for k in range(1, gram):
-            parts += [F.lit("\x1f"), F.lead("word", k).over(by(at))]
-        grams = d.select("_s", at, F.concat(*parts).alias("_gram")).filter("_gram is not null")
-        return grams.groupBy("_s", "_gram").agg(F.count("*").alias("_n"), F.min(at).alias(at)).filter("_n = 1").drop("_n")
-
+    m = manual.select(s, F.col("turn_idx").cast("long").alias("turn_idx"), F.col("pos").cast("long").alias("pos"), "word")
+    w = timed.select(s, F.col("word_idx").cast("long").alias("word_idx"), "word", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
     kind = m.schema["_s"]
-    blocks = T.StructType([kind, T.StructField("_i", T.LongType()), T.StructField("_j", T.LongType()), T.StructField("_size", T.LongType())])
-
-    def chain(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        """The longest increasing run of anchors as blocks of matched words that don't overlap."""
-        from bisect import bisect_left
-
-        d = d.sort_values("_i")
-        i, j = d["_i"].to_numpy(), d["_j"].to_numpy()
-        ends, last, before = [], [], np.full(len(j), -1)
-        for k, x in enumerate(j.tolist()):
-            at = bisect_left(ends, x)
-            before[k] = last[at - 1] if at else -1
-            ends[at : at + 1], last[at : at + 1] = [x], [k]
-        kept, k = [], last[-1]
-        while k >= 0:
-            kept.append(k)
-            k = before[k]
-        out, ei, ej = [], 0, 0
-        for k in reversed(kept):
-            x, y = int(i[k]), int(j[k])
-            skip = max(0, ei - x, ej - y)
-            if skip >= gram:
-                continue
-            if out and (x + skip, y + skip) == (ei, ej):
-                out[-1][2] += gram - skip
-            else:
-                out.append([x + skip, y + skip, gram - skip])
-            ei, ej = x + gram, y + gram
-        made = pd.DataFrame(out, columns=["_i", "_j", "_size"])
-        made.insert(0, "_s", [key[0]] * len(made))
-        return made
-
-    anchors = once(m, "_i").join(once(w, "_j"), ["_s", "_gram"]).select("_s", "_i", "_j")
-    pairs = _kept(anchors.groupBy("_s").applyInPandas(chain, blocks)).select("_s", "_i", "_j", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias("_k"))
-    pairs = pairs.select("_s", (F.col("_i") + F.col("_k")).alias("_i"), (F.col("_j") + F.col("_k")).alias("_j"))
-    # Matched words are as many on both sides before a gap, so their number names the gap.
-    gap = lambda other, at: F.count(other).over(by(at).rowsBetween(Window.unboundedPreceding, 0)).alias("_gap")
-    m = m.join(pairs, ["_s", "_i"], "left").select("*", gap("_j", "_i"))
-    w = w.join(pairs, ["_s", "_j"], "left").select("*", gap("_i", "_j"))
     names = ["_s", "turn_idx", "pos", "word", "start", "end"]
-    sure = m.filter("_j is not null").join(w.filter("_i is not null").select("_s", "_gap", "start", "end"), ["_s", "_gap"]).select(*names)
-    a, b = m.filter("_j is null").drop("_j"), w.filter("_i is null").drop("_i")
-    a = a.join(b.select("_s", "_gap", F.lit(True).alias("_both")).distinct(), ["_s", "_gap"], "left")
-    none = a.filter("_both is null").select("_s", "turn_idx", "pos", "word", F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
-    a = a.filter("_both").drop("_both")
-    b = b.join(a.select("_s", "_gap").distinct(), ["_s", "_gap"], "left_semi")
     schema = T.StructType([kind, *[T.StructField(n, t) for n, t in zip(names[1:], (T.LongType(), T.LongType(), T.StringType(), T.DoubleType(), T.DoubleType()))]])
 
     def align(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        x, y = x.sort_values("_i").reset_index(drop=True), y.sort_values("_j").reset_index(drop=True)
+        x, y = x.sort_values(["turn_idx", "pos", "word"]).reset_index(drop=True), y.sort_values(["word_idx", "word", "start", "end"])
         got, times = np.full((len(x), 2), np.nan), y[["start", "end"]].to_numpy(float)
-        for block in SequenceMatcher(None, x["word"].tolist(), y["word"].tolist(), autojunk=False).get_matching_blocks():
-            got[block.a : block.a + block.size] = times[block.b : block.b + block.size]
+        for i, j, n in match_words(x["word"].tolist(), y["word"].tolist(), gram):
+            got[i : i + n] = times[j : j + n]
         return x.assign(_s=[key[0]] * len(x), start=got[:, 0], end=got[:, 1]).astype({"start": object, "end": object}).where(lambda d: d.notna(), None)[names]
 
-    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # both sides may come from one table
-    between = a.groupBy("_s", "_gap").cogroup(b.groupBy("_s", "_gap")).applyInPandas(align, schema)
-    return sure.unionByName(none).unionByName(between).select(*[F.col("_s")[k].alias(k) for k in keys], *names[1:])
+    def by_group(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
+        b = b.select(*[F.col(c).alias(c) for c in b.columns])  # both sides may come from one table
+        return a.groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(align, schema)
+
+    out = lambda d: d.select(*[F.col("_s")[k].alias(k) for k in keys], *names[1:])
+    sizes = m.groupBy("_s").count().unionByName(w.groupBy("_s").count()).groupBy("_s").agg(F.max("count").alias("_n"))
+    long = _kept(sizes.filter(F.col("_n") > whole).select("_s"))
+    if long.isEmpty():
+        return out(by_group(m, w, ["_s"]))
+    short = by_group(m.join(long, "_s", "left_anti"), w.join(long, "_s", "left_anti"), ["_s"])
+
+    numbered = lambda d, at, *order: _kept(d.join(long, "_s", "left_semi").withColumn(at, F.row_number().over(Window.partitionBy("_s").orderBy(*order)).cast("long")))
+    a, b = numbered(m, "_i", "turn_idx", "pos", "word"), numbered(w, "_j", "word_idx", "word", "start", "end")
+    blocks = T.StructType([kind, T.StructField("_span", T.LongType()), T.StructField("_i", T.LongType()), T.StructField("_j", T.LongType()), T.StructField("_size", T.LongType())])
+
+    def in_one_order(anchors: DataFrame, size: int) -> DataFrame:
+        """(_s, _i, _j) of the words matched by anchors (_s, _i, _j) of size words."""
+
+        def chain(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+            d = d.sort_values("_i")
+            made = pd.DataFrame(matched_blocks(d["_i"].to_numpy(), d["_j"].to_numpy(), size), columns=["_i", "_j", "_size"])
+            made["_size"] = np.minimum(made["_size"], (key[1] + 1) * span - made["_i"])  # no block reaches into the next span
+            made.insert(0, "_s", [key[0]] * len(made))
+            made.insert(1, "_span", key[1])
+            return made
+
+        def best(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+            """Of a session's spans those that follow each other on both sides with the most words."""
+            from bisect import bisect_left
+
+            d = d.sort_values("_span").reset_index(drop=True)
+            tops: list[tuple[int, int, int]] = []  # (where it ends, words, the last span's row) of chains, longer ones end later
+            before = []
+            for k, (lo, hi, n) in enumerate(zip(d["_lo"].tolist(), d["_hi"].tolist(), d["_n"].tolist())):
+                at = bisect_left(tops, (lo + 1,))
+                before.append(tops[at - 1][2] if at else -1)
+                total = n + (tops[at - 1][1] if at else 0)
+                at = bisect_left(tops, (hi,))
+                if not at or tops[at - 1][1] < total:
+                    tops[at:] = [(hi, total, k), *[t for t in tops[at:] if t[1] > total]]
+            keep, k = [], tops[-1][2] if tops else -1
+            while k >= 0:
+                keep.append(k)
+                k = before[k]
+            return d.loc[keep, ["_s", "_span"]]
+
+        found = _kept(anchors.groupBy("_s", F.floor(F.col("_i") / span).alias("_span")).applyInPandas(chain, blocks))
+        ends = found.groupBy("_s", "_span").agg(F.min("_j").alias("_lo"), F.max(F.col("_j") + F.col("_size")).alias("_hi"), F.sum("_size").alias("_n"))
+        kept = ends.groupBy("_s").applyInPandas(best, T.StructType([kind, T.StructField("_span", T.LongType())]))
+        pairs = found.join(kept, ["_s", "_span"]).select("_s", "_i", "_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("_k"))
+        return pairs.select("_s", (F.col("_i") + F.col("_k")).alias("_i"), (F.col("_j") + F.col("_k")).alias("_j"))
+
+    def once(d: DataFrame, at: str) -> DataFrame:
+        parts = [F.col("word")]
+        for k in range(1, gram):
+            parts += [F.lit("\x1f"), F.lead("word", k).over(Window.partitionBy("_s").orderBy(at))]
+        grams = d.select("_s", at, F.concat(*parts).alias("_gram")).filter("_gram is not null")
+        return grams.groupBy("_s", "_gram").agg(F.count("*").alias("_n"), F.min(at).alias(at)).filter("_n = 1").drop("_n")
+
+    def with_gaps(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # Matched words are as many on both sides before a gap, so their number names the gap.
+        gap = lambda other, at: F.count(other).over(Window.partitionBy("_s").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)).alias("_gap")
+        return a.join(pairs, ["_s", "_i"], "left").select("*", gap("_j", "_i")), b.join(pairs, ["_s", "_j"], "left").select("*", gap("_i", "_j"))
+
+    pairs = _kept(in_one_order(once(a, "_i").join(once(b, "_j"), ["_s", "_gram"]).select("_s", "_i", "_j"), gram))
+    while True:
+        x, y = with_gaps(pairs)
+        # Words left between two anchors that stand in the same gap on the other side too; no others can be matched.
+        on = ["_s", "_gap", "word"]
+        open_ = x.filter("_j is null").drop("_j"), y.filter("_i is null").drop("_i")
+        open_ = [d.join(other.select(*[F.col(c).alias(c) for c in on]).distinct(), on, "left_semi") for d, other in zip(open_, reversed(open_))]
+        crowded = open_[0].groupBy("_s", "_gap").count().unionByName(open_[1].groupBy("_s", "_gap").count()).groupBy("_s", "_gap").agg(F.max("count").alias("_n"))
+        crowded = _kept(crowded.filter(F.col("_n") > whole).select("_s", "_gap"))
+        if crowded.isEmpty():
+            break
+        # The first anchor of a gap's words can always be kept, so each round leaves fewer.
+        nth = lambda d, at: d.select(*on, at).join(crowded, ["_s", "_gap"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy(at)))
+        anchors = nth(open_[0], "_i").join(nth(open_[1], "_j"), [*on, "_nth"]).select("_s", "_i", "_j")
+        pairs = _kept(pairs.unionByName(in_one_order(anchors, 1)))
+    sure = x.filter("_j is not null").join(y.filter("_i is not null").select("_s", "_gap", "start", "end"), ["_s", "_gap"]).select(*names)
+    rest = by_group(open_[0].drop("_i"), open_[1].drop("_j"), ["_s", "_gap"])
+    none = x.filter("_j is null").join(open_[0].select("_s", F.col("_i")), ["_s", "_i"], "left_anti")
+    none = none.select("_s", "turn_idx", "pos", "word", *[F.lit(None).cast("double").alias(c) for c in ("start", "end")])
+    return out(short.unionByName(sure).unionByName(rest).unionByName(none))
 
 
 def nearest(vectors: DataFrame, item: str, vector: str, targets: DataFrame, target: str, target_vector: str, block: int = 1024) -> DataFrame:
