@@ -947,9 +947,9 @@ def _(t):
     return d.select("session", "batch", F.size("_r").alias("n_parsed"), F.array_join(F.transform("_r", lambda x: x["d"]), ",").alias("depths"))
 
 
-@query("fn_label_defaults", with_views("v_annot") + "select session, turn_idx, depth, 'yes' on_topic, 'true' responsive from v_annot")
+@query("fn_label_defaults", with_views("v_annot", "n as (select *, row_number() over (partition by session order by turn_idx) - 1 n from v_annot)") + "select session, turn_idx, depth, case when n % 3 = 0 then 'no' else 'yes' end on_topic, case when n % 4 = 1 then 'false' else 'true' end responsive from n")
 def _(t):
-    # replies hold depth and stance only, and some are cut short: the other fields take their defaults
+    # replies hold depth and stance, some entries on_topic and responsive, and some are cut short: what is missing takes its default
     return H.parse_replies(t.turns(), t.replies(), ["session"]).select("session", "turn_idx", "depth", "on_topic", "responsive")
 
 
@@ -1285,7 +1285,7 @@ def _rate(prompts: list[str]) -> list[str]:
     return ['{"engagement": "high", "dominant_speaker": "A"}' if len(p) % 2 else "no" for p in prompts]
 
 
-@query("udf_rate_conversation")
+@query("udf_rate_conversation", with_views("v_turns", "p as (select session, (sum(length(text) + 3) + count(*) - 1) % 2 = 1 odd from v_turns group by 1)") + "select session, case when odd then 'high' else 'medium' end engagement, '' reason, case when odd then 'A' else 'balanced' end dominant_speaker from p")
 def _(t):
     return H.rate_conversations(t.turns(), ["session"], _rate)
 

@@ -63,11 +63,11 @@ class Tables:
         })
 
     def replies(self) -> DataFrame:
-        """A JSON reply for each batch of eight turns; each fifth is cut short, each seventh fenced."""
+        """A JSON reply for each batch of eight turns; each fifth is cut short, each seventh fenced. Some entries lack on_topic, some responsive."""
         from pyspark.sql import Window
 
         a = self.annotated().withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("turn_idx")) - 1)
-        one = F.concat(F.lit('{"i":'), (F.col("n") % 8).cast("string"), F.lit(',"d":"'), F.col("depth"), F.lit('","st":"'), F.col("stance"), F.lit('"}'))
+        one = F.concat(F.lit('{"i":'), (F.col("n") % 8).cast("string"), F.lit(',"d":"'), F.col("depth"), F.lit('","st":"'), F.col("stance"), F.lit('"'), F.when(F.col("n") % 3 == 0, F.lit(',"ot":"no"')).otherwise(""), F.when(F.col("n") % 4 == 1, F.lit(',"ra":"false"')).otherwise(""), F.lit("}"))
         b = a.groupBy("session", F.floor(F.col("n") / 8).alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("o")))), lambda x: x["o"]), ",").alias("o"))
         whole = F.concat(F.lit("["), "o", F.lit("]"))
         key = F.col("session")
