@@ -23,6 +23,25 @@ from .common import BoundedCache, small_batches
 CAPACITY = 2048
 
 
+class RecentWords(BoundedCache):
+    """A cache that, when half of its limit is new, forgets what wasn't asked for since the last time; frequent words are never made again."""
+
+    def __init__(self, make, limit: int):
+        super().__init__(make, limit // 2)
+        self.before: dict = {}
+
+    def __missing__(self, word):
+        value = self.before.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
 @lru_cache(maxsize=4)
 def word_ids(path: str):
     """words (without ASCII white space) -> their ids as little-endian u32, through a bounded cache.
@@ -33,7 +52,6 @@ def word_ids(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -42,17 +60,20 @@ def word_ids(path: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
 
+    four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
     def encode(word: str) -> bytes:
-        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([four[i] for i in tokenizer.encode(word, add_special_tokens=False).ids])
 
     def encode_core(core: str) -> bytes:
         # Lower-case Latin letters are what the normaliser and the splitter leave as they are: the merges do the rest.
-        if max(core) >= "\u0250" or not core.isalpha() or not core.islower():
+        plain = core.isascii()
+        if not core.isalpha() or not core.islower() or not plain and max(core) >= "\u0250":
             return encode(core)
-        symbols = core if core.isascii() else core.encode().decode("latin-1").translate(shown)
-        return np.array([t.id for t in model.tokenize(symbols)], "<u4").tobytes()
+        symbols = core if plain else core.encode().decode("latin-1").translate(shown)
+        return b"".join([four[t.id] for t in model.tokenize(symbols)])
 
-    cores = BoundedCache(encode_core, 300_000)
+    cores = RecentWords(encode_core, 400_000)
 
     def core(word: str) -> bytes:
         # Lower-casing is the tokenizer's own, letter by letter; a sigma differs in context.
@@ -66,7 +87,7 @@ def word_ids(path: str):
             return core(text[:-1]) + cores[text[-1]]
         return core(text) if text.isalpha() else encode(text)
 
-    return BoundedCache(split, 500_000)
+    return RecentWords(split, 800_000)
 
 
 def token_bytes(text: str | None, words: BoundedCache, end_id: int) -> bytes:
