@@ -293,6 +293,23 @@ def test_jaccard_join(spark, docs, odd, empty, width, threshold):
     assert jaccard_join.jaccard_components(empty, width=width, threshold=threshold).count() == 0
 
 
+def test_jaccard_join_of_late_levels(spark, monkeypatch):
+    """Groups of one hub stay apart from the first level on, as they do from the thirteenth in earnest."""
+    monkeypatch.setattr(jaccard_join._rows_with_components, "__defaults__", (0,))
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for k in rng.choice(150, rng.integers(1, 6), replace=False):
+            own[k] = f"x{i % 7}y{k}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, threshold in ((3, (9, 10)), (5, (4, 5))):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, width=width, threshold=threshold).collect()}
+        assert got == components(rows, width, *threshold)
+
+
 def test_jaccard_join_family(spark):
     """A family of near copies around the threshold, where few pairs link: no link may be lost."""
     rng = np.random.default_rng(5)
@@ -506,6 +523,16 @@ def test_chat_format(spark):
     assert chat_format.chat_digest(chat_format.chat_examples(turns.limit(0))).count() == 0
 
 
+def test_very_long_conversation(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} </s> [INST] " + "x" * (k % 50)) for k in range(240)] + [(2, 0, "assistant", "words " * 50_000)]
+    got = {r.conv_id: r for r in chat_format.chat_digest(chat_format.chat_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))).collect()}
+    for key in (1, 2):
+        own = [(r[2], r[3]) for r in rows if r[0] == key]
+        said, loss = "".join(f"{r}\n{t}\n" for r, t in own), "".join(t for r, t in own if r == "assistant")
+        assert (got[key].n_turns, got[key].loss_chars) == (len(own), len(loss))
+        assert got[key].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[key].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_fingerprints(spark, docs, odd, empty):
     rows = sorted(texts_of(docs), reverse=True)
     follow = {i: rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
