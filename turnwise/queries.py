@@ -1099,7 +1099,17 @@ def _(t):
     return G.ols_by(d, "f0", ["rate", "h"], ["session"], least=8).filter("term <> 'const'").select("session", "term", "n", "df", "estimate", "se", "t", "r2", "p")
 
 
-@query("st_select_features")
+_CHOSEN = (
+    "s0 as (" + " union all ".join(f"select '{f}' feature, count(*) - 2.0 df, corr(acct, {f}) r from v_ent" for f in FEATURES) + "), "
+    + f"s1 as (select feature, {t_p_sql('t', 'df')} p from (select *, r * sqrt(df / (1 - r * r)) t from s0)), "
+    + "s2 as (select *, row_number() over (order by p, feature) rk, count(*) filter (p < 0.1) over () few from s1), s3 as (select feature, row_number() over (order by rk) k from s2 where p < 0.1 or few = 0 and rk <= 3), "
+    + "cm as (" + " union all ".join(f"select '{a}' x, '{b}' y, abs(corr({a}, {b})) r from v_ent" for a in FEATURES for b in FEATURES if a != b) + "), "
+    + "st as (select s3.k, feature, list(cm.y) filter (r > 0.7) near from s3 left join cm on cm.x = feature group by 1, 2), "
+    + "rc as (select 0 k, []::varchar[] kept union all select st.k, case when list_has_any(kept, coalesce(near, [])) then kept else list_append(kept, feature) end from rc join st on st.k = rc.k + 1)"
+)
+
+
+@query("st_select_features", with_views("v_ent", _CHOSEN).replace("with ", "with recursive ", 1) + "select (i - 1)::int as rank, kept[i] feature from (select kept, unnest(range(1, least(len(kept), 4) + 1)) i from (select kept from rc order by k desc limit 1))")
 def _(t):
     e = t.entities()
     return t.spark.createDataFrame([(i, f) for i, f in enumerate(A.select_features(e, A.screen(e, "acct", FEATURES)))], "rank int, feature string")
