@@ -336,22 +336,28 @@ def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int
     schema = T.StructType([kind, *[T.StructField(n, t) for n, t in zip(names[1:], (T.LongType(), T.LongType(), T.StringType(), T.DoubleType(), T.DoubleType()))]])
 
     def align(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values(["turn_idx", "pos", "word"]).reset_index(drop=True), y.sort_values(["word_idx", "word", "start", "end"])
+        """Each gap of the group on its own."""
+        x, y = x.sort_values(["_gap", "turn_idx", "pos", "word"]).reset_index(drop=True), y.sort_values(["_gap", "word_idx", "word", "start", "end"])
         got, times = np.full((len(x), 2), np.nan), y[["start", "end"]].to_numpy(float)
-        for i, j, n in match_words(x["word"].tolist(), y["word"].tolist(), gram):
-            got[i : i + n] = times[j : j + n]
+        a, b, a_gap, b_gap = x["word"].tolist(), y["word"].tolist(), x["_gap"].to_numpy(), y["_gap"].to_numpy()
+        both = np.intersect1d(a_gap, b_gap)
+        for a0, a1, b0, b1 in zip(*(np.searchsorted(g, both, side).tolist() for g in (a_gap, b_gap) for side in ("left", "right"))):
+            for i, j, n in match_words(a[a0:a1], b[b0:b1], gram):
+                got[a0 + i : a0 + i + n] = times[b0 + j : b0 + j + n]
         return x.assign(_s=[key[0]] * len(x), start=got[:, 0], end=got[:, 1]).astype({"start": object, "end": object}).where(lambda d: d.notna(), None)[names]
 
-    def by_group(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
-        b = b.select(*[F.col(c).alias(c) for c in b.columns])  # both sides may come from one table
-        return a.groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(align, schema)
+    def by_group(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Sides with _gap, dealt by session and by stretches of some thousand gaps, so that a long session's gaps are spread over tasks."""
+        a, b = (d.withColumn("_b", F.floor(F.col("_gap") / 2000)).select("_s", "_b", *[F.col(c).alias(c) for c in d.columns if c != "_s"]).repartition("_s", "_b") for d in (a, b))
+        return a.groupBy("_s", "_b").cogroup(b.groupBy("_s", "_b")).applyInPandas(align, schema)
 
     out = lambda d: d.select(*[F.col("_s")[k].alias(k) for k in keys], *names[1:])
+    at_once = lambda d: d.withColumn("_gap", F.lit(0).cast("long"))
     sizes = m.groupBy("_s").count().unionByName(w.groupBy("_s").count()).groupBy("_s").agg(F.max("count").alias("_n"))
     long = _kept(sizes.filter(F.col("_n") > whole).select("_s"))
     if long.isEmpty():
-        return out(by_group(m, w, ["_s"]))
-    short = by_group(m.join(long, "_s", "left_anti"), w.join(long, "_s", "left_anti"), ["_s"])
+        return out(by_group(at_once(m), at_once(w)))
+    short = by_group(at_once(m.join(long, "_s", "left_anti")), at_once(w.join(long, "_s", "left_anti")))
 
     numbered = lambda d, at, *order: _kept(d.join(long, "_s", "left_semi").withColumn(at, F.row_number().over(Window.partitionBy("_s").orderBy(*order)).cast("long")))
     a, b = numbered(m, "_i", "turn_idx", "pos", "word"), numbered(w, "_j", "word_idx", "word", "start", "end")
@@ -422,7 +428,7 @@ def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int
         anchors = nth(open_[0], "_i").join(nth(open_[1], "_j"), [*on, "_nth"]).select("_s", "_i", "_j")
         pairs = _kept(pairs.unionByName(in_one_order(anchors, 1)))
     sure = x.filter("_j is not null").join(y.filter("_i is not null").select("_s", "_gap", "start", "end"), ["_s", "_gap"]).select(*names)
-    rest = by_group(open_[0].drop("_i"), open_[1].drop("_j"), ["_s", "_gap"])
+    rest = by_group(open_[0].drop("_i"), open_[1].drop("_j"))
     none = x.filter("_j is null").join(open_[0].select("_s", F.col("_i")), ["_s", "_i"], "left_anti")
     none = none.select("_s", "turn_idx", "pos", "word", *[F.lit(None).cast("double").alias(c) for c in ("start", "end")])
     return out(short.unionByName(sure).unionByName(rest).unionByName(none))
