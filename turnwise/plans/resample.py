@@ -19,7 +19,7 @@ from ..operators.ranks import bh_fdr
 from ..operators.sequence import switch_pairs
 from ..operators.tables import with_rank
 from .grouped import _in_stacks
-from .stats import Gram, _fit, _none, equal_weight, gram, pca_composite, standardise
+from .stats import Gram, _fit, _none, equal_weight, gram_sets, pca_composite, standardise
 
 
 def _resamples(df: DataFrame, n: int, name: str = "b") -> DataFrame:
@@ -173,9 +173,8 @@ def permuted_gains(df: DataFrame, key: str, tests: list[tuple[str, str, list[str
     the products of x with the base columns and with that residual.
     """
     d = finite_columns(df.select(key, *dict.fromkeys(c for y, x, base in tests for c in (y, x, *base))))
-    grams_, blocks, facts = [], [], []
-    for k, (y, x, base) in enumerate(tests):
-        g = gram(d, [*base, x, y])
+    grams_, blocks, facts = gram_sets(d, [[*base, x, y] for y, x, base in tests]), [], []
+    for k, ((y, x, base), g) in enumerate(zip(tests, grams_)):
         my, both = _fit(g, y, base), _fit(g, y, [*base, x])
         mean, cov = g.pick([*base, x])
         ok = F.lit(True)
@@ -184,7 +183,6 @@ def permuted_gains(df: DataFrame, key: str, tests: list[tuple[str, str, list[str
         d = d.withColumns({f"_b{k}_{i}": F.when(ok, F.col(c) - float(m)) for i, (c, m) in enumerate(zip(base, mean))})
         fitted = sum((F.col(c) * float(v) for c, v in zip(base, my["beta"])), F.lit(my["intercept"]))
         d = d.withColumns({f"_r{k}": F.when(ok, F.col(y) - fitted), f"_s{k}": F.when(ok, F.col(x) - float(mean[-1]))})
-        grams_.append(g)
         blocks.append(([f"_s{k}"], [*[f"_b{k}_{i}" for i in range(len(base))], f"_r{k}"]))
         facts.append({"inv": my["inv"], "sxx": float(cov[-1, -1]), "sst": my["sst"], "seen": both["r2"] - (my["r2"] if base else 0.0)})
     each = _gains(permuted_products(d, key, blocks, n, seed), facts)
@@ -309,7 +307,8 @@ def incremental_validity(
     named += [("exploratory", "composite", "theory", "_outcome", "_theory")] if has(theory_features) else []
     grams_, p = permuted_gains(d, key, [(y, x, base) for *_, y, x in named], n_perm, seed)
     p_perm = {r["block"]: r["p"] for r in p.collect()}  # a row for each test
-    weights = {y: gram(d, [*base, "_vocal_ew", y]) for y in dict.fromkeys(t[3] for t in named)}
+    answers = list(dict.fromkeys(t[3] for t in named))
+    weights = dict(zip(answers, gram_sets(d, [[*base, "_vocal_ew", y] for y in answers])))
     rows = []
     for k, ((tier, outcome, predictor, y, x), g) in enumerate(zip(named, grams_)):
         none, first, second, full = (_fit(g, y, xs) for xs in ([*controls], base, [*controls, x], [*base, x]))

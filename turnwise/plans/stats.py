@@ -47,6 +47,28 @@ def gram(df: DataFrame, columns: list[str]) -> Gram:
     return Gram(columns, n, np.array([x or 0.0 for x in row[1 : 1 + k]]), cov)
 
 
+def gram_sets(df: DataFrame, sets: list[list[str]]) -> list[Gram]:
+    """A Gram for each set of columns, over the rows complete in it; one aggregation for all."""
+    cells, shapes = [], []
+    for columns in sets:
+        ok = F.lit(True)
+        for c in columns:
+            ok = ok & F.col(c).isNotNull()
+        v = [F.when(ok, F.col(c).cast("double")) for c in columns]
+        pairs = [(i, j) for i in range(len(v)) for j in range(i, len(v))]
+        cells += [F.count_if(ok), *[F.avg(x) for x in v], *[F.covar_pop(v[i], v[j]) for i, j in pairs]]
+        shapes.append((columns, pairs))
+    row, out, at = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).first(), [], 0
+    for columns, pairs in shapes:
+        n, k = row[at], len(columns)
+        cov = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[at + 1 + k :]):
+            cov[i, j] = cov[j, i] = (v or 0.0) * n
+        out.append(Gram(columns, n, np.array([x or 0.0 for x in row[at + 1 : at + 1 + k]]), cov))
+        at += 1 + k + len(pairs)
+    return out
+
+
 def _fit(g: Gram, y: str, xs: list[str]) -> dict:
     mean, c = g.pick([*xs, y])
     k, n = len(xs), g.n
