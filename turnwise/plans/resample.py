@@ -57,9 +57,41 @@ def _order_columns():
     return _lane(x, a, c, fold) * (1 << 31) + _lane(y, c, a, fold)
 
 
-def _order_arrays(x: np.ndarray, y: np.ndarray, a: int, c: int) -> np.ndarray:
-    fold = lambda v, k: v ^ (v >> k)
-    return _lane(x, a, c, fold) * (1 << 31) + _lane(y, c, a, fold)
+def _mixed(v: np.ndarray, a: int, c: int) -> np.ndarray:
+    """_lane of an int64 array, in place: what is left by 2^31 - 1 is the sum of its 31-bit digits."""
+    t = np.empty_like(v)
+    for times, shift in ((a, 15), (c, 13), (a, 0)):
+        v *= times
+        for _ in range(2):
+            np.right_shift(v, 31, out=t)
+            v &= _PRIME
+            v += t
+        v[v == _PRIME] = 0
+        if shift:
+            np.right_shift(v, shift, out=t)
+            v ^= t
+    return v
+
+
+def _shuffled_order(x: np.ndarray, y: np.ndarray, a: int, c: int, out: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """The rows in the order of _order_columns, in out (int64): a row's number stands below its first lane, so one sort of numbers does; only rows of equal first lanes need the second."""
+    bits = max(1, (len(x) - 1).bit_length())
+    for lo in range(0, len(x), step):
+        v = _mixed(x[lo : lo + step].astype(np.int64), a, c)
+        v <<= bits
+        v |= np.arange(lo, lo + len(v))
+        out[lo : lo + len(v)] = v
+    out.sort()
+    last = (1 << bits) - 1
+    equal = [lo + np.flatnonzero((out[lo : min(lo + step, len(x) - 1)] ^ out[lo + 1 : lo + step + 1]) <= last) for lo in range(0, len(x) - 1, step)]
+    at = np.concatenate([np.empty(0, np.int64), *equal])
+    at = np.union1d(at, at + 1)
+    if len(at):
+        tied = out[at]
+        rows = tied & last
+        out[at] = tied[np.lexsort((rows, _mixed(y[rows].astype(np.int64), c, a), tied >> bits))]
+    out &= last
+    return out
 
 
 def _shuffled_rows(d: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -79,16 +111,17 @@ def permuted_labels(df: DataFrame, key: str, group: str, n: int, seed: int) -> D
     return _shuffled_rows(d, key, n, seed).join(labels, "_j").select(*df.columns, "b", "_shuffled")
 
 
-def permuted_products(df: DataFrame, key: str, blocks: list[tuple[list[str], list[str]]], n: int, seed: int, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def permuted_products(df: DataFrame, key: str, blocks: list[tuple[list[str], list[str]]], n: int, seed: int, broadcast_bytes: int = 512 << 20) -> DataFrame:
     """(b, block, products): for each of n resamples and each block (xs, ys), the sums of shuffled x times y, for each x and in it each y, over the block's complete rows.
 
     One pass for all blocks: a resample orders the rows once, by a hash, and the complete rows of a block in that order take its x values in key order. Key values are unique. Tables of up to
-    broadcast_bytes of numbers are broadcast and the resamples shared out among tasks; larger ones are ranked by windows, with the same shuffles.
+    broadcast_bytes of numbers are broadcast and the resamples shared out among tasks, which hold each number once besides one order of the rows; larger ones are ranked by windows,
+    with the same shuffles.
     """
     columns = list(dict.fromkeys(c for xs, ys in blocks for c in [*xs, *ys]))
     d = finite_columns(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]))
     schema = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("products", T.ArrayType(T.DoubleType()))])
-    if d.count() * (len(columns) + 2) * 8 > broadcast_bytes:
+    if d.count() * (len(columns) + 1) * 8 > broadcast_bytes:
         from functools import reduce
 
         parts = []
@@ -102,20 +135,38 @@ def permuted_products(df: DataFrame, key: str, blocks: list[tuple[list[str], lis
     import pyarrow as pa
 
     spark = df.sparkSession
-    t = d.select("*", *_row_lanes(seed, key)).orderBy(key).toArrow()
-    table = spark.sparkContext.broadcast({c: t.column(c).to_numpy() for c in [*columns, "_x", "_y"]})
+    lanes = [c.cast("int").alias(name) for c, name in zip(_row_lanes(seed, key), ("_x", "_y"))]
+    t = d.select("*", *lanes).orderBy(key).drop(key).toArrow()
+    table = spark.sparkContext.broadcast({c: t.column(c).to_numpy() for c in t.column_names})
+    del t
 
-    def shuffle(batches: Iterator) -> Iterator:
+    def shuffle(batches: Iterator, step: int = 1 << 16) -> Iterator:
         v = table.value
-        own = []
+        groups: dict = {}  # blocks of the same complete rows share what is gathered
+        where = []
         for xs, ys in blocks:
-            x, y = (np.column_stack([v[c] for c in names]).astype(float) for names in (xs, ys))
-            keep = np.isfinite(x).all(1) & np.isfinite(y).all(1)
-            own.append((x[keep], y, keep))
+            keep = np.ones(len(v["_x"]), bool)
+            for c in {*xs, *ys}:
+                keep &= np.isfinite(v[c])
+            rows = None if keep.all() else keep.tobytes()
+            left, right, _ = groups.setdefault(rows, ({}, {}, None if rows is None else keep))
+            where.append((rows, [left.setdefault(c, len(left)) for c in xs], [right.setdefault(c, len(right)) for c in ys]))
+        values = {rows: [v[c] if keep is None else v[c][keep] for c in left] for rows, (left, _, keep) in groups.items()}
+        order = np.empty(len(v["_x"]), np.int64)
         for batch in batches:
             for b, a, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                order = np.argsort(_order_arrays(v["_x"], v["_y"], a, c), kind="stable")
-                made = [(x.T @ y[order[keep[order]]]).ravel() for x, y, keep in own]
+                _shuffled_order(v["_x"], v["_y"], a, c, order)
+                sums = {}
+                for rows, (left, right, keep) in groups.items():
+                    own = order if keep is None else order[keep[order]]
+                    sums[rows] = total = np.zeros((len(left), len(right)))
+                    for lo in range(0, len(own), step):
+                        part = own[lo : lo + step]
+                        for k, c_y in enumerate(right):
+                            y = v[c_y].take(part)
+                            for i, x in enumerate(values[rows]):
+                                total[i, k] += x[lo : lo + step] @ y
+                made = [sums[rows][np.ix_(i, k)].ravel() for rows, i, k in where]
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.list_(pa.float64()))], names=schema.names)
 
     tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
@@ -173,18 +224,17 @@ def permuted_gains(df: DataFrame, key: str, tests: list[tuple[str, str, list[str
     the products of x with the base columns and with that residual.
     """
     d = finite_columns(df.select(key, *dict.fromkeys(c for y, x, base in tests for c in (y, x, *base))))
-    grams_, blocks, facts = gram_sets(d, [[*base, x, y] for y, x, base in tests]), [], []
-    for k, ((y, x, base), g) in enumerate(zip(tests, grams_)):
+    grams_, blocks, facts, made = gram_sets(d, [[*base, x, y] for y, x, base in tests]), [], [], {}
+    for (y, x, base), g in zip(tests, grams_):
         my, both = _fit(g, y, base), _fit(g, y, [*base, x])
         mean, cov = g.pick([*base, x])
-        ok = F.lit(True)
-        for c in (y, x, *base):
-            ok = ok & F.col(c).isNotNull()
-        d = d.withColumns({f"_b{k}_{i}": F.when(ok, F.col(c) - float(m)) for i, (c, m) in enumerate(zip(base, mean))})
         fitted = sum((F.col(c) * float(v) for c, v in zip(base, my["beta"])), F.lit(my["intercept"]))
-        d = d.withColumns({f"_r{k}": F.when(ok, F.col(y) - fitted), f"_s{k}": F.when(ok, F.col(x) - float(mean[-1]))})
-        blocks.append(([f"_s{k}"], [*[f"_b{k}_{i}" for i in range(len(base))], f"_r{k}"]))
+        # A row counts where all of its test's columns are there, so tests may share what is the same in them.
+        xs = [made.setdefault((c, float(m)), (f"_c{len(made)}", F.col(c) - float(m)))[0] for c, m in zip([*base, x], mean)]
+        left = made.setdefault((y, *base, my["intercept"], *map(float, my["beta"])), (f"_c{len(made)}", F.col(y) - fitted))[0]
+        blocks.append(([xs[-1]], [*xs[:-1], left]))
         facts.append({"inv": my["inv"], "sxx": float(cov[-1, -1]), "sst": my["sst"], "seen": both["r2"] - (my["r2"] if base else 0.0)})
+    d = d.select(key, *[c.alias(name) for name, c in made.values()])
     each = _gains(permuted_products(d, key, blocks, n, seed), facts)
     seen = F.element_at(F.array(*[F.lit(float(f["seen"])) for f in facts]), F.col("block") + 1)
     return grams_, each.groupBy("block").agg(F.count("*").alias("n_perm"), _permutation_p(F.col("gain") >= seen - 1e-12).alias("p"))
@@ -290,7 +340,7 @@ def incremental_validity(
 
     # The table is made once; each statistic reads the checkpoint.
     wanted = list(dict.fromkeys([*outcomes, *turn_features, *vocal_features, *theory_features, *controls]))
-    d = finite_columns(df.select(key, *[F.col(c).cast("double").alias(c) for c in wanted]))
+    d = _kept(finite_columns(df.select(key, *[F.col(c).cast("double").alias(c) for c in wanted])))
     raw, features = d, list(dict.fromkeys([*turn_features, *vocal_features, *theory_features]))
     means = d.agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
     has = lambda names: [c for c in names if means[c] is not None]
