@@ -6,8 +6,12 @@ sorted values, O(n log n), never a join of pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import ratio, safe_corr
 from ..functions.text import norm_text
@@ -79,20 +83,110 @@ def all_pairs_distance(values: DataFrame, keys: list[str], side: str, value: str
     return out.withColumn("mean_distance", ratio(F.col("_t"), F.col("n0") * F.col("n1"))).drop("_t")
 
 
-def sampled_pairs_distance(values: DataFrame, keys: list[str], side: str, value: str, row_id: list[str], n_shuffles: int = 200, seed: int = 42) -> DataFrame:
+_X1, _X2, _X3, _X4, _X5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(v: np.ndarray, k: int) -> np.ndarray:
+    return v << np.uint64(k) | v >> np.uint64(64 - k)
+
+
+def _finished(v: np.ndarray) -> np.ndarray:
+    v = (v ^ v >> np.uint64(33)) * _X2
+    v = (v ^ v >> np.uint64(29)) * _X3
+    return v ^ v >> np.uint64(32)
+
+
+def _hashed_long(v: np.ndarray, seed: int = 42) -> np.ndarray:
+    """xxhash64 of longs, as the column function gives it, in unsigned numbers."""
+    return _finished(_turned(_turned(v.astype(np.int64).view(np.uint64) * _X2, 31) * _X1 ^ (np.uint64(seed) + _X5 + np.uint64(8)), 27) * _X1 + _X4)
+
+
+def _hashed_int(b: int, seed: np.ndarray) -> np.ndarray:
+    """xxhash64 of an int, after what seed is the hash of."""
+    return _finished(_turned(seed + (_X5 + np.uint64(4)) ^ np.uint64(b * int(_X1) % (1 << 64)), 23) * _X2 + _X3)
+
+
+def _paired(first: np.ndarray, side: np.ndarray, value: np.ndarray, h: np.ndarray, n_shuffles: int) -> tuple[np.ndarray, ...]:
+    """(rows where a session with pairs begins, n_pairs, mean, sum of squared deviations) of sampled_pairs_distance; rows in the order of session and side."""
+    session = np.cumsum(first) - 1
+    group = 2 * session + side
+    sizes = np.bincount(group, minlength=2 * int(session[-1]) + 2)
+    begins = np.cumsum(sizes) - sizes
+    m = np.minimum(sizes[::2], sizes[1::2])
+    at = np.repeat(np.arange(len(m)), m)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+    left, right = begins[::2][at] + k, begins[1::2][at] + k
+    some = np.maximum(m, 1)
+    bits = int(group[-1]).bit_length() or 1
+    high, seed = group.astype(np.uint64) << np.uint64(64 - bits), _hashed_long(h)
+    mean, squares = np.zeros(len(m)), np.zeros(len(m))
+    for b in range(n_shuffles):
+        u = _hashed_int(b, seed) ^ np.uint64(1 << 63)  # in the order of signed numbers
+        short = high | u >> np.uint64(bits)
+        order = np.argsort(short)
+        short = short[order]
+        if (short[1:] == short[:-1]).any():
+            order = np.lexsort((h, u, group))
+        d = np.abs(value[order[left]] - value[order[right]])
+        own = np.bincount(at, d, len(m)) / some
+        gap = own - mean
+        squares += np.bincount(at, (d - own[at]) ** 2, len(m)) + gap**2 * m * b / (b + 1)
+        mean += gap / (b + 1)
+    on = m > 0
+    return np.flatnonzero(first)[on], m[on] * n_shuffles, mean[on], squares[on]
+
+
+def sampled_pairs_distance(values: DataFrame, keys: list[str], side: str, value: str, row_id: list[str], n_shuffles: int = 200, seed: int = 42, whole: int = 200_000, rows: int = 20_000) -> DataFrame:
     """(keys, n0, n1, n_pairs, mean_distance, sd): mean |a - b| over pairs of a side 0 and a side 1 value, drawn n_shuffles times without making all pairs.
 
-    In each shuffle both sides are put in order by hashes of their own of the shuffle and the row (row_id), and rows of one rank are a pair, as many as the smaller side has. A
-    shuffle of a session is a group of its own, so a session of any size is spread over n_shuffles of them. Draws don't depend on partitions. sd is that of the single distances.
+    In each shuffle both sides are put in order by hashes of their own of the shuffle and the row (row_id), and rows of one rank are a pair, as many as the smaller side has. Rows are dealt once by
+    session and shuffled where they are, about rows at a time. In sessions of more than whole rows a shuffle is a group of its own, with the same draws, so a session of any size is spread over n_shuffles of
+    them. Draws don't depend on partitions. sd is that of the single distances.
     """
-    d = values.filter(F.col(value).isNotNull() & F.col(side).isin(0, 1)).select(*keys, F.col(side).alias("_side"), F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), side, *row_id).alias("_h"))
+    d = values.filter(F.col(value).isNotNull() & F.col(side).isin(0, 1)).select(*keys, F.col(side).cast("int").alias("_side"), F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), side, *row_id).alias("_h"))
     sides = d.groupBy(*keys).agg(F.count_if(F.col("_side") == 0).alias("n0"), F.count_if(F.col("_side") == 1).alias("n1"))
-    each = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))))
-    order = Window.partitionBy(*keys, "_b", "_side").orderBy(F.xxhash64("_h", "_b"), "_h")
-    ranked = each.withColumn("_k", F.row_number().over(order))
-    at = lambda k: F.max(F.when(F.col("_side") == k, F.col("_v")))
-    pairs = ranked.groupBy(*keys, "_b", "_k").agg(F.abs(at(0) - at(1)).alias("_d")).filter("_d is not null")
-    means = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg("_d").alias("mean_distance"), F.stddev_samp("_d").alias("sd"))
+    fields = [*[d.schema[k] for k in keys], T.StructField("n_pairs", T.LongType()), T.StructField("mean_distance", T.DoubleType()), T.StructField("sd", T.DoubleType())]
+
+    def shuffled(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def made(t):
+            first, side_, v, h = (t.column(c).to_numpy() for c in ("_r", "_side", "_v", "_h"))
+            at, n, mean, squares = _paired(first == 1, side_, v, h, n_shuffles)
+            sd = pa.array(np.sqrt(squares / np.maximum(n - 1, 1)), pa.float64(), mask=n < 2)
+            return pa.Table.from_arrays([*[t.column(k).take(pa.array(at)) for k in keys], pa.array(n), pa.array(mean), sd], names=[f.name for f in fields]).to_batches()
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n < rows:
+                continue
+            t = pa.Table.from_batches(held)
+            starts = np.flatnonzero(t.column("_r").to_numpy() == 1)
+            if len(starts) and starts[-1]:  # the last session may go on
+                yield from made(t.slice(0, starts[-1]))
+                t = t.slice(starts[-1])
+            held, n = t.to_batches(), len(t)
+        if n:
+            yield from made(pa.Table.from_batches(held))
+
+    def in_tasks(d: DataFrame) -> DataFrame:
+        return d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_side"))).mapInArrow(shuffled, T.StructType(fields))
+
+    def by_shuffle(d: DataFrame) -> DataFrame:
+        each = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))))
+        order = Window.partitionBy(*keys, "_b", "_side").orderBy(F.xxhash64("_h", "_b"), "_h")
+        ranked = each.withColumn("_k", F.row_number().over(order))
+        at = lambda k: F.max(F.when(F.col("_side") == k, F.col("_v")))
+        pairs = ranked.groupBy(*keys, "_b", "_k").agg(F.abs(at(0) - at(1)).alias("_d")).filter("_d is not null")
+        return pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg("_d").alias("mean_distance"), F.stddev_samp("_d").alias("sd"))
+
+    long = sides.filter(F.col("n0") + F.col("n1") > whole).select(*keys)
+    if long.isEmpty():
+        means = in_tasks(d)
+    else:
+        means = in_tasks(d.join(long, keys, "left_anti")).unionByName(by_shuffle(d.join(long, keys, "left_semi")))
     return sides.join(means, keys, "left").select(*keys, "n0", "n1", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "mean_distance", "sd")
 
 
