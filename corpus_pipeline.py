@@ -18,6 +18,8 @@ from turnwise.llm.quality_classifier import fit_quality, score_quality, training
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if one language has this share of its letters.
 LEAST_LANGUAGE_SHARE = 0.5
+#: Words that a packing task keeps: fewer than by default, as executors still hold what the stages before took.
+CACHED_WORDS = 200_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens, one row a piece; a null text is packed as its end token alone."""
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), cached=CACHED_WORDS)
 
 
 STAGES = [("language", language_stage), ("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]

@@ -612,6 +612,15 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_keeps_fewer_words_in_the_pipeline(spark, docs):
+    import corpus_pipeline
+
+    path = entry.tokenizer_path("word_bpe_49k.json")
+    assert packing.word_ids(path, corpus_pipeline.CACHED_WORDS).limit * 4 <= packing.word_ids(path).limit
+    few, many = (sorted(map(tuple, packing.pack_documents(docs.coalesce(1), path, **o).collect())) for o in ({"cached": 50}, {}))
+    assert few == many
+
+
 def test_word_ids_equal_whole_text(docs):
     from tokenizers import Tokenizer
 

@@ -43,8 +43,8 @@ class RecentWords(BoundedCache):
 
 
 @lru_cache(maxsize=4)
-def word_ids(path: str):
-    """words (without ASCII white space) -> their ids as little-endian u32, through a bounded cache.
+def word_ids(path: str, cached: int = 800_000):
+    """words (without ASCII white space) -> their ids as little-endian u32, through a cache of so many words and half as many cores.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words. Words are first cut at the
     edges of letter runs, as the tokenizer does itself, so that a word with other punctuation is no new word.
@@ -73,7 +73,7 @@ def word_ids(path: str):
         symbols = core if plain else core.encode().decode("latin-1").translate(shown)
         return b"".join([four[t.id] for t in model.tokenize(symbols)])
 
-    cores = RecentWords(encode_core, 400_000)
+    cores = RecentWords(encode_core, cached // 2)
 
     def core(word: str) -> bytes:
         # Lower-casing is the tokenizer's own, letter by letter; a sigma differs in context.
@@ -87,7 +87,7 @@ def word_ids(path: str):
             return core(text[:-1]) + cores[text[-1]]
         return core(text) if text.isalpha() else encode(text)
 
-    return RecentWords(split, 800_000)
+    return RecentWords(split, cached)
 
 
 def token_bytes(text: str | None, words: BoundedCache, end_id: int) -> bytes:
@@ -194,17 +194,17 @@ class Packer:
             left -= size
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, window: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, window: int = 4096, cached: int = 800_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece of each document.
 
     Null and empty texts have the end id only. Rows that repeat an id are packed as rows of their own. A sequence's id holds
-    the task's partition and a number in it. window: pieces that a task holds at most before it packs.
+    the task's partition and a number in it. window: pieces that a task holds at most before it packs. cached: words whose ids a task keeps at most.
     """
 
     small_batches(docs.sparkSession)
 
     def run(batches):
-        words = word_ids(tokenizer_path)
+        words = word_ids(tokenizer_path, cached)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         rows: list[tuple] = []
 
