@@ -335,21 +335,50 @@ def align_words(manual: DataFrame, timed: DataFrame, keys: list[str], gram: int
     names = ["_s", "turn_idx", "pos", "word", "start", "end"]
     schema = T.StructType([kind, *[T.StructField(n, t) for n, t in zip(names[1:], (T.LongType(), T.LongType(), T.StringType(), T.DoubleType(), T.DoubleType()))]])
 
-    def align(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        """Each gap of the group on its own."""
-        x, y = x.sort_values(["_gap", "turn_idx", "pos", "word"]).reset_index(drop=True), y.sort_values(["_gap", "word_idx", "word", "start", "end"])
-        got, times = np.full((len(x), 2), np.nan), y[["start", "end"]].to_numpy(float)
-        a, b, a_gap, b_gap = x["word"].tolist(), y["word"].tolist(), x["_gap"].to_numpy(), y["_gap"].to_numpy()
-        both = np.intersect1d(a_gap, b_gap)
-        for a0, a1, b0, b1 in zip(*(np.searchsorted(g, both, side).tolist() for g in (a_gap, b_gap) for side in ("left", "right"))):
-            for i, j, n in match_words(a[a0:a1], b[b0:b1], gram):
-                got[a0 + i : a0 + i + n] = times[b0 + j : b0 + j + n]
-        return x.assign(_s=[key[0]] * len(x), start=got[:, 0], end=got[:, 1]).astype({"start": object, "end": object}).where(lambda d: d.notna(), None)[names]
+    def align(batches: Iterator) -> Iterator:
+        """Each gap on its own; rows come in the order of groups, gaps, sides and places, and are taken some thousand at a time."""
+        import pyarrow as pa
+
+        def made(t: pa.Table) -> list:
+            first, gap, side = (t.column(c).to_numpy() for c in ("_first", "_gap", "_side"))
+            words, times = t.column("word").to_pylist(), np.column_stack([t.column(c).to_numpy() for c in ("start", "end")])
+            got = np.full((len(t), 2), np.nan)
+            group = np.cumsum(first == 1)
+            starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (gap[1:] != gap[:-1]) | (side[1:] != side[:-1])))
+            ends = np.append(starts[1:], len(t))
+            # A stretch of manual words and the timed ones of its gap, if there are any, right behind it.
+            both = np.flatnonzero((side[starts[:-1]] == 0) & (side[starts[1:]] == 1) & (group[starts[:-1]] == group[starts[1:]]) & (gap[starts[:-1]] == gap[starts[1:]]))
+            for a0, b0, b1 in zip(*(v.tolist() for v in (starts[both], ends[both], ends[both + 1] if len(both) else both))):
+                for i, j, n in match_words(words[a0:b0], words[b0:b1], gram):
+                    got[a0 + i : a0 + i + n] = times[b0 + j : b0 + j + n]
+            own = pa.array(np.flatnonzero(side == 0))
+            got = got[side == 0]
+            cells = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in got.T]
+            return pa.Table.from_arrays([*[t.column(c).take(own) for c in names[:4]], *cells], names=names).to_batches()
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n < 10_000:
+                continue
+            t = pa.Table.from_batches(held)
+            at = np.flatnonzero(t.column("_first").to_numpy() == 1)
+            if len(at) and at[-1]:  # the last group may go on
+                yield from made(t.slice(0, at[-1]))
+                t = t.slice(at[-1])
+            held, n = t.to_batches(), len(t)
+        if n:
+            yield from made(pa.Table.from_batches(held))
 
     def by_group(a: DataFrame, b: DataFrame) -> DataFrame:
         """Sides with _gap, dealt by session and by stretches of some thousand gaps, so that a long session's gaps are spread over tasks."""
-        a, b = (d.withColumn("_b", F.floor(F.col("_gap") / 2000)).select("_s", "_b", *[F.col(c).alias(c) for c in d.columns if c != "_s"]).repartition("_s", "_b") for d in (a, b))
-        return a.groupBy("_s", "_b").cogroup(b.groupBy("_s", "_b")).applyInPandas(align, schema)
+        null = lambda kind_, *cs: [F.lit(None).cast(kind_).alias(c) for c in cs]
+        left = a.select("_s", "_gap", F.lit(0).alias("_side"), "turn_idx", "pos", "word", *null("double", "start", "end"))
+        right = b.select("_s", "_gap", F.lit(1).alias("_side"), F.col("word_idx").alias("turn_idx"), *null("long", "pos"), "word", "start", "end")
+        order = [F.col(c).asc_nulls_last() for c in ("_gap", "_side", "turn_idx", "pos", "word", "start", "end")]
+        w = Window.partitionBy("_s", F.floor(F.col("_gap") / 2000)).orderBy(*order)
+        return left.unionByName(right).withColumn("_first", F.row_number().over(w)).mapInArrow(align, schema)
 
     out = lambda d: d.select(*[F.col("_s")[k].alias(k) for k in keys], *names[1:])
     at_once = lambda d: d.withColumn("_gap", F.lit(0).cast("long"))
