@@ -217,7 +217,9 @@ def entrainment(turns: DataFrame, keys: list[str], order: list[str], speaker: st
     features: (name, value column, z-score within speakers?). edges: (name, offset column, onset column, z-score?).
     Sessions with fewer switches keep their row with null metrics. The turns are dealt once by session; features are rows, not plans of their own.
     """
-    base = turns.repartition(*[F.col(k) for k in keys])
+    # Counted first, as each row is sorted several times over: a task has about 100,000 rows, however small they are.
+    parts = max(turns.sparkSession.sparkContext.defaultParallelism, -(-turns.count() // 100_000))
+    base = turns.repartition(parts, *[F.col(k) for k in keys])
     z = sorted({c for _, c, s in features if s} | {c for _, a, b, s in edges if s for c in (a, b)})
     scored = zscore(base, z, [*keys, speaker]) if z else base
     values = sorted({c for _, c, _ in features} | {c for _, a, b, _ in edges for c in (a, b)})
