@@ -326,6 +326,49 @@ def test_jaccard_join_family(spark):
     assert jaccard_join.one_of_each(docs).count() == len({c for _, c in got.values()})
 
 
+def test_jaccard_join_family_meets_in_blocks(spark, monkeypatch):
+    """Mates of one hub, a third of them no links of it, are compared in blocks: no edit of theirs becomes a row."""
+    monkeypatch.setattr(jaccard_join, "_smaller_groups", lambda mates: pytest.fail("edits of mates are exploded"))
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for k in rng.choice(150, rng.integers(1, 9), replace=False):
+            own[k] = f"x{i if i % 3 else i // 6}y{k}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, width=5, threshold=(4, 5)).collect()}
+    assert got == components(rows, 5, 4, 5) and 20 < len({c for _, c in got.values()}) < 220
+
+
+@pytest.mark.parametrize("block", [0, 15])
+def test_jaccard_join_in_smaller_groups(spark, monkeypatch, block):
+    """More mates outside the largest component than a block has, so that mates go on under their edits; or blocks and edits in turn."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    test_jaccard_join_family(spark)
+    test_jaccard_join_loses_no_link(spark, 5, (4, 5))
+    with monkeypatch.context() as late:
+        test_jaccard_join_of_late_levels(spark, late)
+
+
+def test_uniting_links_of_unlike_bitmaps():
+    rng = np.random.default_rng(9)
+    base = np.arange(60, 130, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.sort(np.delete(base, rng.choice(70, k, replace=False))) for k in (0, 2, 3, 9, 20, 30, 8, 5)]
+    bits = [jaccard_join.bitmap(x) for x in sets]
+    assert len({len(b) for b in bits}) > 1
+    labels, outside = np.array([5, 5, 3, 3, 9, 7, 1, 2]), np.array([False, False, True, True, True, True, True, True])
+    found = jaccard_join.uniting_links(sets, bits, labels.copy(), np.ones(8, bool), outside, 4, 5)
+    link = lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+    assert all(link(i, j) for i, j in found)
+    root = labels.copy()
+    for i, j in found:
+        assert root[i] != root[j]
+        root[root == root[i]] = root[j]
+    assert all(root[i] == root[j] for i in range(8) for j in range(8) if link(i, j))
+
+
 @pytest.mark.parametrize("width,threshold", [(3, (9, 10)), (5, (4, 5))])
 def test_jaccard_join_loses_no_link(spark, width, threshold):
     """Groups around the threshold whose edits are shared in many ways, with all of them in the same tiles."""

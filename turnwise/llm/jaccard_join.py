@@ -11,7 +11,9 @@ meet as pairs. Classes meet in tiles. A tile is a size band and either
 
 No group is expanded into pairs. Each tile has a hub, and its mates are compared with the hub only (where few are outside its largest component, with these): a bound from bit counts first (bits
 that only one bitmap has are shingles that only that set has), then the sorted arrays exactly. Where mates of a hub are left in different
-components, they go on to smaller groups, again with a hub each, until no group has two components:
+components, those outside the largest one, if there are up to BLOCK of them, are compared with all of its mates: a task holds them and a block of as many
+mates, takes bit counts of one mate and all of them at once, and gives only links that unite two components, so a mate costs no more in a
+larger family. Where there are more, the mates go on to smaller groups, again with a hub each, until no group has two components:
 
 Let E be the edits of a mate against its hub, the k shingles that only one of both has. Sets x and y that link differ in
 c (n_x + n_y) shingles at most, where c = (1 - t) / (1 + t), so they share o >= (k_x + k_y - c (n_x + n_y)) / 2 edits, and in any
@@ -52,6 +54,8 @@ OTHER_KIND = np.uint64(0xA5A5A5A55A5A5A5A)
 FAR = 4
 #: Below so many rows outside a group's largest component so far, each of them is a hub.
 SMALL = 24
+#: Up to so many mates of a hub outside their largest component so far, of so many shingles in all, are compared with all its mates, a block of mates in a task.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _word_hash = BoundedCache(xxhash.xxh3_64_intdigest, 60_000)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 
@@ -298,19 +302,19 @@ def _compared(pairs: DataFrame, nodes: DataFrame, sketch: np.ndarray, p: int, q:
                 own = np.concatenate((new, missing))
                 z, few, most = limits(len(own), len(x), len(y), p, q)
                 bound = FAR * (len(y) * (q - p) // p + 1)
-                rows.append((link, len(own), z, few, most))
+                rows.append((link, len(x), len(own), z, few, most))
                 edits.append(own if len(own) <= bound else NONE)
                 key, count = far_keys(by_sketch(new, missing, sketch), link, z, few, most, meets_links(len(own), len(x), len(y), p, q)) if len(own) > bound - most else (NONE, np.zeros(0, bool))
                 keys.append(key)
                 counts.append(count)
-            link, k, z, few, most = zip(*rows)
+            link, n, k, z, few, most = zip(*rows)
             ends = lambda parts: pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32))
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts))], names=["key", "counts"])
-            made = {"path": batch.column("path"), "hub": batch.column("hub"), "cls": batch.column("cls"), "main": batch.column("main"), "linked": pa.array(link, pa.bool_()), "k": pa.array(k, pa.int32()), "z": pa.array(z, pa.int32()), "few": pa.array(few, pa.int32()), "most": pa.array(most, pa.int32())}
+            made = {"path": batch.column("path"), "hub": batch.column("hub"), "cls": batch.column("cls"), "main": batch.column("main"), "linked": pa.array(link, pa.bool_()), "n": pa.array(n, pa.int32()), "k": pa.array(k, pa.int32()), "z": pa.array(z, pa.int32()), "few": pa.array(few, pa.int32()), "most": pa.array(most, pa.int32())}
             made |= {"edits": pa.ListArray.from_arrays(ends(edits), pa.array(np.concatenate(edits).view(np.int64))), "keys": pa.ListArray.from_arrays(ends(keys), flat)}
             yield pa.RecordBatch.from_pydict(made)
 
-    return _with_both(pairs, nodes, "bits", "set").mapInArrow(run, "path long, hub long, cls long, main boolean, linked boolean, k int, z int, few int, most int, edits array<long>, keys array<struct<key: long, counts: boolean>>")
+    return _with_both(pairs, nodes, "bits", "set").mapInArrow(run, "path long, hub long, cls long, main boolean, linked boolean, n int, k int, z int, few int, most int, edits array<long>, keys array<struct<key: long, counts: boolean>>")
 
 
 def _smaller_groups(open_mates: DataFrame) -> DataFrame:
@@ -328,6 +332,64 @@ def _smaller_groups(open_mates: DataFrame) -> DataFrame:
     return near.union(far)
 
 
+def _torn(mates: DataFrame) -> DataFrame:
+    """(path, hub, largest, blocks) of the hubs whose mates (path, hub, cls, n, label) have several labels; blocks: for _met_in_blocks, null if too many mates are outside the largest label."""
+    of_label = mates.groupBy("path", "hub", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    torn = of_label.groupBy("path", "hub").agg(F.max(F.struct("rows", "label", "n")).alias("most"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
+    outside = (F.col("rows") - F.col("most.rows") <= BLOCK) & (F.col("n") - F.col("most.n") <= BLOCK_SHINGLES)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / max(1, BLOCK)), F.ceil(F.col("n") / max(1, BLOCK_SHINGLES)))
+    return torn.select("path", "hub", F.col("most.label").alias("largest"), F.when(outside, blocks.cast("int")).alias("blocks"))
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, one a row, folded to so many 64-bit words."""
+    return bits if bits.shape[1] == words else np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def uniting_links(sets: list[np.ndarray], bits: list[bytes], labels: np.ndarray, own: np.ndarray, outside: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
+    """Links (row, row) of own rows with outside ones, as many as it takes to unite the labels that any link unites."""
+    label = np.unique(labels, return_inverse=True)[1]
+    n = np.array([len(x) for x in sets], np.int64)
+    words = np.array([len(b) // 8 for b in bits])
+    against = {}  # by its words: the outside rows of each bitmap size, and these bitmaps folded to smaller sizes
+    for w in np.unique(words[outside]):
+        rows = np.flatnonzero(outside & (words == w))
+        made = np.frombuffer(b"".join(bits[i] for i in rows), U64).reshape(len(rows), w)
+        against[w] = rows, {v: folded(made, v) for v in np.unique(np.minimum(words[own], w))}
+    found = []
+    for i in np.flatnonzero(own):
+        x = np.frombuffer(bits[i], U64).reshape(1, -1)
+        for w, (rows, made) in against.items():
+            use = np.flatnonzero(label[rows] != label[i])
+            if not len(use):
+                continue
+            v = min(w, words[i])
+            a, b = folded(x, v), made[v][use]
+            rest = rows[use]
+            most = np.minimum(n[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[rest] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+            for j in rest[(p + q) * most >= p * (n[i] + n[rest])]:
+                if label[i] != label[j] and (p + q) * common(sets[i], sets[j]) >= p * (n[i] + n[j]):
+                    label[label == label[j]] = label[i]
+                    found.append((i, j))
+    return found
+
+
+def _met_in_blocks(mates: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """Links (hub, cls) that unite labels of the mates (path, hub, cls, label, largest, blocks) of a hub: a task has a block of mates and all that are outside the largest label."""
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    outside = F.col("label") != F.col("largest")
+    dealt = mates.select("path", "hub", "cls", "label", outside.alias("outside"), own.alias("own"), F.explode(F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"))
+    dealt = dealt.select("path", "hub", "block", "cls", "label", "outside", (F.col("own") == F.col("block")).alias("own")).join(nodes.select("cls", "bits", "set"), "cls")
+
+    def run(t: pa.Table) -> pa.Table:
+        cls, flags = t.column("cls").to_numpy(), [t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("own", "outside")]
+        sets = [np.frombuffer(x, U64) for x in t.column("set").to_pylist()]
+        found = np.array(uniting_links(sets, t.column("bits").to_pylist(), t.column("label").to_numpy(), *flags, p, q), np.int64).reshape(-1, 2)
+        return pa.table({"hub": cls[found[:, 0]], "cls": cls[found[:, 1]]})
+
+    return dealt.groupBy("path", "hub", "block").applyInArrow(run, "hub long, cls long")
+
+
 def _near_labels(links: DataFrame) -> DataFrame:
     """(cls, label) of the classes in links (hub, cls). Equal labels mean one component; a hub and its links get the same."""
     both = links.select(F.col("hub").alias("u"), F.col("cls").alias("v"))
@@ -418,22 +480,29 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
     nodes = of_classes(pairs, "nodes", sets_of, lambda h, at: {"n": np.diff(at), "bits": [bitmap(x) for x in each(h, at)], "set": [x.tobytes() for x in each(h, at)]})
     often = set_sketch(nodes, sketch_bits)
     links = labels = None
+    fresh = False  # links that the labels don't have yet
     for level in count():
         compared = scratch.keep(f"compared{level}", _compared(pairs, nodes, often, p, q))
         scratch.drop(f"pairs{level}" if level else "likely")
         found = compared.filter("linked").select("hub", "cls")
-        if labels is None or not found.isEmpty():
+        if labels is None or fresh or not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = scratch.keep(f"labels{level}", _near_labels(links))
             at_hand = broadcast_if_small(labels)
-        # Mates of one hub in different components go on, each under some of its edits.
+            fresh = False
+        # Mates of one hub in different components meet in blocks or go on, each under some of its edits.
         named = compared.filter("main").join(at_hand, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        torn = scratch.keep(f"torn{level}", named.groupBy("path", "hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("path", "hub"))
+        torn = scratch.keep(f"torn{level}", _torn(named))
         if torn.isEmpty():
             break
-        opened = compared.filter("main").join(broadcast_if_small(torn), ["path", "hub"], "left_semi").join(at_hand, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        opened = _smaller_groups(scratch.keep(f"open{level}", opened))
-        opened = scratch.keep(f"opened{level}", opened)
+        opened = scratch.keep(f"open{level}", named.join(broadcast_if_small(torn), ["path", "hub"]))
+        if not torn.filter("blocks is not null").isEmpty():
+            met = scratch.keep(f"met{level}", _met_in_blocks(opened.filter("blocks is not null"), nodes, p, q))
+            if fresh := not met.isEmpty():
+                links = links.union(met)
+        if torn.filter("blocks is null").isEmpty():
+            break
+        opened = scratch.keep(f"opened{level}", _smaller_groups(opened.filter("blocks is null")))
         open_groups = opened.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("counts").alias("counts")).filter("lo <> hi and counts").select("g")
         mates = opened.join(broadcast_if_small(open_groups), "g", "left_semi").select("g", "cls", "label")
         mates = scratch.keep(f"mates{level + 1}", mates.withColumn("pop", F.count("*").over(Window.partitionBy("cls"))))
@@ -442,6 +511,8 @@ def _rows_with_components(docs: DataFrame, width: int, threshold: tuple[int, int
         scratch.drop(f"torn{level}", f"open{level}", f"opened{level}", f"mates{level + 1}")
         if pairs.isEmpty():
             break
+    if fresh:
+        labels = scratch.keep("labels", _near_labels(links))
 
     # What the labels leave apart is joined by components of the few labels that links cross.
     crossing = links.join(labels, "cls").withColumnRenamed("label", "a").join(labels.select(F.col("cls").alias("hub"), F.col("label").alias("b")), "hub").filter("a <> b").select("a", "b").distinct()
