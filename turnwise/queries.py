@@ -1367,8 +1367,7 @@ def _(t):
     from .streaming import jobs as J
 
     base = _new_folder(t)
-    e = t.prosody().join(t.table("events").select("event_id", "ts"), "event_id")
-    turns = _streamed(t, e.select("session", "event_id", "ts", "speaker", "f0"), base, "ts", "session")
+    turns = _streamed(t, t.prosody("ts").select("session", "event_id", "ts", "speaker", "f0"), base, "ts", "session")
     seen, _late = J.run_batches(J.switch_state(turns, "session", "ts", "event_id", "speaker", "f0", expire_ms=3_650 * 86_400_000), f"{base}/out", f"{base}/state")
     last = seen.groupBy("session").agg(F.max_by(F.struct("n_turns", "n_switch", "n_late", "sum_gap", "n_pairs", "synchrony"), "batch").alias("s"))
     return last.select("session", "s.*")

@@ -60,7 +60,11 @@ _TOTALS = "n_turns long, n_switch long, n_late long, sum_gap double, n_pairs lon
 
 
 class SwitchTotals(StatefulProcessor):
-    """Running totals of a session's turns: a row of typed state for each session, and one event-time timer that ends it."""
+    """Running totals of a session's turns: a row of typed state for each session, and one event-time timer that ends it.
+
+    A call to the state is a round trip to Spark, so a micro-batch makes two for a session: the timer stays as it was first set and, when it fires, is set
+    again if turns have come since.
+    """
 
     def __init__(self, key: str, tie: str, speaker: str, value: str, expire_ms: int):
         self.key, self.columns, self.expire_ms = key, ("_at", tie, speaker, value), expire_ms
@@ -74,7 +78,7 @@ class SwitchTotals(StatefulProcessor):
         return Row(**{self.key: key[0]}, n_turns=n_turns, n_switch=n_switch, n_late=n_late, sum_gap=gap, n_pairs=n, synchrony=r, ended=ended)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        t = list(self.totals.get()) if self.totals.exists() else [0, 0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, None, None, None, None, None]
+        t = list(self.totals.get() or [0, 0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, None, None, None, None, None])
         for at, tie, speaker, value in sorted((tuple(r[c] for c in self.columns) for r in rows), key=lambda r: r[:2]):
             t[0] += 1
             if t[10] is not None and (at, tie) < (t[10], t[11]):
@@ -93,16 +97,21 @@ class SwitchTotals(StatefulProcessor):
                     t[8] += db * (b - t[6])
                     t[9] += da * (b - t[6])
             t[10:14] = at, tie, speaker, value
-        if t[14] is not None:
-            self.handle.deleteTimer(t[14])
-        t[14] = t[10] // 1000 + self.expire_ms
-        self.handle.registerTimer(t[14])
+        if t[14] is None:
+            t[14] = t[10] // 1000 + self.expire_ms
+            self.handle.registerTimer(t[14])
         self.totals.update(tuple(t))
         yield self._row(key, t, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if self.totals.exists():
-            t = list(self.totals.get())
+        if not (t := list(self.totals.get() or [])):
+            return
+        due = t[10] // 1000 + self.expire_ms
+        if due > t[14] and due >= timerValues.getCurrentWatermarkInMs():
+            t[14] = due
+            self.handle.registerTimer(due)
+            self.totals.update(tuple(t))
+        else:
             self.totals.clear()
             yield self._row(key, t, True)
 

@@ -34,12 +34,13 @@ class Tables:
         role = lambda k: F.when((F.col("pair_id") + k) % 2 == 0, "A").otherwise("B")
         return p.select("pair_id", (F.col("pair_id") % 2).alias("ord"), role(0).alias("c0_00"), role(1).alias("c0_01"), role(1).alias("c1_00"), role(0).alias("c1_01"))
 
-    def prosody(self) -> DataFrame:
+    def prosody(self, *more: str) -> DataFrame:
+        """more: columns of events that stay."""
         e = self.table("events")
         return e.select(
             "event_id", F.col("user_id").alias("session"), F.floor(F.col("user_id") / 2).alias("pair_id"), (F.col("user_id") % 2).alias("condition"),
             F.when(F.col("event_type").isin("click", "view"), "A").otherwise("B").alias("speaker"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t_start"),
-            F.col("value").alias("f0"), F.log1p("value").alias("lev"), F.get_json_object("props", "$.k").cast("double").alias("rate"), "event_type",
+            F.col("value").alias("f0"), F.log1p("value").alias("lev"), F.get_json_object("props", "$.k").cast("double").alias("rate"), "event_type", *more,
         )
 
     def cues(self) -> DataFrame:
