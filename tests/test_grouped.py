@@ -118,3 +118,24 @@ def test_table_functions(spark):
     assert [tuple(r) for r in got] == [(f, *c) for f in "ab" for c in CUES]
     with pytest.raises(Exception, match="no column nowhere"):
         spark.sql("select * from srt_cues(table(select * from {l}) partition by (file) order by (n), 'nowhere', 'file')", l=lines)
+
+
+def test_table_function_takes_rows_of_many_lines(spark):
+    """Arrays of lines, cut anywhere, give the cues of single lines."""
+    from turnwise.functions.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    text = ["1", "00:00:01,000 --> 00:00:02,500", "[SPEAKER_01]: so <u>it</u>", "goes", "", "", "2", "00:00:03,000 --> 00:00:04,000", "on", "", "x", None, "3", "00:01:00,000 --> 00:01:01,000", "and on"]
+    lines = spark.createDataFrame([(f, n, text[n : n + k]) for f, k in (("a", 1), ("b", 2), ("c", 4), ("d", 99)) for n in range(0, len(text), k)], "file string, n int, lines array<string>")
+    got = spark.sql("select * from srt_cues(table(select * from {l}) partition by (file) order by (n), 'lines', 'file')", l=lines).collect()
+    cues = {f: sorted(tuple(r)[1:] for r in got if r.file == f) for f in "abcd"}
+    assert [c[0] for c in cues["a"]] == [0, 1, 3] and all(c == cues["a"] for c in cues.values())
+
+
+def test_query_of_cue_lines_has_a_row_for_many_lines(spark):
+    from turnwise import queries as own
+    from turnwise.views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    files, rows = own._cue_files(t).count(), own._cue_lines(t).count()
+    assert rows == files and own._cue_lines(t, 2).count() > rows

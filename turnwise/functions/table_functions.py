@@ -1,7 +1,7 @@
 """Table functions for SQL: subtitle cues from the lines of a file, or from a whole text beside other columns.
 
 srt_cues(TABLE(lines) PARTITION BY file ORDER BY line_no, 'line', 'file') reads the lines of one file after another, a few numbers of state at a time: Spark deals and
-sorts the partitions. srt_text_cues(value) takes one text, for a lateral join.
+sorts the partitions. A row may hold a line, or an array of lines that follow one another: what a row costs is then shared by many. srt_text_cues(value) takes one text, for a lateral join.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ class CueReader:
 
 
 class SrtCues:
-    """A cue for each block of a partition's lines, with the columns named in keys (comma-joined) in front. Lines that are null count as blank."""
+    """A cue for each block of a partition's lines, with the columns named in keys (comma-joined) in front. Lines that are null count as blank, as does a null array."""
 
     def __init__(self) -> None:
         self.reader = CueReader()
@@ -74,8 +74,10 @@ class SrtCues:
 
     def eval(self, row: Row, line: str, keys: str) -> Iterator[tuple]:
         self.key = tuple(row[k.strip()] for k in keys.split(",") if k.strip())
-        if cue := self.reader.line(row[line] or ""):
-            yield (*self.key, *cue)
+        lines = row[line]
+        for one in lines if isinstance(lines, list) else (lines,):
+            if cue := self.reader.line(one or ""):
+                yield (*self.key, *cue)
 
     def terminate(self) -> Iterator[tuple]:
         if cue := self.reader.end():

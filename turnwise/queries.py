@@ -1316,8 +1316,11 @@ def _(t):
     return t.turns().select("session", "turn_idx", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
 
 
-def _cue_lines(t: Tables) -> DataFrame:
-    return _cue_files(t).select("user_id", "day", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+def _cue_lines(t: Tables, at_once: int = 1000) -> DataFrame:
+    """The files' lines, up to so many that follow one another in a row; line_no: the first one's."""
+    lines = _cue_files(t).select("user_id", "day", F.split("value", "\n").alias("lines"))
+    first = lines.select("*", F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(at_once))).alias("line_no"))
+    return first.select("user_id", "day", "line_no", F.slice("lines", F.col("line_no") + 1, at_once).alias("line"))
 
 
 @query("udtf_cue_lines", ORACLES["src_srt_cues"])
