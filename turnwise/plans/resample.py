@@ -58,39 +58,44 @@ def _order_columns():
 
 
 def _mixed(v: np.ndarray, a: int, c: int) -> np.ndarray:
-    """_lane of an int64 array, in place: what is left by 2^31 - 1 is the sum of its 31-bit digits."""
+    """_lane of a uint64 array, in place: what is left by 2^31 - 1 is the sum of both 31-bit digits, less 2^31 - 1 where that is not below 0 (it would wrap to a larger number)."""
     t = np.empty_like(v)
     for times, shift in ((a, 15), (c, 13), (a, 0)):
-        v *= times
-        for _ in range(2):
-            np.right_shift(v, 31, out=t)
-            v &= _PRIME
-            v += t
-        v[v == _PRIME] = 0
+        v *= np.uint64(times)
+        np.right_shift(v, 31, out=t)
+        v &= _PRIME
+        v += t
+        np.subtract(v, _PRIME, out=t)
+        np.minimum(v, t, out=v)
         if shift:
             np.right_shift(v, shift, out=t)
             v ^= t
     return v
 
 
-def _shuffled_order(x: np.ndarray, y: np.ndarray, a: int, c: int, out: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+def _shuffled_order(x: np.ndarray, y: np.ndarray, a: int, c: int, out: np.ndarray, step: int = 1 << 15) -> np.ndarray:
     """The rows in the order of _order_columns, in out (int64): a row's number stands below its first lane, so one sort of numbers does; only rows of equal first lanes need the second."""
     bits = max(1, (len(x) - 1).bit_length())
+    numbers = np.arange(min(step, len(x)), dtype=np.uint64)
     for lo in range(0, len(x), step):
-        v = _mixed(x[lo : lo + step].astype(np.int64), a, c)
+        v = _mixed(x[lo : lo + step].astype(np.uint64), a, c)
         v <<= bits
-        v |= np.arange(lo, lo + len(v))
-        out[lo : lo + len(v)] = v
+        v += numbers[: len(v)]
+        np.add(v, lo, out=out.view(np.uint64)[lo : lo + step])
     out.sort()
     last = (1 << bits) - 1
-    equal = [lo + np.flatnonzero((out[lo : min(lo + step, len(x) - 1)] ^ out[lo + 1 : lo + step + 1]) <= last) for lo in range(0, len(x) - 1, step)]
-    at = np.concatenate([np.empty(0, np.int64), *equal])
-    at = np.union1d(at, at + 1)
+    at, tied = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo in range(0, len(x), step):
+        part, after = out[lo : lo + step], out[lo + 1 : lo + step + 1]
+        equal = lo + np.flatnonzero((part[: len(after)] ^ after) <= last)
+        at += [equal, equal + 1]
+        tied += [out[equal], out[equal + 1]]
+        part &= last
+    at, first = np.unique(np.concatenate(at), return_index=True)
     if len(at):
-        tied = out[at]
+        tied = np.concatenate(tied)[first]
         rows = tied & last
-        out[at] = tied[np.lexsort((rows, _mixed(y[rows].astype(np.int64), c, a), tied >> bits))]
-    out &= last
+        out[at] = rows[np.lexsort((rows, _mixed(y[rows].astype(np.uint64), c, a), tied >> bits))]
     return out
 
 
@@ -116,7 +121,7 @@ def permuted_products(df: DataFrame, key: str, blocks: list[tuple[list[str], lis
 
     One pass for all blocks: a resample orders the rows once, by a hash, and the complete rows of a block in that order take its x values in key order. Key values are unique. Tables of up to
     broadcast_bytes of numbers are broadcast and the resamples shared out among tasks, which hold each number once besides one order of the rows; larger ones are ranked by windows,
-    with the same shuffles.
+    with the same shuffles. x values that are all 0 or 1 mark rows, whose y values are added up where they stand. df is read several times.
     """
     columns = list(dict.fromkeys(c for xs, ys in blocks for c in [*xs, *ys]))
     d = finite_columns(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]))
@@ -152,6 +157,9 @@ def permuted_products(df: DataFrame, key: str, blocks: list[tuple[list[str], lis
             left, right, _ = groups.setdefault(rows, ({}, {}, None if rows is None else keep))
             where.append((rows, [left.setdefault(c, len(left)) for c in xs], [right.setdefault(c, len(right)) for c in ys]))
         values = {rows: [v[c] if keep is None else v[c][keep] for c in left] for rows, (left, _, keep) in groups.items()}
+        # Where all rows count, an x of 0 and 1 is the places of its ones.
+        ones = {i: np.flatnonzero(x).astype(np.int32) for i, x in enumerate(values.get(None, [])) if ((x == 0) | (x == 1)).all()}
+        taken = np.empty(len(v["_x"]) if ones else 0, bool)
         order = np.empty(len(v["_x"]), np.int64)
         for batch in batches:
             for b, a, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -160,12 +168,22 @@ def permuted_products(df: DataFrame, key: str, blocks: list[tuple[list[str], lis
                 for rows, (left, right, keep) in groups.items():
                     own = order if keep is None else order[keep[order]]
                     sums[rows] = total = np.zeros((len(left), len(right)))
-                    for lo in range(0, len(own), step):
+                    marks = ones if rows is None else {}
+                    for i, places in marks.items():
+                        taken[:] = False
+                        for lo in range(0, len(places), step):
+                            taken[order.take(places[lo : lo + step])] = True
+                        for lo in range(0, len(order), step):
+                            part = taken[lo : lo + step].astype(float)
+                            for k, c_y in enumerate(right):
+                                total[i, k] += part @ v[c_y][lo : lo + step]
+                    others = [i for i in range(len(left)) if i not in marks]
+                    for lo in range(0, len(own) if others else 0, step):
                         part = own[lo : lo + step]
                         for k, c_y in enumerate(right):
                             y = v[c_y].take(part)
-                            for i, x in enumerate(values[rows]):
-                                total[i, k] += x[lo : lo + step] @ y
+                            for i in others:
+                                total[i, k] += values[rows][i][lo : lo + step] @ y
                 made = [sums[rows][np.ix_(i, k)].ravel() for rows, i, k in where]
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.list_(pa.float64()))], names=schema.names)
 
@@ -183,7 +201,8 @@ def perm_group(df: DataFrame, value: str, group: str, key: str, n: int = 10_000,
 
     A shuffle's difference follows from one sum: the values in the shuffled group 1.
     """
-    d = finite_columns(df.select(key, F.col(value).cast("double").alias("v"), F.col(group).cast("double").alias("g"))).na.drop()
+    # The table is made once; the sums and the permutations read the checkpoint.
+    d = _kept(finite_columns(df.select(key, F.col(value).cast("double").alias("v"), F.col(group).cast("double").alias("g"))).na.drop())
     one = F.col("g") == 1
     rows, ones, total, inside = d.agg(F.count("*"), F.count_if(one), F.sum("v"), F.sum(F.when(one, F.col("v")))).first()
     spark = df.sparkSession
@@ -242,7 +261,9 @@ def permuted_gains(df: DataFrame, key: str, tests: list[tuple[str, str, list[str
 
 def perm_dr2(df: DataFrame, y: str, x: str, controls: list[str], key: str, n: int = 5_000, seed: int = 42) -> DataFrame:
     """(delta_r2, n_perm, p): one-sided p of the gain in R2 by x over controls, x shuffled."""
-    (g,), p = permuted_gains(df, key, [(y, x, list(controls))], n, seed)
+    # The table is made once; the sums and the permutations read the checkpoint.
+    d = _kept(df.select(key, *dict.fromkeys([y, x, *controls])))
+    (g,), p = permuted_gains(d, key, [(y, x, list(controls))], n, seed)
     seen = _fit(g, y, [*controls, x])["r2"] - (_fit(g, y, list(controls))["r2"] if controls else 0.0)
     return p.select(F.lit(float(seen)).alias("delta_r2"), "n_perm", "p")
 
